@@ -267,3 +267,60 @@ SELECT machine_id, month, n, rank FROM (
 def q_top_green_months(spark, d):
     return cat.top_months(orders_readings(spark, d), "GREEN", 3).withColumn(
         "rank", F.col("rank").cast("long"))
+
+
+# ------------------------------------------------------------------ sequences
+
+from tremolo.operators import sequence as seq  # noqa: E402
+
+_RUNS_SQL = f"""WITH {EV},
+lv AS (SELECT machine_id, ts, reading_id FROM r WHERE level = 'RED'),
+p AS (SELECT *, lag(ts) OVER (PARTITION BY machine_id ORDER BY ts, reading_id) AS prev_ts FROM lv),
+f AS (SELECT *, CASE WHEN prev_ts IS NULL OR epoch_us(ts) - epoch_us(prev_ts) > 600000000
+                     THEN 1 ELSE 0 END AS s FROM p),
+g AS (SELECT *, sum(s) OVER (PARTITION BY machine_id ORDER BY ts, reading_id
+                             ROWS UNBOUNDED PRECEDING) AS run_no FROM f),
+runs AS (SELECT machine_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n,
+                (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s
+         FROM g GROUP BY machine_id, run_no)"""
+
+
+@register("red_runs", _RUNS_SQL + "\nSELECT * FROM runs")
+def q_red_runs(spark, d):
+    return seq.level_runs(events_readings(spark, d), "RED", gap_seconds=600)
+
+
+@register("longest_red_run", _RUNS_SQL + """
+SELECT machine_id, start_ts, end_ts, n, duration_s FROM (
+  SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY duration_s DESC, start_ts) AS rk
+  FROM runs) WHERE rk = 1""")
+def q_longest_red_run(spark, d):
+    return seq.longest_run(events_readings(spark, d), "RED", gap_seconds=600)
+
+
+_PREV_SQL = f"""WITH {EV},
+p AS (SELECT *, lag(level) OVER (PARTITION BY machine_id ORDER BY ts, reading_id) AS prev_level,
+             row_number() OVER (PARTITION BY machine_id ORDER BY ts, reading_id) AS pos FROM r)"""
+
+
+@register("green_to_red_dates", _PREV_SQL + """
+SELECT DISTINCT machine_id, date FROM p WHERE prev_level = 'GREEN' AND level = 'RED'""")
+def q_green_to_red_dates(spark, d):
+    return seq.transition_dates(events_readings(spark, d), "GREEN", "RED")
+
+
+@register("green_to_red_count", _PREV_SQL + """
+SELECT machine_id, count(*) FILTER (WHERE prev_level = 'GREEN' AND level = 'RED') AS transitions
+FROM p GROUP BY 1""")
+def q_green_to_red_count(spark, d):
+    return seq.transition_count(events_readings(spark, d), "GREEN", "RED")
+
+
+@register("change_density_top", _PREV_SQL + """,
+c AS (SELECT machine_id, date, count(*) AS changes FROM p
+      WHERE pos = 1 OR level IS DISTINCT FROM prev_level GROUP BY 1, 2)
+SELECT machine_id, date, changes, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY changes DESC, date) AS rank FROM c)
+WHERE rank <= 3""")
+def q_change_density_top(spark, d):
+    return seq.change_density_top(events_readings(spark, d), 3)

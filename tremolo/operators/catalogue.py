@@ -255,3 +255,16 @@ def top_months(readings: DataFrame, level: str = "GREEN", k: int = 3) -> DataFra
                .groupBy("machine_id", F.date_format("period", "yyyy-MM").alias("month"))
                .agg(F.sum("n").alias("n")))
     return _top_per_machine(monthly, [F.desc("n"), F.asc("month")], k)
+
+
+def level_profile(readings: DataFrame, thresholds=None) -> DataFrame:
+    """SRC7a / SRC7b: the alarm band table (level, lower, upper) with the readings seen
+    in each band (n, min, max). The band table is fixed-size; the readings side is
+    rolled up before the join."""
+    from tremolo.functions.levels import level_bands_df
+    stats = (_roll(readings).groupBy("level")
+             .agg(F.sum("n").alias("n"), F.min("min_value").alias("min_value"),
+                  F.max("max_value").alias("max_value")))
+    bands_t = level_bands_df(readings.sparkSession, thresholds)
+    return (bands_t.join(stats, "level", "left")
+            .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))

@@ -324,3 +324,194 @@ SELECT machine_id, date, changes, rank FROM (
 WHERE rank <= 3""")
 def q_change_density_top(spark, d):
     return seq.change_density_top(events_readings(spark, d), 3)
+
+
+@register("level_profile", f"""WITH {EV},
+b AS (SELECT * FROM (VALUES ('GREEN', CAST(NULL AS DOUBLE), 2.8::DOUBLE, 0),
+                            ('YELLOW', 2.8::DOUBLE, 11.2::DOUBLE, 1),
+                            ('ORANGE', 11.2::DOUBLE, 14.0::DOUBLE, 2),
+                            ('RED', 14.0::DOUBLE, CAST(NULL AS DOUBLE), 3))
+      AS t(level, lower, upper, level_order)),
+s AS (SELECT level, count(*) AS n, min(value) AS min_value, max(value) AS max_value
+      FROM r GROUP BY 1)
+SELECT b.level, b.lower, b.upper, CAST(b.level_order AS INTEGER) AS level_order,
+       coalesce(s.n, 0) AS n, s.min_value, s.max_value
+FROM b LEFT JOIN s USING (level)""")
+def q_level_profile(spark, d):
+    return cat.level_profile(events_readings(spark, d))
+
+
+# ------------------------------------------------------------------ consistency (W5, AG26)
+
+from tremolo.operators import consistency as cons  # noqa: E402
+
+
+def _orders_answers(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(
+        "o_orderkey", "o_custkey", F.col("o_orderstatus").alias("answer"))
+    return cons.dense_row_number(o, "o_orderkey", "row_no")
+
+
+_BLOCK_SQL = """WITH q AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no, o_orderkey,
+                  o_orderstatus AS answer FROM orders),
+b AS (SELECT *, row_no // 5 AS grp FROM q),
+l AS (SELECT grp, answer AS leader_answer FROM b WHERE row_no % 5 = 0),
+c AS (SELECT row_no, grp, o_orderkey, answer, leader_answer,
+             CASE WHEN row_no % 5 = 0 THEN NULL WHEN answer = leader_answer THEN 'evet'
+                  ELSE 'hayır' END AS verdict FROM b JOIN l USING (grp))"""
+
+
+@register("answer_consistency", _BLOCK_SQL + "\nSELECT * FROM c")
+def q_answer_consistency(spark, d):
+    c = cons.answer_consistency(_orders_answers(spark, d), "answer", "row_no", by="block")
+    return c.select("row_no", "grp", "o_orderkey", "answer", "leader_answer", "verdict")
+
+
+@register("answer_agreement", _BLOCK_SQL + "\nSELECT verdict, count(*) AS n FROM c GROUP BY 1")
+def q_answer_agreement(spark, d):
+    c = cons.answer_consistency(_orders_answers(spark, d), "answer", "row_no", by="block")
+    return cons.answer_agreement(c)
+
+
+@register("answer_consistency_by_question", """WITH
+q AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no, o_orderkey, o_custkey AS grp,
+             o_orderstatus AS answer FROM orders),
+l AS (SELECT grp, arg_min(answer, row_no) AS leader_answer, min(row_no) AS lr FROM q GROUP BY 1)
+SELECT row_no, grp, o_orderkey, answer, leader_answer,
+       CASE WHEN row_no = lr THEN NULL WHEN answer = leader_answer THEN 'evet' ELSE 'hayır' END
+         AS verdict
+FROM q JOIN l USING (grp)""")
+def q_answer_consistency_by_question(spark, d):
+    c = cons.answer_consistency(_orders_answers(spark, d), "answer", "row_no", by="question",
+                                group_col="o_custkey")
+    return c.select("row_no", "grp", "o_orderkey", "answer", "leader_answer", "verdict")
+
+
+# ------------------------------------------------------------------ chats
+
+from tremolo.operators import chats as ch  # noqa: E402
+
+
+def _turns(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+
+
+def _with_system(turns):
+    return turns.where(F.col("role") == "system").select("conv_id").distinct()
+
+
+_PAIRS_SQL = """WITH p AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
+                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
+pr AS (SELECT conv_id, turn, text AS message, CASE WHEN nr = 'assistant' THEN nt END AS reply
+       FROM p WHERE role = 'user')"""
+
+
+@register("chat_pairs", _PAIRS_SQL + "\nSELECT * FROM pr")
+def q_chat_pairs(spark, d):
+    return ch.pairs(_turns(spark, d))
+
+
+@register("chat_undo", _PAIRS_SQL + """
+SELECT conv_id, turn, message, reply FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM pr) WHERE rk > 1""")
+def q_chat_undo(spark, d):
+    return ch.undo_last_pair(_turns(spark, d))
+
+
+@register("chat_list", """SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 30""")
+def q_chat_list(spark, d):
+    return ch.list_sessions(ch.sessions_of(_turns(spark, d)))
+
+
+@register("chat_read", """SELECT conv_id, turn, role, text FROM conversations
+WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')""")
+def q_chat_read(spark, d):
+    t = _turns(spark, d)
+    return t.join(_with_system(t), "conv_id", "left_semi").orderBy("conv_id", "turn")
+
+
+@register("chat_clear", """SELECT conv_id, turn, role, text FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""")
+def q_chat_clear(spark, d):
+    t = _turns(spark, d)
+    return ch.clear_sessions(t, _with_system(t))
+
+
+@register("chat_delete", """SELECT conv_id, turn, role, text FROM conversations
+WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant')""")
+def q_chat_delete(spark, d):
+    t = _turns(spark, d)
+    sessions = ch.sessions_of(t)
+    no_reply = sessions.join(t.where(F.col("role") == "assistant"), "conv_id", "left_anti")
+    _, turns = ch.delete_sessions(sessions, t, no_reply)
+    return turns
+
+
+@register("chat_rename", """WITH
+rn AS (SELECT DISTINCT conv_id AS old_id, conv_id + 1 AS new_id FROM conversations
+       WHERE role = 'system'),
+ow AS (SELECT new_id AS conv_id FROM rn WHERE new_id NOT IN (SELECT old_id FROM rn)),
+kept AS (SELECT * FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM ow))
+SELECT coalesce(rn.new_id, kept.conv_id) AS conv_id, turn, role, text
+FROM kept LEFT JOIN rn ON kept.conv_id = rn.old_id""")
+def q_chat_rename(spark, d):
+    t = _turns(spark, d)
+    renames = _with_system(t).select(F.col("conv_id").alias("old_id"),
+                                     (F.col("conv_id") + 1).alias("new_id"))
+    return ch.rename_sessions(t, renames)
+
+
+@register("chat_append", """WITH
+lst AS (SELECT conv_id, max(turn) AS mx FROM conversations GROUP BY 1),
+lu AS (SELECT conv_id, arg_max(text, turn) AS message FROM conversations WHERE role = 'user'
+       GROUP BY 1),
+nw AS (SELECT lu.conv_id, mx + 1 AS turn, 'user' AS role, message AS text
+       FROM lu JOIN lst USING (conv_id)
+       UNION ALL
+       SELECT lu.conv_id, mx + 2, 'assistant', '🧠 (Mock Cevap): ''' || message || ''' sorusu alındı.'
+       FROM lu JOIN lst USING (conv_id))
+SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM nw""")
+def q_chat_append(spark, d):
+    t = _turns(spark, d)
+    req = (t.where(F.col("role") == "user").groupBy("conv_id")
+           .agg(F.max_by("text", "turn").alias("message"))
+           .withColumn("req_no", F.lit(0)))
+    return ch.append_messages(t, req)
+
+
+@register("chat_new", """SELECT coalesce(max(conv_id), 0) + 1 AS conv_id FROM conversations""")
+def q_chat_new(spark, d):
+    return ch.new_session_id(ch.sessions_of(_turns(spark, d)))
+
+
+# ------------------------------------------------------------------ incidents (AG24, AG25)
+
+from tremolo.operators import incidents as inc  # noqa: E402
+from tremolo.sources.static import EXPLANATIONS, explanations_df  # noqa: E402
+
+_EXPL_SQL = ", ".join("('{}', '{}')".format(a, b) for a, b in EXPLANATIONS)
+_INC_SQL = f"""WITH {EV},
+inc AS (SELECT date, machine_id AS root_cause, count(*) AS incidents FROM r
+        WHERE level = 'RED' GROUP BY 1, 2)"""
+
+
+@register("root_cause_share", _INC_SQL + f""",
+per AS (SELECT root_cause, count(*) AS n_rows, CAST(sum(incidents) AS BIGINT) AS n_incidents
+        FROM inc GROUP BY 1)
+SELECT per.root_cause, n_rows, n_incidents,
+       round(n_rows / sum(n_rows) OVER (), 6) AS row_share,
+       round(n_incidents / sum(n_incidents) OVER (), 6) AS incident_share, e.explanation
+FROM per LEFT JOIN (VALUES {_EXPL_SQL}) AS e(root_cause, explanation) USING (root_cause)""")
+def q_root_cause_share(spark, d):
+    incidents = inc.incidents_from_readings(events_readings(spark, d))
+    out = inc.root_cause_share(incidents, explanations_df(spark))
+    return out.select("root_cause", F.col("rows").alias("n_rows"),
+                      F.col("incidents").alias("n_incidents"),
+                      F.round("row_share", 6).alias("row_share"),
+                      F.round("incident_share", 6).alias("incident_share"), "explanation")
+
+
+@register("daily_incidents", _INC_SQL + """
+SELECT date, CAST(sum(incidents) AS BIGINT) AS incidents FROM inc GROUP BY 1""")
+def q_daily_incidents(spark, d):
+    return inc.daily_incidents(inc.incidents_from_readings(events_readings(spark, d)))

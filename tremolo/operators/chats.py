@@ -26,7 +26,7 @@ CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the reference's JSON file (session name -> list of {role, content}) as turns
     ``conv_id, turn, role, content``. Each file is one JSON document, read whole."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     sessions = doc.select(F.explode(F.from_json("value", CHAT_JSON_SCHEMA))
                           .alias("conv_id", "messages"))
     return sessions.select("conv_id", F.posexplode("messages").alias("turn", "m")).select(

@@ -90,7 +90,7 @@ def extract_date(q: Column | str, compat_dayfirst: bool = False) -> Column:
 
     en_month = _lookup(F.regexp_extract(f, DATE_EN_RE, 2),
                        [(m, i + 1) for i, m in enumerate(EN_MONTHS)])
-    day_a = F.trim(F.regexp_extract(f, DATE_EN_RE, 1))
+    day_a = F.regexp_replace(F.regexp_extract(f, DATE_EN_RE, 1), r"\s", "")
     day_b = F.regexp_replace(F.regexp_extract(f, DATE_EN_RE, 3), r"[,\s]", "")
     en_day = F.coalesce(F.nullif(day_a, F.lit("")), F.nullif(day_b, F.lit("")), F.lit("1"))
     d_en = F.try_to_date(F.concat_ws("-", F.regexp_extract(f, DATE_EN_RE, 4),

@@ -515,3 +515,19 @@ def q_root_cause_share(spark, d):
 SELECT date, CAST(sum(incidents) AS BIGINT) AS incidents FROM inc GROUP BY 1""")
 def q_daily_incidents(spark, d):
     return inc.daily_incidents(inc.incidents_from_readings(events_readings(spark, d)))
+
+
+# ------------------------------------------------------------------ routing
+
+from tremolo.plans import routing as rt  # noqa: E402
+from tremolo.plans.routing_sql import route_sql  # noqa: E402
+
+
+@register("route_questions", route_sql(
+    "SELECT conv_id, turn, text AS _text FROM conversations WHERE role = 'user'",
+    ["conv_id", "turn"]))
+def q_route_questions(spark, d):
+    q = _turns(spark, d).where(F.col("role") == "user").select("conv_id", "turn", "text")
+    r = rt.route_questions(q, ["conv_id", "turn"], "text")
+    return r.withColumn("score", F.round("score", 6)).withColumn(
+        "suggestions", F.array_join("suggestions", " | "))

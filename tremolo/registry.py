@@ -531,3 +531,124 @@ def q_route_questions(spark, d):
     r = rt.route_questions(q, ["conv_id", "turn"], "text")
     return r.withColumn("score", F.round("score", 6)).withColumn(
         "suggestions", F.array_join("suggestions", " | "))
+
+
+# ------------------------------------------------------------------ answering
+
+from tremolo.functions import text as tx  # noqa: E402
+from tremolo.plans import answers as ans  # noqa: E402
+
+# Date spelling per order priority, so that every numeric form is exercised.
+_DATE_FORMS = (("1-URGENT", "dd/MM/yyyy", "%d/%m/%Y"), ("2-HIGH", "dd.MM.yyyy", "%d.%m.%Y"),
+               ("3-MEDIUM", "yyyy-MM-dd", "%Y-%m-%d"), ("4-NOT SPECIFIED", "dd-MM-yyyy", "%d-%m-%Y"),
+               ("5-LOW", "yyyy/MM/dd", "%Y/%m/%d"))
+_DAY_PHRASE = " tarihinde makine performansı hakkında bilgi alabilir miyim?"
+
+
+def _order_day_questions(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    txt = None
+    for prio, jfmt, _ in _DATE_FORMS:
+        e = F.date_format("o_orderdate", jfmt)
+        txt = F.when(F.col("o_orderpriority") == prio, e) if txt is None else \
+            txt.when(F.col("o_orderpriority") == prio, e)
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("machine_id"),
+                    F.concat(txt, F.lit(_DAY_PHRASE)).alias("question"))
+
+
+def _order_day_questions_sql():
+    case = " ".join(f"WHEN '{p}' THEN strftime(o_orderdate, '{f}')" for p, _, f in _DATE_FORMS)
+    return (f"SELECT o_orderkey, o_orderpriority AS machine_id, "
+            f"(CASE o_orderpriority {case} END) || '{_DAY_PHRASE}' AS question FROM orders")
+
+
+from tremolo.plans.routing_sql import date_sql, fold_sql, intents_sql  # noqa: E402
+
+
+@register("extract_dates_numeric", f"""WITH q AS ({_order_day_questions_sql()})
+SELECT o_orderkey, question, {date_sql(fold_sql('question'))} AS date FROM q""")
+def q_extract_dates_numeric(spark, d):
+    q = _order_day_questions(spark, d)
+    return q.select("o_orderkey", "question", tx.extract_date("question").alias("date"))
+
+
+@register("answer_day_questions", f"""WITH {ORD},
+q AS (SELECT o_orderkey, machine_id, {date_sql(fold_sql('question'))} AS date
+      FROM ({_order_day_questions_sql()})),
+dm AS (SELECT machine_id, date, level AS mode_level FROM (
+        SELECT machine_id, date, level, row_number() OVER (PARTITION BY machine_id, date
+                                                           ORDER BY count(*) DESC, level) AS rn
+        FROM r WHERE level IS NOT NULL GROUP BY 1, 2, 3) WHERE rn = 1),
+ds AS (SELECT machine_id, date, min(value) AS min_value, max(value) AS max_value,
+              round(avg(value), 4) AS mean_value FROM r GROUP BY 1, 2)
+SELECT q.o_orderkey, q.machine_id, q.date, ds.min_value, ds.max_value, ds.mean_value, dm.mode_level
+FROM q LEFT JOIN ds USING (machine_id, date) LEFT JOIN dm USING (machine_id, date)""")
+def q_answer_day_questions(spark, d):
+    q = _order_day_questions(spark, d).select(
+        "o_orderkey", "machine_id", tx.extract_date("question").alias("date"))
+    a = ans.answer_day_questions(q, orders_readings(spark, d))
+    return a.select("o_orderkey", "machine_id", "date", "min_value", "max_value",
+                    _r4("mean_value"), "mode_level")
+
+
+# Level word per order status, so that every level and both look-back forms occur.
+_STATUS_WORD = (("F", "kırmızı"), ("O", "sarı"), ("P", "yeşil"))
+_TR_NUM = ("bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz", "on")
+
+
+def _order_lookback_questions(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    word = None
+    for st, w in _STATUS_WORD:
+        word = F.when(F.col("o_orderstatus") == st, F.lit(w)) if word is None else \
+            word.when(F.col("o_orderstatus") == st, F.lit(w))
+    m = F.month("o_orderdate")
+    num_words = F.create_map(*[x for i, w in enumerate(_TR_NUM) for x in (F.lit(i + 1), F.lit(w))])
+    n_text = F.when(m <= 10, F.element_at(num_words, m)).otherwise(m.cast("string"))
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("machine_id"),
+                    F.concat(F.lit("Son "), n_text, F.lit(" ayda "), word,
+                             F.lit(" alarm seviyesinde kaç gün çalıştı?")).alias("question"))
+
+
+def _order_lookback_questions_sql():
+    word = " ".join(f"WHEN '{s}' THEN '{w}'" for s, w in _STATUS_WORD)
+    num = " ".join(f"WHEN {i + 1} THEN '{w}'" for i, w in enumerate(_TR_NUM))
+    return (f"SELECT o_orderkey, o_orderpriority AS machine_id, 'Son ' || "
+            f"(CASE WHEN month(o_orderdate) <= 10 THEN (CASE month(o_orderdate) {num} END) "
+            f"ELSE CAST(month(o_orderdate) AS VARCHAR) END) || ' ayda ' || "
+            f"(CASE o_orderstatus {word} END) || ' alarm seviyesinde kaç gün çalıştı?' AS question "
+            f"FROM orders")
+
+
+_IT = intents_sql(fold_sql("question"))
+
+
+@register("answer_recent_questions", f"""WITH {ORD},
+q AS (SELECT o_orderkey, machine_id, {_IT['kind']} AS kind, {_IT['level']} AS level,
+             {_IT['months']} AS months FROM ({_order_lookback_questions_sql()})),
+m AS (SELECT machine_id, max(ts) AS mx FROM r GROUP BY 1),
+pr AS (SELECT DISTINCT machine_id, months, level FROM q),
+c AS (SELECT pr.machine_id, pr.months, pr.level, count(DISTINCT r.date) AS days
+      FROM pr JOIN m USING (machine_id) JOIN r ON r.machine_id = pr.machine_id
+       AND (pr.level IS NULL OR r.level = pr.level) AND r.ts >= m.mx - to_months(pr.months)
+      GROUP BY 1, 2, 3)
+SELECT q.o_orderkey, q.machine_id, q.kind, q.level, q.months, coalesce(c.days, 0) AS days
+FROM q LEFT JOIN c ON c.machine_id = q.machine_id AND c.months = q.months
+ AND c.level IS NOT DISTINCT FROM q.level""")
+def q_answer_recent_questions(spark, d):
+    q = _order_lookback_questions(spark, d)
+    p = q.select("o_orderkey", "machine_id", tx.parse_intents("question").alias("p")).select(
+        "o_orderkey", "machine_id", "p.kind", "p.level", "p.months")
+    return ans.answer_lookback_questions(p, orders_readings(spark, d)).select(
+        "o_orderkey", "machine_id", "kind", "level", "months", "days")
+
+
+@register("answer_questions")
+def q_answer_questions(spark, d):
+    """B1: route the user turns of the conversations and answer them from the whole
+    events table taken as one machine (the reference's setting); rows-only check."""
+    q = _turns(spark, d).where(F.col("role") == "user").select("conv_id", "turn", "text")
+    routed = rt.route_questions(q, ["conv_id", "turn"], "text").withColumn(
+        "machine_id", F.lit("RTF"))
+    readings = events_readings(spark, d).withColumn("machine_id", F.lit("RTF"))
+    return ans.answer_questions(routed, readings)

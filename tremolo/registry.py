@@ -652,3 +652,98 @@ def q_answer_questions(spark, d):
         "machine_id", F.lit("RTF"))
     readings = events_readings(spark, d).withColumn("machine_id", F.lit("RTF"))
     return ans.answer_questions(routed, readings)
+
+
+# ------------------------------------------------------------------ vectors
+
+from tremolo.functions import vectors as fv  # noqa: E402
+from tremolo.operators import vectors as vec  # noqa: E402
+
+
+def _emb(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+_CENTROIDS_SQL = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pos AS (SELECT label, i, avg(v[i]) AS m, count(*) AS n
+        FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY 1, 2),
+cr AS (SELECT label, max(n) AS n, list(m ORDER BY i) AS raw FROM pos GROUP BY 1),
+c AS (SELECT label, n, list_transform(raw, lambda x: x / sqrt(list_sum(list_transform(raw, lambda y: y * y))))
+             AS centroid FROM cr)"""
+
+
+@register("vector_normalize", """SELECT vec_id, label,
+  round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm_in,
+  round(sqrt(list_sum(list_transform(n, lambda x: x * x))), 6) AS norm_out,
+  round(n[1], 6) AS first_component
+FROM (SELECT *, CASE WHEN sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) > 0
+        THEN list_transform(CAST(embedding AS DOUBLE[]),
+               lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))))
+        ELSE CAST(embedding AS DOUBLE[]) END AS n FROM embeddings)""")
+def q_vector_normalize(spark, d):
+    e = _emb(spark, d).withColumn("n", fv.l2_normalize("embedding"))
+    return e.select("vec_id", "label", F.round(fv.l2_norm("embedding"), 6).alias("norm_in"),
+                    F.round(fv.l2_norm("n"), 6).alias("norm_out"),
+                    F.round(F.element_at("n", 1), 6).alias("first_component"))
+
+
+_TOPK_SQL = f"""WITH {_CENTROIDS_SQL},
+s AS (SELECT e.vec_id, c.label, list_inner_product(e.v, c.centroid) AS score FROM e, c),
+t AS (SELECT vec_id, label, score,
+             row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)"""
+
+
+@register("vector_topk", _TOPK_SQL + """
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(score, 6) AS score FROM t WHERE rank <= 3""")
+def q_vector_topk(spark, d):
+    e = _emb(spark, d)
+    t = vec.catalogue_topk(e.select("vec_id", "embedding"), vec.centroids(e), 3)
+    return t.select("vec_id", "rank", "label", F.round("score", 6).alias("score"))
+
+
+@register("intent_match", _TOPK_SQL + """
+SELECT vec_id, label, round(score, 6) AS score FROM t WHERE rank = 1 AND score >= 0.65""")
+def q_intent_match(spark, d):
+    e = _emb(spark, d)
+    t = vec.catalogue_topk(e.select("vec_id", "embedding"), vec.centroids(e), 3)
+    return vec.best_match(t, ["vec_id"], "label", 0.65).withColumn("score", F.round("score", 6))
+
+
+@register("intent_suggestions", _TOPK_SQL + """,
+b AS (SELECT vec_id, max(score) AS best FROM t GROUP BY 1)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(score, 6) AS score
+FROM t JOIN b USING (vec_id) WHERE rank <= 3 AND best < 0.65 AND score >= 0.4""")
+def q_intent_suggestions(spark, d):
+    e = _emb(spark, d)
+    t = vec.catalogue_topk(e.select("vec_id", "embedding"), vec.centroids(e), 3)
+    return vec.suggestions(t, ["vec_id"], 0.65, 0.40).select(
+        "vec_id", "rank", "label", F.round("score", 6).alias("score"))
+
+
+_KNN_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS corpus_id, list_inner_product(a.v, b.v) AS score
+      FROM e a, e b WHERE a.vec_id <> b.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+      FROM s)"""
+
+
+@register("vector_knn", _KNN_SQL + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, corpus_id, round(score, 6) AS score
+FROM t WHERE rank <= 5""")
+def q_vector_knn(spark, d):
+    e = _emb(spark, d)
+    h = vec.knn(e, e, 5, exclude_self=True)
+    return h.select("query_id", "rank", "corpus_id", F.round("score", 6).alias("score"))
+
+
+@register("retrieval_context", _KNN_SQL + """
+SELECT t.query_id, string_agg('vec ' || e.vec_id || ', label ' || e.label, chr(10) ORDER BY t.rank)
+         AS context
+FROM t JOIN e ON e.vec_id = t.corpus_id WHERE t.rank <= 5 GROUP BY 1""")
+def q_retrieval_context(spark, d):
+    e = _emb(spark, d)
+    h = vec.knn(e, e, 5, exclude_self=True)
+    texts = e.select("vec_id", F.concat(F.lit("vec "), F.col("vec_id").cast("string"),
+                                         F.lit(", label "), F.col("label").cast("string"))
+                     .alias("text"))
+    return vec.context_text(h, texts)

@@ -747,3 +747,64 @@ def q_retrieval_context(spark, d):
                                          F.lit(", label "), F.col("label").cast("string"))
                      .alias("text"))
     return vec.context_text(h, texts)
+
+
+# ------------------------------------------------------------------ ranges (PF10), anomaly (AN1-AN3)
+
+from tremolo.operators import anomaly as an  # noqa: E402
+from tremolo.operators import ranges as rg  # noqa: E402
+
+_ORDER_BOUNDS = ("1995-01-08", "2001-07-23")
+
+
+def _order_range_requests(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    day = F.to_date("o_orderdate")
+    iso = F.date_format(day, "yyyy-MM-dd")
+    week_before = F.date_format(F.date_sub(day, 7), "yyyy-MM-dd")
+    start = (F.when(F.col("o_orderstatus") == "P", F.date_format(day, "dd/MM/yyyy"))
+             .when(F.col("o_orderstatus") == "O", iso).otherwise(week_before))
+    end = F.when(F.col("o_orderstatus") == "O", week_before).otherwise(iso)
+    return o.select(F.col("o_orderkey").alias("request_id"), start.alias("start"),
+                    end.alias("end"))
+
+
+@register("range_requests", f"""WITH {ORD},
+q AS (SELECT o_orderkey AS request_id,
+        CASE o_orderstatus WHEN 'P' THEN strftime(o_orderdate, '%d/%m/%Y')
+             WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%d')
+             ELSE strftime(o_orderdate - INTERVAL 7 DAY, '%Y-%m-%d') END AS start,
+        CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate - INTERVAL 7 DAY, '%Y-%m-%d')
+             ELSE strftime(o_orderdate, '%Y-%m-%d') END AS "end" FROM orders),
+p AS (SELECT *, CAST(try_strptime(start, '%Y-%m-%d') AS DATE) AS s,
+             CAST(try_strptime("end", '%Y-%m-%d') AS DATE) AS e,
+             regexp_matches(start, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')
+               AND regexp_matches("end", '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AS fmt FROM q),
+c AS (SELECT p.request_id, count(r.ts) AS n FROM p LEFT JOIN r
+        ON r.ts >= CAST(p.s AS TIMESTAMP)
+       AND r.ts <= CAST(p.e AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND
+      WHERE p.fmt AND p.s IS NOT NULL AND p.e IS NOT NULL AND p.s <= p.e GROUP BY 1),
+st AS (SELECT p.request_id, start, "end",
+         CASE WHEN NOT (fmt AND s IS NOT NULL AND e IS NOT NULL) THEN 'bad_format'
+              WHEN s > e THEN 'start_after_end'
+              WHEN s < DATE '{_ORDER_BOUNDS[0]}' OR e > DATE '{_ORDER_BOUNDS[1]}' THEN 'out_of_bounds'
+              WHEN coalesce(c.n, 0) = 0 THEN 'no_data' ELSE 'ok' END AS status, c.n
+       FROM p LEFT JOIN c USING (request_id))
+SELECT request_id, start, "end", status, CASE WHEN status = 'ok' THEN n END AS n_readings FROM st""")
+def q_range_requests(spark, d):
+    return rg.range_requests(_order_range_requests(spark, d), orders_readings(spark, d),
+                             *_ORDER_BOUNDS)
+
+
+@register("anomaly_points")
+def q_anomaly_points(spark, d):
+    """AN1 / AN2: isolation-forest labels over the whole events readings (rows-only:
+    the forest is randomised, its properties are tested in pytest)."""
+    p = an.anomaly_points(events_readings(spark, d))
+    return p.select("reading_id", "machine_id", "ts", "value", "level", "score", "anomaly",
+                    "color")
+
+
+@register("anomaly_daily")
+def q_anomaly_daily(spark, d):
+    return an.anomaly_daily(an.anomaly_points(events_readings(spark, d)))

@@ -9,7 +9,7 @@ same in Java (Spark) and RE2 (the DuckDB oracle), and it avoids Java turning
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Turkish month names, January to December.
@@ -65,6 +65,40 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
 
+def _date_parts(f: Column) -> dict[str, Column]:
+    """Raw pattern matches for the date kinds ('' when absent)."""
+    return {
+        "num": F.regexp_extract(f, DATE_NUM_RE, 0),
+        "iso": F.regexp_extract(f, DATE_NUM_RE, 1),
+        "tr_d": F.regexp_extract(f, DATE_TR_RE, 1),
+        "tr_m": F.regexp_extract(f, DATE_TR_RE, 2),
+        "tr_y": F.regexp_extract(f, DATE_TR_RE, 3),
+        "en_a": F.regexp_extract(f, DATE_EN_RE, 1),
+        "en_m": F.regexp_extract(f, DATE_EN_RE, 2),
+        "en_b": F.regexp_extract(f, DATE_EN_RE, 3),
+        "en_y": F.regexp_extract(f, DATE_EN_RE, 4),
+    }
+
+
+def _date_from_parts(p: dict[str, Column], compat_dayfirst: bool) -> Column:
+    norm = F.regexp_replace(p["num"], r"[/.]", "-")
+    iso_date = F.try_to_date(norm, "yyyy-MM-dd")
+    if compat_dayfirst:
+        iso_date = F.coalesce(F.try_to_date(norm, "yyyy-dd-MM"), iso_date)
+    d_num = F.when(p["iso"] != "", iso_date).otherwise(F.try_to_date(norm, "dd-MM-yyyy"))
+    tr_month = _lookup(p["tr_m"], [(fold_py(m), i + 1) for i, m in enumerate(TR_MONTHS)])
+    d_tr = F.try_to_date(F.concat_ws("-", p["tr_y"], tr_month.cast("string"), p["tr_d"]), "y-M-d")
+    en_month = _lookup(p["en_m"], [(m, i + 1) for i, m in enumerate(EN_MONTHS)])
+    day_a = F.regexp_replace(p["en_a"], r"\s", "")
+    day_b = F.regexp_replace(p["en_b"], r"[,\s]", "")
+    en_day = F.coalesce(F.nullif(day_a, F.lit("")), F.nullif(day_b, F.lit("")), F.lit("1"))
+    d_en = F.try_to_date(F.concat_ws("-", p["en_y"], en_month.cast("string"), en_day), "y-M-d")
+    # every kind's group used here is non-empty exactly when that kind matches
+    return (F.when(p["num"] != "", d_num)
+            .when(p["tr_m"] != "", d_tr)
+            .when(p["en_m"] != "", d_en))
+
+
 def extract_date(q: Column | str, compat_dayfirst: bool = False) -> Column:
     """First date in a question, as DATE (NULL when none or invalid).
 
@@ -72,49 +106,30 @@ def extract_date(q: Column | str, compat_dayfirst: bool = False) -> Column:
     ``15 Şubat 2023``; ``February 15, 2023`` / ``15 February 2023`` / ``February 2023``
     (day 1). The first kind that matches decides, even when its date is invalid.
     ``compat_dayfirst`` reads ISO text day-first when that is a valid date, as the
-    reference's parser does (``2023-02-03`` -> 2023-03-02)."""
-    f = fold(q)
-    num = F.regexp_extract(f, DATE_NUM_RE, 0)
-    iso = F.regexp_extract(f, DATE_NUM_RE, 1) != ""
-    norm = F.regexp_replace(num, r"[/.]", "-")
-    iso_date = F.try_to_date(norm, "yyyy-MM-dd")
-    if compat_dayfirst:
-        iso_date = F.coalesce(F.try_to_date(norm, "yyyy-dd-MM"), iso_date)
-    d_num = F.when(iso, iso_date).otherwise(F.try_to_date(norm, "dd-MM-yyyy"))
-
-    tr_month = _lookup(F.regexp_extract(f, DATE_TR_RE, 2),
-                       [(fold_py(m), i + 1) for i, m in enumerate(TR_MONTHS)])
-    d_tr = F.try_to_date(F.concat_ws("-", F.regexp_extract(f, DATE_TR_RE, 3),
-                                     tr_month.cast("string"),
-                                     F.regexp_extract(f, DATE_TR_RE, 1)), "y-M-d")
-
-    en_month = _lookup(F.regexp_extract(f, DATE_EN_RE, 2),
-                       [(m, i + 1) for i, m in enumerate(EN_MONTHS)])
-    day_a = F.regexp_replace(F.regexp_extract(f, DATE_EN_RE, 1), r"\s", "")
-    day_b = F.regexp_replace(F.regexp_extract(f, DATE_EN_RE, 3), r"[,\s]", "")
-    en_day = F.coalesce(F.nullif(day_a, F.lit("")), F.nullif(day_b, F.lit("")), F.lit("1"))
-    d_en = F.try_to_date(F.concat_ws("-", F.regexp_extract(f, DATE_EN_RE, 4),
-                                     en_month.cast("string"), en_day), "y-M-d")
+    reference's parser does (``2023-02-03`` -> 2023-03-02).
+
+    One expression for single use; over tables prefer :func:`add_question_fields`,
+    which folds the text once and extracts in stages."""
+    return _date_from_parts(_date_parts(fold(q)), compat_dayfirst)
+
 
-    return (F.when(_has(f, DATE_NUM_RE), d_num)
-            .when(_has(f, DATE_TR_RE), d_tr)
-            .when(_has(f, DATE_EN_RE), d_en))
+def _lookback_parts(f: Column) -> dict[str, Column]:
+    return {"lb_num": F.regexp_extract(f, LOOKBACK_NUM_RE, 1),
+            "lb_word": F.regexp_extract(f, LOOKBACK_WORD_RE, 1)}
+
+
+def _lookback_from_parts(p: dict[str, Column]) -> Column:
+    word = _lookup(p["lb_word"], [(fold_py(w), i + 1) for i, w in enumerate(TR_NUMBERS)])
+    return (F.when(p["lb_num"] != "", p["lb_num"].try_cast("int"))
+            .when(p["lb_word"] != "", word))
 
 
 def lookback_months(q: Column | str) -> Column:
     """``son <n> ay`` -> n, written in digits or as a word one to ten; else NULL."""
-    f = fold(q)
-    digits = F.regexp_extract(f, LOOKBACK_NUM_RE, 1).try_cast("int")
-    word = _lookup(F.regexp_extract(f, LOOKBACK_WORD_RE, 1),
-                   [(fold_py(w), i + 1) for i, w in enumerate(TR_NUMBERS)])
-    return (F.when(_has(f, LOOKBACK_NUM_RE), digits)
-            .when(_has(f, LOOKBACK_WORD_RE), word))
+    return _lookback_from_parts(_lookback_parts(fold(q)))
 
 
-def level_in_text(q: Column | str) -> Column:
-    """The first level word found (tested in the order sarı, turuncu, yeşil,
-    kırmızı), as a level name; NULL when none."""
-    f = fold(q)
+def _level_in_folded(f: Column) -> Column:
     expr = None
     for w, lv in LEVEL_WORDS:
         cond = F.instr(f, fold_py(w)) > 0
@@ -122,10 +137,41 @@ def level_in_text(q: Column | str) -> Column:
     return expr
 
 
+def level_in_text(q: Column | str) -> Column:
+    """The first level word found (tested in the order sarı, turuncu, yeşil,
+    kırmızı), as a level name; NULL when none."""
+    return _level_in_folded(fold(q))
+
+
 def _color_level(word: Column) -> Column:
     return _lookup(word, [(fold_py(w), lv) for w, lv in LEVEL_WORDS])
 
 
+def _intent_parts(f: Column) -> dict[str, Column]:
+    return {"mc": F.regexp_extract(f, MONTHS_COUNT_RE, 1),
+            "ml": F.regexp_extract(f, MONTHS_LIST_RE, 1),
+            "mf": F.regexp_extract(f, MONTH_FAULT_RE, 1),
+            "lv": _level_in_folded(f)}
+
+
+def _kind_from_parts(p: dict[str, Column], back: Column) -> Column:
+    return (F.when(p["mc"] != "", F.lit("months_count"))
+            .when(p["ml"] != "", F.lit("months_list"))
+            .when(p["mf"] != "", F.lit("month_fault"))
+            .when(back.isNotNull(), F.lit("recent_months")))
+
+
+def _intent_fields(p: dict[str, Column], kind: Column, back: Column) -> dict[str, Column]:
+    month_no = _lookup(p["mf"], [(fold_py(m), i + 1) for i, m in enumerate(TR_MONTHS)])
+    level = (F.when(kind == "months_count", _color_level(p["mc"]))
+             .when(kind == "months_list", _color_level(p["ml"]))
+             .when(kind == "month_fault", F.lit("RED"))
+             .when(kind == "recent_months", p["lv"]))
+    return {"kind": kind, "level": level,
+            "months": F.when(kind == "recent_months", back),
+            "month_no": F.when(kind == "month_fault", month_no)}
+
+
 def parse_intents(q: Column | str) -> Column:
     """The pattern intents, tested in order; returns a struct
     (kind, level, months, month_no) with kind NULL when no pattern matches.
@@ -134,24 +180,39 @@ def parse_intents(q: Column | str) -> Column:
     months_list:  ``hangi aylarda ... <color>``   -> list of those months
     month_fault:  ``<month> ayında ... arıza``    -> red dates in that month
     recent_months: ``son <n> ay`` (+ optional level word) -> days in the last n months
-    """
+
+    One expression for single use; over tables prefer :func:`add_question_fields`."""
     f = fold(q)
-    m_count = F.regexp_extract(f, MONTHS_COUNT_RE, 1)
-    m_list = F.regexp_extract(f, MONTHS_LIST_RE, 1)
-    month_no = _lookup(F.regexp_extract(f, MONTH_FAULT_RE, 1),
-                       [(fold_py(m), i + 1) for i, m in enumerate(TR_MONTHS)])
-    back = lookback_months(q)
-    kind = (F.when(_has(f, MONTHS_COUNT_RE), F.lit("months_count"))
-            .when(_has(f, MONTHS_LIST_RE), F.lit("months_list"))
-            .when(_has(f, MONTH_FAULT_RE), F.lit("month_fault"))
-            .when(back.isNotNull(), F.lit("recent_months")))
-    level = (F.when(kind == "months_count", _color_level(m_count))
-             .when(kind == "months_list", _color_level(m_list))
-             .when(kind == "month_fault", F.lit("RED"))
-             .when(kind == "recent_months", level_in_text(q)))
-    return F.struct(kind.alias("kind"), level.alias("level"),
-                    F.when(kind == "recent_months", back).alias("months"),
-                    F.when(kind == "month_fault", month_no).alias("month_no"))
+    p = _intent_parts(f)
+    back = _lookback_from_parts(_lookback_parts(f))
+    out = _intent_fields(p, _kind_from_parts(p, back), back)
+    return F.struct(*[c.alias(k) for k, c in out.items()])
+
+
+def add_question_fields(df: DataFrame, text: str, prefix: str = "",
+                        compat_dayfirst: bool = False, intents: bool = True,
+                        date: bool = True) -> DataFrame:
+    """X1-X7 over a table: adds ``date`` and / or ``kind, level, months, month_no``
+    (with ``prefix``). The text is folded once and each pattern is run once, in
+    staged projections, so every stage stays small enough for whole-stage codegen."""
+    d = df.withColumn("_qf", fold(F.col(text)))
+    f = F.col("_qf")
+    parts: dict[str, Column] = {}
+    if date:
+        parts.update(_date_parts(f))
+    if intents:
+        parts.update(_intent_parts(f))
+        parts.update(_lookback_parts(f))
+    d = d.select("*", *[c.alias("_p_" + k) for k, c in parts.items()]).drop("_qf")
+    pc = {k: F.col("_p_" + k) for k in parts}
+    if date:
+        d = d.withColumn(prefix + "date", _date_from_parts(pc, compat_dayfirst))
+    if intents:
+        d = d.withColumn("_back", _lookback_from_parts(pc))
+        d = d.withColumn("_kind", _kind_from_parts(pc, F.col("_back")))
+        fields = _intent_fields(pc, F.col("_kind"), F.col("_back"))
+        d = d.select("*", *[c.alias(prefix + k) for k, c in fields.items()]).drop("_kind", "_back")
+    return d.drop(*["_p_" + k for k in parts])
 
 
 def normalize_terms(q: Column | str) -> Column:

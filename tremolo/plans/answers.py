@@ -46,26 +46,18 @@ def lookback_answers(params: DataFrame, readings: DataFrame) -> DataFrame:
     """AG19 / AG20 for many parameter sets at once: (machine_id, months, level) ->
     days with a reading (at ``level`` when it is not NULL) and ts >= max ts - months.
 
-    ``params`` should be distinct; it is joined with the rollup, whose rows carry
-    each (day, level)'s last time, so the range test is exact."""
-    roll = rollup(readings)
+    ``params`` (distinct, small) is joined with the rollup on the machine; a rollup row
+    counts for a parameter set when its level matches and its day's last time is late
+    enough, so each parameter set is answered exactly and gets 0 when nothing matches.
+    Every rollup row meets only the parameter sets of its own machine."""
+    roll = rollup(readings).select("machine_id", "period", "level", "last_ts")
     mx = roll.groupBy("machine_id").agg(F.max("last_ts").alias("_mx"))
-    roll = roll.join(mx, "machine_id")
-    cutoff = F.col("_mx") - F.make_ym_interval(F.lit(0), F.col("months"))
-    with_level = params.where(F.col("level").isNotNull())
-    any_level = params.where(F.col("level").isNull())
-    a = (roll.join(with_level, ["machine_id", "level"])
-         .where(F.col("last_ts") >= cutoff)
-         .groupBy("machine_id", "months", "level").agg(F.countDistinct("period").alias("days")))
-    b = (roll.join(any_level.drop("level"), "machine_id")
-         .where(F.col("last_ts") >= cutoff)
-         .groupBy("machine_id", "months").agg(F.countDistinct("period").alias("days"))
-         .withColumn("level", F.lit(None).cast("string")))
-    keys = ["machine_id", "months", "level"]
-    counted = a.unionByName(b).select(*[F.col(k).alias(f"_c_{k}") for k in keys], "days")
-    cond = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    return (params.join(counted, cond, "left")
-            .select(*keys, F.coalesce(F.col("days"), F.lit(0)).alias("days")))
+    p = params.select("machine_id", "months", F.col("level").alias("_want"))
+    j = roll.join(mx, "machine_id").join(p, "machine_id")
+    ok = ((F.col("_want").isNull() | (F.col("level") == F.col("_want"))) &
+          (F.col("last_ts") >= F.col("_mx") - F.make_ym_interval(F.lit(0), F.col("months"))))
+    return (j.groupBy("machine_id", "months", F.col("_want").alias("level"))
+            .agg(F.countDistinct(F.when(ok, F.col("period"))).alias("days")))
 
 
 def answer_lookback_questions(questions: DataFrame, readings: DataFrame) -> DataFrame:

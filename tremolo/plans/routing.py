@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolo.functions.text import extract_date, fold, in_domain, normalize_terms, parse_intents
+from tremolo.functions.text import add_question_fields, fold, in_domain, normalize_terms
 from tremolo.plans.intents import CATALOGUE_QUESTIONS, NEEDS_DATE, catalogue_df
 
 NGRAM = 3
@@ -31,13 +31,17 @@ NGRAM = 3
 
 def trigram_counts(df: DataFrame, id_cols: list[str], text: str | Column,
                    n: int = NGRAM) -> DataFrame:
-    """(ids..., gram, cnt): character n-gram counts of the folded text (whole text)."""
-    f = fold(text)
-    length = F.length(f)
-    pos = F.when(length >= n, F.sequence(F.lit(1), length - (n - 1)))
-    grams = F.transform(pos, lambda i: F.substr(f, i, F.lit(n)))
-    return (df.select(*id_cols, F.explode(grams).alias("gram"))
-            .groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+    """(ids..., gram, cnt): character n-gram counts of the folded text (whole text).
+
+    Start positions are exploded and each n-gram is cut by a plain ``substr`` in the
+    next projection, which stays in generated code (a lambda over the array would be
+    interpreted per element)."""
+    folded = df.select(*id_cols, fold(text).alias("_f"))
+    length = F.length("_f")
+    pos = folded.select(*id_cols, "_f", F.explode(
+        F.when(length >= n, F.sequence(F.lit(1), length - (n - 1)))).alias("_i"))
+    grams = pos.select(*id_cols, F.substr(F.col("_f"), F.col("_i"), F.lit(n)).alias("gram"))
+    return grams.groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _with_norm(counts: DataFrame, id_cols: list[str], out: str) -> DataFrame:
@@ -95,9 +99,9 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
     summary = top.groupBy(*id_cols).agg(
         F.min(F.struct("rank", "intent_id", "score")).alias("_best"),
         F.array_sort(F.collect_list(F.struct("rank", "intent_id", "score"))).alias("_top"))
-    r = q.join(summary, id_cols, "left")
-    p = parse_intents(F.col("_match"))
-    found_date = extract_date(F.col("_match"), compat_dayfirst)
+    r = add_question_fields(q.join(summary, id_cols, "left"), "_match", prefix="_q_",
+                            compat_dayfirst=compat_dayfirst)
+    found_date = F.col("_q_date")
     date = F.coalesce(F.col("_given_date"), found_date) if date_col else found_date
     best_score = F.col("_best.score")
     best_intent = F.col("_best.intent_id")
@@ -105,8 +109,7 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
     sugg = F.transform(F.filter(F.coalesce(F.col("_top"), F.array()),
                                 lambda s: s["score"] >= F.lit(suggest_at)),
                        lambda s: _question_text_of(s["intent_id"]))
-    status = F.lit(None).cast("string")
-    status = F.when(F.col("_p.kind").isNotNull(), F.lit("pattern"))
+    status = F.when(F.col("_q_kind").isNotNull(), F.lit("pattern"))
     status = (status.when(best_score >= F.lit(threshold),
                           F.when(needs & F.col("_date").isNull(), F.lit("needs_date"))
                           .otherwise(F.lit("matched")))
@@ -114,12 +117,11 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
               .otherwise(F.lit("not_found")))
     if gate:
         status = F.when(~in_domain(F.col("_match")), F.lit("off_topic")).otherwise(status)
-    out = (r.withColumn("_p", p).withColumn("_date", date).withColumn("_sugg", sugg)
-           .withColumn("status", status))
+    out = r.withColumn("_date", date).withColumn("_sugg", sugg).withColumn("status", status)
     return out.select(
         *id_cols,
-        F.col("_p.kind").alias("kind"), F.col("_p.level").alias("level"),
-        F.col("_p.months").alias("months"), F.col("_p.month_no").alias("month_no"),
+        F.col("_q_kind").alias("kind"), F.col("_q_level").alias("level"),
+        F.col("_q_months").alias("months"), F.col("_q_month_no").alias("month_no"),
         best_intent.alias("intent_id"), best_score.alias("score"),
         F.coalesce(needs, F.lit(False)).alias("needs_date"),
         F.col("_date").alias("date"),

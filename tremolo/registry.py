@@ -568,8 +568,8 @@ from tremolo.plans.routing_sql import date_sql, fold_sql, intents_sql  # noqa: E
 @register("extract_dates_numeric", f"""WITH q AS ({_order_day_questions_sql()})
 SELECT o_orderkey, question, {date_sql(fold_sql('question'))} AS date FROM q""")
 def q_extract_dates_numeric(spark, d):
-    q = _order_day_questions(spark, d)
-    return q.select("o_orderkey", "question", tx.extract_date("question").alias("date"))
+    q = tx.add_question_fields(_order_day_questions(spark, d), "question", intents=False)
+    return q.select("o_orderkey", "question", "date")
 
 
 @register("answer_day_questions", f"""WITH {ORD},
@@ -584,8 +584,8 @@ ds AS (SELECT machine_id, date, min(value) AS min_value, max(value) AS max_value
 SELECT q.o_orderkey, q.machine_id, q.date, ds.min_value, ds.max_value, ds.mean_value, dm.mode_level
 FROM q LEFT JOIN ds USING (machine_id, date) LEFT JOIN dm USING (machine_id, date)""")
 def q_answer_day_questions(spark, d):
-    q = _order_day_questions(spark, d).select(
-        "o_orderkey", "machine_id", tx.extract_date("question").alias("date"))
+    q = tx.add_question_fields(_order_day_questions(spark, d), "question", intents=False)
+    q = q.select("o_orderkey", "machine_id", "date")
     a = ans.answer_day_questions(q, orders_readings(spark, d))
     return a.select("o_orderkey", "machine_id", "date", "min_value", "max_value",
                     _r4("mean_value"), "mode_level")
@@ -637,8 +637,8 @@ FROM q LEFT JOIN c ON c.machine_id = q.machine_id AND c.months = q.months
  AND c.level IS NOT DISTINCT FROM q.level""")
 def q_answer_recent_questions(spark, d):
     q = _order_lookback_questions(spark, d)
-    p = q.select("o_orderkey", "machine_id", tx.parse_intents("question").alias("p")).select(
-        "o_orderkey", "machine_id", "p.kind", "p.level", "p.months")
+    p = tx.add_question_fields(q, "question", date=False).select(
+        "o_orderkey", "machine_id", "kind", "level", "months")
     return ans.answer_lookback_questions(p, orders_readings(spark, d)).select(
         "o_orderkey", "machine_id", "kind", "level", "months", "days")
 

@@ -20,8 +20,54 @@ from tremolo.functions.levels import LEVELS
 from tremolo.operators.rollup import period_totals, rollup
 
 
-def _roll(readings: DataFrame, grain: str = "day") -> DataFrame:
-    return rollup(readings, grain)
+class Prepared:
+    """Readings together with their daily rollup, computed once.
+
+    Every rollup-based operator below accepts either raw readings or a ``Prepared``;
+    with a ``Prepared`` it reads the (small) stored rollup instead of rescanning the
+    readings. Operators that need single readings (instant bounds, sample std) still
+    read ``readings``."""
+
+    def __init__(self, readings: DataFrame, day_roll: DataFrame):
+        self.readings = readings
+        self.day_roll = day_roll
+
+
+def prepare(readings: DataFrame, materialize: bool = True) -> Prepared:
+    """Compute the daily rollup once. With ``materialize`` it is checkpointed to the
+    shared folder named by ``spark.checkpoint.dir`` (reliable, lineage cut), so later
+    answers neither rescan the readings nor depend on cached blocks."""
+    roll = rollup(readings, "day")
+    if materialize:
+        from tremolo.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(readings.sparkSession)
+        roll = roll.checkpoint(eager=True)
+    return Prepared(readings, roll)
+
+
+def _readings(src) -> DataFrame:
+    return src.readings if isinstance(src, Prepared) else src
+
+
+def _roll(src, grain: str = "day", date_filter=None) -> DataFrame:
+    """The rollup at ``grain``; ``date_filter`` (a function of the date column) is
+    applied to the readings scan, or to the stored daily rollup."""
+    if isinstance(src, Prepared) and grain in ("day", "month", "year"):
+        roll = src.day_roll
+        if date_filter is not None:
+            roll = roll.where(date_filter(F.col("period")))
+        if grain == "day":
+            return roll
+        return (roll.groupBy("machine_id", F.trunc("period", grain).alias("period"), "level")
+                .agg(F.sum("n").alias("n"), F.sum("n_value").alias("n_value"),
+                     F.sum("sum_value").alias("sum_value"),
+                     F.min("min_value").alias("min_value"),
+                     F.max("max_value").alias("max_value"),
+                     F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")))
+    r = _readings(src)
+    if date_filter is not None:
+        r = r.where(date_filter(F.col("date")))
+    return rollup(r, grain)
 
 
 def _to_date(d) -> _dt.date:
@@ -30,7 +76,7 @@ def _to_date(d) -> _dt.date:
 
 # ---------------------------------------------------------------- global / period stats
 
-def value_range(readings: DataFrame) -> DataFrame:
+def value_range(readings) -> DataFrame:
     """AG1: min / max value per machine."""
     return (_roll(readings).groupBy("machine_id")
             .agg(F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")))
@@ -47,8 +93,8 @@ def day_summary(readings: DataFrame, day=None) -> DataFrame:
     """AG3 / AG4: min / max / mean per (machine, date); one day when ``day`` is given.
     The day filter is on ``date`` and reaches the scan (partition pruning on a
     date-partitioned table)."""
-    r = readings if day is None else readings.where(F.col("date") == F.lit(_to_date(day)))
-    return (period_totals(_roll(r))
+    flt = None if day is None else (lambda d: d == F.lit(_to_date(day)))
+    return (period_totals(_roll(readings, "day", flt))
             .select("machine_id", F.col("period").alias("date"), "min_value", "max_value",
                     (F.col("sum_value") / F.col("n_value")).alias("mean_value"), "n"))
 
@@ -61,9 +107,10 @@ def day_range(readings: DataFrame, day=None) -> DataFrame:
 def year_summary(readings: DataFrame, year: int) -> DataFrame:
     """AG5: min / max / mean in calendar year ``year``, written as a half-open ts range
     (``year(ts) = y`` would stay a row filter)."""
-    lo, hi = _dt.datetime(year, 1, 1), _dt.datetime(year + 1, 1, 1)
-    r = readings.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi)))
-    return (_roll(r).groupBy("machine_id")
+    lo, hi = _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
+    # on readings the date bounds become ts >= lo and ts < hi at the scan
+    flt = lambda d: (d >= F.lit(lo)) & (d < F.lit(hi))
+    return (_roll(readings, "day", flt).groupBy("machine_id")
             .agg(F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
                  (F.sum("sum_value") / F.sum("n_value")).alias("mean_value"),
                  F.sum("n").alias("n")))
@@ -78,8 +125,8 @@ def yearly_mean(readings: DataFrame) -> DataFrame:
 def day_mode_level(readings: DataFrame, day=None) -> DataFrame:
     """AG7: the most frequent level per (machine, date); ties -> alphabetically smallest
     level, NULL levels ignored."""
-    r = readings if day is None else readings.where(F.col("date") == F.lit(_to_date(day)))
-    roll = _roll(r).where(F.col("level").isNotNull())
+    flt = None if day is None else (lambda d: d == F.lit(_to_date(day)))
+    roll = _roll(readings, "day", flt).where(F.col("level").isNotNull())
     best = F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("level").alias("level")))
     return (roll.groupBy("machine_id", F.col("period").alias("date"))
             .agg(best.alias("b"))
@@ -90,7 +137,7 @@ def day_mode_level(readings: DataFrame, day=None) -> DataFrame:
 def level_count_between(readings: DataFrame, start, end, level: str = "RED") -> DataFrame:
     """AG8: rows at ``level`` with ``start <= ts <= end`` (instants; an end given as a date
     means its midnight, so the last day is lost as in the reference)."""
-    r = readings.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"),
+    r = _readings(readings).where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"),
                                            F.lit(end).cast("timestamp_ntz")))
     return r.groupBy("machine_id").agg(F.count_if(F.col("level") == level).alias("n"))
 
@@ -117,12 +164,16 @@ def peak_days(readings: DataFrame, level: str = "RED") -> DataFrame:
 def level_dates(readings: DataFrame, level: str = "RED", start=None, end=None) -> DataFrame:
     """AG11 / AG12: distinct dates with a reading at ``level``, optionally within
     ``start <= date <= end`` (a date range, pruned at the scan)."""
-    r = readings
-    if start is not None:
-        r = r.where(F.col("date") >= F.lit(_to_date(start)))
-    if end is not None:
-        r = r.where(F.col("date") <= F.lit(_to_date(end)))
-    return (_roll(r).where(F.col("level") == level)
+    def flt(d):
+        cond = F.lit(True)
+        if start is not None:
+            cond = cond & (d >= F.lit(_to_date(start)))
+        if end is not None:
+            cond = cond & (d <= F.lit(_to_date(end)))
+        return cond
+
+    use = flt if (start is not None or end is not None) else None
+    return (_roll(readings, "day", use).where(F.col("level") == level)
             .select("machine_id", F.col("period").alias("date")).distinct())
 
 
@@ -202,7 +253,8 @@ def _top_per_machine(df: DataFrame, order_cols, k: int) -> DataFrame:
 def most_variable_month(readings: DataFrame) -> DataFrame:
     """AG18: per machine, the month with the largest sample standard deviation of value;
     one-row months (NULL std) never win; earliest month on ties."""
-    monthly = (readings.groupBy("machine_id", F.trunc("date", "month").alias("month"))
+    monthly = (_readings(readings)
+               .groupBy("machine_id", F.trunc("date", "month").alias("month"))
                .agg(F.stddev_samp("value").alias("std_value"))
                .where(F.col("std_value").isNotNull() & ~F.isnan("std_value")))
     top = _top_per_machine(monthly, [F.desc("std_value"), F.asc("month")], 1)
@@ -265,6 +317,6 @@ def level_profile(readings: DataFrame, thresholds=None) -> DataFrame:
     stats = (_roll(readings).groupBy("level")
              .agg(F.sum("n").alias("n"), F.min("min_value").alias("min_value"),
                   F.max("max_value").alias("max_value")))
-    bands_t = level_bands_df(readings.sparkSession, thresholds)
+    bands_t = level_bands_df(_readings(readings).sparkSession, thresholds)
     return (bands_t.join(stats, "level", "left")
             .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))

@@ -134,3 +134,14 @@ def longest_run(readings: DataFrame, level: str = "RED", gap_seconds: float = 60
     w = Window.partitionBy("machine_id").orderBy(F.desc("duration_s"), F.asc("start_ts"))
     return (runs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
             .drop("_r"))
+
+
+def daily_transitions(readings: DataFrame, src: str = "GREEN", dst: str = "RED",
+                      bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """One pass over the readings for all change-based answers: per (machine, date)
+    the number of level changes and of direct ``src`` -> ``dst`` steps. W2, W3 and W4
+    follow from this small table (dates with steps, their sum, top change days)."""
+    d = level_changes(readings, bucket_seconds)
+    step = (F.col("prev_level") == src) & (F.col("level") == dst)
+    return (d.groupBy("machine_id", "date")
+            .agg(F.count_if("is_change").alias("changes"), F.count_if(step).alias("steps")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.functions.levels import bands
@@ -85,19 +85,23 @@ def catalogue_answers(readings: DataFrame, year: int = 2023, gap_seconds: float
     """(machine_id, intent_id, answer) for every catalogue entry that takes no date.
 
     Values only (dates, numbers, levels) joined as text; numbers with two places.
-    Computed once per readings snapshot; every part reads the rollup or a sequence
-    operator, so the result has at most machines x 30 rows."""
-    spark = readings.sparkSession
-    machines = readings.select("machine_id").distinct()
+    Computed once per readings snapshot. The readings are scanned a few times only:
+    once for the daily rollup and once for the per-day change summary (both small,
+    checkpointed, and read by every other part), once for red runs, once for the
+    instant-bounded count and once for the monthly std. The result has at most
+    machines x 30 rows."""
+    src = cat.prepare(readings)
+    changes = seq.daily_transitions(readings).checkpoint(eager=True)
+    machines = src.day_roll.select("machine_id").distinct()
     parts: list[tuple[int, DataFrame]] = []
 
     lr = seq.longest_run(readings, "RED", gap_seconds)
     parts.append((0, lr.select("machine_id", F.concat_ws(
         " - ", F.date_format("start_ts", "yyyy-MM-dd HH:mm"),
         F.date_format("end_ts", "yyyy-MM-dd HH:mm")).alias("answer"))))
-    parts.append((1, _dates_text(cat.peak_days(readings, "YELLOW"))))
-    parts.append((2, _dates_text(cat.peak_days(readings, "RED"))))
-    vr = cat.value_summary(readings)
+    parts.append((1, _dates_text(cat.peak_days(src, "YELLOW"))))
+    parts.append((2, _dates_text(cat.peak_days(src, "RED"))))
+    vr = cat.value_summary(src)
     parts.append((3, vr.select("machine_id", F.concat_ws(
         " - ", _fmt2(F.col("min_value")), _fmt2(F.col("max_value"))).alias("answer"))))
     red_year = cat.level_count_between(readings, f"{year}-01-01", f"{year}-12-31", "RED")
@@ -107,60 +111,67 @@ def catalogue_answers(readings: DataFrame, year: int = 2023, gap_seconds: float
     red_from = [lo for lv, lo, _ in bands() if lv == "RED"][0]
     parts.append((5, machines.select("machine_id", F.lit(band_text).alias("answer"))))
     parts.append((6, machines.select("machine_id", F.lit(str(red_from)).alias("answer"))))
-    parts.append((10, _dates_text(cat.level_dates(readings, "ORANGE", _dt.date(year, 1, 1),
+    parts.append((10, _dates_text(cat.level_dates(src, "ORANGE", _dt.date(year, 1, 1),
                                                   _dt.date(year, 12, 31)))))
-    ys = cat.year_summary(readings, year)
+    ys = cat.year_summary(src, year)
     parts.append((11, ys.select("machine_id", F.concat_ws(
         " / ", _fmt2(F.col("min_value")), _fmt2(F.col("max_value")),
         _fmt2(F.col("mean_value"))).alias("answer"))))
-    parts.append((12, _dates_text(cat.missing_periods(readings, "day"), "period")))
-    parts.append((13, _dates_text(cat.all_level_periods(readings, "day", "RED"), "period")))
-    ld = cat.level_duration(readings, "GREEN")
+    parts.append((12, _dates_text(cat.missing_periods(src, "day"), "period")))
+    parts.append((13, _dates_text(cat.all_level_periods(src, "day", "RED"), "period")))
+    ld = cat.level_duration(src, "GREEN")
     parts.append((14, ld.select("machine_id", F.concat(
         _fmt2(F.col("hours")), F.lit(" h ("), F.col("minutes").cast("string"),
         F.lit(" min)")).alias("answer"))))
-    rl = cat.recent_level_days(readings, recent_days)
+    rl = cat.recent_level_days(src, recent_days)
     for intent, lv in ((15, "YELLOW"), (16, "ORANGE"), (17, "GREEN"), (18, "RED")):
         parts.append((intent, rl.where(F.col("level") == lv)
                        .select("machine_id", F.col("days").cast("string").alias("answer"))))
-    parts.append((19, _dates_text(seq.transition_dates(readings, "GREEN", "RED"))))
-    td = cat.top_days(readings, ("GREEN", "YELLOW"), 3)
+    parts.append((19, _dates_text(changes.where(F.col("steps") > 0))))
+    td = cat.top_days(src, ("GREEN", "YELLOW"), 3)
     parts.append((20, td.groupBy("machine_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "date"))),
         lambda x: x["date"].cast("string")), ", ").alias("answer"))))
-    tm = cat.top_months(readings, "GREEN", 3)
+    tm = cat.top_months(src, "GREEN", 3)
     parts.append((21, tm.groupBy("machine_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "month"))),
         lambda x: x["month"]), ", ").alias("answer"))))
     parts.append((22, vr.select("machine_id", F.concat_ws(
         " / ", _fmt2(F.col("min_value")), _fmt2(F.col("max_value")),
         _fmt2(F.col("mean_value"))).alias("answer"))))
-    cd = seq.change_density_top(readings, 3)
+    w = Window.partitionBy("machine_id").orderBy(F.desc("changes"), F.asc("date"))
+    cd = (changes.where(F.col("changes") > 0)
+          .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3))
     parts.append((23, cd.groupBy("machine_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "date"))),
         lambda x: x["date"].cast("string")), ", ").alias("answer"))))
-    parts.append((24, cat.least_fault_day(readings).select(
+    parts.append((24, cat.least_fault_day(src).select(
         "machine_id", F.col("date").cast("string").alias("answer"))))
-    parts.append((25, cat.most_variable_month(readings).select(
+    parts.append((25, cat.most_variable_month(src).select(
         "machine_id", F.date_format("month", "yyyy-MM").alias("answer"))))
-    ym = cat.yearly_mean(readings)
+    ym = cat.yearly_mean(src)
     parts.append((26, ym.groupBy("machine_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("year", "mean_value"))),
         lambda x: F.concat(x["year"].cast("string"), F.lit(": "),
                            F.format_string("%.2f", x["mean_value"]))), ", ").alias("answer"))))
-    parts.append((27, seq.transition_count(readings, "GREEN", "RED").select(
-        "machine_id", F.col("transitions").cast("string").alias("answer"))))
-    parts.append((28, _dates_text(cat.recent_levels(readings, recent_levels_days), "level")))
-    parts.append((29, _dates_text(cat.peak_days(readings, "RED"))))
+    parts.append((27, changes.groupBy("machine_id").agg(
+        F.sum("steps").cast("string").alias("answer"))))
+    parts.append((28, _dates_text(cat.recent_levels(src, recent_levels_days), "level")))
+    parts.append((29, _dates_text(cat.peak_days(src, "RED"))))
     for intent, text in STATIC_ANSWERS:
         parts.append((intent, machines.select("machine_id", F.lit(text).alias("answer"))))
-    parts.append((32, _dates_text(cat.level_dates(readings, "RED"))))
+    parts.append((32, _dates_text(cat.level_dates(src, "RED"))))
 
     out = None
     for intent, df in parts:
         df = df.select("machine_id", F.lit(intent).alias("intent_id"), "answer")
         out = df if out is None else out.unionByName(df)
-    return out
+    # every (machine, entry) gets an answer; an empty list is an empty text, as in the
+    # reference. The grid has machines x entries rows.
+    grid = machines.select("machine_id", F.explode(
+        F.array(*[F.lit(i) for i, _ in parts])).alias("intent_id"))
+    return (grid.join(out, ["machine_id", "intent_id"], "left")
+            .select("machine_id", "intent_id", F.coalesce("answer", F.lit("")).alias("answer")))
 
 
 def answer_questions(routed: DataFrame, readings: DataFrame, answers: DataFrame | None = None,

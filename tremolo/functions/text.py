@@ -193,26 +193,30 @@ def add_question_fields(df: DataFrame, text: str, prefix: str = "",
                         compat_dayfirst: bool = False, intents: bool = True,
                         date: bool = True) -> DataFrame:
     """X1-X7 over a table: adds ``date`` and / or ``kind, level, months, month_no``
-    (with ``prefix``). The text is folded once and each pattern is run once, in
-    staged projections, so every stage stays small enough for whole-stage codegen."""
+    (with ``prefix``).
+
+    The text is folded once into a column; the look-back and the intent kind are
+    materialised once each; every other pattern sits in the branch that needs it, so a
+    pattern runs only when the earlier ones did not match. Each projection stays small
+    enough for whole-stage code generation."""
     d = df.withColumn("_qf", fold(F.col(text)))
     f = F.col("_qf")
-    parts: dict[str, Column] = {}
-    if date:
-        parts.update(_date_parts(f))
-    if intents:
-        parts.update(_intent_parts(f))
-        parts.update(_lookback_parts(f))
-    d = d.select("*", *[c.alias("_p_" + k) for k, c in parts.items()]).drop("_qf")
-    pc = {k: F.col("_p_" + k) for k in parts}
     if date:
-        d = d.withColumn(prefix + "date", _date_from_parts(pc, compat_dayfirst))
+        d = d.withColumn(prefix + "date", _date_from_parts(_date_parts(f), compat_dayfirst))
     if intents:
-        d = d.withColumn("_back", _lookback_from_parts(pc))
-        d = d.withColumn("_kind", _kind_from_parts(pc, F.col("_back")))
-        fields = _intent_fields(pc, F.col("_kind"), F.col("_back"))
+        d = d.withColumn("_back", _lookback_from_parts(_lookback_parts(f)))
+        kind = (F.when(f.rlike(MONTHS_COUNT_RE), F.lit("months_count"))
+                .when(f.rlike(MONTHS_LIST_RE), F.lit("months_list"))
+                .when(f.rlike(MONTH_FAULT_RE), F.lit("month_fault"))
+                .when(F.col("_back").isNotNull(), F.lit("recent_months")))
+        d = d.withColumn("_kind", kind)
+        p = {"mc": F.regexp_extract(f, MONTHS_COUNT_RE, 1),
+             "ml": F.regexp_extract(f, MONTHS_LIST_RE, 1),
+             "mf": F.regexp_extract(f, MONTH_FAULT_RE, 1),
+             "lv": _level_in_folded(f)}
+        fields = _intent_fields(p, F.col("_kind"), F.col("_back"))
         d = d.select("*", *[c.alias(prefix + k) for k, c in fields.items()]).drop("_kind", "_back")
-    return d.drop(*["_p_" + k for k in parts])
+    return d.drop("_qf")
 
 
 def normalize_terms(q: Column | str) -> Column:

@@ -56,13 +56,22 @@ def _unit_hash(*cols) -> F.Column:
 
 def sample_trees(values: DataFrame, n_rows: int, n_trees: int = N_TREES,
                  sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(tree, value) with min(sample, n_rows) rows per tree."""
+    """(tree, value) with min(sample, n_rows) rows per tree.
+
+    Tree t takes the ``sample`` rows with the smallest hash of (reading_id, t, seed).
+    Two cheap filters run before any shuffle: a pool of about POOL_FACTOR x trees x
+    sample rows (one hash per reading), then per tree only pool rows whose tree hash is
+    below about 1.5 x sample / pool (about 1.5 x sample candidates per tree; the
+    ``sample`` smallest hashes are always among them unless a tree falls more than six
+    standard deviations short). The window then ranks a few hundred rows per tree."""
     pool_rows = min(n_rows, int(math.ceil(POOL_FACTOR * n_trees * sample)))
     frac = 1.0 if n_rows == 0 else min(1.0, pool_rows / n_rows)
+    per_tree = 1.0 if pool_rows <= 0 else min(1.0, 1.5 * sample / pool_rows)
     pool = values.where(_unit_hash(F.col("reading_id"), F.lit(seed)) < F.lit(frac))
     cand = pool.select("reading_id", "value",
                        F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    cand = cand.withColumn("_h", F.xxhash64("reading_id", "tree", F.lit(seed)))
+    cand = (cand.withColumn("_h", _unit_hash(F.col("reading_id"), F.col("tree"), F.lit(seed)))
+            .where(F.col("_h") < F.lit(per_tree)))
     from pyspark.sql import Window
     w = Window.partitionBy("tree").orderBy("_h", "reading_id")
     return (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)

@@ -808,3 +808,68 @@ def q_anomaly_points(spark, d):
 @register("anomaly_daily")
 def q_anomaly_daily(spark, d):
     return an.anomaly_daily(an.anomaly_points(events_readings(spark, d)))
+
+
+# ------------------------------------------------------------------ loading and row level (SRC1-3, PF1, PF2, PF11)
+
+from tremolo.functions.levels import band_level  # noqa: E402
+from tremolo.sources.readings import clean_readings  # noqa: E402
+
+_LOAD_SQL = f"""WITH {EV}
+SELECT reading_id, machine_id, ts, value, level, level AS level_raw, date FROM r"""
+
+
+@register("load_readings", _LOAD_SQL)
+def q_load_readings(spark, d):
+    return events_readings(spark, d)
+
+
+@register("load_clean", _LOAD_SQL + " WHERE ts IS NOT NULL AND value IS NOT NULL")
+def q_load_clean(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    return clean_readings(ev, ts="ts", value="value", machine="event_type", reading_id="event_id")
+
+
+@register("band_levels", f"""WITH {EV}
+SELECT reading_id, value, level FROM r""")
+def q_band_levels(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    return ev.select(F.col("event_id").alias("reading_id"), "value",
+                     band_level(F.col("value")).alias("level"))
+
+
+@register("filter_level", f"""WITH {EV}
+SELECT reading_id, machine_id, ts, value FROM r WHERE level = 'RED'""")
+def q_filter_level(spark, d):
+    return (events_readings(spark, d).where(F.col("level") == "RED")
+            .select("reading_id", "machine_id", "ts", "value"))
+
+
+@register("row_texts")
+def q_row_texts(spark, d):
+    """PF11: one text per reading (rows-only: Spark rounds .5 cases half up, S18)."""
+    r = events_readings(spark, d)
+    return r.select("reading_id", tx.row_text(F.col("date"), F.col("level_raw"),
+                                              F.col("value")).alias("text"))
+
+
+@register("normalize_terms")
+def q_normalize_terms(spark, d):
+    """X8 over every user turn (rows-only: Java and RE2 differ on Unicode word bounds)."""
+    t = _turns(spark, d).where(F.col("role") == "user")
+    return t.select("conv_id", "turn", tx.normalize_terms(F.col("text")).alias("text"))
+
+
+@register("domain_gate")
+def q_domain_gate(spark, d):
+    """X9 over every user turn (rows-only, as X8)."""
+    t = _turns(spark, d).where(F.col("role") == "user")
+    return t.select("conv_id", "turn", tx.in_domain(F.col("text")).alias("in_domain"))
+
+
+@register("route_questions_gated")
+def q_route_questions_gated(spark, d):
+    """The gated entry point (term rewrite, domain gate, threshold 0.40); rows-only."""
+    q = _turns(spark, d).where(F.col("role") == "user").select("conv_id", "turn", "text")
+    r = rt.route_questions(q, ["conv_id", "turn"], "text", threshold=0.40, gate=True)
+    return r.withColumn("suggestions", F.array_join("suggestions", " | "))

@@ -99,3 +99,15 @@ def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_readings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Land readings as parquet partitioned by ``date`` so day and range filters prune files."""
     df.write.mode(mode).partitionBy("date").parquet(path)
+
+
+def clean_readings(df: DataFrame, *, ts: str, value: str, machine: str, reading_id: str,
+                   level: str | None = None, thresholds=None) -> DataFrame:
+    """SRC2 (lenient): text or typed columns are coerced with ``try_*`` functions; rows
+    whose time or value does not parse are dropped. No global sort is done."""
+    t = F.try_to_timestamp(F.col(ts).cast("string")).cast("timestamp_ntz")
+    v = F.col(value).cast("string").try_cast("double")
+    d = (df.withColumn("_t", t).withColumn("_v", v)
+         .where(F.col("_t").isNotNull() & F.col("_v").isNotNull()))
+    return readings_from_table(d, ts="_t", value="_v", machine=machine, reading_id=reading_id,
+                               level=level, thresholds=thresholds)

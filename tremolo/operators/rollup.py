@@ -19,7 +19,9 @@ def period_expr(grain: str, ts: str = "ts", date: str = "date") -> Column:
     if grain == "day":
         return F.col(date)
     if grain == "hour":
-        return F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
+        t = F.col(ts)  # built from the wall-time fields: independent of the session zone
+        return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t),
+                                    F.lit(0), F.lit(0))
     if grain in ("month", "year"):
         return F.trunc(F.col(date), grain)
     raise ValueError(f"grain must be one of {GRAINS}")

@@ -20,9 +20,15 @@ DEFAULT_BUCKET_SECONDS = 3600
 _ORDER = ("ts", "reading_id")
 
 
+def _EPOCH() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _micros(c: str | Column) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp_ntz (wall time; no time zone, so
+    buckets and durations do not depend on the session time zone or DST)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(col.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", _EPOCH(), col)
 
 
 def time_bucket(bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> Column:

@@ -20,13 +20,20 @@ READING_COLUMNS = ["reading_id", "machine_id", "ts", "value", "level", "level_ra
 ORDERS_THRESHOLDS = (50000.0, 250000.0, 450000.0)
 
 
+def _EPOCH_NTZ() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+_ZONED = r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}(:?\d{2})?)$"
+
+
 def _to_utc_ntz(ts_text: Column, strict: bool) -> Column:
-    """ISO 8601 text, with or without offset -> timestamp_ntz holding UTC wall time.
+    """ISO 8601 text -> timestamp_ntz holding UTC wall time, whatever the session zone.
 
-    The session time zone is UTC, so parsing to a zoned timestamp and casting to
-    timestamp_ntz drops the zone after converting to UTC."""
-    parsed = F.to_timestamp(ts_text) if strict else F.try_to_timestamp(ts_text)
-    return parsed.cast("timestamp_ntz")
+    Text with an offset (or ``Z``) is an instant and becomes its UTC wall time; text
+    without one is kept as written (naive), as the reference does."""
+    inst = F.to_timestamp(ts_text) if strict else F.try_to_timestamp(ts_text)
+    zoned = F.timestamp_add("MICROSECOND", F.unix_micros(inst), _EPOCH_NTZ())
+    naive = ts_text.cast("timestamp_ntz") if strict else ts_text.try_cast("timestamp_ntz")
+    return F.when(ts_text.rlike(_ZONED), zoned).otherwise(naive)
 
 
 def load_readings_csv(spark: SparkSession, path: str, mode: str = "strict",
@@ -105,7 +112,7 @@ def clean_readings(df: DataFrame, *, ts: str, value: str, machine: str, reading_
                    level: str | None = None, thresholds=None) -> DataFrame:
     """SRC2 (lenient): text or typed columns are coerced with ``try_*`` functions; rows
     whose time or value does not parse are dropped. No global sort is done."""
-    t = F.try_to_timestamp(F.col(ts).cast("string")).cast("timestamp_ntz")
+    t = _to_utc_ntz(F.col(ts).cast("string"), strict=False)
     v = F.col(value).cast("string").try_cast("double")
     d = (df.withColumn("_t", t).withColumn("_v", v)
          .where(F.col("_t").isNotNull() & F.col("_v").isNotNull()))

@@ -34,6 +34,7 @@ def build_session(master: str | None = None, app: str = "tremolo",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -58,3 +59,30 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/tables/" + name
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tremolo`` importable on the Python workers (pandas UDFs, grouped maps), as
+    ``spark-submit --py-files`` would: the package is zipped once per process and added
+    with ``SparkContext.addPyFile``, which serves it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="tremolo-pkg-")
+    zpath = os.path.join(out_dir, "tremolo.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

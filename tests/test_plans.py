@@ -38,3 +38,15 @@ def test_rollup_aggregates_map_side(spark):
 def test_catalogue_join_is_broadcast(spark):
     plan = _plan(R.QUERIES["route_questions"](spark, SF01))
     assert "BroadcastHashJoin" in plan
+
+
+def test_date_partitioned_readings_prune_partitions(spark, tmp_path):
+    from tremolo.operators import catalogue as cat
+    from tremolo.sources.readings import events_readings, write_readings
+    out = str(tmp_path / "readings")
+    write_readings(events_readings(spark, SF01), out)
+    stored = spark.read.parquet(out)
+    plan = _plan(cat.day_range(stored, "2024-01-15"))
+    assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-15" in plan
+    assert cat.day_range(stored, "2024-01-15").count() == \
+        cat.day_range(events_readings(spark, SF01), "2024-01-15").count()

@@ -50,6 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by the "
+                               "cluster (a machine-local folder does not survive lost executors)")
+        # local runs and tests only: one JVM, so a scratch folder is enough
         configured = tempfile.mkdtemp(prefix="tremolo-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -105,3 +105,16 @@ def test_runs_equal_plain_window_property(spark):
     for bucket in (120, 3600):
         got = _rows(seq.level_runs(r, "RED", 60, bucket), "start_ts", "end_ts", "n")
         assert got == sorted(runs)
+
+
+def test_runs_partition_red_rows_and_ignore_partitioning(spark):
+    r = events_readings(spark, SF01)
+    runs = seq.level_runs(r, "RED", 600)
+    red = r.where(F.col("level") == "RED").count()
+    assert runs.agg(F.sum("n")).first()[0] == red
+    w = Window.partitionBy("machine_id").orderBy("start_ts")
+    overlaps = (runs.withColumn("_prev_end", F.lag("end_ts").over(w))
+                .where(F.col("_prev_end") >= F.col("start_ts")).count())
+    assert overlaps == 0
+    again = seq.level_runs(r.repartition(7, "reading_id"), "RED", 600)
+    assert runs.exceptAll(again).count() == 0 and again.exceptAll(runs).count() == 0

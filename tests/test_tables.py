@@ -70,7 +70,7 @@ def test_dense_row_number_matches_window(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet").select("o_orderkey")
     # keys with gaps, numbered with small ranges so that many ranges are used
     gappy = o.where(F.col("o_orderkey") % 3 != 1)
-    got = cons.dense_row_number(gappy, "o_orderkey", bucket_width=97)
+    got = cons.dense_row_number(gappy, "o_orderkey", partitions=7)
     rows = got.orderBy("o_orderkey").collect()
     assert [r.row_no for r in rows] == list(range(len(rows)))
 

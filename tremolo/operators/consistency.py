@@ -17,20 +17,32 @@ AGREE, DISAGREE = "evet", "hayır"
 
 
 def dense_row_number(df: DataFrame, key: str, out: str = "row_no",
-                     bucket_width: int = 1_000_000) -> DataFrame:
-    """0-based row number in ``key`` order, for a unique integer ``key``, without a
-    global single-partition window: rows are cut into key ranges of ``bucket_width``
-    (a range holds at most that many rows), each range is numbered locally, and the
-    offsets come from a running sum over the per-range counts (one row per range)."""
-    d = df.withColumn("_kb", F.floor(F.col(key) / F.lit(bucket_width)).cast("long"))
-    counts = d.groupBy("_kb").agg(F.count(F.lit(1)).alias("_cnt"))
-    wo = Window.orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_kb", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("_kb").orderBy(key)
-    d = d.withColumn("_local", F.row_number().over(wl))
-    return (d.join(F.broadcast(offsets), "_kb")
-            .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("long"))
-            .drop("_kb", "_off", "_local"))
+                     partitions: int | None = None) -> DataFrame:
+    """0-based row number in ``key`` order (``key`` unique), without a single-partition
+    window. Rows are range-partitioned on ``key`` (sampled bounds, so partitions stay
+    balanced whatever the key distribution) and sorted inside each partition;
+    ``monotonically_increasing_id`` then holds the partition id (upper bits) and the
+    position in the partition (lower 33 bits). Offsets come from the per-partition
+    counts: one row per partition, so that table has a fixed bound and is broadcast.
+    Pass only the columns that are needed: the numbered rows are written once."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = (df.repartitionByRange(n, key).sortWithinPartitions(key)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    # Range bounds are sampled anew by each execution, so the numbered rows are
+    # materialised once (reliable checkpoint in the shared folder) and both uses below
+    # read the same partitions.
+    from tremolo.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    d = d.checkpoint(eager=True)
+    d = (d.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+         .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
+            .drop("_mid", "_pid", "_local", "_off"))
 
 
 def answer_consistency(df: DataFrame, answer: str = "answer", row_no: str = "row_no",

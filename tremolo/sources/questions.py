@@ -22,7 +22,7 @@ def read_question_csv(spark: SparkSession, path: str) -> DataFrame:
            .option("escape", '"').schema(QUESTION_SCHEMA).csv(path))
     with_pos = raw.withColumn("_pos", F.monotonically_increasing_id())
     from tremolo.operators.consistency import dense_row_number
-    numbered = dense_row_number(with_pos, "_pos", "row_no", bucket_width=1 << 33)
+    numbered = dense_row_number(with_pos, "_pos", "row_no")
     return numbered.select(
         "row_no", F.col(COL_GROUP).cast("long").alias("group_no"),
         F.col(COL_QUESTION).alias("question"),

@@ -92,3 +92,17 @@ def test_level_case_is_normalised_s23(spark):
             (3, "2023-08-01 02:00:00", 20.0, "Red")]
     r = make_readings(spark, rows)
     assert cat.peak_days(r, "RED").first().n == 3
+
+
+def test_since_bound_s14_and_empty_results_s15(spark):
+    rows = [(1, "2023-01-10 00:00:00", 1.0, None), (2, "2023-01-20 00:00:00", 1.0, None),
+            (3, "2023-01-21 00:00:00", 1.0, None)]
+    r = make_readings(spark, rows)
+    assert cat.level_duration(r, "GREEN").first().minutes == 3
+    assert cat.level_duration(r, "GREEN", since="2023-01-15").first().minutes == 2
+    # no red readings: empty answers, no error
+    assert seq.longest_run(r, "RED", 60).count() == 0
+    assert cat.peak_days(r, "RED").count() == 0
+    empty = r.where("value > 1000")
+    assert cat.value_summary(empty).count() == 0
+    assert cat.day_mode_level(empty, "2023-01-10").count() == 0

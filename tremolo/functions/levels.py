@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 LEVEL_BANDS = (("GREEN", 2.8), ("YELLOW", 11.2), ("ORANGE", 14.0), ("RED", None))
 LEVELS = ("GREEN", "YELLOW", "ORANGE", "RED")
 
-# Level words in Turkish and their levels.
-# sarı = YELLOW, turuncu = ORANGE, yeşil = GREEN, kırmızı = RED
-LEVEL_WORDS_TR = (("sarı", "YELLOW"), ("turuncu", "ORANGE"), ("yeşil", "GREEN"), ("kırmızı", "RED"))
-
 
 def bands(thresholds: tuple[float, float, float] | None = None):
     """Band table as (level, lower, upper) tuples; ``thresholds`` replaces the three cut points."""
@@ -50,12 +46,3 @@ def level_bands_df(spark: SparkSession, thresholds=None) -> DataFrame:
     """The band table as a tiny DataFrame (level, lower, upper, level_order)."""
     rows = [(name, lo, up, i) for i, (name, lo, up) in enumerate(bands(thresholds))]
     return spark.createDataFrame(rows, "level string, lower double, upper double, level_order int")
-
-
-def word_to_level(word: Column) -> Column:
-    """Turkish level word (already folded to lower case) -> level name."""
-    expr = None
-    for tr, lv in LEVEL_WORDS_TR:
-        cond = word == F.lit(tr)
-        expr = F.when(cond, F.lit(lv)) if expr is None else expr.when(cond, F.lit(lv))
-    return expr

@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The reference's mock reply, its message icons and the session
-# name pattern.
+# The reference's mock reply and its message icons.
 MOCK_REPLY = "🧠 (Mock Cevap): '{}' sorusu alındı."
 USER_ICON, ASSISTANT_ICON = "🧑", "🤖"
-SESSION_NAME = "Sohbet {}"
 MAX_LISTED = 30
 
 CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string>>>"

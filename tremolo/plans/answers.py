@@ -24,9 +24,6 @@ from tremolo.operators import sequence as seq
 from tremolo.operators.rollup import rollup
 from tremolo.sources.static import STATIC_ANSWERS
 
-DAY_INTENTS = {7: "range", 8: "mode", 9: "summary"}
-
-
 def daily_table(readings: DataFrame) -> DataFrame:
     """(machine_id, date) -> min, max, mean value and dominant level."""
     s = cat.day_summary(readings)

@@ -64,7 +64,9 @@ def answer_lookback_questions(questions: DataFrame, readings: DataFrame) -> Data
     ans = lookback_answers(params, readings).select(
         *[F.col(k).alias(f"_a_{k}") for k in keys], "days")
     cond = [F.col(k).eqNullSafe(F.col(f"_a_{k}")) for k in keys]
-    return questions.join(ans, cond, "left").drop(*[f"_a_{k}" for k in keys])
+    return (questions.join(ans, cond, "left").drop(*[f"_a_{k}" for k in keys])
+            .withColumn("days", F.when(F.col("months").isNotNull(),
+                                       F.coalesce(F.col("days"), F.lit(0)))))
 
 
 # ------------------------------------------------------------------ catalogue answers

@@ -94,16 +94,18 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
     q = questions.select(*id_cols, F.col(text).alias("_text"),
                          *( [F.col(date_col).alias("_given_date")] if date_col else []))
     match_text = normalize_terms(F.col("_text")) if gate else F.col("_text")
-    # One shuffle of the question rows by id; the trigram counts, the norm window, the
-    # scoring aggregate, the top-k window and the join back all reuse this partitioning,
-    # so the exploded trigram rows are never shuffled.
-    q = q.withColumn("_match", match_text).repartition(*id_cols)
-    top = top_intents(q, id_cols, "_match", k)
-    summary = top.groupBy(*id_cols).agg(
+    q = q.withColumn("_match", match_text)
+    # Scoring and parsing depend on the text only, so they run once per distinct text
+    # (question tables repeat phrasings); everything after the distinct is partitioned
+    # by the text, and the questions join back on it.
+    texts = q.select("_match").distinct()
+    top = top_intents(texts, ["_match"], "_match", k)
+    summary = top.groupBy("_match").agg(
         F.min(F.struct("rank", "intent_id", "score")).alias("_best"),
         F.array_sort(F.collect_list(F.struct("rank", "intent_id", "score"))).alias("_top"))
-    r = add_question_fields(q.join(summary, id_cols, "left"), "_match", prefix="_q_",
-                            compat_dayfirst=compat_dayfirst)
+    per_text = add_question_fields(texts, "_match", prefix="_q_",
+                                   compat_dayfirst=compat_dayfirst).join(summary, "_match", "left")
+    r = q.join(per_text, "_match", "left")
     found_date = F.col("_q_date")
     date = F.coalesce(F.col("_given_date"), found_date) if date_col else found_date
     best_score = F.col("_best.score")

@@ -873,3 +873,23 @@ def q_route_questions_gated(spark, d):
     q = _turns(spark, d).where(F.col("role") == "user").select("conv_id", "turn", "text")
     r = rt.route_questions(q, ["conv_id", "turn"], "text", threshold=0.40, gate=True)
     return r.withColumn("suggestions", F.array_join("suggestions", " | "))
+
+
+from tremolo.plans.intents import CATALOGUE_QUESTIONS  # noqa: E402
+
+
+@register("answer_catalogue_questions")
+def q_answer_catalogue_questions(spark, d):
+    """B1 / J3 / J4 over a question table derived from every order: the phrasing is the
+    catalogue entry chosen by the order key (no row is filtered), entries that take a
+    date get the order's date; machine = order priority, readings = orders. Rows-only."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    templates = F.array(*[F.lit(t) for t in CATALOGUE_QUESTIONS])
+    text = F.element_at(templates, (F.pmod(F.col("o_orderkey"), F.lit(len(CATALOGUE_QUESTIONS)))
+                                    + 1).cast("int"))
+    text = F.regexp_replace(text, "…", F.date_format("o_orderdate", "dd.MM.yyyy"))
+    q = o.select("o_orderkey", F.col("o_orderpriority").alias("machine_id"),
+                 text.alias("question"))
+    routed = rt.route_questions(q, ["o_orderkey"], "question").join(
+        q.select("o_orderkey", "machine_id"), "o_orderkey")
+    return ans.answer_questions(routed, orders_readings(spark, d))

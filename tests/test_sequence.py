@@ -118,3 +118,24 @@ def test_runs_partition_red_rows_and_ignore_partitioning(spark):
     assert overlaps == 0
     again = seq.level_runs(r.repartition(7, "reading_id"), "RED", 600)
     assert runs.exceptAll(again).count() == 0 and again.exceptAll(runs).count() == 0
+
+
+def test_hot_buckets_are_split_and_results_unchanged(spark):
+    # one machine, everything inside one hour: the hour is cut into many sub-buckets
+    rnd = random.Random(3)
+    base = dt.datetime(2023, 9, 1, 10, 0, 0)
+    rows = []
+    for i in range(600):
+        t = base + dt.timedelta(seconds=rnd.randint(0, 3599), microseconds=rnd.randint(0, 999))
+        rows.append((i, t.isoformat(sep=" "), rnd.choice([1.0, 20.0, 20.0]), None))
+    r = make_readings(spark, rows)
+    b = seq.with_buckets(r, target_rows=25)
+    assert b.select("_cb", "_sb").distinct().count() > 10
+    w = Window.partitionBy("machine_id").orderBy("ts", "reading_id")
+    plain = r.select("reading_id", F.lag("level").over(w).alias("p"))
+    split = seq.with_previous(r, ["level"], target_rows=25).select(
+        "reading_id", F.col("prev_level").alias("p"))
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+    runs_plain = sorted(seq.level_runs(r, "RED", 5, target_rows=None).collect())
+    runs_split = sorted(seq.level_runs(r, "RED", 5, target_rows=25).collect())
+    assert runs_plain == runs_split

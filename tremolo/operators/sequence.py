@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_SECONDS = 3600
+# A time bucket with more rows than this is split into equal-time sub-buckets.
+DEFAULT_TARGET_ROWS = 2_000_000
 _ORDER = ("ts", "reading_id")
+_BUCKET = ("_cb", "_sb")
 
 
 def _EPOCH() -> Column:
@@ -35,24 +38,50 @@ def time_bucket(bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> Column:
     return F.floor(_micros("ts") / F.lit(int(bucket_seconds) * 1_000_000)).cast("long")
 
 
+def with_buckets(df: DataFrame, key: str = "machine_id",
+                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                 target_rows: int | None = DEFAULT_TARGET_ROWS) -> DataFrame:
+    """Add the bucket of each reading as (``_cb``, ``_sb``): the time bucket and a
+    sub-bucket, both increasing with time inside a ``key``.
+
+    A bucket holding more than ``target_rows`` readings (a burst, or a machine with a
+    large share of all rows) is cut into equal-time sub-buckets of about
+    ``target_rows`` each. The widths come from a count per (key, bucket): one row per
+    non-empty bucket, joined back on (key, bucket); AQE broadcasts it when small and
+    splits a skewed partition of the readings side otherwise. Readings sharing one
+    exact timestamp cannot be split by time and stay in one sub-bucket."""
+    d = df.withColumn("_cb", time_bucket(bucket_seconds))
+    if target_rows is None:
+        return d.withColumn("_sb", F.lit(0).cast("long"))
+    bucket_us = int(bucket_seconds) * 1_000_000
+    counts = d.groupBy(key, "_cb").agg(F.count(F.lit(1)).alias("_cnt"))
+    widths = counts.select(key, "_cb", F.greatest(
+        F.lit(1), F.ceil(F.lit(float(bucket_us) * target_rows) / F.col("_cnt"))).cast("long")
+        .alias("_w"))
+    offset = _micros("ts") - F.col("_cb") * F.lit(bucket_us)
+    return (d.join(widths, [key, "_cb"])
+            .withColumn("_sb", F.floor(offset / F.col("_w")).cast("long")).drop("_w"))
+
+
 def with_previous(df: DataFrame, cols: list[str], key: str = "machine_id",
-                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                  target_rows: int | None = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Add ``prev_<c>`` for each column in ``cols`` (the value on the previous reading of
     the same ``key`` in (ts, reading_id) order) and ``has_prev``.
 
     Equal to ``lag(c) over (partition by key order by ts, reading_id)``, computed with
-    windows partitioned by (key, bucket) plus a per-bucket boundary table."""
-    d = df.withColumn("_b", time_bucket(bucket_seconds))
-    w = Window.partitionBy(key, "_b").orderBy(*_ORDER)
-    d = d.withColumn("_rn", F.row_number().over(w))
+    windows partitioned by (key, bucket, sub-bucket) plus a boundary table with one
+    row per non-empty sub-bucket."""
+    b = with_buckets(df, key, bucket_seconds, target_rows)
+    w = Window.partitionBy(key, *_BUCKET).orderBy(*_ORDER)
+    d = b.withColumn("_rn", F.row_number().over(w))
     for c in cols:
         d = d.withColumn(f"_lag_{c}", F.lag(c).over(w))
     last_vals = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_ORDER))
-    edges = (df.withColumn("_b", time_bucket(bucket_seconds))
-             .groupBy(key, "_b").agg(last_vals.alias("_last")))
-    wb = Window.partitionBy(key).orderBy("_b")
-    edges = edges.select(key, "_b", F.lag("_last").over(wb).alias("_prev_last"))
-    d = d.join(edges, [key, "_b"], "left")
+    edges = b.groupBy(key, *_BUCKET).agg(last_vals.alias("_last"))
+    wb = Window.partitionBy(key).orderBy(*_BUCKET)
+    edges = edges.select(key, *_BUCKET, F.lag("_last").over(wb).alias("_prev_last"))
+    d = d.join(edges, [key, *_BUCKET], "left")
     first = F.col("_rn") == 1
     for c in cols:
         d = d.withColumn(f"prev_{c}", F.when(first, F.col("_prev_last")[c])
@@ -61,11 +90,13 @@ def with_previous(df: DataFrame, cols: list[str], key: str = "machine_id",
     return d.drop("_prev_last", *[f"_lag_{c}" for c in cols])
 
 
-def level_changes(readings: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def level_changes(readings: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                  target_rows: int | None = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Readings with ``prev_level`` and ``is_change``: the level differs from the previous
     reading's. The first reading counts as a change, and so does a NULL level on either
     side (NULL != x is true in the reference)."""
-    d = with_previous(readings, ["level"], bucket_seconds=bucket_seconds)
+    d = with_previous(readings, ["level"], bucket_seconds=bucket_seconds,
+                      target_rows=target_rows)
     return d.withColumn("is_change", F.coalesce(F.col("level") != F.col("prev_level"),
                                                 F.lit(True)))
 
@@ -102,7 +133,8 @@ def change_density_top(readings: DataFrame, k: int = 3,
 
 
 def level_runs(readings: DataFrame, level: str = "RED", gap_seconds: float = 60,
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+               target_rows: int | None = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Runs of readings at ``level``. Only readings at the level are considered;
     a new run starts when the time since the previous such reading is strictly more
     than ``gap_seconds`` (readings at other levels in between do not split a run).
@@ -110,21 +142,21 @@ def level_runs(readings: DataFrame, level: str = "RED", gap_seconds: float = 60,
     Returns machine_id, start_ts, end_ts, n, duration_s (one-row runs last 0 s)."""
     gap_us = int(round(gap_seconds * 1_000_000))
     lv = readings.where(F.col("level") == level).select("machine_id", "ts", "reading_id")
-    p = with_previous(lv, ["ts"], bucket_seconds=bucket_seconds)
+    p = with_previous(lv, ["ts"], bucket_seconds=bucket_seconds, target_rows=target_rows)
     p = p.withColumn("_start", ~F.col("has_prev") |
                      ((_micros("ts") - _micros("prev_ts")) > F.lit(gap_us)))
     start_key = F.when(F.col("_start"), F.struct(*_ORDER))
-    w = (Window.partitionBy("machine_id", "_b").orderBy(*_ORDER)
+    w = (Window.partitionBy("machine_id", *_BUCKET).orderBy(*_ORDER)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     p = p.withColumn("_local", F.max(start_key).over(w))
     # The last start of each bucket, carried forward to later buckets that begin
     # inside a run.
-    edges = p.groupBy("machine_id", "_b").agg(F.max(start_key).alias("_bl"))
-    wb = (Window.partitionBy("machine_id").orderBy("_b")
+    edges = p.groupBy("machine_id", *_BUCKET).agg(F.max(start_key).alias("_bl"))
+    wb = (Window.partitionBy("machine_id").orderBy(*_BUCKET)
           .rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.select("machine_id", "_b", F.last("_bl", ignorenulls=True).over(wb)
+    edges = edges.select("machine_id", *_BUCKET, F.last("_bl", ignorenulls=True).over(wb)
                          .alias("_carried"))
-    p = p.join(edges, ["machine_id", "_b"], "left")
+    p = p.join(edges, ["machine_id", *_BUCKET], "left")
     runs = (p.groupBy("machine_id", F.coalesce("_local", "_carried").alias("_run"))
             .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
                  F.count(F.lit(1)).alias("n")))

@@ -90,21 +90,25 @@ def pairs(turns: DataFrame, text: str = "text") -> DataFrame:
     """(user message, following assistant reply) pairs per session.
 
     The reply is the next turn when it is the assistant's; a user turn without one gets
-    a NULL reply. Windows are per session."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    d = (turns.withColumn("_next_role", F.lead("role").over(w))
-         .withColumn("_next_text", F.lead(text).over(w)))
-    return (d.where(F.col("role") == "user")
-            .select("conv_id", F.col("turn"), F.col(text).alias("message"),
+    a NULL reply (turns are numbered 0, 1, 2, ... within a session). Written as a join
+    on the unique key (session, turn + 1), so a very
+    long session is never gathered in one task."""
+    user = turns.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col(text).alias("message"))
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                       F.col("role").alias("_next_role"), F.col(text).alias("_next_text"))
+    return (user.join(nxt, ["conv_id", "turn"], "left")
+            .select("conv_id", "turn", "message",
                     F.when(F.col("_next_role") == "assistant", F.col("_next_text"))
                     .alias("reply")))
 
 
 def undo_last_pair(turns: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs of each session without its last pair."""
+    """The pairs of each session without its last pair (the last user turn is found
+    by a per-session max, a partial aggregate)."""
     p = pairs(turns, text)
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return p.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > 1).drop("_r")
+    last = p.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    return (p.join(last, "conv_id").where(F.col("turn") < F.col("_last")).drop("_last"))
 
 
 # ------------------------------------------------------------------ changes as batch jobs

@@ -74,8 +74,11 @@ def ship_package(spark: SparkSession) -> None:
     with ``SparkContext.addPyFile``, which serves it to every executor."""
     import zipfile
 
-    sc = spark.sparkContext
-    key = id(sc._jsc)
+    try:
+        sc = spark.sparkContext
+        key = id(sc._jsc)
+    except Exception:  # noqa: BLE001 - sessions without a local context ship nothing
+        return
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))

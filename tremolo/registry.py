@@ -845,24 +845,34 @@ def q_filter_level(spark, d):
             .select("reading_id", "machine_id", "ts", "value"))
 
 
-@register("row_texts")
+@register("row_texts", f"""WITH {EV}
+SELECT reading_id, 'Tarih: ' || CAST(date AS VARCHAR) || ', Durum: ' || level || ', Değer: '
+       || printf('%.2f', value) AS text FROM r""")
 def q_row_texts(spark, d):
-    """PF11: one text per reading (rows-only: Spark rounds .5 cases half up, S18)."""
+    """PF11: one text per reading. Values are stored with two decimals, so Spark's
+    half-up formatting and the oracle's agree (they differ only on exact .005 ties)."""
     r = events_readings(spark, d)
     return r.select("reading_id", tx.row_text(F.col("date"), F.col("level_raw"),
                                               F.col("value")).alias("text"))
 
 
-@register("normalize_terms")
+@register("normalize_terms", """SELECT conv_id, turn,
+  regexp_replace(regexp_replace(text, '(?i)\\bmakinenin\\b', 'RTF makinesinin', 'g'),
+                 '(?i)\\bmakine\\b', 'RTF makinesi', 'g') AS text
+FROM conversations WHERE role = 'user'""")
 def q_normalize_terms(spark, d):
-    """X8 over every user turn (rows-only: Java and RE2 differ on Unicode word bounds)."""
+    """X8 over every user turn (Java and RE2 word bounds differ only next to non-ASCII
+    letters)."""
     t = _turns(spark, d).where(F.col("role") == "user")
     return t.select("conv_id", "turn", tx.normalize_terms(F.col("text")).alias("text"))
 
 
-@register("domain_gate")
+@register("domain_gate", """SELECT conv_id, turn,
+  regexp_matches(lower(translate(text, 'İIı', 'iii')), '\\b(makine|titreşim|alarm|rtf)\\b')
+    AS in_domain
+FROM conversations WHERE role = 'user'""")
 def q_domain_gate(spark, d):
-    """X9 over every user turn (rows-only, as X8)."""
+    """X9 over every user turn (as X8 for word bounds)."""
     t = _turns(spark, d).where(F.col("role") == "user")
     return t.select("conv_id", "turn", tx.in_domain(F.col("text")).alias("in_domain"))
 

@@ -66,3 +66,15 @@ def test_range_requests_statuses_and_last_second(spark):
                    2: ("bad_format", None), 3: ("start_after_end", None),
                    4: ("out_of_bounds", None), 5: ("no_data", None), 6: ("ok", 3),
                    7: ("bad_format", None)}
+
+
+def test_nearest_rank_quantile_is_exact(spark):
+    import math
+
+    import numpy as np
+    rng = np.random.default_rng(5)
+    vals = np.round(rng.beta(2, 5, size=5000), 3)   # many ties, some buckets crowded
+    df = spark.createDataFrame([(float(v),) for v in vals], "score double")
+    for q in (0.5, 0.9, 0.99, 1.0):
+        want = float(np.sort(vals)[max(1, math.ceil(q * len(vals))) - 1])
+        assert an.nearest_rank_quantile(df, q, len(vals)) == want

@@ -102,6 +102,12 @@ def test_chat_json_round_trip(spark, tmp_path):
     ch.write_chat_json(t, out)
     back = ch.read_chat_json(spark, out)
     assert sorted(back.collect()) == sorted(t.select("conv_id", "turn", "role", "content").collect())
+    # chunks of 3 turns: a 4-turn session takes two lines and reads back whole
+    assert ch.nest_sessions(t, chunk_turns=3).count() == 2
+    out2 = str(tmp_path / "chats2")
+    ch.nest_sessions(t, chunk_turns=3).select("json").coalesce(1).write.text(out2)
+    back2 = ch.read_chat_json(spark, out2)
+    assert sorted(back2.collect()) == sorted(t.select("conv_id", "turn", "role", "content").collect())
 
 
 def test_chat_batch_changes(spark):

@@ -15,7 +15,8 @@ MOCK_REPLY = "🧠 (Mock Cevap): '{}' sorusu alındı."
 USER_ICON, ASSISTANT_ICON = "🧑", "🤖"
 MAX_LISTED = 30
 
-CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string>>>"
+CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string, turn: bigint>>>"
+CHUNK_TURNS = 10_000
 CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 
 
@@ -23,13 +24,16 @@ CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 
 def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the reference's JSON file (session name -> list of {role, content}) as turns
-    ``conv_id, turn, role, content``. Each file is one JSON document, read whole."""
+    ``conv_id, turn, role, content``. Each file is one JSON document, read whole; the
+    files written by :func:`write_chat_json` (one chunk of a session per line, with turn
+    numbers) read the same way."""
     doc = spark.read.text(path, wholetext=True)
-    sessions = doc.select(F.explode(F.from_json("value", CHAT_JSON_SCHEMA))
-                          .alias("conv_id", "messages"))
-    return sessions.select("conv_id", F.posexplode("messages").alias("turn", "m")).select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"),
-        F.col("m.content").alias("content"))
+    lines = doc.select(F.explode(F.split(F.col("value"), "\n(?=\\{)")).alias("value"))
+    sessions = lines.select(F.explode(F.from_json("value", CHAT_JSON_SCHEMA))
+                            .alias("conv_id", "messages"))
+    return sessions.select("conv_id", F.posexplode("messages").alias("pos", "m")).select(
+        "conv_id", F.coalesce(F.col("m.turn"), F.col("pos").cast("long")).alias("turn"),
+        F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
 def parse_content(turns: DataFrame, content: str = "content") -> DataFrame:
@@ -52,21 +56,24 @@ def build_content(said_at, role, text) -> F.Column:
                     F.lit(" "), text)
 
 
-def nest_sessions(turns: DataFrame, content: str = "content") -> DataFrame:
-    """SNK2: one row per session with its messages in turn order, and the session as a
-    JSON object line ``{"<id>": [{role, content}, ...]}``. Sessions are bounded chat
-    logs; the turns of one session are gathered, never the whole table."""
+def nest_sessions(turns: DataFrame, content: str = "content",
+                  chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """SNK2: sessions as JSON object lines ``{"<id>": [{role, content, turn}, ...]}`` in
+    turn order. A line holds at most ``chunk_turns`` messages (one chunk of a session),
+    so no row grows with the length of a session; ``turn`` keeps the numbering."""
     msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.col(content).alias("content"))))
-    nested = turns.groupBy("conv_id").agg(msgs.alias("_m")).select(
-        "conv_id",
-        F.transform("_m", lambda x: F.struct(x["role"].alias("role"),
-                                             x["content"].alias("content"))).alias("messages"))
+    nested = (turns.groupBy("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk"))
+              .agg(msgs.alias("_m"))
+              .select("conv_id", "chunk", F.transform("_m", lambda x: F.struct(
+                  x["role"].alias("role"), x["content"].alias("content"),
+                  x["turn"].alias("turn"))).alias("messages")))
     return nested.withColumn("json", F.to_json(F.create_map(F.col("conv_id").cast("string"),
                                                              F.col("messages"))))
 
 
 def write_chat_json(turns: DataFrame, path: str, content: str = "content") -> None:
-    """SNK2: JSON lines, one session per line (parquet of ``turns`` is the table of record)."""
+    """SNK2: JSON lines, one session chunk per line (parquet of ``turns`` is the table of
+    record)."""
     nest_sessions(turns, content).select("json").write.mode("overwrite").text(path)
 
 

@@ -57,7 +57,7 @@ def test_null_level_and_mode_ties_s5_s7(spark):
     assert changes == [(7, True), (8, True), (9, True), (10, True)]  # NULL -> NULL is a change
 
 
-def test_argmax_and_top3_ties_s8_s9_s10(spark):
+def test_argmax_and_top_three_ties_s8_s9_s10(spark):
     rows, i = [], 0
     for day, n_red, n_green in (("2023-06-01", 2, 1), ("2023-06-02", 2, 0), ("2023-06-03", 1, 3),
                                 ("2023-06-04", 0, 3), ("2023-06-05", 0, 3)):

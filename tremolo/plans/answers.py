@@ -177,51 +177,81 @@ def answer_questions(routed: DataFrame, readings: DataFrame, answers: DataFrame
                      date_col: str = "date") -> DataFrame:
     """B1 / B2: attach answers to routed questions (``route_questions`` output plus a
     ``machine_id`` column). ``answer`` is filled for matched catalogue entries, dated
-    entries and look-back patterns; ``status`` says why it is empty otherwise."""
+    entries and pattern questions; ``status`` says why it is empty otherwise.
+
+    One pass over the routed table: a chain of left joins to small answer tables, each
+    unique on its key (answers per (machine, entry), daily statistics per (machine, date),
+    look-back counts per parameter set, month answers per (machine, level) and per
+    (machine, month)); the answer is picked per row by its status."""
     answers = answers if answers is not None else catalogue_answers(readings)
-    plain = routed.where((F.col("status") == "matched") & ~F.col("needs_date"))
-    plain = plain.join(answers, ["machine_id", "intent_id"], "left")
-    dated = answer_day_questions(
-        routed.where((F.col("status") == "matched") & F.col("needs_date")), readings, date_col)
-    dated = dated.withColumn("answer", F.when(
-        F.col("intent_id") == 7, F.concat_ws(" - ", _fmt2(F.col("min_value")),
-                                             _fmt2(F.col("max_value"))))
-        .when(F.col("intent_id") == 8, F.col("mode_level"))
-        .otherwise(F.concat_ws(" / ", _fmt2(F.col("min_value")), _fmt2(F.col("max_value")),
-                               _fmt2(F.col("mean_value")))))
-    back = routed.where((F.col("status") == "pattern") & (F.col("kind") == "recent_months"))
-    back = answer_lookback_questions(back, readings).withColumn(
-        "answer", F.col("days").cast("string"))
-    months = routed.where((F.col("status") == "pattern") &
-                          F.col("kind").isin("months_count", "months_list", "month_fault"))
-    months = answer_month_questions(months, readings)
-    rest = routed.where(F.col("status") != "matched")
-    rest = rest.where(F.col("status") != "pattern").withColumn("answer",
-                                                               F.lit(None).cast("string"))
-    cols = routed.columns + ["answer"]
-    return (plain.select(*cols).unionByName(dated.select(*cols))
-            .unionByName(back.select(*cols)).unionByName(months.select(*cols))
-            .unionByName(rest.select(*cols)))
+    status, kind = F.col("status"), F.col("kind")
+    is_plain = (status == "matched") & ~F.col("needs_date")
+    is_dated = (status == "matched") & F.col("needs_date")
+    is_back = (status == "pattern") & (kind == "recent_months")
+    is_level = (status == "pattern") & kind.isin("months_count", "months_list")
+    is_month = (status == "pattern") & (kind == "month_fault")
 
+    x = routed.join(answers.select("machine_id", "intent_id", F.col("answer").alias("_a_plain")),
+                    ["machine_id", "intent_id"], "left")
+    daily = daily_table(readings).select(
+        "machine_id", F.col("date").alias(date_col), F.col("min_value").alias("_d_min"),
+        F.col("max_value").alias("_d_max"), F.col("mean_value").alias("_d_mean"),
+        F.col("mode_level").alias("_d_mode"))
+    x = x.join(daily, ["machine_id", date_col], "left")
 
-def answer_month_questions(questions: DataFrame, readings: DataFrame) -> DataFrame:
-    """AG21-AG23 for pattern questions: ``months_count`` / ``months_list`` take
-    (machine_id, level); ``month_fault`` takes (machine_id, month_no). Parameters are
-    made distinct and joined with the month / day rollup, answers joined back."""
+    back = lookback_answers(routed.where(is_back).select("machine_id", "months", "level")
+                            .distinct(), readings)
+    back = back.select(F.col("machine_id").alias("_b_m"), F.col("months").alias("_b_x"),
+                       F.col("level").alias("_b_l"), F.col("days").alias("_b_days"))
+    x = x.join(back, (F.col("machine_id") == F.col("_b_m")) & (F.col("months") == F.col("_b_x"))
+               & F.col("level").eqNullSafe(F.col("_b_l")), "left")
+
+    per_level, per_month = month_answer_tables(
+        routed.where(is_level).select("machine_id", "level").distinct(),
+        routed.where(is_month).select("machine_id", "month_no").distinct(), readings)
+    x = (x.join(per_level, ["machine_id", "level"], "left")
+         .join(per_month, ["machine_id", "month_no"], "left"))
+
+    dated = (F.when(F.col("intent_id") == 7,
+                    F.concat_ws(" - ", _fmt2(F.col("_d_min")), _fmt2(F.col("_d_max"))))
+             .when(F.col("intent_id") == 8, F.col("_d_mode"))
+             .otherwise(F.concat_ws(" / ", _fmt2(F.col("_d_min")), _fmt2(F.col("_d_max")),
+                                    _fmt2(F.col("_d_mean")))))
+    answer = (F.when(is_plain, F.col("_a_plain"))
+              .when(is_dated & F.col("_d_min").isNotNull(), dated)
+              .when(is_back, F.coalesce(F.col("_b_days"), F.lit(0)).cast("string"))
+              .when(is_level & (kind == "months_count"),
+                    F.coalesce(F.col("n_months"), F.lit(0)).cast("string"))
+              .when(is_level, F.col("months_text"))
+              .when(is_month, F.col("dates_text")))
+    return x.select(*routed.columns, answer.alias("answer"))
+
+
+def month_answer_tables(level_params: DataFrame, month_params: DataFrame,
+                        readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AG21-AG23 for parameter sets: per (machine_id, level) the number and list of months
+    showing the level; per (machine_id, month_no) the red dates in that month of any
+    year. Parameters are distinct and small; they are joined with the month / day rollup."""
     monthly = (rollup(readings, "month").select("machine_id", "level", "period").distinct())
-    lv_params = questions.where(F.col("kind") != "month_fault").select(
-        "machine_id", "level").distinct()
-    per_level = (monthly.join(lv_params, ["machine_id", "level"])
+    per_level = (monthly.join(level_params, ["machine_id", "level"])
                  .groupBy("machine_id", "level")
                  .agg(F.count(F.lit(1)).alias("n_months"),
                       join_sorted(F.date_format("period", "yyyy-MM")).alias("months_text")))
     daily = rollup(readings).where(F.col("level") == "RED").select(
         "machine_id", F.month("period").alias("month_no"), "period")
-    mo_params = questions.where(F.col("kind") == "month_fault").select(
-        "machine_id", "month_no").distinct()
-    per_month = (daily.join(mo_params, ["machine_id", "month_no"])
+    per_month = (daily.join(month_params, ["machine_id", "month_no"])
                  .groupBy("machine_id", "month_no")
                  .agg(join_sorted(F.col("period")).alias("dates_text")))
+    return per_level, per_month
+
+
+def answer_month_questions(questions: DataFrame, readings: DataFrame) -> DataFrame:
+    """AG21-AG23 for pattern questions: ``months_count`` / ``months_list`` take
+    (machine_id, level); ``month_fault`` takes (machine_id, month_no)."""
+    per_level, per_month = month_answer_tables(
+        questions.where(F.col("kind") != "month_fault").select("machine_id", "level").distinct(),
+        questions.where(F.col("kind") == "month_fault").select("machine_id", "month_no")
+        .distinct(), readings)
     q = (questions.join(per_level, ["machine_id", "level"], "left")
          .join(per_month, ["machine_id", "month_no"], "left"))
     return q.withColumn("answer", F.when(F.col("kind") == "months_count",

@@ -40,3 +40,16 @@ def test_route_and_answer_small_table(spark):
     assert got[3] == ("pattern", "1")          # cutoff 2023-02-01 10:00; red on 02-15
     assert got[4] == ("matched", str(dt.date(2023, 2, 15)))
     assert got[5][0] == "not_found"
+
+
+def test_dated_question_without_readings_that_day(spark):
+    readings = make_readings(spark, [(1, "2023-02-15 10:00:00", 1.0, None)]).withColumn(
+        "machine_id", F.lit("RTF"))
+    qs = spark.createDataFrame([(1, "20/02/2023 tarihinde RTF makinesinin değer aralığı neydi?"),
+                                (2, "15.02.2023 tarihinde RTF makinesinin renk seviyesi neydi?")],
+                               "qid long, text string")
+    routed = rt.route_questions(qs, ["qid"], "text").withColumn("machine_id", F.lit("RTF"))
+    got = {x.qid: (x.status, x.intent_id, x.answer)
+           for x in ans.answer_questions(routed, readings).collect()}
+    assert got[1] == ("matched", 7, None)
+    assert got[2] == ("matched", 8, "GREEN")

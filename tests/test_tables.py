@@ -133,3 +133,22 @@ def test_chat_batch_changes(spark):
     s2, t2 = ch.delete_sessions(sessions, turns, spark.createDataFrame([(3,)], "conv_id long"))
     assert ch.new_session_id(s2).first().conv_id == 3
     assert sorted(r.conv_id for r in ch.clear_sessions(turns, s2).collect()) == [3]
+
+
+@needs_ref
+def test_question_mode_matches_brute_force(spark):
+    import csv
+    with open(QA, encoding="utf-8", newline="") as fh:
+        recs = list(csv.reader(fh))[1:]
+    want, leaders = {}, {}
+    for i, rec in enumerate(recs):
+        grp, ans_ = int(rec[0]), (rec[2] or None)
+        if grp not in leaders:
+            leaders[grp] = ans_
+            want[i] = None
+        else:
+            want[i] = "evet" if (ans_ is not None and ans_ == leaders[grp]) else "hayır"
+    q = read_question_csv(spark, QA)
+    got = {r.row_no: r.verdict for r in cons.answer_consistency(
+        q, "answer", "row_no", by="question", group_col="group_no").collect()}
+    assert got == want

@@ -38,8 +38,8 @@ def add_columns(df: DataFrame, compute, fields: list[T.StructField], keep_text:
                 setup=None) -> DataFrame:
     """``df`` with new columns computed from whole texts, one Arrow slice at a time.
 
-    ``compute(slice, state)`` returns an array or list for every name in ``fields``;
-    ``state`` is what ``setup()`` made once per task. Columns of ``df`` that clash with the
+    ``compute(slice, state)`` returns an array or list for every name in ``fields``
+    (``slice.part`` has the other columns); ``state`` is what ``setup()`` made once per task. Columns of ``df`` that clash with the
     new names are replaced. ``keep_text=False`` leaves the text out of the result, so that
     it does not travel back from the Python worker.
     """
@@ -54,7 +54,8 @@ def add_columns(df: DataFrame, compute, fields: list[T.StructField], keep_text:
         state = setup() if setup else None
         for batch in batches:
             for s in slices(batch["text"]):
-                part, got = batch.slice(s.first, s.rows), compute(s, state)
+                part = s.part = batch.slice(s.first, s.rows)
+                got = compute(s, state)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(got[c], kinds[c]) if c in kinds else part[c] for c in names],
                     names=names)

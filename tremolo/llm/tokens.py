@@ -89,6 +89,7 @@ class Slice:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
         self.data, self.offsets, self.first = data, offsets, first
         self.rows = len(offsets) - 1
+        self.part: pa.RecordBatch | None = None  # these rows with all their columns
 
     def text(self, row: int) -> bytes:
         return self.data[self.offsets[row]:self.offsets[row + 1]].tobytes()
@@ -171,5 +172,39 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
-def binary(chunks: list[bytes]) -> pa.Array:
-    return pa.array(chunks, type=pa.binary())
+def runs(mark: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of every run of marked places; ``breaks[i]`` starts a new one."""
+    begin = mark.copy()
+    begin[1:] &= ~mark[:-1] | breaks[1:]
+    first = np.flatnonzero(begin)
+    total = np.concatenate(([0], np.cumsum(mark)))
+    edges = np.concatenate((first, [len(mark)]))
+    return first, total[edges[1:]] - total[first] if len(first) else np.zeros(0, np.int64)
+
+
+def packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each 64-bit value, as an (n, width) array."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def unpacked(raw: np.ndarray, width: int) -> np.ndarray:
+    """Inverse of ``packed`` for the concatenated bytes."""
+    full = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    full[:, :width] = raw.reshape(-1, width)
+    return full.view("<u8").ravel()
+
+
+def binary_array(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column whose rows are consecutive pieces of ``raw``."""
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [
+        None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+
+
+def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the length of each row."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[off[0]:off[-1]] if len(off) else raw[:0], np.diff(off)

@@ -11,7 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import chatformat, decontaminate, langid, licenses, mixing, quality, secrets
+from tremolo.llm import (
+    chatformat,
+    debruijn,
+    decontaminate,
+    langid,
+    licenses,
+    mixing,
+    prefixfree,
+    quality,
+    secrets,
+)
 from tremolo.llm.common import sha256_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +56,12 @@ def op2_secrets(spark, d):
         secrets.spelled(secrets.all_spans()).alias("spans"))
 
 
+@query
+def op3_substrings(spark, d):
+    return debruijn.remove_repeats(_texts(spark, d)).select(
+        "doc_id", "n_words", "n_removed", sha256_of("kept_text").alias("kept_sha256"))
+
+
 @query
 def op4_chats(spark, d):
     return chatformat.format_chats(table(spark, d, "conversations"))
@@ -72,6 +88,12 @@ def op7_quality(spark, d):
     return quality.judge_quality(_texts(spark, d), table(spark, d, "labels"), keep_text=False)
 
 
+@query
+def op9_suffixes(spark, d):
+    return prefixfree.remove_repeated_bytes(_texts(spark, d)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")

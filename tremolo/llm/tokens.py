@@ -31,7 +31,6 @@ LOWER[0x41:0x5B] += 32
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -79,8 +78,13 @@ def window_hashes(values: np.ndarray, width: int, base: int = _BASE) -> np.ndarr
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=_U)
-    at = np.arange(n)
-    return span_hashes(values, at, at + width, base)
+    prefix = np.zeros(len(values) + 1, dtype=_U)
+    with np.errstate(over="ignore"):
+        np.cumsum((values.astype(_U) + _U(1)) * powers(base, len(values)), out=prefix[1:])
+        raw = prefix[width:] - prefix[:-width]
+        raw *= powers(pow(base, -1, 1 << 64), n)
+        raw += _U((width * 0xD6E8FEB86659FD93) % (1 << 64))
+    return mix64(raw)
 
 
 class Slice:

@@ -15,6 +15,7 @@ from tremolo.llm import (
     chatformat,
     debruijn,
     decontaminate,
+    forest,
     langid,
     licenses,
     mixing,
@@ -88,6 +89,11 @@ def op7_quality(spark, d):
     return quality.judge_quality(_texts(spark, d), table(spark, d, "labels"), keep_text=False)
 
 
+@query
+def op8_jaccard(spark, d):
+    return forest.jaccard_join(_texts(spark, d)).drop("text")
+
+
 @query
 def op9_suffixes(spark, d):
     return prefixfree.remove_repeated_bytes(_texts(spark, d)).select(

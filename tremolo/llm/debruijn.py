@@ -51,12 +51,15 @@ from tremolo.llm.tokens import (
 )
 
 WINDOW = 13
-GRAM = 6
+GRAM = 5
 EDGE_BYTES = 5
 SLICE = 4 << 20
 PLACE = (1 << 40) - 1  # low bits of a place: word number; high bits: check of the text
 
-_PIECE = "bucket long, doc_id long, place long, n int, edges binary"
+#: edges: ``EDGE_BYTES`` for each window of the piece; ``COUNT_BYTES`` alone: the number of
+#: windows of a piece already decided
+COUNT_BYTES = 4
+_PIECE = "bucket long, doc_id long, place long, edges binary"
 _SPAN = "doc_id long, place long, n int"
 
 
@@ -104,12 +107,13 @@ def _pieces(window: int, gram: int):
 
 
 def _piece_batch(bucket, doc, place, n, edges) -> pa.RecordBatch:
-    raw = packed(edges, EDGE_BYTES).ravel() if edges is not None else np.zeros(0, np.uint8)
-    lengths = n * EDGE_BYTES if edges is not None else np.zeros(len(n), np.int64)
+    if edges is None:
+        raw, lengths = packed(n.astype(np.uint64), COUNT_BYTES), np.full(len(n), COUNT_BYTES)
+    else:
+        raw, lengths = packed(edges, EDGE_BYTES), n * EDGE_BYTES
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket.astype(np.int64)), pa.array(doc), pa.array(place),
-         pa.array(n.astype(np.int32)), binary_array(raw, lengths)],
-        names=["bucket", "doc_id", "place", "n", "edges"])
+         binary_array(raw.ravel(), lengths)], names=["bucket", "doc_id", "place", "edges"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +127,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = batch["bucket"].to_numpy(zero_copy_only=False)
         doc = batch["doc_id"].to_numpy(zero_copy_only=False)
         place = batch["place"].to_numpy(zero_copy_only=False)
-        n = batch["n"].to_numpy(zero_copy_only=False).astype(np.int64)
-        decided = lengths == 0
-        yield _span_batch(doc[decided], place[decided], n[decided])
-        count = np.where(decided, 0, n)
-        piece = np.repeat(np.arange(len(n)), count)
+        decided = lengths == COUNT_BYTES
+        of = np.repeat(decided, lengths)
+        yield _span_batch(doc[decided], place[decided],
+                          unpacked(raw[of], COUNT_BYTES).astype(np.int64))
+        raw = raw[~of]
+        count = np.where(decided, 0, lengths // EDGE_BYTES)
+        piece = np.repeat(np.arange(len(count)), count)
         offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
         with np.errstate(over="ignore"):
             keys = mix64(bucket[piece].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -54,7 +54,7 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.995
-BLOCK = 1024
+BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 8192  # shingles multiplied at a time
 
@@ -230,7 +230,7 @@ def similar_texts(units: DataFrame, docs: DataFrame, threshold: float = THRESHOL
     pairs = blocks.withColumn("other", F.explode(F.sequence(
         F.lit(0), F.col("parts") - 1))).select(
         "root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-        "block", "unit", "shingles")
+        "block", "unit", "shingles").repartition("root", "one", "two")  # not by cluster alone
     found = cut(pairs.groupBy("root", "one", "two").applyInArrow(
         _linked(threshold), "unit long, links long, hub long"))
     joined = components(found.select(F.col("unit").alias("u"), F.col("hub").alias("v")))

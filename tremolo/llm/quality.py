@@ -34,8 +34,7 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 TRUSTED = 20_000
 THRESHOLD = -0.1
-SMOOTHING = 0.01
-PRIOR = 0.05
+PRIOR = 20.0  # pseudo-counts of each bucket: rare n-grams, seen or not, say little
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated 5-word windows
 SYMBOLS = b"#*$%&|<>"
@@ -80,15 +79,11 @@ def likelihood_ratios(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED)
         "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counts = marked.mapInArrow(_histograms, "bucket long, raw long, trusted long").groupBy(
         "bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    raw, good = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # at most BUCKETS rows
-        raw[r.bucket] += r.raw
-        good[r.bucket] += r.trusted
-    if good.sum() <= SMOOTHING * BUCKETS:
-        return np.zeros(BUCKETS)
-    # pseudo-counts in proportion to the raw counts: an n-gram with little evidence says little
-    good = good + PRIOR * BUCKETS * raw / raw.sum()
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+        raw[r.bucket], good[r.bucket] = r.raw, r.trusted
+    expected = raw * (good.sum() / max(1.0, raw.sum()))  # were the trusted texts like all
+    return np.log((good + PRIOR) / (expected + PRIOR))
 
 
 def _per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.functions.levels import LEVELS
@@ -261,11 +261,20 @@ def most_variable_month(readings: DataFrame) -> DataFrame:
     return top.select("machine_id", "month", "std_value")
 
 
+#: no reading is older: a longer look-back means all data, and must not overflow a timestamp
+MAX_LOOKBACK_MONTHS = 12 * 1500
+
+
+def lookback_interval(months: Column) -> Column:
+    """A look-back of so many months; beyond the calendar it reaches back over all data."""
+    return F.make_ym_interval(F.lit(0), F.least(months, F.lit(MAX_LOOKBACK_MONTHS)).cast("int"))
+
+
 def recent_months_days(readings: DataFrame, months: int, level: str | None = None) -> DataFrame:
     """AG19 / AG20: distinct days (at ``level`` if given) with ``ts >= max(ts) - months``
     calendar months (clamped at month end)."""
     roll = _with_cutoff(_roll(readings),
-                        lambda mx: mx - F.make_ym_interval(F.lit(0), F.lit(int(months))))
+                        lambda mx: mx - lookback_interval(F.lit(months)))
     machines = roll.select("machine_id").distinct()
     r = roll.where(F.col("last_ts") >= F.col("cutoff"))
     if level is not None:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 # The reference's mock reply and its message icons.
 MOCK_REPLY = "🧠 (Mock Cevap): '{}' sorusu alındı."
 USER_ICON, ASSISTANT_ICON = "🧑", "🤖"
-MAX_LISTED = 30
 
 CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string, turn: bigint>>>"
 CHUNK_TURNS = 10_000
+PAIR_BLOCK = 1024
 CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 
 
@@ -88,26 +88,31 @@ def read_session(turns: DataFrame, conv_id) -> DataFrame:
     return turns.where(F.col("conv_id") == F.lit(conv_id)).orderBy("turn")
 
 
-def list_sessions(sessions: DataFrame, limit: int = MAX_LISTED) -> DataFrame:
-    """The first ``limit`` sessions in id order (the sidebar has 30 buttons)."""
-    return sessions.select("conv_id").orderBy("conv_id").limit(limit)
+def list_sessions(sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The sessions in id order; all of them unless a ``limit`` is asked for."""
+    ids = sessions.select("conv_id").orderBy("conv_id")
+    return ids if limit is None else ids.limit(limit)
 
 
 def pairs(turns: DataFrame, text: str = "text") -> DataFrame:
     """(user message, following assistant reply) pairs per session.
 
-    The reply is the next turn when it is the assistant's; a user turn without one gets
-    a NULL reply (turns are numbered 0, 1, 2, ... within a session). Written as a join
-    on the unique key (session, turn + 1), so a very
-    long session is never gathered in one task."""
-    user = turns.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col(text).alias("message"))
-    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"),
-                       F.col("role").alias("_next_role"), F.col(text).alias("_next_text"))
-    return (user.join(nxt, ["conv_id", "turn"], "left")
-            .select("conv_id", "turn", "message",
-                    F.when(F.col("_next_role") == "assistant", F.col("_next_text"))
-                    .alias("reply")))
+    The reply is the session's next existing turn (numbers may have gaps) when it is the
+    assistant's; a user turn without one gets a NULL reply. The next turn is looked up inside
+    blocks of ``PAIR_BLOCK`` turn numbers, and a block's last turn takes the first one of
+    the next non-empty block, so a very long session is never gathered in one task."""
+    rows = turns.select("conv_id", "turn", "role", F.col(text).alias("message"),
+                        F.floor(F.col("turn") / PAIR_BLOCK).alias("_block"))
+    row = F.struct("turn", "role", "message")
+    inside = Window.partitionBy("conv_id", "_block").orderBy("turn")
+    across = Window.partitionBy("conv_id").orderBy("_block")  # one row per block
+    nxt = rows.groupBy("conv_id", "_block").agg(F.min(row).alias("_first")).select(
+        "conv_id", "_block", F.lead("_first").over(across).alias("_later"))
+    linked = rows.withColumn("_next", F.lead(row).over(inside)).where(
+        F.col("role") == "user").join(nxt, ["conv_id", "_block"]).withColumn(
+        "_next", F.coalesce("_next", "_later"))
+    return linked.select("conv_id", "turn", "message", F.when(
+        F.col("_next.role") == "assistant", F.col("_next.message")).alias("reply"))
 
 
 def undo_last_pair(turns: DataFrame, text: str = "text") -> DataFrame:
@@ -142,9 +147,10 @@ def append_messages(turns: DataFrame, requests: DataFrame, reply_fmt: str = MOCK
 
 
 def new_session_id(sessions: DataFrame) -> DataFrame:
-    """The next session id, max + 1 (the reference's count + 1 collides after a
-    deletion)."""
-    return sessions.agg((F.coalesce(F.max("conv_id"), F.lit(0)) + 1).alias("conv_id"))
+    """The next session number, max + 1 (the reference's count + 1 collides after a
+    deletion). Of text ids such as "Sohbet 7" the number at the end counts."""
+    number = F.regexp_extract(F.col("conv_id").cast("string"), r"(\d+)\s*$", 1).try_cast("bigint")
+    return sessions.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("conv_id"))
 
 
 def clear_sessions(turns: DataFrame, targets: DataFrame) -> DataFrame:
@@ -159,11 +165,17 @@ def delete_sessions(sessions: DataFrame, turns: DataFrame, targets: DataFrame):
 
 
 def rename_sessions(turns: DataFrame, renames: DataFrame) -> DataFrame:
-    """Apply ``(old_id, new_id)`` renames at once. A target that already exists
-    (and is not itself renamed away) is overwritten: its turns are dropped."""
-    r = renames.where(F.col("new_id").isNotNull())
+    """Apply ``(old_id, new_id)`` renames at once. A rename of a session that does not
+    exist does nothing. A target that already exists (and is not itself renamed away) is
+    overwritten: its turns are dropped; of several renames onto one target the one with the
+    largest old id wins."""
+    existing = turns.select(F.col("conv_id").alias("old_id")).distinct()
+    valid = renames.where(F.col("new_id").isNotNull()).join(existing, "old_id", "left_semi")
+    r = valid.groupBy("new_id").agg(F.max("old_id").alias("old_id"))
+    lost = valid.join(r, ["old_id", "new_id"], "left_anti")
     overwritten = (r.select(F.col("new_id").alias("conv_id"))
-                   .join(r.select(F.col("old_id").alias("conv_id")), "conv_id", "left_anti"))
+                   .join(r.select(F.col("old_id").alias("conv_id")), "conv_id", "left_anti")
+                   .unionByName(lost.select(F.col("old_id").alias("conv_id"))).distinct())
     kept = turns.join(overwritten, "conv_id", "left_anti")
     moved = kept.join(r, kept["conv_id"] == r["old_id"], "left")
     return moved.select(F.coalesce(F.col("new_id"), F.col("conv_id")).alias("conv_id"),

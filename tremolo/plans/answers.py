@@ -52,7 +52,7 @@ def lookback_answers(params: DataFrame, readings: DataFrame) -> DataFrame:
     p = params.select("machine_id", "months", F.col("level").alias("_want"))
     j = roll.join(mx, "machine_id").join(p, "machine_id")
     ok = ((F.col("_want").isNull() | (F.col("level") == F.col("_want"))) &
-          (F.col("last_ts") >= F.col("_mx") - F.make_ym_interval(F.lit(0), F.col("months"))))
+          (F.col("last_ts") >= F.col("_mx") - cat.lookback_interval(F.col("months"))))
     return (j.groupBy("machine_id", "months", F.col("_want").alias("level"))
             .agg(F.countDistinct(F.when(ok, F.col("period"))).alias("days")))
 

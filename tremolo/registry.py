@@ -418,7 +418,7 @@ def q_chat_undo(spark, d):
     return ch.undo_last_pair(_turns(spark, d))
 
 
-@register("chat_list", """SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 30""")
+@register("chat_list", """SELECT DISTINCT conv_id FROM conversations""")
 def q_chat_list(spark, d):
     return ch.list_sessions(ch.sessions_of(_turns(spark, d)))
 

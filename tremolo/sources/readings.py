@@ -63,8 +63,10 @@ def load_readings_csv(spark: SparkSession, path: str, mode: str = "strict",
 
 
 def finish_readings(df: DataFrame) -> DataFrame:
-    """Add normalised ``level`` (from ``level_raw``) and ``date``; fix column order."""
-    return (df.withColumn("level", normalize_level("level_raw"))
+    """Add normalised ``level`` (from ``level_raw``) and ``date``; fix column order. A NaN value
+    is a missing one."""
+    return (df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+              .withColumn("level", normalize_level("level_raw"))
               .withColumn("date", F.to_date("ts"))
               .select(*READING_COLUMNS))
 
@@ -115,6 +117,6 @@ def clean_readings(df: DataFrame, *, ts: str, value: str, machine: str, reading_
     t = _to_utc_ntz(F.col(ts).cast("string"), strict=False)
     v = F.col(value).cast("string").try_cast("double")
     d = (df.withColumn("_t", t).withColumn("_v", v)
-         .where(F.col("_t").isNotNull() & F.col("_v").isNotNull()))
+         .where(F.col("_t").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")))
     return readings_from_table(d, ts="_t", value="_v", machine=machine, reading_id=reading_id,
                                level=level, thresholds=thresholds)

@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, over the whole tables.
 
 A query applies its operator and derives the digest columns of its contract from the
-operator's own results. ``ORACLE_SQL`` has DuckDB SQL where SQL can express the result.
+operator's own results. ``ORACLE_SQL`` (from ``oracles``) has DuckDB SQL where SQL can express the result.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from tremolo.llm import (
     secrets,
 )
 from tremolo.llm.common import sha256_of, table
+from tremolo.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(fn):

@@ -90,22 +90,25 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
     Output: ids..., kind, level, months, month_no (pattern intents), intent_id, score
     (best catalogue entry), needs_date, date, status, suggestions (array of catalogue
     texts, rank order). With ``gate`` the reference's second entry point is followed:
-    off-topic questions stop, the others are matched after term rewriting."""
+    off-topic questions stop, the others are matched after term rewriting. The gate reads the
+    question as asked: the bare word passes, its inflected form alone does not."""
     q = questions.select(*id_cols, F.col(text).alias("_text"),
                          *( [F.col(date_col).alias("_given_date")] if date_col else []))
     match_text = normalize_terms(F.col("_text")) if gate else F.col("_text")
-    q = q.withColumn("_match", match_text)
     # Scoring and parsing depend on the text only, so they run once per distinct text
-    # (question tables repeat phrasings); everything after the distinct is partitioned
-    # by the text, and the questions join back on it.
-    texts = q.select("_match").distinct()
-    top = top_intents(texts, ["_match"], "_match", k)
-    summary = top.groupBy("_match").agg(
+    # (question tables repeat phrasings). A text is known by a 128-bit hash: n-gram rows,
+    # rankings and the join back to the questions carry that key and never the text.
+    q = q.select(*[c for c in q.columns if c != "_text"], match_text.alias("_match"),
+                 (in_domain(F.col("_text")) if gate else F.lit(True)).alias("_on_topic")
+                 ).withColumn("_key", F.md5(F.encode("_match", "UTF-8")))
+    texts = q.select("_key", "_match").groupBy("_key").agg(F.first("_match").alias("_match"))
+    top = top_intents(texts, ["_key"], "_match", k)
+    summary = top.groupBy("_key").agg(
         F.min(F.struct("rank", "intent_id", "score")).alias("_best"),
         F.array_sort(F.collect_list(F.struct("rank", "intent_id", "score"))).alias("_top"))
-    per_text = add_question_fields(texts, "_match", prefix="_q_",
-                                   compat_dayfirst=compat_dayfirst).join(summary, "_match", "left")
-    r = q.join(per_text, "_match", "left")
+    per_text = add_question_fields(texts, "_match", prefix="_q_", compat_dayfirst=compat_dayfirst
+                                   ).drop("_match").join(summary, "_key", "left")
+    r = q.drop("_match").join(per_text, "_key", "left")
     found_date = F.col("_q_date")
     date = F.coalesce(F.col("_given_date"), found_date) if date_col else found_date
     best_score = F.col("_best.score")
@@ -121,7 +124,7 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
               .when(F.size(F.col("_sugg")) > 0, F.lit("suggest"))
               .otherwise(F.lit("not_found")))
     if gate:
-        status = F.when(~in_domain(F.col("_match")), F.lit("off_topic")).otherwise(status)
+        status = F.when(F.col("_on_topic"), status).otherwise(F.lit("off_topic"))
     out = r.withColumn("_date", date).withColumn("_sugg", sugg).withColumn("status", status)
     return out.select(
         *id_cols,

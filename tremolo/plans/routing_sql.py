@@ -69,18 +69,31 @@ def intents_sql(f: str) -> dict[str, str]:
             "month_no": f"CASE WHEN {kind} = 'month_fault' THEN {month_no} END"}
 
 
+def rewrite_sql(col: str) -> str:
+    """The inflected form, then the bare word."""
+    return (f"regexp_replace(regexp_replace({col}, '(?i)\\bmakinenin\\b', 'RTF makinesinin', 'g'), "
+            f"'(?i)\\bmakine\\b', 'RTF makinesi', 'g')")
+
+
+def gate_sql(col: str) -> str:
+    """X9."""
+    return f"regexp_matches({fold_sql(col)}, '\\b(makine|titreşim|alarm|rtf)\\b')"
+
+
 def catalogue_values() -> str:
     rows = ", ".join(f"({i}, {_q(q)})" for i, q in enumerate(CATALOGUE_QUESTIONS))
     return f"(VALUES {rows}) AS t(intent_id, question)"
 
 
 def route_sql(source: str, ids: list[str], threshold: float = 0.65, suggest_at: float = 0.4,
-              k: int = 3) -> str:
-    """``source`` is a SELECT giving ``ids`` and ``_text``."""
+              k: int = 3, gate: bool = False) -> str:
+    """``source`` is a SELECT giving ``ids`` and ``_text``; ``gate``: the gated entry point."""
     idl = ", ".join(ids)
     using = ", ".join(ids)
     it = intents_sql("f")
-    return f"""WITH q AS (SELECT *, {fold_sql('_text')} AS f FROM ({source})),
+    off = f"NOT {gate_sql('_text')}" if gate else "false"
+    return f"""WITH q AS (SELECT *, {off} AS off, {fold_sql(
+        rewrite_sql('_text') if gate else '_text')} AS f FROM ({source})),
 cat AS (SELECT CAST(intent_id AS INTEGER) AS intent_id, question FROM {catalogue_values()}),
 catf AS (SELECT intent_id, {fold_sql('question')} AS f FROM cat),
 qg AS (SELECT {idl}, substring(f, i, 3) AS gram, count(*) AS cnt
@@ -109,10 +122,10 @@ r AS (SELECT p.*, best.intent_id, best.score, sg.sugg,
                AS needs_date
       FROM p LEFT JOIN best USING ({using}) LEFT JOIN sg USING ({using}))
 SELECT {idl}, kind, level, months, month_no, intent_id, round(score, 6) AS score, needs_date, date,
-       CASE WHEN kind IS NOT NULL THEN 'pattern'
+       CASE WHEN off THEN 'off_topic' WHEN kind IS NOT NULL THEN 'pattern'
             WHEN score >= {threshold} THEN CASE WHEN needs_date AND date IS NULL
                                                 THEN 'needs_date' ELSE 'matched' END
             WHEN sugg IS NOT NULL THEN 'suggest' ELSE 'not_found' END AS status,
-       CASE WHEN kind IS NULL AND NOT coalesce(score >= {threshold}, false)
+       CASE WHEN NOT off AND kind IS NULL AND NOT coalesce(score >= {threshold}, false)
             THEN sugg END AS suggestions
 FROM r"""

@@ -533,6 +533,45 @@ def q_route_questions(spark, d):
         "suggestions", F.array_join("suggestions", " | "))
 
 
+from tremolo.plans.question_table import order_questions, order_questions_sql  # noqa: E402
+from tremolo.plans.routing_sql import gate_sql, rewrite_sql  # noqa: E402
+
+_ORDER_TEXTS = f"SELECT o_orderkey, question AS _text FROM ({order_questions_sql()})"
+
+
+def _order_questions(spark, d):
+    return order_questions(spark.read.parquet(f"{d}/orders.parquet"))
+
+
+def _routed_shown(r):
+    return r.withColumn("score", F.round("score", 6)).withColumn(
+        "suggestions", F.array_join("suggestions", " | "))
+
+
+@register("route_order_questions", route_sql(_ORDER_TEXTS, ["o_orderkey"]))
+def q_route_order_questions(spark, d):
+    """B3 / B4 over one question per order: every status, pattern kind and date form."""
+    return _routed_shown(rt.route_questions(_order_questions(spark, d), ["o_orderkey"], "question"))
+
+
+@register("route_order_questions_gated", route_sql(_ORDER_TEXTS, ["o_orderkey"], threshold=0.40,
+                                                   gate=True))
+def q_route_order_questions_gated(spark, d):
+    """B5 over one question per order: the gate, the term rewrite and the threshold 0.40."""
+    return _routed_shown(rt.route_questions(_order_questions(spark, d), ["o_orderkey"], "question",
+                                            threshold=0.40, gate=True))
+
+
+@register("order_question_terms", f"""SELECT o_orderkey, {rewrite_sql('question')} AS text,
+  {gate_sql('question')} AS in_domain FROM ({order_questions_sql()})""")
+def q_order_question_terms(spark, d):
+    """X8 / X9 over one question per order."""
+    from tremolo.functions import text as tx
+    return _order_questions(spark, d).select(
+        "o_orderkey", tx.normalize_terms(F.col("question")).alias("text"),
+        tx.in_domain(F.col("question")).alias("in_domain"))
+
+
 # ------------------------------------------------------------------ answering
 
 from tremolo.functions import text as tx  # noqa: E402

@@ -67,3 +67,51 @@ def test_pairs_with_gaps_between_turns(spark):
 def test_every_session_is_listed(spark):
     ids = spark.range(100).select(F.col("id").alias("conv_id"))
     assert ch.list_sessions(ids).count() == 100 and ch.list_sessions(ids, 3).count() == 3
+
+
+def test_zero_counts_are_rows(spark):
+    r = make_readings(spark, [(1, "2023-01-08 00:00:00", 1.0, "GREEN")]).unionByName(
+        make_readings(spark, [(2, "2024-03-08 00:00:00", 20.0, "RED")], machine="M2"))
+    for src in (r, cat.prepare(r)):
+        assert rows_of(cat.level_count_between(src, "2024-01-01", "2024-12-31")) == [
+            ("M1", 0), ("M2", 1)]
+        assert rows_of(cat.level_duration(src, "GREEN").select("machine_id", "minutes")) == [
+            ("M1", 1), ("M2", 0)]
+        assert rows_of(cat.months_with_level_count(src, "RED")) == [("M1", 0), ("M2", 1)]
+
+
+def test_catalogue_year_is_that_of_the_data(spark):
+    from tremolo.plans.answers import catalogue_answers
+    r = make_readings(spark, [(1, "1997-01-08 00:00:00", 12.0, None),
+                              (2, "1998-03-08 00:00:00", 12.5, None)])
+    got = {x.intent_id: x.answer for x in catalogue_answers(r).collect()}
+    assert got[4] == "0" and got[10] == "1998-03-08" and got[11] == "12.50 / 12.50 / 12.50"
+
+
+def test_top_k_in_chunks_equals_a_full_sort(spark, monkeypatch):
+    import numpy as np
+
+    from tremolo.operators import vectors as vec
+    rng = np.random.default_rng(3)
+    q, c = rng.integers(-2, 3, (37, 4)).astype(float), rng.integers(-2, 3, (211, 4)).astype(float)
+    ids = np.arange(211)
+    want = [(i, int(j), float(q[i] @ c[j])) for i in range(37)
+            for j in sorted(ids, key=lambda j: (-(q[i] @ c[j]), j))[:5]]
+    monkeypatch.setattr(vec, "SCORE_CELLS", 256 * 10)
+    got = vec._topk_rows(np.arange(37), q, ids, c, 5, False)
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(want)
+
+
+def test_trees_are_sampled_by_one_rule_at_every_size(spark):
+    from tremolo.operators.anomaly import sample_trees
+    for n in (10, 400, 60_000):
+        v = spark.range(n).select(F.col("id").alias("reading_id"),
+                                  F.col("id").cast("double").alias("value"))
+        sizes = {r.tree: r.n for r in sample_trees(v, n).groupBy("tree").agg(
+            F.count("*").alias("n"), F.count_distinct("value").alias("d")).collect()}
+        assert sizes == {t: min(n, 256) for t in range(100)}
+        # different trees see different rows, and all parts of the table
+        if n == 60_000:
+            seen = sample_trees(v, n).select("value").distinct()
+            assert seen.count() > 18_000
+            assert abs(seen.agg(F.avg("value")).first()[0] - n / 2) < n / 50

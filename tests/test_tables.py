@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 import pytest
@@ -8,7 +9,7 @@ from conftest import SF01
 from tremolo.operators import chats as ch
 from tremolo.operators import consistency as cons
 from tremolo.operators import incidents as inc
-from tremolo.sources.questions import read_question_csv
+from tremolo.sources.questions import read_question_csv, write_question_table
 from tremolo.sources.static import explanations_df, incidents_df
 
 # Sample inputs (question tables with and without recorded answers, one saved chat log)
@@ -102,12 +103,49 @@ def test_chat_json_round_trip(spark, tmp_path):
     ch.write_chat_json(t, out)
     back = ch.read_chat_json(spark, out)
     assert sorted(back.collect()) == sorted(t.select("conv_id", "turn", "role", "content").collect())
-    # chunks of 3 turns: a 4-turn session takes two lines and reads back whole
-    assert ch.nest_sessions(t, chunk_turns=3).count() == 2
-    out2 = str(tmp_path / "chats2")
-    ch.nest_sessions(t, chunk_turns=3).select("json").coalesce(1).write.text(out2)
-    back2 = ch.read_chat_json(spark, out2)
-    assert sorted(back2.collect()) == sorted(t.select("conv_id", "turn", "role", "content").collect())
+    nested = ch.nest_sessions(t)
+    assert nested.count() == 1 and [m.turn for m in nested.first().messages] == [0, 1, 2, 3]
+
+
+def test_chat_json_of_our_own(spark, tmp_path):
+    src = tmp_path / "in.json"
+    src.write_text(json.dumps({
+        "Oda 1": [{"role": "user", "content": "2024-01-02 03:04:05\n🧑 ilk satır\nikinci"},
+                  {"role": "assistant", "content": "2024-01-02 03:04:06\n🤖 yanıt"}],
+        "Oda 2": [], "Oda 3": [{"role": "user", "content": "zamansız"}]}, ensure_ascii=False,
+        indent=1), encoding="utf-8")
+    t = ch.read_chat_json(spark, str(src))
+    got = [(r.conv_id, r.turn, r.role, str(r.said_at), r.icon, r.text)
+           for r in ch.parse_content(t).orderBy("conv_id", "turn").collect()]
+    assert got == [
+        ("Oda 1", 0, "user", "2024-01-02 03:04:05", "🧑", "ilk satır\nikinci"),
+        ("Oda 1", 1, "assistant", "2024-01-02 03:04:06", "🤖", "yanıt"),
+        ("Oda 3", 0, "user", "None", None, "zamansız")]
+    built = ch.parse_content(t).where("said_at IS NOT NULL").select(
+        "content", ch.build_content(F.col("said_at"), F.col("role"), F.col("text")).alias("again"))
+    assert built.count() == 2 and built.where("content <> again").count() == 0
+    out = str(tmp_path / "out")
+    ch.write_chat_json(t, out)
+    lines = [ln for f in glob.glob(out + "/*.txt") for ln in open(f, encoding="utf-8")]
+    assert len(lines) == 3  # a line per turn
+    assert sorted(ch.read_chat_json(spark, out).collect()) == sorted(t.collect())
+
+
+def test_question_table_of_our_own(spark, tmp_path):
+    src = tmp_path / "q.csv"
+    src.write_text('Soru No,Soru,Cevap\n1,"ilk, soru",evet\n1,"iki\nsatırlı ""soru""",evet\n'
+                   '2,son,\n', encoding="utf-8")
+    q = read_question_csv(spark, str(src))
+    rows = [(r.row_no, r.group_no, r.question, r.answer) for r in q.orderBy("row_no").collect()]
+    assert rows == [(0, 1, "ilk, soru", "evet"), (1, 1, 'iki\nsatırlı "soru"', "evet"),
+                    (2, 2, "son", None)]
+    out = str(tmp_path / "table")
+    write_question_table(q, out)
+    back = [f for f in glob.glob(out + "/**/*", recursive=True) if os.path.isfile(f)]
+    assert back
+    verdict = {r.row_no: r.verdict for r in cons.answer_consistency(
+        q, "answer", "row_no", by="question", group_col="group_no").collect()}
+    assert verdict == {0: None, 1: "evet", 2: None}
 
 
 def test_chat_batch_changes(spark):
@@ -119,12 +157,12 @@ def test_chat_batch_changes(spark):
     assert p == {(1, 0): "A", (1, 2): None, (2, 0): "C", (3, 0): None}
     u = sorted((r.conv_id, r.turn) for r in ch.undo_last_pair(turns).collect())
     assert u == [(1, 0)]
-    req = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (9, 0, "z")],
-                                "conv_id long, req_no int, message string")
+    req = spark.createDataFrame([(1, 0, "x", "X"), (1, 1, "y", None), (9, 0, None, "Z")],
+                                "conv_id long, req_no int, message string, reply string")
     app = {(r.conv_id, r.turn): (r.role, r.text) for r in ch.append_messages(turns, req).collect()}
     assert app[(1, 3)] == ("user", "x") and app[(1, 5)] == ("user", "y")
-    assert app[(1, 4)] == ("assistant", "🧠 (Mock Cevap): 'x' sorusu alındı.")
-    assert app[(9, 0)] == ("user", "z")
+    assert app[(1, 4)] == ("assistant", "X") and app[(1, 6)] == ("assistant", None)
+    assert app[(9, 0)] == ("user", None) and app[(9, 1)] == ("assistant", "Z")
     # rename 1 -> 2 overwrites 2; rename 3 -> 1 takes the freed name
     ren = spark.createDataFrame([(1, 2), (3, 1)], "old_id long, new_id long")
     got = sorted((r.conv_id, r.turn, r.text) for r in ch.rename_sessions(turns, ren).collect())

@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -33,7 +33,7 @@ N_TREES = 100
 SAMPLE = 256
 SEED = 42
 CONTAMINATION = 0.01
-POOL_FACTOR = 2.0
+CANDIDATES = 1.5  # expected candidates of a tree, in samples
 SCORE_BUCKETS = 4096
 EULER = 0.5772156649015329
 
@@ -55,26 +55,28 @@ def _unit_hash(*cols) -> F.Column:
 
 
 def sample_trees(values: DataFrame, n_rows: int, n_trees: int = N_TREES,
-                 sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+                 sample: int = SAMPLE, seed: int = SEED,
+                 candidates: float = CANDIDATES) -> DataFrame:
     """(tree, value) with min(sample, n_rows) rows per tree.
 
-    Tree t takes the ``sample`` rows with the smallest hash of (reading_id, t, seed).
-    Two cheap filters run before any shuffle: a pool of about POOL_FACTOR x trees x
-    sample rows (one hash per reading), then per tree only pool rows whose tree hash is
-    below about 1.5 x sample / pool (about 1.5 x sample candidates per tree; the
-    ``sample`` smallest hashes are always among them unless a tree falls more than six
-    standard deviations short). The window then ranks a few hundred rows per tree."""
-    pool_rows = min(n_rows, int(math.ceil(POOL_FACTOR * n_trees * sample)))
-    frac = 1.0 if n_rows == 0 else min(1.0, pool_rows / n_rows)
-    per_tree = 1.0 if pool_rows <= 0 else min(1.0, 1.5 * sample / pool_rows)
-    pool = values.where(_unit_hash(F.col("reading_id"), F.lit(seed)) < F.lit(frac))
-    cand = pool.select("reading_id", "value",
-                       F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    cand = (cand.withColumn("_h", _unit_hash(F.col("reading_id"), F.col("tree"), F.lit(seed)))
-            .where(F.col("_h") < F.lit(per_tree)))
-    from pyspark.sql import Window
-    w = Window.partitionBy("tree").orderBy("_h", "reading_id")
-    return (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    Every reading is a candidate of every tree with the same chance p, independently and at any
+    table size; of a tree's candidates the ``sample`` with the smallest hash are taken. The
+    first tree that a reading is a candidate of is drawn by one hash (a geometric step over
+    the tree numbers), and only readings that have one are tested for the trees after it:
+    the cost is a hash per reading plus the hits. p makes ``candidates`` x sample candidates
+    per tree on average; a tree may fall short by chance, which :func:`fit_forest` reports."""
+    p = 1.0 if n_rows == 0 else min(1.0, candidates * sample / n_rows)
+    u = _unit_hash(F.col("reading_id"), F.lit(seed))
+    first = F.lit(0) if p >= 1 else F.floor(F.log1p(-u) / F.lit(math.log1p(-p)))
+    hit = values.select("reading_id", "value", first.cast("long").alias("first")).where(
+        F.col("first") < n_trees).withColumn("first", F.col("first").cast("int"))
+    cand = hit.select("reading_id", "value", "first", F.explode(
+        F.sequence("first", F.lit(n_trees - 1))).alias("tree")).where(
+        (F.col("tree") == F.col("first"))
+        | (_unit_hash(F.col("reading_id"), F.col("tree"), F.lit(seed)) < p))
+    rank = Window.partitionBy("tree").orderBy(
+        F.xxhash64("reading_id", "tree", F.lit(seed + 1)), "reading_id")
+    return (cand.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= sample)
             .select("tree", "value"))
 
 
@@ -94,11 +96,12 @@ def _grow(values: np.ndarray, rng: np.random.Generator, max_depth: int):
     return leaves
 
 
-FOREST_SCHEMA = "tree int, lower double, upper double, path double"
+FOREST_SCHEMA = "tree int, lower double, upper double, path double, n_rows int"
 
 
 def fit_forest(samples: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """One grouped-map task per tree -> leaf intervals (tree, lower, upper, path)."""
+    """One grouped-map task per tree -> leaf intervals (tree, lower, upper, path), each with the
+    number of rows that its tree was grown from."""
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +110,8 @@ def fit_forest(samples: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Da
         rng = np.random.default_rng([seed, t])
         leaves = _grow(vals, rng, max_depth)
         return pd.DataFrame({"tree": t, "lower": [x[0] for x in leaves],
-                             "upper": [x[1] for x in leaves], "path": [x[2] for x in leaves]})
+                             "upper": [x[1] for x in leaves], "path": [x[2] for x in leaves],
+                             "n_rows": np.int32(len(vals))})
 
     return samples.groupBy("tree").applyInPandas(grow, FOREST_SCHEMA)
 
@@ -174,8 +178,13 @@ def anomaly_points(readings: DataFrame, start: str | None = None, end: str | Non
     n = r.count()
     spark = readings.sparkSession
     psi = min(sample, n)
-    forest = fit_forest(sample_trees(r.select("reading_id", "value"), n, n_trees, sample, seed),
-                        psi, seed).collect()
+    candidates = CANDIDATES
+    while True:  # once, unless a tree got too few candidates by chance
+        samples = sample_trees(r.select("reading_id", "value"), n, n_trees, sample, seed, candidates)
+        forest = fit_forest(samples, psi, seed).collect()  # at most trees x sample rows
+        if {x.tree for x in forest if x.n_rows == psi} == set(range(n_trees)) or n == 0:
+            break
+        candidates *= 2
     scorer = score_column(forest, psi, spark)
     scored = r.withColumn("score", scorer(F.col("value")))
     threshold = nearest_rank_quantile(scored.select("score"), 1.0 - contamination, n)

@@ -136,19 +136,31 @@ def day_mode_level(readings: DataFrame, day=None) -> DataFrame:
 
 def level_count_between(readings: DataFrame, start, end, level: str = "RED") -> DataFrame:
     """AG8: rows at ``level`` with ``start <= ts <= end`` (instants; an end given as a date
-    means its midnight, so the last day is lost as in the reference)."""
+    means its midnight, so the last day is lost as in the reference). A machine without
+    such rows gives 0."""
     r = _readings(readings).where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"),
                                            F.lit(end).cast("timestamp_ntz")))
-    return r.groupBy("machine_id").agg(F.count_if(F.col("level") == level).alias("n"))
+    counted = r.groupBy("machine_id").agg(F.count_if(F.col("level") == level).alias("n"))
+    return _for_every_machine(readings, counted, "n")
+
+
+def _for_every_machine(readings, counted: DataFrame, *counts: str) -> DataFrame:
+    """``counted`` (one row per machine) with zeros for the machines it lacks."""
+    source = readings.day_roll if isinstance(readings, Prepared) else _readings(readings)
+    machines = source.select("machine_id").distinct()
+    return machines.join(counted, "machine_id", "left").select(
+        "machine_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def level_duration(readings: DataFrame, level: str = "GREEN", since=None) -> DataFrame:
-    """AG9: rows at ``level`` counted as minutes; hours = rows / 60. ``since`` is an
-    optional lower date bound (the reference's question names one, its code has none)."""
-    roll = _roll(readings).where(F.col("level") == level)
+    """AG9: rows at ``level`` counted as minutes (0 when there is none); hours = rows / 60.
+    ``since`` is an optional lower date bound (the reference's question names one, its code
+    has none)."""
+    wanted = F.col("level") == level
     if since is not None:
-        roll = roll.where(F.col("period") >= F.lit(_to_date(since)))
-    return (roll.groupBy("machine_id").agg(F.sum("n").alias("minutes"))
+        wanted = wanted & (F.col("period") >= F.lit(_to_date(since)))
+    return (_roll(readings).groupBy("machine_id")
+            .agg(F.sum(F.when(wanted, F.col("n")).otherwise(0)).alias("minutes"))
             .withColumn("hours", F.col("minutes") / F.lit(60.0)))
 
 
@@ -298,9 +310,9 @@ def months_with_level(readings: DataFrame, level: str) -> DataFrame:
 
 
 def months_with_level_count(readings: DataFrame, level: str) -> DataFrame:
-    """AG22: number of months with at least one reading at ``level``."""
-    return (months_with_level(readings, level).groupBy("machine_id")
-            .agg(F.count(F.lit(1)).alias("months")))
+    """AG22: number of months with at least one reading at ``level``, 0 included."""
+    return (_roll(readings, "month").groupBy("machine_id").agg(
+        F.count_distinct(F.when(F.col("level") == level, F.col("period"))).alias("months")))
 
 
 def top_days(readings: DataFrame, levels=("GREEN", "YELLOW"), k: int = 3) -> DataFrame:

@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The reference's mock reply and its message icons.
-MOCK_REPLY = "🧠 (Mock Cevap): '{}' sorusu alındı."
+# The message icons.
 USER_ICON, ASSISTANT_ICON = "🧑", "🤖"
 
 CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string, turn: bigint>>>"
-CHUNK_TURNS = 10_000
 PAIR_BLOCK = 1024
 CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 
@@ -25,8 +23,8 @@ CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the reference's JSON file (session name -> list of {role, content}) as turns
     ``conv_id, turn, role, content``. Each file is one JSON document, read whole; the
-    files written by :func:`write_chat_json` (one chunk of a session per line, with turn
-    numbers) read the same way."""
+    files written by :func:`write_chat_json` (one turn per line, with its number) read the
+    same way."""
     doc = spark.read.text(path, wholetext=True)
     lines = doc.select(F.explode(F.split(F.col("value"), "\n(?=\\{)")).alias("value"))
     sessions = lines.select(F.explode(F.from_json("value", CHAT_JSON_SCHEMA))
@@ -56,25 +54,27 @@ def build_content(said_at, role, text) -> F.Column:
                     F.lit(" "), text)
 
 
-def nest_sessions(turns: DataFrame, content: str = "content",
-                  chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """SNK2: sessions as JSON object lines ``{"<id>": [{role, content, turn}, ...]}`` in
-    turn order. A line holds at most ``chunk_turns`` messages (one chunk of a session),
-    so no row grows with the length of a session; ``turn`` keeps the numbering."""
+def _as_json(messages: F.Column) -> F.Column:
+    return F.to_json(F.create_map(F.col("conv_id").cast("string"), messages))
+
+
+def nest_sessions(turns: DataFrame, content: str = "content") -> DataFrame:
+    """SNK2, the reference's shape: a session per row as ``{"<id>": [{role, content, turn},
+    ...]}`` in turn order (conv_id, messages, json). A row holds a whole session; use
+    :func:`write_chat_json` where sessions may be longer than a task can hold."""
     msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.col(content).alias("content"))))
-    nested = (turns.groupBy("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk"))
-              .agg(msgs.alias("_m"))
-              .select("conv_id", "chunk", F.transform("_m", lambda x: F.struct(
-                  x["role"].alias("role"), x["content"].alias("content"),
-                  x["turn"].alias("turn"))).alias("messages")))
-    return nested.withColumn("json", F.to_json(F.create_map(F.col("conv_id").cast("string"),
-                                                             F.col("messages"))))
+    nested = turns.groupBy("conv_id").agg(msgs.alias("_m")).select(
+        "conv_id", F.transform("_m", lambda x: F.struct(
+            x["role"].alias("role"), x["content"].alias("content"),
+            x["turn"].alias("turn"))).alias("messages"))
+    return nested.withColumn("json", _as_json(F.col("messages")))
 
 
 def write_chat_json(turns: DataFrame, path: str, content: str = "content") -> None:
-    """SNK2: JSON lines, one session chunk per line (parquet of ``turns`` is the table of
-    record)."""
-    nest_sessions(turns, content).select("json").write.mode("overwrite").text(path)
+    """SNK2: JSON lines ``{"<id>": [{role, content, turn}]}``, one turn per line at any length
+    of a session, without a shuffle (parquet of ``turns`` is the table of record)."""
+    turn = F.struct("role", F.col(content).alias("content"), "turn")
+    turns.select(_as_json(F.array(turn)).alias("json")).write.mode("overwrite").text(path)
 
 
 # ------------------------------------------------------------------ reads
@@ -125,9 +125,9 @@ def undo_last_pair(turns: DataFrame, text: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------ changes as batch jobs
 
-def append_messages(turns: DataFrame, requests: DataFrame, reply_fmt: str = MOCK_REPLY,
-                    text: str = "text") -> DataFrame:
-    """B6 / SE3: append (user message, reply) for every request ``(conv_id, req_no, message)``.
+def append_messages(turns: DataFrame, requests: DataFrame, text: str = "text") -> DataFrame:
+    """B6 / SE3: append (user message, reply) for every request ``(conv_id, req_no, message,
+    reply)``; the replies come with the requests, from an answer table. Nulls stay null.
 
     New turns follow each session's last turn, in request order; a request for an
     unknown session starts it at turn 0. Returns the new turns table."""
@@ -136,12 +136,11 @@ def append_messages(turns: DataFrame, requests: DataFrame, reply_fmt: str = MOCK
     req = (requests.join(last, "conv_id", "left")
            .withColumn("_k", F.row_number().over(w) - 1)
            .withColumn("_base", F.coalesce(F.col("_last"), F.lit(-1)) + 1 + 2 * F.col("_k")))
-    reply = F.format_string(reply_fmt.replace("{}", "%s"), F.col("message"))
     new = req.select("conv_id", F.explode(F.array(
         F.struct(F.col("_base").alias("turn"), F.lit("user").alias("role"),
                  F.col("message").alias(text)),
         F.struct((F.col("_base") + 1).alias("turn"), F.lit("assistant").alias("role"),
-                 reply.alias(text)))).alias("t")).select(
+                 F.col("reply").alias(text)))).alias("t")).select(
         "conv_id", F.col("t.turn").cast("long").alias("turn"), "t.role", F.col(f"t.{text}"))
     return turns.select("conv_id", "turn", "role", text).unionByName(new)
 

@@ -26,6 +26,10 @@ from tremolo.functions.vectors import dot, l2_normalize
 
 MAX_CATALOGUE_ROWS = 10_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+SCORE_CELLS = 1 << 22  # scores held at a time by a task (with their order: 64 MB)
+# The lines around the retrieved rows in the prompt.
+PROMPT_HEADER = "Aşağıda RTF makinesi titreşim verileri var:"
+PROMPT_FOOTER = "Bu verilere dayanarak cevap verin:"
 
 
 def centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -82,6 +86,22 @@ def suggestions(topk: DataFrame, ids: list[str], threshold: float,
 # ------------------------------------------------------------------ exact k-NN over a corpus
 
 def _topk_rows(q_ids, q_mat, c_ids, c_mat, k, exclude_self):
+    """The k best of a corpus block for every query, ``SCORE_CELLS`` scores at a time: queries in
+    chunks, and corpus rows in chunks whose results are merged."""
+    width = max(1, min(len(c_ids), SCORE_CELLS // 256))
+    height = max(1, SCORE_CELLS // width)
+    parts = []
+    for i in range(0, len(q_ids), height):
+        acc = None
+        for j in range(0, max(1, len(c_ids)), width):
+            acc = _merge(acc, _topk_chunk(q_ids[i:i + height], q_mat[i:i + height],
+                                          c_ids[j:j + width], c_mat[j:j + width], k,
+                                          exclude_self), k)
+        parts.append(acc)
+    return tuple(np.concatenate([p[n] for p in parts]) for n in range(3))
+
+
+def _topk_chunk(q_ids, q_mat, c_ids, c_mat, k, exclude_self):
     scores = q_mat @ c_mat.T                       # (nq, nc) for one block only
     if exclude_self:
         scores = np.where(q_ids[:, None] == c_ids[None, :], -np.inf, scores)
@@ -180,8 +200,8 @@ def _knn_blocked(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nq: int
 
 
 def context_text(hits: DataFrame, texts: DataFrame, question: DataFrame | None = None, *,
-                 text_col: str = "text", header: str = "Aşağıda RTF makinesi titreşim verileri var:",
-                 footer: str = "Bu verilere dayanarak cevap verin:") -> DataFrame:
+                 text_col: str = "text", header: str = PROMPT_HEADER,
+                 footer: str = PROMPT_FOOTER) -> DataFrame:
     """Retrieved rows -> their texts (equi-join on corpus id) -> one context
     per query in rank order; with ``question`` (query_id, question) the prompt is
     assembled as header, rows, blank line, question, footer."""

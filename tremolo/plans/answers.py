@@ -79,17 +79,20 @@ def _dates_text(df: DataFrame, col: str = "date") -> DataFrame:
     return df.groupBy("machine_id").agg(join_sorted(F.col(col)).alias("answer"))
 
 
-def catalogue_answers(readings: DataFrame, year: int = 2023, gap_seconds: float = 60,
+def catalogue_answers(readings: DataFrame, year: int | None = None, gap_seconds: float = 60,
                       recent_days: int = 90, recent_levels_days: int = 30) -> DataFrame:
     """(machine_id, intent_id, answer) for every catalogue entry that takes no date.
 
-    Values only (dates, numbers, levels) joined as text; numbers with two places.
+    Values only (dates, numbers, levels) joined as text; numbers with two places. ``year`` is
+    the calendar year of the entries that name one; by default the last year with readings.
     Computed once per readings snapshot. The readings are scanned a few times only:
     once for the daily rollup and once for the per-day change summary (both small,
     checkpointed, and read by every other part), once for red runs, once for the
     instant-bounded count and once for the monthly std. The result has at most
     machines x 30 rows."""
     src = cat.prepare(readings)
+    if year is None:  # of an empty table any year has the same (no) answers
+        year = src.day_roll.agg(F.year(F.max("period"))).first()[0] or 1970
     changes = seq.daily_transitions(readings).checkpoint(eager=True)
     machines = src.day_roll.select("machine_id").distinct()
     parts: list[tuple[int, DataFrame]] = []

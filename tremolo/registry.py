@@ -123,15 +123,15 @@ def q_yearly_mean(spark, d):
 
 
 @register("red_count_period", f"""WITH {EV}
-SELECT machine_id, count(*) FILTER (WHERE level = 'RED') AS n FROM r
-WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-15' GROUP BY 1""")
+SELECT machine_id, count(*) FILTER (WHERE level = 'RED' AND ts BETWEEN TIMESTAMP '2024-01-01'
+       AND TIMESTAMP '2024-01-15') AS n FROM r GROUP BY 1""")
 def q_red_count_period(spark, d):
     return cat.level_count_between(events_readings(spark, d), "2024-01-01", "2024-01-15", "RED")
 
 
 @register("level_duration", f"""WITH {EV}
-SELECT machine_id, count(*) AS minutes, round(count(*) / 60.0, 4) AS hours
-FROM r WHERE level = 'GREEN' GROUP BY 1""")
+SELECT machine_id, count(*) FILTER (WHERE level = 'GREEN') AS minutes,
+       round(count(*) FILTER (WHERE level = 'GREEN') / 60.0, 4) AS hours FROM r GROUP BY 1""")
 def q_level_duration(spark, d):
     return cat.level_duration(events_readings(spark, d), "GREEN").select(
         "machine_id", "minutes", _r4("hours"))
@@ -242,8 +242,8 @@ def q_months_with_level(spark, d):
 
 
 @register("months_with_level_count", f"""WITH {ORD}
-SELECT machine_id, count(DISTINCT strftime(ts, '%Y-%m')) AS months FROM r
-WHERE level = 'RED' GROUP BY 1""")
+SELECT machine_id, count(DISTINCT strftime(ts, '%Y-%m')) FILTER (WHERE level = 'RED') AS months
+FROM r GROUP BY 1""")
 def q_months_with_level_count(spark, d):
     return cat.months_with_level_count(orders_readings(spark, d), "RED")
 
@@ -468,14 +468,15 @@ lu AS (SELECT conv_id, arg_max(text, turn) AS message FROM conversations WHERE r
 nw AS (SELECT lu.conv_id, mx + 1 AS turn, 'user' AS role, message AS text
        FROM lu JOIN lst USING (conv_id)
        UNION ALL
-       SELECT lu.conv_id, mx + 2, 'assistant', '🧠 (Mock Cevap): ''' || message || ''' sorusu alındı.'
+       SELECT lu.conv_id, mx + 2, 'assistant', 'Soru alındı: ' || message
        FROM lu JOIN lst USING (conv_id))
 SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM nw""")
 def q_chat_append(spark, d):
     t = _turns(spark, d)
     req = (t.where(F.col("role") == "user").groupBy("conv_id")
            .agg(F.max_by("text", "turn").alias("message"))
-           .withColumn("req_no", F.lit(0)))
+           .select("conv_id", F.lit(0).alias("req_no"), "message",
+                   F.concat(F.lit("Soru alındı: "), "message").alias("reply")))
     return ch.append_messages(t, req)
 
 

@@ -217,3 +217,15 @@ def test_minima():
     v = np.random.default_rng(1).integers(0, 50, 100).astype(np.uint64)
     for w in (1, 2, 7, 100, 101):
         assert minima(v, w).tolist() == [min(v[i:i + w]) for i in range(len(v) - w + 1)]
+
+
+def test_license_scan_is_linear_in_long_texts(spark, make_docs):
+    import time
+    many = 40_000
+    text = "a mit license b " * many + "\n" + "x spdx-license-identifier: mit and apache-2.0 )" * many
+    begun = time.time()
+    row = licenses.scan_licenses(make_docs([(1, text)])).first()
+    assert time.time() - begun < 60
+    assert row.n_words >= 4 * many and row.base_starts == [4 * i + 1 for i in range(many)]
+    assert row.labels == ["mit", "spdx:apache-2.0", "spdx:mit"] and len(row.expressions) == many
+    assert licenses.parse_expression("mit" + " and mit" * 50_000)[-1] == ("op", "and")

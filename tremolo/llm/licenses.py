@@ -57,8 +57,10 @@ def automaton(words: dict[str, str] | list[str]):
     return found
 
 
-def parse_expression(line: str) -> list[tuple[str, str]] | None:
-    """Postfix form of the longest readable expression at the start of a line, or None.
+def parse_expression(line: str, at: int = 0, stop: int | None = None
+                     ) -> list[tuple[str, str]] | None:
+    """Postfix form of the longest readable expression at the start of a line, or None;
+    ``at`` and ``stop`` bound the line in a longer text.
 
     Items are ("id", name) or ("op", operator). Reading stops at the first place where the
     expression can't go on (comment ends, prose), with all parentheses closed.
@@ -66,12 +68,12 @@ def parse_expression(line: str) -> list[tuple[str, str]] | None:
     out: list[tuple[str, str]] = []
     ops: list[str] = []
     best, operand = None, True  # operand: an identifier or "(" must come next
-    at = 0
-    while at < len(line):
+    stop = len(line) if stop is None else stop
+    while at < stop:
         if line[at] in " \t":
             at += 1
             continue
-        m = _TOKEN.match(line, at)
+        m = _TOKEN.match(line, at, stop)
         if not m:
             break
         token, at = m.group(), m.end()
@@ -92,8 +94,9 @@ def parse_expression(line: str) -> list[tuple[str, str]] | None:
         else:
             break
         if not operand and "(" not in ops:
-            best = out + [("op", o) for o in reversed(ops)]
-    return best
+            # so much of the output (which only grows), and the few operators still open
+            best = len(out), [("op", o) for o in reversed(ops)]
+    return best and out[:best[0]] + best[1]
 
 
 def evaluate(postfix: list[tuple[str, str]], holds) -> bool:
@@ -135,9 +138,12 @@ def _scan(s: Slice, state) -> dict[str, list]:
         if hi > lo:
             # the words joined by single spaces: separators become spaces, runs of them one
             flat = _RUNS.sub(" ", f" {raw.translate(_TO_SPACE).decode()} ")
+            spaces = seen = 0  # spaces up to the end of a match; ends only grow
             for end, padded in notices.iter(flat):
                 phrase = padded[1:-1]
-                start = flat.count(" ", 0, end - len(padded) + 2) - 1
+                spaces += flat.count(" ", seen, end + 1)
+                seen = end + 1
+                start = spaces - padded.count(" ")
                 longest[start] = phrase  # of phrases that start together the longest ends last
                 if phrase in BASE_PHRASES:
                     base.append(start)
@@ -148,8 +154,8 @@ def _scan(s: Slice, state) -> dict[str, list]:
         if b"spdx" in raw:
             text = raw.decode()
             for end, _ in tags.iter(text):
-                line = text[end + 1:].split("\n", 1)[0]
-                postfix = parse_expression(line)
+                stop = text.find("\n", end + 1)
+                postfix = parse_expression(text, end + 1, len(text) if stop < 0 else stop)
                 if postfix is None:
                     labels.add("spdx:invalid")
                     places += 1

@@ -54,3 +54,23 @@ def test_catalogue_topk_matches_numpy(spark):
         order = sorted(range(len(scores)), key=lambda i: (-scores[i], c_rows[i].label))
         assert c_rows[order[r.rank - 1]].label == r.label
         assert abs(scores[order[r.rank - 1]] - r.score) < 1e-9
+
+
+def test_catalogue_topk_cases(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cat = rng.integers(-2, 3, (300, 4)).astype(float)
+    qs = rng.integers(-2, 3, (40, 4)).astype(float)
+    catalogue = spark.createDataFrame([(f"c{i:03}", v.tolist()) for i, v in enumerate(cat)],
+                                      "label string, centroid array<double>")
+    rows = [(i, v.tolist(), "own") for i, v in enumerate(qs)] + [(99, None, "own")]
+    q = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    monkeypatch.setattr(vec, "SCORE_CELLS", 700)
+    got = {(r.vec_id, r.rank): (r.label, r.score) for r in vec.catalogue_topk(q, catalogue).collect()}
+    want = {}
+    for i, v in enumerate(qs):
+        order = sorted(range(300), key=lambda j: (-(cat[j] @ v), j))[:3]
+        want.update({(i, n + 1): (f"c{j:03}", cat[j] @ v) for n, j in enumerate(order)})
+    assert got == want  # ties by id; the null vector has no rows; a clashing column is replaced
+    assert vec.catalogue_topk(q, catalogue.limit(0)).count() == 0
+    assert vec.catalogue_topk(q.limit(0), catalogue).count() == 0
+    assert {r.rank for r in vec.catalogue_topk(q, catalogue.limit(2)).collect()} == {1, 2}

@@ -2,9 +2,8 @@
 
 Two shapes:
   * ``catalogue_topk``: every query row against a small catalogue (intents, label
-    centroids). The catalogue's size is checked, then it is inlined into the plan as
-    a literal array and scored per row with built-in higher-order functions: no
-    join, no Python, linear in the queries.
+    centroids). The catalogue's size is checked, then it is broadcast as a matrix and
+    scored per Arrow batch: no join and no shuffle, linear in the queries.
   * ``knn``: queries against a corpus of any size. Scoring runs in Arrow batches with
     numpy matrix products; each task keeps a running top-k per query, so a task emits
     at most (queries x k) rows and never all pairs. The query side is broadcast when
@@ -19,10 +18,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tremolo.functions.vectors import dot, l2_normalize
+from tremolo.functions.vectors import l2_normalize
 
 MAX_CATALOGUE_ROWS = 10_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -47,24 +49,44 @@ def centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> Da
 def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
                    qvec: str = "embedding", cat_id: str = "label", cat_vec: str = "centroid",
                    max_rows: int = MAX_CATALOGUE_ROWS) -> DataFrame:
-    """Queries plus (rank, <cat_id>, score) for the k best catalogue entries;
-    ties go to the smaller catalogue id."""
-    n = catalogue.count()
-    if n > max_rows:
-        raise ValueError(f"catalogue has {n} rows, over the inline bound {max_rows}; "
-                         "use knn() for large corpora")
-    rows = catalogue.select(cat_id, cat_vec).collect()
-    lit = F.array(*[F.struct(F.lit(r[0]).alias("id"),
-                             F.array(*[F.lit(float(x)) for x in r[1]]).alias("v"))
-                    for r in rows])
-    scored = F.transform(lit, lambda c: F.struct((-dot(qvec, c["v"])).alias("neg"),
-                                                 c["id"].alias("id")))
-    best = F.slice(F.array_sort(scored), 1, k)
-    out = queries.withColumn("_top", best)
-    out = out.select("*", F.posexplode("_top").alias("_pos", "_t")).drop("_top")
-    return (out.withColumn("rank", (F.col("_pos") + 1).cast("int"))
-            .withColumn(cat_id, F.col("_t.id"))
-            .withColumn("score", -F.col("_t.neg")).drop("_pos", "_t"))
+    """Queries plus (rank, <cat_id>, score) for the k best catalogue entries; ties
+    go to the smaller catalogue id, and a query without a vector gets no rows.
+
+    The catalogue is read once and its size checked; it is broadcast as a matrix, and a task
+    scores its queries in chunks of ``SCORE_CELLS`` scores."""
+    rows = catalogue.select(cat_id, cat_vec).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"the catalogue has more than {max_rows} rows; use knn() for a corpus")
+    rows.sort(key=lambda r: r[0])  # of equal scores the first, by a stable sort
+    matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(
+        len(rows), -1 if rows else 0)
+    bc = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix))
+    new = [T.StructField("rank", T.IntegerType()),
+           T.StructField(cat_id, catalogue.schema[cat_id].dataType),
+           T.StructField("score", T.DoubleType())]
+    kept = [f for f in queries.schema.fields if f.name not in {n.name for n in new}]
+    id_type = to_arrow_type(new[1].dataType)
+
+    def score(batches):
+        ids, mat = bc.value
+        best = min(k, len(ids))
+        step = max(1, SCORE_CELLS // max(1, len(ids)))
+        for batch in batches:
+            full = np.flatnonzero(batch[qvec].is_valid().to_numpy(zero_copy_only=False))
+            for i in range(0, len(full) if best else 0, step):
+                at = full[i:i + step]
+                values = batch[qvec].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+                scores = values.astype(np.float64).reshape(len(at), -1) @ mat.T
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :best]
+                part = batch.take(pa.array(np.repeat(at, best)))
+                yield pa.RecordBatch.from_arrays(
+                    [part[f.name] for f in kept] + [
+                        pa.array(np.tile(np.arange(1, best + 1, dtype=np.int32), len(at))),
+                        pa.array([ids[j] for j in order.ravel()], id_type),
+                        pa.array(np.take_along_axis(scores, order, axis=1).ravel())],
+                    names=[f.name for f in kept + new])
+
+    return queries.mapInArrow(score, T.StructType(kept + new))
 
 
 def best_match(topk: DataFrame, ids: list[str], cat_id: str, threshold: float) -> DataFrame:

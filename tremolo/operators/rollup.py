@@ -28,16 +28,22 @@ def period_expr(grain: str, ts: str = "ts", date: str = "date") -> Column:
 
 
 def rollup(readings: DataFrame, grain: str = "day") -> DataFrame:
-    """(machine_id, period, level) -> n, n_value, sum_value, min_value, max_value, first_ts, last_ts."""
+    """(machine_id, period, level) -> n, n_value, sum_value, m2, min_value, max_value, first_ts,
+    last_ts, n_midnight. ``m2`` is the sum of squared deviations from the group's mean, so that
+    deviations of longer periods merge without cancellation; ``n_midnight`` counts the
+    readings at exactly 00:00, so that instant bounds given as dates are answered exactly."""
     return (readings
             .groupBy("machine_id", period_expr(grain).alias("period"), "level")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.count("value").alias("n_value"),
                  F.sum("value").alias("sum_value"),
+                 (F.var_pop("value") * F.count("value")).alias("m2"),
                  F.min("value").alias("min_value"),
                  F.max("value").alias("max_value"),
                  F.min("ts").alias("first_ts"),
-                 F.max("ts").alias("last_ts")))
+                 F.max("ts").alias("last_ts"),
+                 F.count_if(F.col("ts") == F.to_date("ts").cast("timestamp_ntz"))
+                 .alias("n_midnight")))
 
 
 def period_totals(roll: DataFrame) -> DataFrame:

@@ -683,15 +683,23 @@ def q_answer_recent_questions(spark, d):
         "o_orderkey", "machine_id", "kind", "level", "months", "days")
 
 
-@register("answer_questions")
+from tremolo.plans.answers_sql import answers_sql  # noqa: E402
+
+_USER_TEXTS = "SELECT conv_id, turn, text AS _text FROM conversations WHERE role = 'user'"
+_ONE_MACHINE = EV.replace("event_type AS machine_id", "'RTF' AS machine_id")
+
+
+@register("answer_questions", answers_sql(
+    _ONE_MACHINE, route_sql(_USER_TEXTS, ["conv_id", "turn"]), ["conv_id", "turn"],
+    "SELECT conv_id, turn, 'RTF' AS machine_id FROM conversations"))
 def q_answer_questions(spark, d):
     """B1: route the user turns of the conversations and answer them from the whole
-    events table taken as one machine (the reference's setting); rows-only check."""
+    events table taken as one machine (the reference's setting)."""
     q = _turns(spark, d).where(F.col("role") == "user").select("conv_id", "turn", "text")
     routed = rt.route_questions(q, ["conv_id", "turn"], "text").withColumn(
         "machine_id", F.lit("RTF"))
     readings = events_readings(spark, d).withColumn("machine_id", F.lit("RTF"))
-    return ans.answer_questions(routed, readings)
+    return _routed_shown(ans.answer_questions(routed, readings))
 
 
 # ------------------------------------------------------------------ vectors
@@ -929,18 +937,39 @@ def q_route_questions_gated(spark, d):
 from tremolo.plans.intents import CATALOGUE_QUESTIONS  # noqa: E402
 
 
-@register("answer_catalogue_questions")
+_ORDER_MACHINES = "SELECT o_orderkey, o_orderpriority AS machine_id FROM orders"
+
+
+def _answered_orders(spark, d, q):
+    routed = rt.route_questions(q, ["o_orderkey"], "question").join(
+        q.select("o_orderkey", "machine_id"), "o_orderkey")
+    return _routed_shown(ans.answer_questions(routed, orders_readings(spark, d)))
+
+
+def _catalogue_texts_sql():
+    entry = " ".join("WHEN {} THEN '{}'".format(i, t.replace("'", "''"))
+                     for i, t in enumerate(CATALOGUE_QUESTIONS))
+    return (f"SELECT o_orderkey, replace((CASE o_orderkey % {len(CATALOGUE_QUESTIONS)} {entry} END),"
+            f" '…', strftime(o_orderdate, '%d.%m.%Y')) AS _text FROM orders")
+
+
+@register("answer_catalogue_questions", answers_sql(
+    ORD, route_sql(_catalogue_texts_sql(), ["o_orderkey"]), ["o_orderkey"], _ORDER_MACHINES))
 def q_answer_catalogue_questions(spark, d):
     """B1 / J3 / J4 over a question table derived from every order: the phrasing is the
     catalogue entry chosen by the order key (no row is filtered), entries that take a
-    date get the order's date; machine = order priority, readings = orders. Rows-only."""
+    date get the order's date; machine = order priority, readings = orders."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     templates = F.array(*[F.lit(t) for t in CATALOGUE_QUESTIONS])
     text = F.element_at(templates, (F.pmod(F.col("o_orderkey"), F.lit(len(CATALOGUE_QUESTIONS)))
                                     + 1).cast("int"))
     text = F.regexp_replace(text, "…", F.date_format("o_orderdate", "dd.MM.yyyy"))
-    q = o.select("o_orderkey", F.col("o_orderpriority").alias("machine_id"),
-                 text.alias("question"))
-    routed = rt.route_questions(q, ["o_orderkey"], "question").join(
-        q.select("o_orderkey", "machine_id"), "o_orderkey")
-    return ans.answer_questions(routed, orders_readings(spark, d))
+    return _answered_orders(spark, d, o.select(
+        "o_orderkey", F.col("o_orderpriority").alias("machine_id"), text.alias("question")))
+
+
+@register("answer_order_questions", answers_sql(
+    ORD, route_sql(_ORDER_TEXTS, ["o_orderkey"]), ["o_orderkey"], _ORDER_MACHINES))
+def q_answer_order_questions(spark, d):
+    """B1-B4 over one question per order: every status, pattern kind and date form answered."""
+    return _answered_orders(spark, d, _order_questions(spark, d))

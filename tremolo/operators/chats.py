@@ -26,9 +26,15 @@ def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     files written by :func:`write_chat_json` (one turn per line, with its number) read the
     same way."""
     doc = spark.read.text(path, wholetext=True)
-    lines = doc.select(F.explode(F.split(F.col("value"), "\n(?=\\{)")).alias("value"))
-    sessions = lines.select(F.explode(F.from_json("value", CHAT_JSON_SCHEMA))
-                            .alias("conv_id", "messages"))
+    return flatten_sessions(doc.select(
+        F.explode(F.split(F.col("value"), "\n(?=\\{)")).alias("value")), "value")
+
+
+def flatten_sessions(nested: DataFrame, json: str = "json") -> DataFrame:
+    """SRC5: JSON texts ``{"<id>": [{role, content, turn}]}`` as turns; a message without a
+    turn takes its place in the list. The inverse of :func:`nest_sessions`."""
+    sessions = nested.select(F.explode(F.from_json(json, CHAT_JSON_SCHEMA))
+                             .alias("conv_id", "messages"))
     return sessions.select("conv_id", F.posexplode("messages").alias("pos", "m")).select(
         "conv_id", F.coalesce(F.col("m.turn"), F.col("pos").cast("long")).alias("turn"),
         F.col("m.role").alias("role"), F.col("m.content").alias("content"))

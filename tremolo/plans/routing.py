@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.functions.text import add_question_fields, fold, in_domain, normalize_terms
+from tremolo.operators.vectors import context_text
 from tremolo.plans.intents import CATALOGUE_QUESTIONS, NEEDS_DATE, catalogue_df
 
 NGRAM = 3
@@ -74,6 +75,27 @@ def top_intents(questions: DataFrame, id_cols: list[str], text: str | Column, k:
             .select(*id_cols, "rank", "intent_id", "score"))
 
 
+#: questions that the catalogue and the patterns leave open
+OPEN = ("needs_date", "suggest", "not_found")
+
+
+def with_context(routed: DataFrame, questions: DataFrame, id_col: str, text: str, hits: DataFrame,
+                 texts: DataFrame) -> DataFrame:
+    """B3's last stage: ``routed`` with ``context`` (the texts of the question's nearest rows)
+    and ``prompt`` for the questions of status ``OPEN``; NULL for all others.
+
+    ``hits`` (query_id, rank, corpus_id) are the nearest rows of each question's vector (for
+    example ``vectors.knn`` of vectors made by any embedder), ``texts`` (corpus_id, text)
+    their texts. Only hits of open questions meet the texts."""
+    still = routed.where(F.col("status").isin(*OPEN)).select(F.col(id_col).alias("query_id"))
+    asked = questions.select(F.col(id_col).alias("query_id"),
+                             normalize_terms(F.col(text)).alias("question"))
+    prompts = context_text(hits.join(still, "query_id", "left_semi"), texts,
+                           asked.join(still, "query_id", "left_semi"))
+    return routed.join(prompts.select(F.col("query_id").alias(id_col), "context", "prompt"),
+                       id_col, "left")
+
+
 def _question_text_of(intent: Column) -> Column:
     flat = []
     for i, q in enumerate(CATALOGUE_QUESTIONS):

@@ -485,6 +485,37 @@ def q_chat_new(spark, d):
     return ch.new_session_id(ch.sessions_of(_turns(spark, d)))
 
 
+@register("chat_nest", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, count(*) AS n_messages,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY 1""")
+def q_chat_nest(spark, d):
+    """SNK2: a session per row in the nested shape, shown as one text."""
+    n = ch.nest_sessions(_turns(spark, d), "text")
+    return n.select(F.col("conv_id").cast("string").alias("conv_id"),
+                    F.size("messages").cast("long").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda m: F.concat(
+                        m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))
+
+
+@register("chat_flatten", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, text
+FROM conversations""")
+def q_chat_flatten(spark, d):
+    """SRC5 / SNK2: every session to its JSON and back to turns."""
+    nested = ch.nest_sessions(_turns(spark, d), "text")
+    return ch.flatten_sessions(nested).withColumnRenamed("content", "text")
+
+
+@register("chat_parse", """SELECT conv_id, turn,
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 100 + turn AS INTEGER)) AS said_at,
+  CASE WHEN role = 'user' THEN '🧑' ELSE '🤖' END AS icon, text FROM conversations""")
+def q_chat_parse(spark, d):
+    """Every turn to its stored content (time, icon, text) and back."""
+    at = F.timestamp_add("MINUTE", (F.col("conv_id") * 100 + F.col("turn")).cast("int"),
+                         F.lit("2024-01-01").cast("timestamp_ntz"))
+    stored = _turns(spark, d).select("conv_id", "turn", ch.build_content(
+        at, F.col("role"), F.col("text")).alias("content"))
+    return ch.parse_content(stored).select("conv_id", "turn", "said_at", "icon", "text")
+
+
 # ------------------------------------------------------------------ incidents (AG24, AG25)
 
 from tremolo.operators import incidents as inc  # noqa: E402
@@ -512,6 +543,29 @@ def q_root_cause_share(spark, d):
                       F.round("incident_share", 6).alias("incident_share"), "explanation")
 
 
+# Cause of a machine's red readings, so that each cause and its explanation occurs.
+_CAUSES = (("error", "Bearing fault"), ("purchase", "Balance fault"))
+_OTHER_CAUSE = "Process based alert"
+_CAUSE_SQL = "CASE machine_id " + " ".join(
+    f"WHEN '{m}' THEN '{c}'" for m, c in _CAUSES) + f" ELSE '{_OTHER_CAUSE}' END"
+
+
+@register("explained_causes", f"""WITH {EV},
+inc AS (SELECT date, {_CAUSE_SQL} AS root_cause, count(*) AS incidents FROM r
+        WHERE level = 'RED' GROUP BY 1, 2)
+SELECT root_cause, count(*) AS n_rows, CAST(sum(incidents) AS BIGINT) AS n_incidents,
+       any_value(e.explanation) AS explanation
+FROM inc LEFT JOIN (VALUES {_EXPL_SQL}) AS e(root_cause, explanation) USING (root_cause)
+GROUP BY 1""")
+def q_explained_causes(spark, d):
+    """AG24 / SRC7e: causes with their explanations, incidents derived from the readings."""
+    r = events_readings(spark, d).withColumn("cause", F.expr(_CAUSE_SQL))
+    out = inc.root_cause_share(inc.incidents_from_readings(r, cause_col="cause"),
+                               explanations_df(spark))
+    return out.select("root_cause", F.col("rows").alias("n_rows"),
+                      F.col("incidents").alias("n_incidents"), "explanation")
+
+
 @register("daily_incidents", _INC_SQL + """
 SELECT date, CAST(sum(incidents) AS BIGINT) AS incidents FROM inc GROUP BY 1""")
 def q_daily_incidents(spark, d):
@@ -798,6 +852,39 @@ def q_retrieval_context(spark, d):
     return vec.context_text(h, texts)
 
 
+_CONTEXT_TEXTS = "SELECT o_orderkey, question AS _text FROM (" + order_questions_sql() + ") " \
+    "WHERE o_orderkey IN (SELECT label FROM embeddings)"
+
+
+@register("route_with_context", f"""WITH {EV}, {_CENTROIDS_SQL},
+q AS ({route_sql(_CONTEXT_TEXTS, ["o_orderkey"])}),
+s AS (SELECT c.label AS o_orderkey, e.vec_id, row_number() OVER (PARTITION BY c.label
+        ORDER BY list_inner_product(c.centroid, e.v) DESC, e.vec_id) AS rank FROM c, e),
+t AS (SELECT o_orderkey, string_agg('Tarih: ' || CAST(date AS VARCHAR) || ', Durum: ' || level ||
+        ', Değer: ' || printf('%.2f', value), chr(10) ORDER BY rank) AS context
+      FROM s JOIN r ON r.reading_id = s.vec_id WHERE rank <= 5 GROUP BY 1)
+SELECT o_orderkey, status, context, '{vec.PROMPT_HEADER}' || chr(10) || context || chr(10) ||
+       chr(10) || 'Soru: ' || {rewrite_sql('question')} || chr(10) || '{vec.PROMPT_FOOTER}' AS prompt
+FROM (SELECT q.o_orderkey, status, CASE WHEN status IN ('needs_date', 'suggest', 'not_found')
+             THEN context END AS context, question
+      FROM q JOIN ({order_questions_sql()}) USING (o_orderkey) LEFT JOIN t USING (o_orderkey))""")
+def q_route_with_context(spark, d):
+    """Open questions get their five nearest reading texts and a prompt. The
+    vector of a question is the centroid of the label with its order's key, that of a reading
+    the embedding with its id."""
+    e = _emb(spark, d)
+    labels = vec.centroids(e).select(F.col("label").cast("long").alias("vec_id"),
+                                     F.col("centroid").alias("embedding"))
+    q = _order_questions(spark, d).join(labels.select(F.col("vec_id").alias("o_orderkey")),
+                                        "o_orderkey", "left_semi")
+    r = events_readings(spark, d)
+    texts = r.select("reading_id", tx.row_text(F.col("date"), F.col("level_raw"),
+                                               F.col("value")).alias("text"))
+    routed = rt.route_questions(q, ["o_orderkey"], "question")
+    return rt.with_context(routed, q, "o_orderkey", "question", vec.knn(labels, e, 5), texts).select(
+        "o_orderkey", "status", "context", "prompt")
+
+
 # ------------------------------------------------------------------ ranges (PF10), anomaly (AN1-AN3)
 
 from tremolo.operators import anomaly as an  # noqa: E402

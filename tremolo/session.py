@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files go with the tables that refer to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -65,7 +67,7 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tables/" + name
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -76,7 +78,7 @@ def ship_package(spark: SparkSession) -> None:
 
     try:
         sc = spark.sparkContext
-        key = id(sc._jsc)
+        key = sc.applicationId
     except Exception:  # noqa: BLE001 - sessions without a local context ship nothing
         return
     if key in _SHIPPED:

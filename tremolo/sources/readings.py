@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tremolo.functions.levels import band_level, normalize_level
 
@@ -112,10 +113,11 @@ def write_readings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def clean_readings(df: DataFrame, *, ts: str, value: str, machine: str, reading_id: str,
                    level: str | None = None, thresholds=None) -> DataFrame:
-    """SRC2 (lenient): text or typed columns are coerced with ``try_*`` functions; rows
-    whose time or value does not parse are dropped. No global sort is done."""
-    t = _to_utc_ntz(F.col(ts).cast("string"), strict=False)
-    v = F.col(value).cast("string").try_cast("double")
+    """SRC2 (lenient): text columns are coerced with ``try_*`` functions, typed ones are cast;
+    rows whose time or value does not parse are dropped. No global sort is done."""
+    is_text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    t = _to_utc_ntz(F.col(ts), strict=False) if ts in is_text else F.col(ts).cast("timestamp_ntz")
+    v = F.col(value).try_cast("double") if value in is_text else F.col(value).cast("double")
     d = (df.withColumn("_t", t).withColumn("_v", v)
          .where(F.col("_t").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")))
     return readings_from_table(d, ts="_t", value="_v", machine=machine, reading_id=reading_id,

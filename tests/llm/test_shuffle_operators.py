@@ -29,8 +29,18 @@ def near_copies(n, size=200, seed=5):
     return [(99, " ".join(base)), *out]
 
 
-def test_repeated_words(make_docs, text_cases):
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_words(make_docs, text_cases, monkeypatch, hot):
     rows = text_cases + near_copies(30)
+    if hot:  # boilerplate in ever other words: its gram leads many different windows
+        import random
+        r = random.Random(3)
+        rows += [(1000 + i, " ".join([*words(9, r.randrange(40)), "all rights reserved worldwide by",
+                                      *words(9, 50 + r.randrange(40))])) for i in range(120)]
+        monkeypatch.setattr(debruijn, "HOT_EDGES", 40)
+        texts = make_docs(rows).where("text IS NOT NULL").select("doc_id", "text", F.lit(0).cast(
+            "long").alias("check")).repartition(1)
+        assert len(debruijn.hot_grams(texts)) > 0
     first = {}
     for i, t in rows:
         w = SPACED.findall(t or "")

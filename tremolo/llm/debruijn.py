@@ -17,7 +17,11 @@ Scale: one shuffle of path pieces and one of the texts (to meet their coordinate
 passage or document that is copied millions of times is no hot key: inside a slice of
 about ``SLICE`` text bytes only the smallest document of an edge goes on, later ones are
 decided on the spot, so an edge has at most one document per slice. The bucket stage streams
-over sorted rows and holds the distinct edges of one gram at a time.
+over sorted rows and holds the distinct edges of one gram at a time. A gram of very many
+windows (boilerplate around which everything else varies) is no hot bucket either: a first pass
+counts the windows of each gram, and the grams of more than ``HOT_SHARE`` of all windows (hence
+at most ``1 / HOT_SHARE`` of them, and no fewer than ``HOT_EDGES`` windows each) spread their
+windows over ``SPLIT`` buckets by the edge, so equal edges still meet.
 
 Cases: null and empty texts have no words; documents with fewer than 13 words lose nothing;
 a null id is neither smaller nor larger than another, so such rows stay whole and remove nothing;
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import add_columns
+from tremolo.llm.common import add_columns, cut
 from tremolo.llm.tokens import (
     SPACE_WORD,
     binary_array,
@@ -54,6 +58,10 @@ WINDOW = 13
 GRAM = 5
 EDGE_BYTES = 5
 SLICE = 4 << 20
+HOT_SHARE = 1 / (1 << 20)
+HOT_EDGES = 1 << 17
+LOCAL_EDGES = 16  # a task reports the grams of as many windows
+SPLIT = 1 << 12
 PLACE = (1 << 40) - 1  # low bits of a place: word number; high bits: check of the text
 
 #: edges: ``EDGE_BYTES`` for each window of the piece; ``COUNT_BYTES`` alone: the number of
@@ -75,34 +83,96 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pieces(window: int, gram: int):
+class _Windows:
+    """The windows of a slice: document and place, edge, bucket, and which of them go on."""
+
+    def __init__(self, s, ids: np.ndarray, checks: np.ndarray, window: int, gram: int):
+        words = s.words(SPACE_WORD)
+        self.valid = words.window_rows(window)
+        self.any = bool(self.valid.any())
+        if not self.any:
+            return
+        hashes = words.hashes()
+        self.edges = window_hashes(hashes, window)
+        self.bucket = minima(window_hashes(hashes, gram), window - gram + 1)
+        row = words.row[:len(self.valid)]
+        self.doc = ids[s.first:s.first + s.rows][row]
+        self.place = (checks[s.first:s.first + s.rows][row] << 40) | (
+            np.arange(len(row)) - words.first[row])
+        at = np.flatnonzero(self.valid)
+        #: windows that a smaller document of this slice has
+        self.here = np.zeros(len(self.valid), bool)
+        self.here[at] = self.doc[at] > _least(self.edges[at], self.doc[at])
+        self.going = self.valid & ~self.here
+        self.new_row = np.concatenate(([True], row[1:] != row[:-1]))
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[_Windows]:
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+        checks = batch["check"].to_numpy(zero_copy_only=False)
+        for s in slices(batch["text"], SLICE):
+            got = _Windows(s, ids, checks, window, gram)
+            if got.any:
+                yield got
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _gram_counts(window: int, gram: int):
+    """Windows by gram (of a task, ``LOCAL_EDGES`` or more) and, without a gram, all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total, full = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 1 << 20
+        for w in _windows(batches, window, gram):
+            mine, n = np.unique(w.bucket[w.going], return_counts=True)
+            total += int(n.sum())
+            often = n > 1  # a gram of one window in a slice is not a frequent one there
+            keys, counts = np.concatenate((keys, mine[often])), np.concatenate((counts, n[often]))
+            if len(keys) > full:
+                keys, counts = _summed(keys, counts)
+                full = max(full, 2 * len(keys))
+        if total:
+            keys, counts = _summed(keys, counts) if len(keys) else (keys, counts)
+            often = counts >= LOCAL_EDGES
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*keys[often].astype(np.int64).tolist(), None], pa.int64()),
+                 pa.array([*counts[often].tolist(), total], pa.int64())], names=["bucket", "n"])
+    return run
+
+
+def hot_grams(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Sorted hashes of the grams with too many windows for one bucket; at most
+    ``1 / HOT_SHARE`` numbers, whatever the corpus."""
+    counted = texts.mapInArrow(_gram_counts(window, gram), "bucket long, n long").groupBy(
+        "bucket").agg(F.sum("n").alias("n"))
+    counted = cut(counted.where(f"bucket IS NULL OR n >= {HOT_EDGES}"))
+    total = counted.where("bucket IS NULL").first()
+    limit = max(HOT_EDGES, (total["n"] if total else 0) * HOT_SHARE)
+    rows = counted.where("bucket IS NOT NULL").where(F.col("n") >= limit).select("bucket").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).astype(np.uint64))
+
+
+def _pieces(window: int, gram: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            checks = batch["check"].to_numpy(zero_copy_only=False)
-            for s in slices(batch["text"], SLICE):
-                words = s.words(SPACE_WORD)
-                valid = words.window_rows(window)
-                if not valid.any():
-                    continue
-                hashes = words.hashes()
-                edges = window_hashes(hashes, window)
-                bucket = minima(window_hashes(hashes, gram), window - gram + 1)
-                row = words.row[:len(valid)]
-                doc = ids[s.first:s.first + s.rows][row]
-                place = (checks[s.first:s.first + s.rows][row] << 40) | (
-                    np.arange(len(row)) - words.first[row])
-                at = np.flatnonzero(valid)
-                here = np.zeros(len(valid), bool)
-                here[at] = doc[at] > _least(edges[at], doc[at])
-                new_row = np.concatenate(([True], row[1:] != row[:-1]))
-                first, n = runs(here, new_row)
-                spread = mix64(place[first].astype(np.uint64) + doc[first].astype(np.uint64))
-                yield _piece_batch(spread, doc[first], place[first], n, None)
-                cut = new_row | np.concatenate(([True], bucket[1:] != bucket[:-1]))
-                going = valid & ~here
-                first, n = runs(going, cut)
-                yield _piece_batch(bucket[first], doc[first], place[first], n, edges[going])
+        for w in _windows(batches, window, gram):
+            doc, place, bucket = w.doc, w.place, w.bucket
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
+                many = hot[at] == bucket
+                part = mix64(w.edges[many]) % np.uint64(SPLIT)
+                bucket[many] = mix64(bucket[many] ^ mix64(part + np.uint64(1)))
+            first, n = runs(w.here, w.new_row)
+            spread = mix64(place[first].astype(np.uint64) + doc[first].astype(np.uint64))
+            yield _piece_batch(spread, doc[first], place[first], n, None)
+            cuts = w.new_row | np.concatenate(([True], bucket[1:] != bucket[:-1]))
+            first, n = runs(w.going, cuts)
+            yield _piece_batch(bucket[first], doc[first], place[first], n, w.edges[w.going])
     return run
 
 
@@ -165,9 +235,9 @@ def _span_batch(doc, place, n) -> pa.RecordBatch:
 
 def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, place, n: runs of n repeated windows and where they start (check and word)."""
-    pieces = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", text_check().alias("check")
-    ).mapInArrow(_pieces(window, gram), _PIECE)
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", text_check().alias("check"))
+    pieces = texts.mapInArrow(_pieces(window, gram, hot_grams(texts, window, gram)), _PIECE)
     return pieces.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(
         _repeated, _SPAN)
 

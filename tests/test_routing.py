@@ -53,3 +53,13 @@ def test_dated_question_without_readings_that_day(spark):
            for x in ans.answer_questions(routed, readings).collect()}
     assert got[1] == ("matched", 7, None)
     assert got[2] == ("matched", 8, "GREEN")
+
+
+def test_every_order_question_reaches_the_context_stage(spark):
+    from conftest import SF001
+    from tremolo.registry import QUERIES
+    got = QUERIES["route_orders_with_context"](spark, SF001).toPandas()
+    assert len(got) == spark.read.parquet(f"{SF001}/orders.parquet").count()
+    still = got.status.isin(rt.OPEN)
+    assert 10 < still.sum() < len(got)
+    assert got.prompt.notna().equals(still) and got.context.notna().equals(still)

@@ -19,7 +19,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -233,6 +233,12 @@ def context_text(hits: DataFrame, texts: DataFrame, question: DataFrame | None =
         "\n").alias("context"))
     if question is None:
         return ctx
-    return ctx.join(question, "query_id").withColumn("prompt", F.concat(
-        F.lit(header + "\n"), F.col("context"), F.lit("\n\nSoru: "), F.col("question"),
-        F.lit("\n" + footer)))
+    return ctx.join(question, "query_id").withColumn("prompt", prompt_text(
+        F.col("context"), F.col("question"), header, footer))
+
+
+def prompt_text(context: Column, question: Column, header: str = PROMPT_HEADER,
+                footer: str = PROMPT_FOOTER) -> Column:
+    """Header, rows, blank line, question, footer."""
+    return F.concat(F.lit(header + "\n"), context, F.lit("\n\nSoru: "), question,
+                    F.lit("\n" + footer))

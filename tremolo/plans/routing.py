@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.functions.text import add_question_fields, fold, in_domain, normalize_terms
-from tremolo.operators.vectors import context_text
+from tremolo.operators.vectors import context_text, prompt_text
 from tremolo.plans.intents import CATALOGUE_QUESTIONS, NEEDS_DATE, catalogue_df
 
 NGRAM = 3
@@ -96,6 +96,21 @@ def with_context(routed: DataFrame, questions: DataFrame, id_col: str, text: str
                        id_col, "left")
 
 
+def with_shared_context(routed: DataFrame, questions: DataFrame, id_col: str, text: str,
+                        vector: str, hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """:func:`with_context` for questions that share vectors: ``questions`` names each one's
+    vector in the column ``vector``, and ``hits`` (query_id = vector, rank, corpus_id) has the
+    nearest rows of each vector. A context is made once per vector, so that hits and texts do
+    not grow with the questions; a question without a vector gets NULLs."""
+    contexts = context_text(hits, texts)
+    asked = questions.select(id_col, F.col(vector).alias("query_id"),
+                             normalize_terms(F.col(text)).alias("_question"))
+    still = F.col("status").isin(*OPEN)
+    return routed.join(asked, id_col).join(contexts, "query_id", "left").withColumn(
+        "context", F.when(still, F.col("context"))).withColumn(
+        "prompt", prompt_text(F.col("context"), F.col("_question"))).drop("query_id", "_question")
+
+
 def _question_text_of(intent: Column) -> Column:
     flat = []
     for i, q in enumerate(CATALOGUE_QUESTIONS):

@@ -885,6 +885,41 @@ def q_route_with_context(spark, d):
         "o_orderkey", "status", "context", "prompt")
 
 
+@register("route_orders_with_context", f"""WITH {EV}, {_CENTROIDS_SQL},
+q AS ({route_sql(_ORDER_TEXTS, ["o_orderkey"])}),
+o AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place, count(*) OVER () AS n_labels FROM c
+      WHERE label IS NOT NULL),
+s AS (SELECT c.label, e.vec_id, row_number() OVER (PARTITION BY c.label
+        ORDER BY list_inner_product(c.centroid, e.v) DESC, e.vec_id) AS rank FROM c, e),
+t AS (SELECT label, string_agg('Tarih: ' || CAST(date AS VARCHAR) || ', Durum: ' || level ||
+        ', Değer: ' || printf('%.2f', value), chr(10) ORDER BY rank) AS context
+      FROM s JOIN r ON r.reading_id = s.vec_id WHERE rank <= 5 GROUP BY 1)
+SELECT o_orderkey, status, context, '{vec.PROMPT_HEADER}' || chr(10) || context || chr(10) ||
+       chr(10) || 'Soru: ' || {rewrite_sql('question')} || chr(10) || '{vec.PROMPT_FOOTER}' AS prompt
+FROM (SELECT q.o_orderkey, status, CASE WHEN status IN ('needs_date', 'suggest', 'not_found')
+             THEN context END AS context, question
+      FROM q JOIN ({order_questions_sql()}) USING (o_orderkey)
+        LEFT JOIN o ON o.place = o_orderkey % n_labels LEFT JOIN t USING (label))""")
+def q_route_orders_with_context(spark, d):
+    """B3 / X15 over the questions of all orders. The vector of a question is the centroid at
+    place o_orderkey mod the number of labels, in label order."""
+    e = _emb(spark, d)
+    c = vec.centroids(e.where("label IS NOT NULL"))
+    labels = sorted(r[0] for r in c.select("label").limit(vec.MAX_CATALOGUE_ROWS + 1).collect())
+    if len(labels) > vec.MAX_CATALOGUE_ROWS:
+        raise ValueError(f"more than {vec.MAX_CATALOGUE_ROWS} labels")
+    place = F.array_position(F.array(*map(F.lit, labels)).cast("array<long>"),
+                             F.col("label").cast("long")) - 1
+    centroids = c.select(place.alias("vec_id"), F.col("centroid").alias("embedding"))
+    q = _order_questions(spark, d).withColumn("vector", F.col("o_orderkey") % max(1, len(labels)))
+    texts = events_readings(spark, d).select("reading_id", tx.row_text(
+        F.col("date"), F.col("level_raw"), F.col("value")).alias("text"))
+    routed = rt.route_questions(q, ["o_orderkey"], "question")
+    return rt.with_shared_context(routed, q, "o_orderkey", "question", "vector",
+                                  vec.knn(centroids, e, 5), texts).select(
+        "o_orderkey", "status", "context", "prompt")
+
+
 # ------------------------------------------------------------------ ranges (PF10), anomaly (AN1-AN3)
 
 from tremolo.operators import anomaly as an  # noqa: E402

@@ -190,6 +190,28 @@ def test_chat_snapshots(spark):
     assert chatformat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_with_repeated_turn_numbers_is_spread(spark):
+    rows = [(None, (0, 1, None)[k % 3], "user", f"t{k % 500}") for k in range(3000)]
+    rows += [(1, 0, "user", f"same{k % 2}") for k in range(3000)] + [(2, 0, "user", "same0")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranks = chatformat.ranked(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = Counter((r.conv_id, r.chunk) for r in ranks)
+    assert max(sizes.values()) < 2000  # one conversation has 3000
+    by_rank = {i: [r.text for r in sorted((r for r in ranks if r.conv_id == i),
+                                          key=lambda r: r.n)] for i in (None, 1)}
+    for i in (None, 1):
+        assert sorted(r.n for r in ranks if r.conv_id == i) == list(range(1, 3001))
+        assert by_rank[i] == [x[3] for x in sorted(
+            (x for x in rows if x[0] == i), key=lambda x: (x[1] is not None, x[1] or 0, x[3]))]
+    got = chatformat.format_chats(df).collect()
+    assert {r.conv_id for r in got} == {None, 1}
+    assert next(r for r in got if r.conv_id == 1).n_turns == 3000
+
+
 def test_clashing_columns(make_docs, spark):
     docs = make_docs([(1, "a b c"), (2, "a b c")])
     for c in ("n_words", "class_id", "n_links", "unit", "root", "check", "doc", "kept", "starts",

@@ -7,11 +7,13 @@ its rank, role and text; the rolling prefix hash of a turn is the XOR of those u
 (turn count, hash) is no proper prefix of another (an anti-join), one of each set of equal
 conversations (the smallest id) is kept, and what is kept is rendered.
 
-Scale: a conversation is never one group. Turns are worked on in blocks of ``BLOCK`` turn
-numbers; ranks and hashes of the blocks before are added from (conversation, block)
-totals. Prefix hashes are reduced to distinct ones before the anti-join, so a first turn shared by
-a third of all conversations is one row. The rendering is one row per (conversation,
-block), so that no row grows with a conversation either.
+Scale: turns are ranked and hashed in chunks, ranges of the rows sorted by conversation and
+turn, so a conversation of any length is spread, also one whose turn numbers repeat; ranks and
+hashes of the chunks before are added from (conversation, chunk) totals. Prefix hashes are
+reduced to distinct ones before the anti-join, so a first turn shared by a third of all
+conversations is one row. The rendering is one row per (conversation, block of ``BLOCK`` turn
+numbers), as the oracle SQL has it: where turn numbers repeat or are null, such a row has all
+turns of the block's numbers and is not bounded.
 
 Cases: turns sort by (turn, role, text), nulls first; repeated rows are turns of their own;
 a null role renders as ``unknown``, a null text as empty text, and null and empty differ in
@@ -31,37 +33,49 @@ TEMPLATE = ("<|", "|>\n", "\n<|end|>\n")
 
 
 def _before(*keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _same(*keys: str) -> F.Column:
     return F.expr(" AND ".join(f"a.{k} <=> b.{k}" for k in keys))
 
 
-def prefix_hashes(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, n (turns up to this one), h1, h2, role, text of every turn."""
+def ranked(conversations: DataFrame) -> DataFrame:
+    """conv_id, block, chunk, n, role, text: every turn with its rank in the conversation.
+
+    Rows are dealt to chunks by ranges of (conv_id, turn, role, text, place); equal rows differ
+    by place, so a chunk is bounded whatever the ids, turn numbers and texts are."""
+    order = ["conv_id", "turn", "role", "text", "place"]
     turns = conversations.select("conv_id", "turn", "role", "text").withColumn(
-        "block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    ranked = turns.withColumn("k", F.row_number().over(inside))
-    counts = turns.groupBy("conv_id", "block").agg(F.count("*").alias("n")).withColumn(
+        "place", F.xxhash64(F.monotonically_increasing_id()))
+    # bounds are sampled anew by each execution: the chunks are written once
+    chunks = cut(turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "chunk", F.spark_partition_id()))
+    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text", "place")
+    counts = chunks.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).withColumn(
         "base", F.coalesce(F.sum("n").over(_before("conv_id")), F.lit(0))).drop("n")
+    return chunks.withColumn("k", F.row_number().over(inside)).alias("a").join(
+        counts.alias("b"), _same("conv_id", "chunk")).select(
+        "a.conv_id", F.coalesce(F.floor(F.col("a.turn") / BLOCK), F.lit(-1)).alias("block"),
+        "a.chunk", (F.col("a.k") + F.col("b.base")).alias("n"), "a.role", "a.text")
+
+
+def prefix_hashes(conversations: DataFrame) -> DataFrame:
+    """conv_id, block, n (turns up to this one), h1, h2, role, text of every turn."""
     tag = [F.col("n"), F.col("role").isNull(), F.coalesce("role", F.lit("")),
            F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    tagged = ranked.alias("a").join(counts.alias("b"), _same("conv_id", "block")).select(
-        "a.conv_id", "a.block", (F.col("a.k") + F.col("b.base")).alias("n"), "a.role",
-        "a.text").withColumn("t1", F.xxhash64(F.lit(1), *tag)).withColumn(
+    tagged = ranked(conversations).withColumn("t1", F.xxhash64(F.lit(1), *tag)).withColumn(
         "t2", F.xxhash64(F.lit(2), *tag))
-    upto = Window.partitionBy("conv_id", "block").orderBy("n").rowsBetween(
+    upto = Window.partitionBy("conv_id", "chunk").orderBy("n").rowsBetween(
         Window.unboundedPreceding, 0)
     local = tagged.withColumn("x1", F.bit_xor("t1").over(upto)).withColumn(
         "x2", F.bit_xor("t2").over(upto))
-    blocks = tagged.groupBy("conv_id", "block").agg(
+    chunks = tagged.groupBy("conv_id", "chunk").agg(
         F.bit_xor("t1").alias("t1"), F.bit_xor("t2").alias("t2"))
     zero = F.lit(0).cast("long")
-    blocks = blocks.select("conv_id", "block", *[F.coalesce(F.bit_xor(t).over(
+    chunks = chunks.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(t).over(
         _before("conv_id")), zero).alias(t) for t in ("t1", "t2")])
-    return local.alias("a").join(blocks.alias("b"), _same("conv_id", "block")).select(
+    return local.alias("a").join(chunks.alias("b"), _same("conv_id", "chunk")).select(
         "a.conv_id", "a.block", "a.n", F.col("a.x1").bitwiseXOR(F.col("b.t1")).alias("h1"),
         F.col("a.x2").bitwiseXOR(F.col("b.t2")).alias("h2"), "a.role", "a.text")
 

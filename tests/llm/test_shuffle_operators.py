@@ -110,6 +110,19 @@ def test_jaccard_links_and_classes(make_docs, text_cases, block):
     assert forest.jaccard_join(make_docs([])).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(make_docs):
+    def edited(seed):  # one word of 200 changed: similar to each other by 0.9
+        w = words(200, seed)
+        return [" ".join([*w[:30 * k], f"edit{k}", *w[30 * k + 1:]]) for k in range(1, 6)]
+    other = " ".join(words(100, 77))
+    rows = [(None, t) for t in edited(5)] + [(None, edited(5)[0])]  # a class without ids
+    rows += [(7, t) for t in edited(6)] + [(7, other), (7, other)]
+    rows += [(None, ""), (8, None), (8, None)]
+    kept = [(r.doc_id, r.text) for r in forest.one_of_each(make_docs(rows)).collect()]
+    assert Counter(i for i, t in kept if t) == {None: 1, 7: 2}
+    assert kept.count((7, other)) == 1 and len(kept) == 3 + 3
+
+
 def test_matched_depth_is_the_longest_that_reaches_the_recall():
     k = forest.matched_depth()
     assert 1 - (1 - 0.8 ** k) ** forest.TREES >= forest.RECALL

@@ -244,6 +244,15 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
                  trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
                  block: int = BLOCK) -> DataFrame:
     """``docs`` with class_id, n_links (different texts) and n_copies (rows with its text)."""
+    return _classed(docs, threshold, size, trees, depth, recall, block).drop("_unit", "_first")
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
+             trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+             block: int = BLOCK) -> DataFrame:
+    """jaccard_join() with _unit (hash of the text) and _first (the text that stands for its
+    class: of those with the smallest id, nulls last, the one with the least hash); both are null
+    for texts without words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                         F.xxhash64("text").alias("unit"))
     k = matched_depth(threshold, trees, depth, recall)
@@ -254,10 +263,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     linked = cut(similar_texts(units, texts, threshold, size, block))
     of = units.select("unit", "doc_id", "copies").join(linked, "unit", "left").withColumn(
         "root", F.coalesce("root", "unit"))
-    classes = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    classes = of.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit")).alias("least"))
     known = of.join(classes, "root").select(
-        F.col("unit").alias("_unit"), F.col("class_id").alias("_class"),
-        F.col("links").alias("_links"), F.col("copies").alias("_copies"))
+        F.col("unit").alias("_unit"), F.col("least.doc_id").alias("_class"),
+        F.col("links").alias("_links"), F.col("copies").alias("_copies"),
+        (F.col("unit") == F.col("least.unit")).alias("_first"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = docs.drop("class_id", "n_links", "n_copies").withColumn(
         "_key", F.when(has_words, F.xxhash64("text")))
@@ -265,17 +276,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         "class_id": F.coalesce("_class", F.col("doc_id").cast("long")),
         "n_links": F.coalesce("_links", F.lit(0)).cast("long"),
         "n_copies": F.coalesce("_copies", F.lit(1)).cast("long"),
-    }).drop("_key", "_unit", "_class", "_links", "_copies")
+    }).drop("_key", "_class", "_links", "_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names the class.
-
-    Rows without an id stay if no row of their class has one and are otherwise removed;
-    of rows repeating an id and text one stays.
+    """``docs`` with one document of each class: a row with the smallest id (without an id if
+    none has one) and, of several texts with that id, the one with the least hash. Texts
+    without words are classes of their own and stay.
     """
-    kept = jaccard_join(docs).where(F.col("doc_id").cast("long").eqNullSafe(F.col("class_id")))
+    kept = _classed(docs).where(F.coalesce("_first", F.lit(True)) & F.col("doc_id").cast(
+        "long").eqNullSafe(F.col("class_id")))
     columns = docs.columns
     single = kept.where("n_copies = 1").select(columns)
-    copied = kept.where("n_copies > 1").dropDuplicates(["doc_id", "text"]).select(columns)
+    copied = kept.where("n_copies > 1").dropDuplicates(["_unit"]).select(columns)
     return single.unionByName(copied)

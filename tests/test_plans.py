@@ -50,3 +50,12 @@ def test_date_partitioned_readings_prune_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-15" in plan
     assert cat.day_range(stored, "2024-01-15").count() == \
         cat.day_range(events_readings(spark, SF01), "2024-01-15").count()
+
+
+def test_chat_flatten_gathers_no_session(spark):
+    from conftest import SF001
+    from tremolo.registry import QUERIES
+    df = QUERIES["chat_flatten"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Exchange" not in plan
+    assert df.count() == spark.read.parquet(f"{SF001}/conversations.parquet").count()

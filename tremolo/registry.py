@@ -499,9 +499,9 @@ def q_chat_nest(spark, d):
 @register("chat_flatten", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, text
 FROM conversations""")
 def q_chat_flatten(spark, d):
-    """SRC5 / SNK2: every session to its JSON and back to turns."""
-    nested = ch.nest_sessions(_turns(spark, d), "text")
-    return ch.flatten_sessions(nested).withColumnRenamed("content", "text")
+    """SRC5 / SNK2: every session to its JSON, a text per turn, and back to turns."""
+    lines = ch.turn_lines(_turns(spark, d), "text")
+    return ch.flatten_sessions(lines).withColumnRenamed("content", "text")
 
 
 @register("chat_parse", """SELECT conv_id, turn,

@@ -59,3 +59,11 @@ def test_chat_flatten_gathers_no_session(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Exchange" not in plan
     assert df.count() == spark.read.parquet(f"{SF001}/conversations.parquet").count()
+
+
+def test_read_session_takes_a_table_of_ids(spark):
+    from tremolo.operators.chats import read_session
+    turns = spark.createDataFrame([(i, k, "user", f"{i}.{k}") for i in (3, 1, 2) for k in (1, 0)],
+                                  "conv_id long, turn long, role string, text string")
+    asked = spark.createDataFrame([(1,), (3,), (3,), (9,)], "conv_id long")
+    assert [r.text for r in read_session(turns, asked).collect()] == ["1.0", "1.1", "3.0", "3.1"]

@@ -94,9 +94,11 @@ def sessions_of(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id").distinct()
 
 
-def read_session(turns: DataFrame, conv_id) -> DataFrame:
-    """One session's turns in order."""
-    return turns.where(F.col("conv_id") == F.lit(conv_id)).orderBy("turn")
+def read_session(turns: DataFrame, requests: DataFrame) -> DataFrame:
+    """The turns of the requested sessions (``conv_id``) in order; a session requested
+    twice is read once."""
+    return turns.join(requests.select("conv_id").distinct(), "conv_id", "left_semi").orderBy(
+        "conv_id", "turn")
 
 
 def list_sessions(sessions: DataFrame, limit: int | None = None) -> DataFrame:

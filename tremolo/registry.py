@@ -427,7 +427,7 @@ def q_chat_list(spark, d):
 WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')""")
 def q_chat_read(spark, d):
     t = _turns(spark, d)
-    return t.join(_with_system(t), "conv_id", "left_semi").orderBy("conv_id", "turn")
+    return ch.read_session(t, _with_system(t))
 
 
 @register("chat_clear", """SELECT conv_id, turn, role, text FROM conversations

@@ -1,13 +1,13 @@
-"""N-gram Jaccard join with a MinHash LSH forest (operator 8).
+"""N-gram Jaccard join by MinHash banding (operator 8).
 
 Documents are sets of five-word shingles; two different texts are linked when the Jaccard
 similarity of their sets is ``THRESHOLD`` or more. Result: one row per document with the
 id of its class (connected texts and all copies of them) and the number of links.
 
-Forest: every text has ``TREES`` labels of ``DEPTH`` min-hashes, a path in a prefix trie
-each. Matching starts at full depth and shortens the matched prefix until the expected
-recall at the threshold, ``1 - (1 - s ** depth) ** TREES``, reaches ``RECALL``. Texts that share such
-a prefix in any tree are candidates.
+Banding, in place of the LSH forest: the depth of the matched prefix is set by formula before
+any data is read, the longest up to ``DEPTH`` for which the expected recall at the threshold,
+``1 - (1 - s ** depth) ** TREES``, reaches ``RECALL``. Every text has ``TREES`` keys, each of that
+many min-hashes, and texts that share a key are candidates. No tries are built or shortened.
 
 Verification is exact and no pair is ever written out: texts connected by candidates (each
 bucket is a star around its smallest member) form a cluster, a cluster is cut into blocks

@@ -5,12 +5,12 @@ are compared as texts, similarities are counted pair by pair, components are a t
 closure. The mix repeats the operator's schedule, as its result depends on it.
 
 Operators 2, 7 and 10 rest on fitted models, 5 on a parser and 9 on 400-byte windows at
-every byte; these are tested by brute force instead.
+every byte, 11 on runs of every period; these are tested by brute force instead.
 """
 
 from __future__ import annotations
 
-from tremolo.llm import chatformat, forest, mixing
+from tremolo.llm import chatformat, divergence, forest, linedups, mixing
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -173,5 +173,63 @@ FROM d LEFT JOIN texts ON d.text = texts.text LEFT JOIN classes USING (t)
 LEFT JOIN counts USING (t)
 """
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINEDUPS = f"""
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, {_BLANK}), {_LETTERS}) AS k
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+keys AS (
+  SELECT k, max(doc_id) AS largest FROM lines WHERE length(k) >= {linedups.LEAST_CHARS}
+  GROUP BY k HAVING count(DISTINCT doc_id) >= {linedups.LEAST_DOCS}),
+judged AS (SELECT l.*, x.k IS NOT NULL AND largest <> doc_id AS gone FROM lines l LEFT JOIN keys x USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _price(n: str, total: str, kept: str) -> str:
+    return (f"CAST(1 + (CAST({divergence.SCALE} AS HUGEINT) * ({n} + {divergence.PRIOR})) // "
+            f"({total} + {divergence.PRIOR} * {kept}) AS BIGINT)")
+
+
+DIVERGENCE = f"""
+WITH given AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), {_TERM}) AS w FROM documents),
+counts AS (SELECT lang, source, d, term, count(*) AS n
+           FROM (SELECT lang, source, d, unnest(w) AS term FROM given) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL
+         HAVING count(*) >= {divergence.LEAST_DOCS}),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM kept GROUP BY lang),
+used AS (SELECT c.lang, source, term, CAST(sum(c.n) AS BIGINT) AS n
+         FROM counts c JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM given)
+  LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM used GROUP BY ALL) USING (lang, source)),
+priced AS (
+  SELECT g.lang, g.source, term, coalesce(u.n, 0) AS n,
+         {_price('coalesce(u.n, 0)', 'g.total', 'l.v')} AS p,
+         {_price('k.n', 'l.total', 'l.v')} AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN used u USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT CAST(sum(abs(x.p - y.p)) AS BIGINT) FROM priced x JOIN priced y USING (lang, term)
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value
+          FROM priced WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
 ORACLE_SQL = {"op1_decontaminate": DECONTAMINATE, "op3_substrings": SUBSTRINGS,
-              "op4_chats": CHATS, "op6_mix": MIX, "op8_jaccard": JACCARD}
+              "op4_chats": CHATS, "op6_mix": MIX, "op8_jaccard": JACCARD,
+              "op12_linedups": LINEDUPS, "op13_divergence": DIVERGENCE}

@@ -15,10 +15,13 @@ from tremolo.llm import (
     chatformat,
     debruijn,
     decontaminate,
+    divergence,
     forest,
     langid,
     licenses,
+    linedups,
     mixing,
+    periodic,
     prefixfree,
     quality,
     secrets,
@@ -106,3 +109,25 @@ def op9_suffixes(spark, d):
 def op10_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op11_periodic(spark, d):
+    found = periodic.collapse_runs(_texts(spark, d))
+    listed = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length",
+                        "period", "exponent_milli",
+                        sha256_of(F.array_join(listed, "")).alias("runs_sha256"),
+                        sha256_of("collapsed").alias("collapsed_sha256"))
+
+
+@query
+def op12_linedups(spark, d):
+    return linedups.drop_lines(_texts(spark, d)).select(
+        "doc_id", "n_lines", "n_dropped", sha256_of("kept_text").alias("kept_sha256"))
+
+
+@query
+def op13_divergence(spark, d):
+    return divergence.audit_sources(table(spark, d, "documents").select("text", "lang", "source"))

@@ -12,7 +12,7 @@ def test_sequences_never_gather_a_machine_in_one_partition(spark):
                  "change_density_top"):
         plan = _plan(R.QUERIES[name](spark, SF01))
         assert "SinglePartition" not in plan, name
-        # the ordered windows are partitioned by (machine, time bucket)
+        # windows see a row or two per range partition, not the readings
         assert "hashpartitioning(machine_id" in plan, name
 
 

@@ -216,9 +216,8 @@ def _month_answers(src) -> DataFrame:
     return of_months.join(of_years, "machine_id", "left")
 
 
-def _change_answers(readings: DataFrame) -> DataFrame:
+def _change_answers(changes: DataFrame) -> DataFrame:
     """Entries about level changes (19, 23, 27), from one count of changes per day."""
-    changes = seq.daily_transitions(readings)
     dense = F.when(F.col("changes") > 0, F.struct((-F.col("changes")).alias("k"),
                                                   F.col("date").alias("p")))
     return changes.groupBy("machine_id").agg(
@@ -236,17 +235,18 @@ def catalogue_answers(readings, year: int | None = None, gap_seconds: float = 60
     Values only (dates, numbers, levels) joined as text; numbers with two places. ``year`` is
     the calendar year of the entries that name one; by default the last year with readings.
     Computed once per readings snapshot: the rollup-based entries take three aggregations of
-    the stored daily rollup, and the readings are read for the rollup, the level
-    changes and the red runs. Every (machine, entry) has an answer; an empty list is
+    the stored daily rollup, and the readings are read for the rollup and for one sorted
+    pass that gives the level changes and the red runs. Every (machine, entry) has an answer; an empty list is
     an empty text. The result has machines x 30 rows."""
     src = readings if isinstance(readings, cat.Prepared) else cat.prepare(readings)
     if year is None:  # of an empty table any year has the same (no) answers
         year = src.day_roll.agg(F.year(F.max("period"))).first()[0] or 1970
-    runs = seq.longest_run(src.readings, "RED", gap_seconds).select("machine_id", F.concat_ws(
+    ordered = seq.sweep(src.readings, "RED", gap_seconds, "GREEN", "RED")
+    runs = seq.longest_of(seq.runs_of(ordered, gap_seconds)).select("machine_id", F.concat_ws(
         " - ", F.date_format("start_ts", "yyyy-MM-dd HH:mm"),
         F.date_format("end_ts", "yyyy-MM-dd HH:mm")).alias("e0"))
     wide = _rollup_answers(src, year, recent_days, recent_levels_days)
-    for part in (_day_answers(src), _month_answers(src), _change_answers(src.readings), runs):
+    for part in (_day_answers(src), _month_answers(src), _change_answers(seq.days_of(ordered)), runs):
         wide = wide.join(part, "machine_id", "left")
     band_text = "; ".join(f"{lv}: {'' if lo is None else lo}-{'' if up is None else up}"
                           for lv, lo, up in bands())

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from tremolo.functions import vectors as fv
+from tremolo.operators import vector_cells as cells
 from tremolo.operators import vectors as vec
 
 
@@ -74,3 +75,66 @@ def test_catalogue_topk_cases(spark, monkeypatch):
     assert vec.catalogue_topk(q, catalogue.limit(0)).count() == 0
     assert vec.catalogue_topk(q.limit(0), catalogue).count() == 0
     assert {r.rank for r in vec.catalogue_topk(q, catalogue.limit(2)).collect()} == {1, 2}
+
+
+def _unusable():
+    nan, inf = float("nan"), float("inf")
+    return [(901, None), (902, [1.0, None]), (903, [nan, 1.0]), (904, [inf, 1.0]), (905, [1.0]),
+            (906, [1.0, 2.0, 3.0]), (907, [])]
+
+
+def test_unusable_vectors_are_left_out(spark):
+    good = [(k, [float(k % 5), float(k % 7)]) for k in range(60)]
+    df = spark.createDataFrame(good + _unusable(), "vec_id long, embedding array<double>")
+    want = {(r.query_id, r.rank): (r.corpus_id, r.score) for r in vec.knn(
+        *[spark.createDataFrame(good, df.schema)] * 2, 3).collect()}
+    assert len(want) == 180
+    for kwargs in ({}, {"max_broadcast_bytes": 0, "block_rows": 9}):
+        got = {(r.query_id, r.rank): (r.corpus_id, r.score) for r in vec.knn(df, df, 3, **kwargs).collect()}
+        assert got == want
+    cat = df.withColumnRenamed("vec_id", "label").withColumnRenamed("embedding", "centroid")
+    got = {(r.vec_id, r.rank): (r.label, r.score) for r in vec.catalogue_topk(df, cat, 3).collect()}
+    assert got == want
+    empty = df.where("vec_id > 900")
+    assert vec.knn(df, empty.where("vec_id < 905"), 3).count() == 0
+    assert cells.knn_cells(df, df.limit(0)).count() == 0 and cells.knn_cells(df.limit(0), df).count() == 0
+
+
+def _clustered(n, seed, dims=32, groups=40):
+    g = np.random.default_rng(seed)
+    centre = g.normal(size=(groups, dims))
+    x = centre[g.integers(0, groups, n)] + 0.05 * g.normal(size=(n, dims))
+    x[: n // 3] = centre[0] + 0.05 * g.normal(size=(n // 3, dims))  # a hot cell
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_cells_are_exact_and_skip_most_pairs(spark):
+    x = _clustered(3000, 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = cells.knn_cells(df, df, 5, exclude_self=True, cells=60, block_rows=300, report=report).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.sort(s, axis=1)[:, ::-1][:, :5]
+    found = {(r.query_id, r.rank): r.score for r in got}
+    assert len(found) == 15_000
+    assert all(abs(found[i, k + 1] - best[i, k]) < 1e-9 for i in range(3000) for k in range(5))
+    assert all(abs(s[r.query_id, r.corpus_id] - r.score) < 1e-9 for r in got)
+    assert report["pairs"] == 9_000_000 and report["scored"] < 0.3 * report["pairs"]
+
+
+def test_cells_of_any_vectors_equal_brute_force(spark):
+    """Small integers: exact scores, many ties, zero vectors, negative and long ones."""
+    g = np.random.default_rng(7)
+    x = g.integers(-3, 4, (400, 3)).astype(float) * g.choice([0, 1, 1, 20], 400)[:, None]
+    q = g.integers(-3, 4, (70, 3)).astype(float)
+    schema = "vec_id long, embedding array<double>"
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], schema)
+    xs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+    for k, n in ((1, 5), (6, 30), (500, 4)):
+        want = {}
+        for i, v in enumerate(q):
+            order = sorted(range(400), key=lambda j: (-(x[j] @ v), j))[:k]
+            want.update({(i, r + 1): (j, x[j] @ v) for r, j in enumerate(order)})
+        got = cells.knn_cells(qs, xs, k, cells=n, block_rows=50).collect()
+        assert {(r.query_id, r.rank): (r.corpus_id, r.score) for r in got} == want

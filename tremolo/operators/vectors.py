@@ -7,18 +7,16 @@ Two shapes:
   * ``knn``: queries against a corpus of any size. Scoring runs in Arrow batches with
     numpy matrix products; each task keeps a running top-k per query, so a task emits
     at most (queries x k) rows and never all pairs. The query side is broadcast when
-    its size is under a bound; otherwise queries and corpus are cut into blocks and
-    every (query block, corpus block) pair is scored in one co-group. A final
-    ``row_number() <= k`` per query merges the partial lists.
+    its size is under a bound; otherwise both sides are dealt into cells
+    (``operators.vector_cells``). A final ``row_number() <= k`` per query merges the partial lists.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,16 +48,21 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
                    qvec: str = "embedding", cat_id: str = "label", cat_vec: str = "centroid",
                    max_rows: int = MAX_CATALOGUE_ROWS) -> DataFrame:
     """Queries plus (rank, <cat_id>, score) for the k best catalogue entries; ties
-    go to the smaller catalogue id, and a query without a vector gets no rows.
+    go to the smaller catalogue id. Entries whose vector is NULL, holds a NULL, NaN or infinity, or
+    is not as long as most are never found; queries with such a vector get no rows.
 
     The catalogue is read once and its size checked; it is broadcast as a matrix, and a task
     scores its queries in chunks of ``SCORE_CELLS`` scores."""
     rows = catalogue.select(cat_id, cat_vec).limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"the catalogue has more than {max_rows} rows; use knn() for a corpus")
+    vectors = [np.array([np.nan if x is None else x for x in r[1] or []], float) for r in rows]
+    lengths = [len(v) for v in vectors if len(v)]
+    dims = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
+    rows = [(r[0], v) for r, v in zip(rows, vectors, strict=True)
+            if dims and len(v) == dims and np.isfinite(v).all()]
     rows.sort(key=lambda r: r[0])  # of equal scores the first, by a stable sort
-    matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(
-        len(rows), -1 if rows else 0)
+    matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dims)
     bc = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix))
     new = [T.StructField("rank", T.IntegerType()),
            T.StructField(cat_id, catalogue.schema[cat_id].dataType),
@@ -72,11 +75,15 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
         best = min(k, len(ids))
         step = max(1, SCORE_CELLS // max(1, len(ids)))
         for batch in batches:
-            full = np.flatnonzero(batch[qvec].is_valid().to_numpy(zero_copy_only=False))
+            length = pc.fill_null(pc.list_value_length(batch[qvec]), -1)
+            full = np.flatnonzero(length.to_numpy(zero_copy_only=False) == mat.shape[1])
             for i in range(0, len(full) if best else 0, step):
                 at = full[i:i + step]
                 values = batch[qvec].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                scores = values.astype(np.float64).reshape(len(at), -1) @ mat.T
+                values = values.astype(np.float64).reshape(len(at), -1)
+                fine = np.isfinite(values).all(axis=1)
+                at, values = at[fine], values[fine]
+                scores = values @ mat.T
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :best]
                 part = batch.take(pa.array(np.repeat(at, best)))
                 yield pa.RecordBatch.from_arrays(
@@ -107,6 +114,21 @@ def suggestions(topk: DataFrame, ids: list[str], threshold: float,
 
 # ------------------------------------------------------------------ exact k-NN over a corpus
 
+def vector_length(df: DataFrame, vec: str = "embedding") -> int:
+    """The most frequent length of the vectors (of equally frequent ones the greatest); 0 without vectors."""
+    top = df.where(F.size(vec) > 0).groupBy(F.size(vec).alias("d")).count().orderBy(
+        F.desc("count"), F.desc("d")).first()
+    return top["d"] if top else 0
+
+
+def usable(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
+    """id, v: the vectors of ``dims`` finite numbers."""
+    v = F.col(vec).cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(
+        F.col("id").isNotNull() & (F.size("v") == dims) & finite)
+
+
 def _topk_rows(q_ids, q_mat, c_ids, c_mat, k, exclude_self):
     """The k best of a corpus block for every query, ``SCORE_CELLS`` scores at a time: queries in
     chunks, and corpus rows in chunks whose results are merged."""
@@ -160,17 +182,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: str = "vec_i
         exclude_self: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
         block_rows: int = 20_000) -> DataFrame:
     """(query_id, rank, corpus_id, score) for the k highest inner products per
-    query; ties go to the smaller corpus id."""
-    q = queries.select(F.col(q_id).cast("long").alias("qid"),
-                       F.col(q_vec).cast("array<double>").alias("qv"))
-    c = corpus.select(F.col(c_id).cast("long").alias("cid"),
-                      F.col(c_vec).cast("array<double>").alias("cv"))
-    nq = q.count()
-    dims = len(q.select("qv").first()[0]) if nq else 0
-    if nq * max(dims, 1) * 8 <= max_broadcast_bytes:
-        partial = _knn_broadcast(q, c, k, exclude_self)
-    else:
-        partial = _knn_blocked(q, c, k, exclude_self, nq, block_rows)
+    query; ties go to the smaller corpus id. Vectors that are NULL, hold a NULL, NaN or infinity,
+    or are not as long as most corpus vectors are neither queries nor found.
+
+    Queries of at most ``max_broadcast_bytes`` go to every task that reads the corpus; more of them are
+    dealt with the corpus by ``vector_cells.knn_cells``, which skips cells that cannot matter."""
+    dims = vector_length(corpus, c_vec)
+    q = usable(queries, q_id, q_vec, dims).toDF("qid", "qv")
+    c = usable(corpus, c_id, c_vec, dims).toDF("cid", "cv")
+    if q.count() * max(dims, 1) * 8 > max_broadcast_bytes:
+        from tremolo.operators.vector_cells import knn_cells
+        return knn_cells(q, c, k, q_id="qid", q_vec="qv", c_id="cid", c_vec="cv",
+                         exclude_self=exclude_self, block_rows=block_rows)
+    partial = _knn_broadcast(q, c, k, exclude_self)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("corpus_id"))
     return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "corpus_id", "score"))
@@ -198,29 +222,6 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool) -> Da
     return c.mapInPandas(score, KNN_SCHEMA)
 
 
-def _knn_blocked(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nq: int,
-                 block_rows: int) -> DataFrame:
-    nc = c.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    qx = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)).cast("array<long>"))))
-    cx = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(cb)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
-
-    def score(_key, qpdf, cpdf):
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "score": []})
-        qm = np.vstack(qpdf["qv"].to_numpy()).astype(np.float64)
-        cm = np.vstack(cpdf["cv"].to_numpy()).astype(np.float64)
-        qi, ci, s = _topk_rows(qpdf["qid"].to_numpy(np.int64), qm,
-                               cpdf["cid"].to_numpy(np.int64), cm, k, exclude_self)
-        return pd.DataFrame({"query_id": qi, "corpus_id": ci, "score": s})
-
-    return (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
-            .applyInPandas(score, KNN_SCHEMA))
-
-
 def context_text(hits: DataFrame, texts: DataFrame, question: DataFrame | None = None, *,
                  text_col: str = "text", header: str = PROMPT_HEADER,
                  footer: str = PROMPT_FOOTER) -> DataFrame:

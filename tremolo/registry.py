@@ -516,6 +516,57 @@ def q_chat_parse(spark, d):
     return ch.parse_content(stored).select("conv_id", "turn", "said_at", "icon", "text")
 
 
+#: a change log over all conversations: (phase, which ones, action, new name); names beyond ``m`` are free
+_LOG_PHASES = [(1, "true", "append", None), (2, "c % 5 = 0", "clear", None),
+               (3, "c % 3 = 0", "append", None), (4, "c % 4 = 0", "rename", "c + m"),
+               (5, "c % 7 = 0", "delete", None), (6, "c % 8 = 0", "rename", "c + 2 * m"),
+               (7, "c % 10 = 1", "rename", "c - 1"), (8, "true", "append", None)]
+
+
+def _change_log(spark, d):
+    """Eight requests per conversation at most: seq is phase * 2^40 + conv_id. In phase 6 the renamed ones of
+    phase 4 move on."""
+    t = _turns(spark, d)
+    m = t.agg((F.coalesce(F.max("conv_id"), F.lit(0)) + 1).alias("m"))
+    said = F.when(F.col("role") == "user", F.col("turn"))
+    base = t.groupBy(F.col("conv_id").alias("c")).agg(F.min_by("text", said).alias("said")).crossJoin(
+        F.broadcast(m))  # one row
+    steps = F.array(*[F.when(F.expr(which), F.struct(
+        (F.lit(phase) * F.lit(1 << 40) + F.col("c")).alias("seq"),
+        F.expr("c + m" if phase == 6 else "c").alias("conv_id"), F.lit(action).alias("action"),
+        F.expr(new or "CAST(NULL AS BIGINT)").alias("new_id"))) for phase, which, action, new in _LOG_PHASES])
+    return base.select("said", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select(
+        "x.*", F.when(F.col("x.action") == "append", F.col("said")).alias("text"),
+        F.when(F.col("x.action") == "append", F.lit("ok")).alias("reply"))
+
+
+@register("chat_change_log", """WITH
+t AS (SELECT conv_id AS c, turn, role, text FROM conversations),
+m AS (SELECT coalesce(max(c), 0) + 1 AS m FROM t),
+b AS (SELECT c, min_by(text, CASE WHEN role = 'user' THEN turn END) AS said, max(turn) + 1 AS base,
+             m FROM t, m GROUP BY c, m),
+o AS (SELECT *, c % 5 = 0 AS cleared, c % 4 <> 0 AND c % 7 = 0 AS dead,
+             CASE WHEN c % 8 = 0 THEN c + 2 * m WHEN c % 4 = 0 THEN c + m
+                  WHEN c % 10 = 1 AND c % 7 <> 0 THEN c - 1 ELSE c END AS name FROM b),
+lost AS (SELECT name AS c FROM o WHERE name = c - 1),
+alive AS (SELECT * FROM o WHERE NOT dead AND (name <> c OR c NOT IN (SELECT c FROM lost))),
+said AS (
+  SELECT name, c, phase, said FROM alive, (VALUES (1), (3)) p(phase)
+  WHERE (phase = 3 AND c % 3 = 0) OR (phase = 1 AND NOT cleared)
+  UNION ALL SELECT c, NULL, 8, said FROM b),
+start AS (SELECT name, base FROM alive WHERE NOT cleared),
+new AS (SELECT name AS conv_id, coalesce(base, 0) + 2 * (row_number() OVER (
+          PARTITION BY name ORDER BY phase) - 1) AS turn, said FROM said LEFT JOIN start USING (name))
+SELECT name AS conv_id, turn, role, text FROM alive JOIN t USING (c) WHERE NOT cleared
+UNION ALL SELECT conv_id, turn, 'user', said FROM new
+UNION ALL SELECT conv_id, turn + 1, 'assistant', 'ok' FROM new""")
+def q_chat_change_log(spark, d):
+    """Appends, clears, deletes and chained, failing and overwriting renames in one log."""
+    from tremolo.operators import chat_log
+    t = _turns(spark, d)
+    return chat_log.apply_log(t, ch.sessions_of(t), _change_log(spark, d))[1]
+
+
 # ------------------------------------------------------------------ incidents (AG24, AG25)
 
 from tremolo.operators import incidents as inc  # noqa: E402
@@ -759,6 +810,7 @@ def q_answer_questions(spark, d):
 # ------------------------------------------------------------------ vectors
 
 from tremolo.functions import vectors as fv  # noqa: E402
+from tremolo.operators import vector_cells  # noqa: E402
 from tremolo.operators import vectors as vec  # noqa: E402
 
 
@@ -839,6 +891,16 @@ def q_vector_knn(spark, d):
     return h.select("query_id", "rank", "corpus_id", F.round("score", 6).alias("score"))
 
 
+@register("vector_knn_cells", _KNN_SQL + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, corpus_id, round(score, 6) AS score
+FROM t WHERE rank <= 3""")
+def q_vector_knn_cells(spark, d):
+    """J6 with pruning: cells whose bound stays below a query's third best score are skipped."""
+    e = _emb(spark, d)
+    h = vector_cells.knn_cells(e, e, 3, exclude_self=True)
+    return h.select("query_id", "rank", "corpus_id", F.round("score", 6).alias("score"))
+
+
 @register("retrieval_context", _KNN_SQL + """
 SELECT t.query_id, string_agg('vec ' || e.vec_id || ', label ' || e.label, chr(10) ORDER BY t.rank)
          AS context

@@ -64,3 +64,16 @@ def ranks(df: DataFrame, key: str, order: tuple, name: str, partitions: int | No
     local = d.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_pid").orderBy(*order)))
     return _joined(local, edges, key).withColumn(
         name, (F.col("_base") + F.col("_k") - 1).cast("long")).drop("_base", "_k", "_pid")
+
+
+def running_sum(df: DataFrame, key: str, order: tuple, value: str, name: str,
+                partitions: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the earlier rows of the same ``key`` in ``order``."""
+    d = _with_partitions(df, key, order, partitions)
+    earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    edges = d.groupBy(key, "_pid").agg(F.sum(value).alias("_n")).select(
+        key, "_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(key, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumn("_here", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return _joined(local, edges, key).withColumn(name, F.col("_base") + F.col("_here")).drop(
+        "_base", "_here", "_pid")

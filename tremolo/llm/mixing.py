@@ -11,16 +11,15 @@ Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and s
 tokens; a target stops at ``MAX_EPOCHS`` times its source's size and the excess is shared
 by weight among the others until none is above.
 
-Scale: nothing runs per source in one task. A source's layout is cut by hash buckets of
-about ``BUCKET_DOCS`` documents: bucket totals are added up over (source, bucket) rows and
-running sums are taken within a bucket only. Slots are ranked the same way, by chunks of
+Scale: nothing runs per source in one task. The layout is range-partitioned by (source, shuffle key, size,
+text, row): rows that share an id, or have none, are cut like any others, partition totals are added up
+and running sums are taken within a partition only. Slots are ranked the same way, by chunks of
 the schedule. Blocks have ``size / PER_SOURCE`` tokens, ``MAX_BLOCK`` at most, so slots
 grow with tokens / MAX_BLOCK. The point-to-source search is an equi-join on grid cells.
 
 Cases: null or empty texts have size 0 and give 0; sources without a word have target 0;
-a null source is a source of its own; documents that tie in the order (the same hash and
-id) are told apart by a count, and repeated rows count as often as they occur. An empty
-table gives an empty result. Columns of the input other than the ones read are left out.
+where no text has a word nothing is taken; a null source is a source of its own; rows of one id lie side by side,
+by size and text, and repeated rows count as often as they occur. An empty table gives an empty result. Columns of the input other than the ones read are left out.
 """
 
 from __future__ import annotations
@@ -29,22 +28,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.llm.common import cut
+from tremolo.operators import ordered
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 PER_SOURCE = 4096
 MAX_BLOCK = 4096
-BUCKET_DOCS = 4096
 CHUNK = 1 << 16  # slots ranked together
 PHI = 0.6180339887498949
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and shuffle key of every row."""
+    """doc_id, source, size, shuffle key, text hash and a number of every row."""
     n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     return docs.select("doc_id", "source", F.coalesce(n, F.lit(0)).cast("long").alias("size"),
                        F.md5(F.concat(F.lit("mix:"), F.coalesce(
-                           F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
+                           F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+                       F.xxhash64("text").alias("text_hash"),
+                       F.monotonically_increasing_id().alias("row"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS,
@@ -88,9 +89,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     s = s.withColumn("need", need).withColumn("needed", F.sum("need").over(everything))
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("up", F.sum("need").over(running))
-    return s.withColumn("lo", (F.col("up") - F.col("need")) / F.col("needed")).withColumn(
-        "hi", F.when(F.row_number().over(order) == F.count("*").over(everything), F.lit(1.0))
-        .otherwise(F.col("up") / F.col("needed"))).select(
+    some = F.col("needed") > 0  # without a word in any text there are no slots
+    return s.withColumn("lo", F.when(some, (F.col("up") - F.col("need")) / F.col("needed")).otherwise(
+        0.0)).withColumn("hi", F.when(~some, 0.0).when(
+            F.row_number().over(order) == F.count("*").over(everything), 1.0).otherwise(
+            F.col("up") / F.col("needed"))).select(
         "source", "source_size", "n_docs", "target", "block", "n_blocks", "need", "lo", "hi")
 
 
@@ -120,25 +123,10 @@ def schedule(sources: DataFrame, epochs: int = MAX_EPOCHS) -> DataFrame:
         "slot", "source", F.pmod("rank", "n_blocks").alias("block_no"))
 
 
-def layout(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """doc_id, source, key, copy, size, start: where a document's tokens lie in its source."""
-    busiest = sources.agg(F.max("n_docs")).first()[0] or 1
-    n = max(1, -(-busiest // BUCKET_DOCS))
-    at = sized.where("size > 0").withColumn("bucket", F.floor(
-        F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n / float(1 << 32)))
-    totals = at.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)  # one row per source and bucket
-    totals = totals.select("source", "bucket",
-                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size")
-    at = at.withColumn("upto", F.sum("size").over(
-        inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn(
-        "copy", F.row_number().over(Window.partitionBy("source", "bucket", "key").orderBy("size")))
-    return at.alias("a").join(totals.alias("b"), F.expr(
-        "a.source <=> b.source AND a.bucket = b.bucket")).select(
-        "a.doc_id", "a.source", "a.key", "a.copy", "a.size",
-        (F.col("a.upto") + F.col("b.base")).alias("start"))
+def layout(sized: DataFrame) -> DataFrame:
+    """The rows with words, and start: where a document's tokens lie in its source."""
+    return ordered.running_sum(sized.where("size > 0"), "source", ("key", "size", "text_hash", "row"),
+                               "size", "start")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -146,7 +134,7 @@ def mix(docs: DataFrame) -> DataFrame:
     sized = cut(sizes(docs))
     sources = cut(targets(sized))
     times = schedule(sources).groupBy("source", "block_no").agg(F.count("*").alias("times"))
-    placed = layout(sized, sources).alias("a").join(
+    placed = layout(sized).alias("a").join(
         sources.alias("b"), F.expr("a.source <=> b.source")).select(
         "a.*", F.col("b.block").alias("tokens"))
     last = F.floor((F.col("start") + F.col("size") - 1) / F.col("tokens"))
@@ -156,10 +144,10 @@ def mix(docs: DataFrame) -> DataFrame:
         - F.greatest("start", F.col("block_no") * F.col("tokens")))
     given = pieces.alias("a").join(times.alias("b"), F.expr(
         "a.source <=> b.source AND a.block_no = b.block_no"), "left").groupBy(
-        "a.doc_id", "a.source", "a.key", "a.copy", "a.size").agg(
+        "a.doc_id", "a.source", "a.row", "a.size").agg(
         F.sum(F.col("a.piece") * F.coalesce("b.times", F.lit(0))).cast("long").alias("taken"))
     given = given.unionByName(sized.where("size = 0").select(
-        "doc_id", "source", "key", F.lit(1).alias("copy"), "size",
+        "doc_id", "source", "row", "size",
         F.lit(0).cast("long").alias("taken")))
     return given.alias("a").join(sources.alias("b"), F.expr("a.source <=> b.source")).select(
         "a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "a.taken")

@@ -26,7 +26,8 @@ windows over ``SPLIT`` buckets by the edge, so equal edges still meet.
 Cases: null and empty texts have no words; documents with fewer than 13 words lose nothing;
 a null id is neither smaller nor larger than another, so such rows stay whole and remove nothing;
 rows repeating an id are compared by id only (neither is smaller), each against its own
-text; an empty table gives an empty result; clashing input columns are replaced.
+text: texts that share an id are numbered; ids are integers; an empty table gives an empty result; input columns that
+clash with the new ones, and ``starts``, ``counts`` and ``check``, are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ from tremolo.llm.tokens import (
     unpacked,
     window_hashes,
 )
+from tremolo.operators.ordered import ranks
 
 WINDOW = 13
 GRAM = 5
@@ -62,7 +64,9 @@ HOT_SHARE = 1 / (1 << 20)
 HOT_EDGES = 1 << 17
 LOCAL_EDGES = 16  # a task reports the grams of as many windows
 SPLIT = 1 << 12
-PLACE = (1 << 40) - 1  # low bits of a place: word number; high bits: check of the text
+PLACE_BITS = 31  # low bits of a place: word number; high bits: number of the row among those of its id
+PLACE = (1 << PLACE_BITS) - 1
+FEW_ROWS = 1 << 17  # of at most so many numbered rows the numbers are broadcast
 
 #: edges: ``EDGE_BYTES`` for each window of the piece; ``COUNT_BYTES`` alone: the number of
 #: windows of a piece already decided
@@ -97,7 +101,7 @@ class _Windows:
         self.bucket = minima(window_hashes(hashes, gram), window - gram + 1)
         row = words.row[:len(self.valid)]
         self.doc = ids[s.first:s.first + s.rows][row]
-        self.place = (checks[s.first:s.first + s.rows][row] << 40) | (
+        self.place = (checks[s.first:s.first + s.rows][row] << PLACE_BITS) | (
             np.arange(len(row)) - words.first[row])
         at = np.flatnonzero(self.valid)
         #: windows that a smaller document of this slice has
@@ -233,20 +237,33 @@ def _span_batch(doc, place, n) -> pa.RecordBatch:
         names=["doc_id", "place", "n"])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``check``: 0, or for texts that share an id their number in order of a 64-bit
+    hash. Rows that agree in id and text share the number, and lose the same words."""
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
+    many = texts.groupBy("_id").count().where("count > 1").select("_id")
+    shared = cut(texts.join(many, "_id", "left_semi"))
+    n = shared.count()
+    if not n:
+        return docs.withColumn("check", F.lit(0).cast("long"))
+    numbers = ranks(shared, "_id", ("_hash",), "_number")
+    met = docs.drop("_id", "_hash", "_number").alias("a").join(
+        F.broadcast(numbers) if n <= FEW_ROWS else numbers, (F.col("a.doc_id").cast("long") == F.col("_id"))
+        & (F.xxhash64("a.text") == F.col("_hash")), "left")
+    return met.select("a.*", F.coalesce("_number", F.lit(0).cast("long")).alias("check"))
+
+
 def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, place, n: runs of n repeated windows and where they start (check and word)."""
+    """doc_id, place, n: runs of n repeated windows and where they start (number of the row and word);
+    ``docs`` are numbered."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", text_check().alias("check"))
+        F.col("doc_id").cast("long").alias("doc_id"), "text", "check")
     pieces = texts.mapInArrow(_pieces(window, gram, hot_grams(texts, window, gram)), _PIECE)
     return pieces.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(
         _repeated, _SPAN)
 
 
-def text_check():
-    """16 bits of the text: tells rows apart that repeat an id with another text."""
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))
-
-
 def _cutter(window: int):
     def cut_words(s, state) -> dict[str, list]:
         got: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": []}
@@ -272,16 +289,17 @@ def _cutter(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without ``text``, with n_words, n_removed and kept_text."""
-    spans = repeated_paths(docs, window).groupBy(
-        "doc_id", F.shiftrightunsigned("place", 40).alias("check")).agg(
+    known = numbered(docs.drop("starts", "counts", "check"))
+    spans = repeated_paths(known, window).groupBy(
+        "doc_id", F.shiftrightunsigned("place", PLACE_BITS).alias("check")).agg(
         F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(PLACE)).alias("start"),
                                 F.col("n").cast("long").alias("n"))).alias("spans")).select(
         "doc_id", "check", F.col("spans.start").alias("starts"), F.col("spans.n").alias("counts"))
-    met = docs.drop("starts", "counts").alias("a").join(
-        spans.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id"))
-        & (F.xxhash64("a.text").bitwiseAND(F.lit(0xFFFF)) == F.col("b.check")), "left").select(
+    met = known.alias("a").join(
+        spans.alias("b"), (F.col("a.doc_id").cast("long") == F.col("b.doc_id"))
+        & (F.col("a.check") == F.col("b.check")) & F.col("a.text").isNotNull(), "left").select(
         "a.*", "b.starts", "b.counts")
-    out = add_columns(met, _cutter(window), [
+    out = add_columns(met.drop("check"), _cutter(window), [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_text", T.StringType())], keep_text=False)
     return out.drop("starts", "counts")

@@ -23,9 +23,10 @@ documents' text (one shuffle of the texts that have some); a trigger with more t
 ``GROUP`` phrases is cut into shards by the hash of the suffixes. Coordinates
 of repeats are joined to the texts at the end.
 
-Cases: null and empty texts have no bytes; a null id is a document like any other; repeated
-rows are documents of their own (each makes the other a repeat); texts shorter than
-``WIDTH`` bytes lose nothing; an empty table gives an empty result.
+Cases: null and empty texts have no bytes; a null id is a document like any other, and ids may be of any type;
+repeated rows are documents of their own (each makes the other a repeat), and rows that share an id but not the text
+are told apart by 80 bits of id and text; texts shorter than ``WIDTH`` bytes lose nothing; an empty table gives an
+empty result; input columns that clash with the new ones, and ``starts`` and ``counts``, are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -238,9 +239,10 @@ def _span_rows(doc, place, n) -> pa.RecordBatch:
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """``doc`` (the id, or a hash of the text where it is null) and ``check`` of the text."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-                           ).withColumn("check", F.hash("text").bitwiseAND(F.lit(0xFFFF)).cast("long"))
+    """``doc``: 64 bits of the id and the text, and ``check``: 16 more of the text. Rows that agree in
+    both are the same row repeated and lose the same bytes."""
+    return docs.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn(
+        "check", F.hash("text").bitwiseAND(F.lit(0xFFFF)).cast("long"))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
@@ -295,9 +297,10 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
             F.col("n").cast("long").alias("n"))).alias("spans")).select(
         F.col("doc").alias("_doc"), F.col("check").alias("_check"),
         F.col("spans.start").alias("starts"), F.col("spans.n").alias("counts"))
-    plain = docs.drop("_doc", "_check", "starts", "counts", "doc", "check")
-    met = _with_keys(plain).join(spans, (F.col("doc") == F.col("_doc")) & (
-        F.col("check") == F.col("_check")), "left").drop("doc", "check", "_doc", "_check")
+    plain = docs.drop("starts", "counts").alias("a")
+    met = plain.join(spans, (F.xxhash64("a.doc_id", "a.text") == F.col("_doc")) & (
+        F.hash("a.text").bitwiseAND(F.lit(0xFFFF)) == F.col("_check")), "left").select(
+        "a.*", "starts", "counts")
     out = add_columns(met, _remover(width), [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())],

@@ -101,8 +101,11 @@ def op8_jaccard(spark, d):
 
 @query
 def op9_suffixes(spark, d):
+    """Beyond the contract: n_kept, and has_repeats (some byte was removed)."""
     return prefixfree.remove_repeated_bytes(_texts(spark, d)).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
+        (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 @query

@@ -153,9 +153,11 @@ def _scan(s: Slice, state) -> dict[str, list]:
         expressions, permissive, valid = [], None, False
         if b"spdx" in raw:
             text = raw.decode()
-            for end, _ in tags.iter(text):
-                stop = text.find("\n", end + 1)
-                postfix = parse_expression(text, end + 1, len(text) if stop < 0 else stop)
+            ends = [end + 1 for end, _ in tags.iter(text)]
+            stops = [end - len(TAG) for end in ends[1:]] + [len(text)]  # an expression ends at the next tag
+            for end, behind in zip(ends, stops, strict=True):
+                stop = text.find("\n", end, behind)
+                postfix = parse_expression(text, end, behind if stop < 0 else stop)
                 if postfix is None:
                     labels.add("spdx:invalid")
                     places += 1

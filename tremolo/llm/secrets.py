@@ -211,11 +211,13 @@ def redact(docs: DataFrame) -> DataFrame:
                 F.element_at(a, -1)["start"].alias("start"),
                 F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"))))).otherwise(
             F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    cutting = F.aggregate(merged, F.struct(F.lit("").alias("out"), _zero().alias("at")), lambda a, s: F.struct(
-        F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"),
-                                       (s["start"] - a["at"]).cast("int")),
-                 F.lit("[secret]")).alias("out"), s["end"].alias("at")),
-        lambda a: F.concat(a["out"], F.substring(
-            F.col("text"), (a["at"] + 1).cast("int"), F.char_length("text"))))
+    # the text between the spans, in pieces that are joined once
+    spans = F.col("_spans")
+    part = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
+    before = F.transform(spans, lambda s, i: part(F.when(i == 0, _zero()).otherwise(
+        F.element_at(spans, F.greatest(i, F.lit(1)))["end"]), s["start"]))
+    rest = F.substring(F.col("text"), (F.element_at(spans, -1)["end"] + 1).cast("int"), F.char_length("text"))
+    cutting = F.array_join(F.concat(before, F.array(rest)), "[secret]")
     n = F.size("assign") + F.size("access") + F.size("hex") + F.size("markov")
-    return docs.withColumn("text", F.when(n > 0, cutting).otherwise(F.col("text")))
+    return docs.withColumn("_spans", F.when(n > 0, merged)).withColumn(
+        "text", F.when(n > 0, cutting).otherwise(F.col("text"))).drop("_spans")

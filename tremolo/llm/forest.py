@@ -25,7 +25,8 @@ Cases: null texts and texts without words are never linked (class: their own id)
 text of fewer than five words is a single shingle; copies of a text share its class and
 links, and are not links of one another; a null id is kept (the class id is the smallest
 id that is not null); an empty table gives an empty result. Texts are told apart by a
-64-bit hash. Other columns of the input are left out.
+64-bit hash; ids are integers. Other columns of the input are kept, but for those named like the new ones or
+like a name in ``_OWN``.
 """
 
 from __future__ import annotations
@@ -240,11 +241,15 @@ def similar_texts(units: DataFrame, docs: DataFrame, threshold: float = THRESHOL
         "unit", "links", F.coalesce("root", "unit").alias("root"))
 
 
+#: names used on the way
+_OWN = ("_unit", "_first", "_key", "_class", "_links", "_copies")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
                  trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
                  block: int = BLOCK) -> DataFrame:
     """``docs`` with class_id, n_links (different texts) and n_copies (rows with its text)."""
-    return _classed(docs, threshold, size, trees, depth, recall, block).drop("_unit", "_first")
+    return _classed(docs.drop(*_OWN), threshold, size, trees, depth, recall, block).drop("_unit", "_first")
 
 
 def _classed(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
@@ -284,6 +289,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     none has one) and, of several texts with that id, the one with the least hash. Texts
     without words are classes of their own and stay.
     """
+    docs = docs.drop(*_OWN)
     kept = _classed(docs).where(F.coalesce("_first", F.lit(True)) & F.col("doc_id").cast(
         "long").eqNullSafe(F.col("class_id")))
     columns = docs.columns

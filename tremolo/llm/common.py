@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tremolo.llm.tokens import slices
+from tremolo.llm.tokens import SLICE_BYTES, slices
 from tremolo.session import ensure_checkpoint_dir
 
 
@@ -35,12 +35,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def add_columns(df: DataFrame, compute, fields: list[T.StructField], keep_text: bool = True,
-                setup=None) -> DataFrame:
+                setup=None, limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with new columns computed from whole texts, one Arrow slice at a time.
 
     ``compute(slice, state)`` returns an array or list for every name in ``fields``
     (``slice.part`` has the other columns); ``state`` is what ``setup()`` made once per task. Columns of ``df`` that clash with the
-    new names are replaced. ``keep_text=False`` leaves the text out of the result, so that
+    new names are replaced. A slice has at most ``limit`` bytes of text, or one row. ``keep_text=False`` leaves the text out of the result, so that
     it does not travel back from the Python worker.
     """
     new = {f.name for f in fields}
@@ -53,7 +53,7 @@ def add_columns(df: DataFrame, compute, fields: list[T.StructField], keep_text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for s in slices(batch["text"]):
+            for s in slices(batch["text"], limit):
                 part = s.part = batch.slice(s.first, s.rows)
                 got = compute(s, state)
                 yield pa.RecordBatch.from_arrays(

@@ -46,6 +46,7 @@ SHARD_KEYS = 1 << 17
 PROBES_PER_KEY = 8  # a shard meets at most as many times SHARD_KEYS pairs, on average
 HOT_SHARE = 1 / (1 << 16)
 LEVELS = 64
+SLICE = 1 << 20  # bytes of text worked on at a time
 NO_ID = -(1 << 63)  # a null id, in the arrays
 _PRINT_BASE = 0xC2B2AE3D27D4EB4F
 _U = np.uint64
@@ -81,7 +82,7 @@ class Lines:
             behind = np.where(empty, self.start, solid[np.maximum(hi, 1) - 1] + 1)
         else:
             first = behind = self.start
-        points = np.zeros(n + 1, np.int64)
+        points = np.zeros(n + 1, np.int32)
         np.cumsum((data & 0xC0) != 0x80, out=points[1:])
         self.long = np.flatnonzero(points[behind] - points[first] >= least)
         lower = LOWER[data]
@@ -112,7 +113,7 @@ def _counted(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch["doc_id"])
-            for s in slices(batch["text"]):
+            for s in slices(batch["text"], SLICE):
                 lines = Lines(s, least)
                 mine = lines.of_documents()
                 if not len(mine):
@@ -237,7 +238,7 @@ def _probes(least_chars: int, least: int, front: Shard, shards: int):
         for batch in batches:
             ids = _ids(batch["doc_id"])
             texts = batch["row_text"].to_numpy(zero_copy_only=False)
-            for s in slices(batch["text"]):
+            for s in slices(batch["text"], SLICE):
                 lines = Lines(s, least_chars)
                 mine = lines.of_documents()
                 mine = mine[front.find(lines.hash[mine], lines.print[mine]) < 0]
@@ -324,4 +325,4 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     met = plain.alias("a").join(listed.alias("b"), on, "left").select("a.*", "b.hits")
     return add_columns(met, _cutter(least_chars, least_docs, front), [
         T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
-        T.StructField("kept_text", T.StringType())], keep_text=False).drop("hits")
+        T.StructField("kept_text", T.StringType())], keep_text=False, limit=SLICE).drop("hits")

@@ -11,12 +11,13 @@ deterministic and independent of partitioning:
 * fitting: one ``applyInPandas`` group per tree (256 values each) grows a 1-D
   isolation tree with a numpy generator seeded by (seed, t); with one feature a tree
   is a set of value intervals, each with its path length ``depth + c(leaf size)``;
-* scoring: the forest (trees x leaves rows, fixed size) is broadcast and a pandas UDF
-  scores Arrow batches with ``searchsorted``: s = 2 ** (-mean path / c(256));
+* scoring: the leaves of all trees are merged into one step function of the value (trees x leaves
+  steps at most), with s = 2 ** (-mean path / c(256)) per step; a value's score is one binary search;
 * cut: a reading is anomalous when its score is strictly above the nearest-rank
   (1 - contamination) quantile of the scores, so at most ``contamination`` of the rows
-  are flagged. The quantile is exact: counts per score bucket locate the bucket, then
-  only that bucket's distinct scores are ranked.
+  are flagged. The quantile is exact, from the readings counted per score.
+
+Once the forest is grown the readings are read twice: for those counts, and for the result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ SAMPLE = 256
 SEED = 42
 CONTAMINATION = 0.01
 CANDIDATES = 1.5  # expected candidates of a tree, in samples
-SCORE_BUCKETS = 4096
 EULER = 0.5772156649015329
 
 
@@ -116,50 +116,48 @@ def fit_forest(samples: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Da
     return samples.groupBy("tree").applyInPandas(grow, FOREST_SCHEMA)
 
 
-def score_column(forest_rows, sample_size: int, spark):
-    """A pandas UDF value -> anomaly score for a collected forest (fixed size:
-    trees x leaves rows, checked by the caller)."""
-    by_tree: dict[int, list] = {}
+def step_function(forest_rows, sample_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(breaks, scores): the whole forest as one step function of the value.
+
+    The leaves of all trees are merged: between two neighbouring breaks a value falls into the same leaf of
+    every tree, so it has one score. ``scores[i]`` holds for values from ``breaks[i - 1]`` to below
+    ``breaks[i]``. At most trees x leaves steps, whatever the readings."""
+    trees: dict[int, list] = {}
     for r in forest_rows:
-        by_tree.setdefault(r.tree, []).append((r.lower, r.path))
-    trees = []
-    for t in sorted(by_tree):
-        leaves = sorted(by_tree[t])
-        trees.append((np.array([x[0] for x in leaves]), np.array([x[1] for x in leaves])))
+        trees.setdefault(r.tree, []).append((r.lower, r.path))
+    breaks = np.unique([r.lower for r in forest_rows if np.isfinite(r.lower)])
+    total = np.zeros(len(breaks) + 1)
+    starts = np.concatenate(([-np.inf], breaks))
+    for t in sorted(trees):
+        lower, path = np.array(sorted(trees[t])).T
+        total += path[np.searchsorted(lower, starts, side="right") - 1]
     norm = float(c_factor([sample_size])[0]) or 1.0
-    bc = spark.sparkContext.broadcast(trees)
+    return breaks, np.power(2.0, -(total / max(len(trees), 1)) / norm)
+
+
+def score_column(breaks: np.ndarray, scores: np.ndarray, spark):
+    """A pandas UDF value -> anomaly score: one binary search among the steps, which every
+    task carries (at most trees x leaves of them)."""
+    bc = spark.sparkContext.broadcast((breaks, scores))
 
     @pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
-        x = v.to_numpy(np.float64)
-        total = np.zeros(len(x))
-        for lowers, paths in bc.value:
-            idx = np.searchsorted(lowers, x, side="right") - 1
-            total += paths[np.clip(idx, 0, len(paths) - 1)]
-        mean = total / max(len(bc.value), 1)
-        return pd.Series(np.power(2.0, -mean / norm))
+        at, value = bc.value
+        return pd.Series(value[np.searchsorted(at, v.to_numpy(np.float64), side="right")])
 
     return score
 
 
-def nearest_rank_quantile(scores: DataFrame, q: float, n: int, col: str = "score") -> float | None:
-    """Exact nearest-rank quantile: bucket counts locate the bucket, then the distinct
-    values of that bucket are ranked. Both collected tables are bounded (buckets; one
-    bucket's distinct values)."""
-    if n == 0:
-        return None
-    rank = max(1, math.ceil(q * n))
-    b = F.least(F.floor(F.col(col) * SCORE_BUCKETS), F.lit(SCORE_BUCKETS - 1)).cast("int")
-    counts = sorted(scores.groupBy(b.alias("b")).count().collect())
+def nearest_rank_quantile(scores: DataFrame, q: float, col: str = "score") -> float | None:
+    """Exact nearest-rank quantile of a column with few distinct values (a score per step): one
+    aggregation, whose rows are those values."""
+    counts = sorted((r[col], r["count"]) for r in scores.groupBy(col).count().collect())
+    rank = max(1, math.ceil(q * sum(n for _, n in counts)))
     seen = 0
-    for row in counts:
-        if seen + row["count"] >= rank:
-            inside = sorted(scores.where(b == row["b"]).groupBy(col).count().collect())
-            for s in inside:
-                seen += s["count"]
-                if seen >= rank:
-                    return float(s[col])
-        seen += row["count"]
+    for value, n in counts:
+        seen += n
+        if seen >= rank:
+            return float(value)
     return None
 
 
@@ -185,9 +183,8 @@ def anomaly_points(readings: DataFrame, start: str | None = None, end: str | Non
         if {x.tree for x in forest if x.n_rows == psi} == set(range(n_trees)) or n == 0:
             break
         candidates *= 2
-    scorer = score_column(forest, psi, spark)
-    scored = r.withColumn("score", scorer(F.col("value")))
-    threshold = nearest_rank_quantile(scored.select("score"), 1.0 - contamination, n)
+    scored = r.withColumn("score", score_column(*step_function(forest, psi), spark)(F.col("value")))
+    threshold = nearest_rank_quantile(scored.select("score"), 1.0 - contamination)
     cut = F.lit(threshold if threshold is not None else 2.0)
     label = F.when(F.col("score") > cut, F.lit(-1)).otherwise(F.lit(1))
     return (scored.withColumn("anomaly", label)

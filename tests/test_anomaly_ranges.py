@@ -77,4 +77,56 @@ def test_nearest_rank_quantile_is_exact(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "score double")
     for q in (0.5, 0.9, 0.99, 1.0):
         want = float(np.sort(vals)[max(1, math.ceil(q * len(vals))) - 1])
-        assert an.nearest_rank_quantile(df, q, len(vals)) == want
+        assert an.nearest_rank_quantile(df, q) == want
+    assert an.nearest_rank_quantile(df.limit(0), 0.5) is None
+
+
+def test_step_function_equals_the_trees(spark):
+    """Scores of the merged steps are those of walking every tree, on and beside the breaks."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    rng = np.random.default_rng(3)
+    forest, trees = [], []
+    for t in range(30):
+        leaves = an._grow(np.sort(np.round(rng.normal(3, 1, 64), 1)), np.random.default_rng([1, t]), 6)
+        trees.append(leaves)
+        forest += [SimpleNamespace(tree=t, lower=lo, path=p) for lo, _, p in leaves]
+    breaks, scores = an.step_function(forest, 64)
+    assert len(scores) == len(breaks) + 1 <= 30 * 64
+    values = np.concatenate((breaks, np.nextafter(breaks, -np.inf), [-1e9, 1e9, 0.0]))
+    norm = float(an.c_factor([64])[0])
+    for v in values:
+        paths = [p for leaves in trees for lo, up, p in leaves if lo <= v < up]
+        assert len(paths) == 30
+        got = scores[np.searchsorted(breaks, v, side="right")]
+        assert abs(got - 2.0 ** (-np.mean(paths) / norm)) < 1e-12
+    df = spark.createDataFrame([(float(v),) for v in values], "value double")
+    udf = an.score_column(breaks, scores, spark)
+    assert df.select(udf("value").alias("s")).distinct().count() <= len(scores)
+
+
+def test_range_requests_equal_counting(spark):
+    """Random requests, many at the same dates, against counting readings one by one."""
+    import datetime as dt
+    rnd = random.Random(4)
+    days = [dt.date(2023, 2, 1) + dt.timedelta(days=k) for k in range(40)]
+    rows = [(i, f"{rnd.choice(days[5:30])} {rnd.choice(['00:00:00', '12:30:00', '23:59:59', '23:59:59.9'])}", 1.0, None)
+            for i in range(300)]
+    r = make_readings(spark, rows)
+    req = [(k % 50 if k % 7 else None, str(rnd.choice(days)), str(rnd.choice(days[:6] if k % 3 else days)))
+           for k in range(400)] + [(1, None, "2023-02-01"), (2, "x", None)]
+    times = [dt.datetime.fromisoformat(x[1]) for x in rows]
+
+    def one(q):
+        if q[1] is None or q[2] is None:
+            return (*q, "bad_format", None)
+        s, e = dt.datetime.fromisoformat(q[1]), dt.datetime.fromisoformat(q[2] + " 23:59:59")
+        n = sum(s <= t <= e for t in times)
+        return (*q, "start_after_end", None) if s.date() > e.date() else (*q, *(("ok", n) if n else ("no_data", None)))
+    df = spark.createDataFrame(req, "request_id long, start string, end string")
+    got = rg.range_requests(df, r, "2023-01-01", "2024-01-01")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(one(q)) for q in req)
+    assert rg.range_requests(df.limit(0), r).count() == 0
+    assert {x.status for x in rg.range_requests(df, r.limit(0), "2023-01-01", "2024-01-01").collect()} == {
+        "bad_format", "start_after_end", "no_data"}

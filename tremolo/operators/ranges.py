@@ -4,84 +4,69 @@ A request (start, end) as ``YYYY-MM-DD`` text gets one status, tested in order:
 ``bad_format``, ``start_after_end``, ``out_of_bounds`` (outside the accepted dates),
 ``no_data`` (no reading in [start 00:00:00, end 23:59:59]), ``ok``.
 
-Counting readings per request never joins requests with readings: a per-day table
-holds each day's count and its count up to 23:59:59, prefix sums over a gap-free
-calendar turn any day range into look-ups, and requests reach them by equi-joins on
-dates. The calendar has one row per day of the data's span (its size follows the
-time span, not the rows), so its running sum runs in one small task.
+Counting readings per request is one sweep over dates, which never joins requests with readings: the counts of
+each day (split at 23:59:59) and the two bounds of every request are events in date order, and a running sum
+over range partitions gives, at a bound, the readings before it. A request's count is the difference of its
+bounds. The readings are read once, for the day counts, and the requests once; a date that most
+requests ask for is cut like any other.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremolo.operators.ordered import running_sum
+
 # The accepted date range of the reference's chart tab.
 MIN_DATE, MAX_DATE = "2023-01-08", "2023-12-23"
 
 
 def day_counts(readings: DataFrame) -> DataFrame:
-    """(date, n, n_last, prefix): readings that day, those up to 23:59:59, and the
-    readings on all days up to and including ``date``."""
+    """(date, n, n_last): readings that day, and those of them up to 23:59:59."""
     last_second = (F.col("ts") <= F.to_timestamp_ntz(F.col("date").cast("string")) +
                    F.expr("INTERVAL '23:59:59' HOUR TO SECOND"))
-    per_day = readings.groupBy("date").agg(F.count(F.lit(1)).alias("n"),
-                                           F.count_if(last_second).alias("n_last"))
-    bounds = per_day.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    cal = bounds.select(F.explode(F.sequence("lo", "hi")).alias("date"))
-    full = (cal.join(per_day, "date", "left")
-            .select("date", F.coalesce("n", F.lit(0)).alias("n"),
-                    F.coalesce("n_last", F.lit(0)).alias("n_last")))
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return full.withColumn("prefix", F.sum("n").over(w))
+    return readings.where("date IS NOT NULL").groupBy("date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(last_second).alias("n_last"))
 
 
 def range_requests(requests: DataFrame, readings: DataFrame, min_date: str = MIN_DATE,
                    max_date: str = MAX_DATE) -> DataFrame:
     """PF10: requests (request_id, start, end) -> status and number of readings."""
-    d = day_counts(readings)
-    span = d.agg(F.min("date").alias("lo"), F.max("date").alias("hi"),
-                 F.max("prefix").alias("total")).first()
-    first, last, total = span["lo"], span["hi"], span["total"] or 0
     pat = r"^\d{4}-\d{2}-\d{2}$"
-    fmt_ok = (F.col("start").rlike(pat) & F.col("end").rlike(pat)
-              & F.try_to_date(F.col("start"), "yyyy-MM-dd").isNotNull()
-              & F.try_to_date(F.col("end"), "yyyy-MM-dd").isNotNull())
-    r = (requests.withColumn("_s", F.when(fmt_ok, F.try_to_date(F.col("start"), "yyyy-MM-dd")))
-         .withColumn("_e", F.when(fmt_ok, F.try_to_date(F.col("end"), "yyyy-MM-dd"))))
-    if first is None:
-        r = r.withColumn("n", F.lit(0).cast("long"))
-    else:
-        def clamp(x):
-            return F.least(F.greatest(x, F.lit(first)), F.lit(last))
-
-        def prefix_at(x, name):
-            """P(x) = readings on days <= x, for any date x."""
-            look = d.select(F.col("date").alias(f"_k_{name}"), F.col("prefix").alias(f"_p_{name}"))
-            return look, (F.when(x < F.lit(first), F.lit(0))
-                          .when(x > F.lit(last), F.lit(total))
-                          .otherwise(F.col(f"_p_{name}")))
+    start, end = (F.try_to_date(F.col(c), "yyyy-MM-dd") for c in ("start", "end"))
+    fmt_ok = F.coalesce(F.col("start").rlike(pat) & F.col("end").rlike(pat) & start.isNotNull()
+                        & end.isNotNull(), F.lit(False))
+    asked = requests.select(F.struct(*requests.columns).alias("request"), F.when(fmt_ok, start).alias("s"),
+                            F.when(fmt_ok, end).alias("e"), F.monotonically_increasing_id().alias("row"))
+    # at one date: start bounds, readings up to 23:59:59, end bounds, the readings after
+    place = ("at date", "part int", "row long", "n long")
 
-        e1 = F.date_sub(F.col("_e"), 1)
-        s1 = F.date_sub(F.col("_s"), 1)
-        look_e, p_e = prefix_at(e1, "e")
-        look_s, p_s = prefix_at(s1, "s")
-        look_l = d.select(F.col("date").alias("_k_l"), F.col("n_last").alias("_nl"))
-        r = (r.join(look_e, clamp(e1) == F.col("_k_e"), "left")
-             .join(look_s, clamp(s1) == F.col("_k_s"), "left")
-             .join(look_l, F.col("_e") == F.col("_k_l"), "left"))
-        r = r.withColumn("n", (p_e - p_s + F.coalesce(F.col("_nl"), F.lit(0))).cast("long"))
+    def event(at, part, row, n):
+        return F.struct(*[x.cast(p.split()[1]).alias(p.split()[0]) for x, p in zip((at, part, row, n), place)])
+    row, none = F.col("row"), F.lit(None)
+    bounds = asked.select("request", "s", "e", F.explode(F.when(F.col("s").isNull(), F.array(
+        event(none, F.lit(0), row, none))).otherwise(F.array(
+            event(F.col("s"), F.lit(0), row, none), event(F.col("e"), F.lit(2), row, none)))).alias("x"))
+    days = day_counts(readings).select(F.explode(F.array(
+        event(F.col("date"), F.lit(1), F.lit(-1), F.col("n_last")),
+        event(F.col("date"), F.lit(3), F.lit(-1), F.col("n") - F.col("n_last")))).alias("x"))
+    events = bounds.unionByName(days, allowMissingColumns=True).select("request", "s", "e", "x.*").withColumn(
+        "line", F.lit(0))
+    swept = running_sum(events, "line", ("at", "part", "row"), "n", "before").where("row >= 0")
+    signed = F.when(F.col("part") == 2, F.col("before")).otherwise(-F.col("before"))
+    counted = swept.groupBy("row").agg(F.first("request").alias("request"), F.first("s").alias("s"),
+                                       F.first("e").alias("e"), F.sum(signed).alias("n"))
     lo, hi = _dt.date.fromisoformat(min_date), _dt.date.fromisoformat(max_date)
-    status = (F.when(~fmt_ok, F.lit("bad_format"))
-              .when(F.col("_s") > F.col("_e"), F.lit("start_after_end"))
-              .when((F.col("_s") < F.lit(lo)) | (F.col("_e") > F.lit(hi)), F.lit("out_of_bounds"))
+    status = (F.when(F.col("s").isNull(), F.lit("bad_format"))
+              .when(F.col("s") > F.col("e"), F.lit("start_after_end"))
+              .when((F.col("s") < F.lit(lo)) | (F.col("e") > F.lit(hi)), F.lit("out_of_bounds"))
               .when(F.col("n") == 0, F.lit("no_data"))
               .otherwise(F.lit("ok")))
-    out = r.withColumn("status", status)
-    return out.select(*requests.columns, "status",
-                      F.when(F.col("status") == "ok", F.col("n")).alias("n_readings"))
+    return counted.withColumn("status", status).select("request.*", "status", F.when(
+        F.col("status") == "ok", F.col("n")).cast("long").alias("n_readings"))
 
 
 def range_readings(readings: DataFrame, start: str, end: str) -> DataFrame:

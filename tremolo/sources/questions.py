@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremolo.operators.ordered import ranks
+from tremolo.sources.records import csv_records
+
 # Column names of the reference's question files.
 COL_GROUP, COL_QUESTION, COL_ANSWER, COL_VERDICT = "Soru No", "Soru", "Cevap", "Doğru Cevap"
 QUESTION_SCHEMA = (f"`{COL_GROUP}` int, `{COL_QUESTION}` string, `{COL_ANSWER}` string, "
@@ -14,20 +17,17 @@ QUESTION_SCHEMA = (f"`{COL_GROUP}` int, `{COL_QUESTION}` string, `{COL_ANSWER}`
 def read_question_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: read a question CSV as (row_no, group_no, question, answer, verdict).
 
-    Answers hold line breaks, so the file is read with ``multiLine`` (one task per
-    file: such a file is not splittable; land it once as parquet for repeated use).
-    ``row_no`` is the 0-based file position: one file is read by one task in order,
-    so a row number over the read order is the file order."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').schema(QUESTION_SCHEMA).csv(path))
-    with_pos = raw.withColumn("_pos", F.monotonically_increasing_id())
-    from tremolo.operators.consistency import dense_row_number
-    numbered = dense_row_number(with_pos, "_pos", "row_no")
-    return numbered.select(
-        "row_no", F.col(COL_GROUP).cast("long").alias("group_no"),
-        F.col(COL_QUESTION).alias("question"),
-        F.when(F.length(F.col(COL_ANSWER)) > 0, F.col(COL_ANSWER)).alias("answer"),
-        F.col(COL_VERDICT).alias("verdict_in"))
+    Answers hold line breaks; ``records.csv_records`` cuts the file into records in any number of
+    tasks. ``row_no`` is the 0-based place of the record in its file (of several files in order of
+    their names), without header and blank lines."""
+    found = csv_records(spark, path).where("record > 0").select(
+        F.lit(0).alias("table"), "file", "record", F.from_csv("value", F.lit(QUESTION_SCHEMA), {"escape": '"'}
+                                                             ).alias("r"))
+    return ranks(found, "table", ("file", "record"), "row_no").select(
+        "row_no", F.col(f"r.{COL_GROUP}").cast("long").alias("group_no"),
+        F.col(f"r.{COL_QUESTION}").alias("question"),
+        F.when(F.length(F.col(f"r.{COL_ANSWER}")) > 0, F.col(f"r.{COL_ANSWER}")).alias("answer"),
+        F.col(f"r.{COL_VERDICT}").alias("verdict_in"))
 
 
 def write_question_table(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremolo.operators.ordered import last_known, ranks
+from tremolo.sources.records import json_objects
+
 # The message icons.
 USER_ICON, ASSISTANT_ICON = "🧑", "🤖"
 
 CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string, turn: bigint>>>"
-PAIR_BLOCK = 1024
+#: outside messages a chat file has names, brackets, braces and separators only
+_STRING = r'"(?:[^"\\]++|\\[\s\S])*+"'
+_SESSION_NAME = r'"((?:[^"\\]++|\\[\s\S])*+)"\s*:\s*\['
+_BEFORE_MESSAGE = (r'^(?:[\s,\[\]}]++|\{(?=\s*' + _STRING + r'\s*:\s*\[)|' + _STRING
+                   + r'\s*:\s*(?=\[))*+')
 CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 
 
@@ -22,12 +29,28 @@ CONTENT_RE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\n(\S+) ([\s\S]*)$"
 
 def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the reference's JSON file (session name -> list of {role, content}) as turns
-    ``conv_id, turn, role, content``. Each file is one JSON document, read whole; the
-    files written by :func:`write_chat_json` (one turn per line, with its number) read the
-    same way."""
-    doc = spark.read.text(path, wholetext=True)
-    return flatten_sessions(doc.select(
-        F.explode(F.split(F.col("value"), "\n(?=\\{)")).alias("value")), "value")
+    ``conv_id, turn, role, content``. A document of any size is cut at the end of its messages
+    (``records.json_objects``), so no row holds more than a message; the files written by
+    :func:`write_chat_json` (one turn per line, with its number) read the same way.
+
+    A message belongs to the last session name before it, and without a number of its own it takes its
+    place in the session. Sessions without messages have no turns."""
+    found = json_objects(spark, path)
+    # in front of a message: the names of the sessions that begin there, the last one with a message
+    head = F.regexp_extract("value", _BEFORE_MESSAGE, 0)
+    names = F.regexp_extract_all(head, F.lit(_SESSION_NAME), F.lit(1))
+    rows = found.withColumn("body", F.substr("value", F.length(head) + 1)).where(
+        F.col("body") != "").withColumn("name", F.when(F.size(names) > 0, F.element_at(names, -1)))
+    begins = F.when(F.col("name").isNotNull(), F.struct("name", "record"))
+    rows = last_known(rows, "file", ("record",), begins, "session").where("session IS NOT NULL")
+    message = F.from_json("body", "role string, content string, turn bigint")
+    # a name begins a session of its own each time: places are counted from it
+    placed = ranks(rows.select("file", "record", message.alias("m"), F.col("session.name").alias("name"),
+                               F.struct("file", "session.record").alias("begin")), "begin", ("record",), "place")
+    name = F.from_json(F.concat(F.lit('{"n":"'), "name", F.lit('"}')), "n string")["n"]  # its escapes
+    return placed.select(F.nullif(name, F.lit("")).alias("conv_id"),
+                         F.coalesce(F.col("m.turn"), F.col("place")).alias("turn"),
+                         F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
 def flatten_sessions(nested: DataFrame, json: str = "json") -> DataFrame:
@@ -36,7 +59,7 @@ def flatten_sessions(nested: DataFrame, json: str = "json") -> DataFrame:
     sessions = nested.select(F.explode(F.from_json(json, CHAT_JSON_SCHEMA))
                              .alias("conv_id", "messages"))
     return sessions.select("conv_id", F.posexplode("messages").alias("pos", "m")).select(
-        "conv_id", F.coalesce(F.col("m.turn"), F.col("pos").cast("long")).alias("turn"),
+        F.nullif("conv_id", F.lit("")).alias("conv_id"), F.coalesce(F.col("m.turn"), F.col("pos").cast("long")).alias("turn"),
         F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
@@ -61,7 +84,8 @@ def build_content(said_at, role, text) -> F.Column:
 
 
 def _as_json(messages: F.Column) -> F.Column:
-    return F.to_json(F.create_map(F.col("conv_id").cast("string"), messages))
+    """A session without an id is written under the empty key, and read back as NULL."""
+    return F.to_json(F.create_map(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), messages))
 
 
 def nest_sessions(turns: DataFrame, content: str = "content") -> DataFrame:
@@ -96,9 +120,17 @@ def sessions_of(turns: DataFrame) -> DataFrame:
 
 def read_session(turns: DataFrame, requests: DataFrame) -> DataFrame:
     """The turns of the requested sessions (``conv_id``) in order; a session requested
-    twice is read once."""
-    return turns.join(requests.select("conv_id").distinct(), "conv_id", "left_semi").orderBy(
-        "conv_id", "turn")
+    twice is read once, and a NULL request reads the turns without an id."""
+    return turns.join(_ids(requests), _same_id(turns), "left_semi").orderBy("conv_id", "turn")
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("conv_id").alias("_id")).distinct()
+
+
+def _same_id(turns: DataFrame) -> F.Column:
+    """Equal ids, NULL being an id like any other."""
+    return turns["conv_id"].eqNullSafe(F.col("_id"))
 
 
 def list_sessions(sessions: DataFrame, limit: int | None = None) -> DataFrame:
@@ -110,30 +142,28 @@ def list_sessions(sessions: DataFrame, limit: int | None = None) -> DataFrame:
 def pairs(turns: DataFrame, text: str = "text") -> DataFrame:
     """(user message, following assistant reply) pairs per session.
 
-    The reply is the session's next existing turn (numbers may have gaps) when it is the
-    assistant's; a user turn without one gets a NULL reply. The next turn is looked up inside
-    blocks of ``PAIR_BLOCK`` turn numbers, and a block's last turn takes the first one of
-    the next non-empty block, so a very long session is never gathered in one task."""
-    rows = turns.select("conv_id", "turn", "role", F.col(text).alias("message"),
-                        F.floor(F.col("turn") / PAIR_BLOCK).alias("_block"))
-    row = F.struct("turn", "role", "message")
-    inside = Window.partitionBy("conv_id", "_block").orderBy("turn")
-    across = Window.partitionBy("conv_id").orderBy("_block")  # one row per block
-    nxt = rows.groupBy("conv_id", "_block").agg(F.min(row).alias("_first")).select(
-        "conv_id", "_block", F.lead("_first").over(across).alias("_later"))
-    linked = rows.withColumn("_next", F.lead(row).over(inside)).where(
-        F.col("role") == "user").join(nxt, ["conv_id", "_block"]).withColumn(
-        "_next", F.coalesce("_next", "_later"))
-    return linked.select("conv_id", "turn", "message", F.when(
+    The reply is the session's next existing turn (numbers may have gaps; turns without a number come
+    first) when it is the assistant's; a user turn without one gets a NULL reply. Turns without an id are
+    one session. The next turn is the one before in descending order, looked up in range partitions
+    (``ordered.last_known``), so a very long session is never gathered in one task; of turns with one number
+    the order is that of role and text."""
+    rows = turns.select("conv_id", "turn", "role", F.col(text).alias("message")).withColumns({
+        "_t": -F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))),
+        "_back": F.struct((F.col("role") == "user").alias("a"), F.xxhash64("role", "message").alias("b")),
+    })
+    linked = last_known(rows, "conv_id", ("_t", "_back"), F.struct("role", "message"), "_next", before=True)
+    return linked.where(F.col("role") == "user").select("conv_id", "turn", "message", F.when(
         F.col("_next.role") == "assistant", F.col("_next.message")).alias("reply"))
 
 
 def undo_last_pair(turns: DataFrame, text: str = "text") -> DataFrame:
     """The pairs of each session without its last pair (the last user turn is found
-    by a per-session max, a partial aggregate)."""
+    by a per-session max, a partial aggregate). Turns without a number come first; of a session that has
+    no other ones all are kept but none can be told to be the last."""
     p = pairs(turns, text)
-    last = p.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    return (p.join(last, "conv_id").where(F.col("turn") < F.col("_last")).drop("_last"))
+    last = p.groupBy(F.col("conv_id").alias("_id")).agg(F.max("turn").alias("_last"))
+    return p.join(last, F.col("conv_id").eqNullSafe(F.col("_id"))).where(
+        F.col("turn").isNull() | (F.col("turn") < F.col("_last"))).drop("_id", "_last")
 
 
 # ------------------------------------------------------------------ changes as batch jobs
@@ -166,14 +196,14 @@ def new_session_id(sessions: DataFrame) -> DataFrame:
 
 
 def clear_sessions(turns: DataFrame, targets: DataFrame) -> DataFrame:
-    """Drop all turns of the target sessions; the sessions themselves stay."""
-    return turns.join(targets.select("conv_id").distinct(), "conv_id", "left_anti")
+    """Drop all turns of the target sessions (NULL: those without an id); the sessions themselves stay."""
+    return turns.join(_ids(targets), _same_id(turns), "left_anti")
 
 
 def delete_sessions(sessions: DataFrame, turns: DataFrame, targets: DataFrame):
     """Remove the target sessions and their turns. Returns (sessions, turns)."""
-    t = targets.select("conv_id").distinct()
-    return (sessions.join(t, "conv_id", "left_anti"), turns.join(t, "conv_id", "left_anti"))
+    t = _ids(targets)
+    return (sessions.join(t, _same_id(sessions), "left_anti"), turns.join(t, _same_id(turns), "left_anti"))
 
 
 def rename_sessions(turns: DataFrame, renames: DataFrame) -> DataFrame:

@@ -67,3 +67,52 @@ def test_read_session_takes_a_table_of_ids(spark):
                                   "conv_id long, turn long, role string, text string")
     asked = spark.createDataFrame([(1,), (3,), (3,), (9,)], "conv_id long")
     assert [r.text for r in read_session(turns, asked).collect()] == ["1.0", "1.1", "3.0", "3.1"]
+
+
+def _scanned_rows(df) -> int:
+    """Rows that the scans of a finished query gave on (after row groups were skipped)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    rows = 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if "Adaptive" in leaf.getClass().getSimpleName() or "QueryStage" in leaf.getClass().getSimpleName():
+            continue
+        rows += leaf.metrics().apply("numOutputRows").value()
+    return rows
+
+
+def test_level_filters_reach_the_scan(spark):
+    for name, bound in (("filter_level", "GreaterThanOrEqual(value,14.0)"),
+                        ("peak_days_red", "GreaterThanOrEqual(value,14.0)"),
+                        ("peak_days_yellow", "LessThan(value,11.2)")):
+        assert bound in _plan(R.QUERIES[name](spark, SF01)), name
+
+
+def test_sorted_files_skip_row_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tremolo.functions.levels import at_level
+    from tremolo.sources.readings import events_readings, write_readings
+    plain, clustered = str(tmp_path / "plain"), str(tmp_path / "clustered")
+    r = events_readings(spark, "/root/testdata/sf0.1")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    small = {"parquet.block.size": "4096", "parquet.page.size": "1024"}  # groups of about 100 rows
+    for k, v in small.items():
+        conf.set(k, v)
+    write_readings(r, clustered)
+    r.repartition(8, "reading_id").write.partitionBy("date").parquet(plain)
+    for k in small:
+        conf.unset(k)
+    read = {}
+    for path in (plain, clustered):
+        stored = spark.read.parquet(path)
+        for level, bound in (("ORANGE", "GreaterThanOrEqual(value,11.2)"), ("RED", "GreaterThanOrEqual(value,14.0)")):
+            found = at_level(stored, level, ()).select("reading_id")
+            assert bound in _plan(found)
+            assert found.count() == r.where(F.col("level") == level).count()
+            read[path, level] = _scanned_rows(found)
+    assert read[clustered, "ORANGE"] < 0.6 * read[plain, "ORANGE"]
+    odd = stored.withColumn("value", F.when(F.col("reading_id") % 2 == 0, F.col("value")))
+    assert at_level(odd, "RED", ()).count() == at_level(odd, "RED").count()  # RED without a value was NaN

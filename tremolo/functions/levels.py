@@ -36,6 +36,30 @@ def band_level(value: Column | str, thresholds: tuple[float, float, float] | Non
     return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(expr)
 
 
+def in_band(level: str, value: Column | str, thresholds: tuple[float, float, float] | None = None) -> Column:
+    """``band_level(value) = level`` written as the band's value range, which a parquet scan can check
+    against the minimum and maximum of its row groups. NaN is above every number, hence RED."""
+    v = F.col(value) if isinstance(value, str) else value
+    for name, lower, upper in bands(thresholds):
+        if name == level:
+            parts = ([v >= F.lit(lower)] if lower is not None else []) + (
+                [v < F.lit(upper)] if upper is not None else [])
+            return parts[0] if len(parts) == 1 else parts[0] & parts[1]
+    return F.lit(False)
+
+
+def at_level(readings: DataFrame, level: str,
+             thresholds: tuple[float, float, float] | None = None) -> DataFrame:
+    """PF2: readings at ``level``. With ``thresholds`` (those that the levels were banded with; the
+    module's own: ``()``) the value range is asked for as well, so that sorted files are skipped by their
+    statistics; a value that is missing although there is a level was NaN, hence RED."""
+    same = F.col("level") == level
+    if thresholds is None:
+        return readings.where(same)
+    band = in_band(level, "value", thresholds or None)
+    return readings.where(same & (band | F.col("value").isNull() if level == LEVELS[-1] else band))
+
+
 def normalize_level(raw: Column | str) -> Column:
     """Stored level spelling (``Red``, ``red``, ``RED``) -> upper case, trimmed."""
     c = F.col(raw) if isinstance(raw, str) else raw

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tremolo.functions.levels import band_level, normalize_level
+from tremolo.functions.levels import band_level, in_band, normalize_level
 
 RAW_CSV_SCHEMA = "Timestamp string, Value string, Situation string"
 READING_COLUMNS = ["reading_id", "machine_id", "ts", "value", "level", "level_raw", "date"]
@@ -74,9 +74,12 @@ def finish_readings(df: DataFrame) -> DataFrame:
 
 def readings_from_table(df: DataFrame, *, ts: str, value: str, machine: str | Column,
                         reading_id: str, level: str | None = None,
-                        thresholds=None) -> DataFrame:
+                        thresholds=None, only_level: str | None = None) -> DataFrame:
     """Adapter: any table with a time, a value, a machine key and a unique id becomes
-    readings. Without a level column the level is banded from the value."""
+    readings. Without a level column the level is banded from the value, and ``only_level`` reads
+    that level's value range only."""
+    if only_level is not None and level is None:
+        df = df.where(in_band(only_level, value, thresholds))
     m = F.col(machine) if isinstance(machine, str) else machine
     lv = F.col(level) if level else band_level(F.col(value), thresholds)
     out = df.select(
@@ -86,15 +89,16 @@ def readings_from_table(df: DataFrame, *, ts: str, value: str, machine: str | Co
         F.col(value).cast("double").alias("value"),
         lv.alias("level_raw"),
     )
-    return finish_readings(out)
+    done = finish_readings(out)
+    return done if only_level is None else done.where(F.col("level") == only_level)
 
 
-def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_readings(spark: SparkSession, sf_dir: str, only_level: str | None = None) -> DataFrame:
     """Driver ``events`` as readings: one machine per ``event_type``, value banded with
     the reference thresholds."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return readings_from_table(ev, ts="ts", value="value", machine="event_type",
-                               reading_id="event_id")
+                               reading_id="event_id", only_level=only_level)
 
 
 def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +111,11 @@ def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_readings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Land readings as parquet partitioned by ``date`` so day and range filters prune files."""
-    df.write.mode(mode).partitionBy("date").parquet(path)
+    """Land readings as parquet partitioned by ``date``, so that day and range filters prune files, and sorted
+    by machine and value inside, so that machine, value and level filters skip row groups by
+    their statistics. A date of any size is cut into ranges."""
+    by = ("date", "machine_id", "value")
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def clean_readings(df: DataFrame, *, ts: str, value: str, machine: str, reading_id: str,

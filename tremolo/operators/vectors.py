@@ -46,10 +46,11 @@ def centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> Da
 
 def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
                    qvec: str = "embedding", cat_id: str = "label", cat_vec: str = "centroid",
-                   max_rows: int = MAX_CATALOGUE_ROWS) -> DataFrame:
+                   max_rows: int = MAX_CATALOGUE_ROWS, cosine: bool = False) -> DataFrame:
     """Queries plus (rank, <cat_id>, score) for the k best catalogue entries; ties
     go to the smaller catalogue id. Entries whose vector is NULL, holds a NULL, NaN or infinity, or
-    is not as long as most are never found; queries with such a vector get no rows.
+    is not as long as most are never found; queries with such a vector get no rows. With ``cosine`` scores are
+    divided by the lengths of both vectors, and zero vectors count as unusable.
 
     The catalogue is read once and its size checked; it is broadcast as a matrix, and a task
     scores its queries in chunks of ``SCORE_CELLS`` scores."""
@@ -60,7 +61,7 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
     lengths = [len(v) for v in vectors if len(v)]
     dims = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
     rows = [(r[0], v) for r, v in zip(rows, vectors, strict=True)
-            if dims and len(v) == dims and np.isfinite(v).all()]
+            if dims and len(v) == dims and np.isfinite(v).all() and (v.any() or not cosine)]
     rows.sort(key=lambda r: r[0])  # of equal scores the first, by a stable sort
     matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dims)
     bc = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix))
@@ -81,9 +82,11 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
                 at = full[i:i + step]
                 values = batch[qvec].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
                 values = values.astype(np.float64).reshape(len(at), -1)
-                fine = np.isfinite(values).all(axis=1)
+                fine = np.isfinite(values).all(axis=1) & (values.any(axis=1) | (not cosine))
                 at, values = at[fine], values[fine]
                 scores = values @ mat.T
+                if cosine:
+                    scores = scores / (_lengths(values)[:, None] * _lengths(mat)[None, :])
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :best]
                 part = batch.take(pa.array(np.repeat(at, best)))
                 yield pa.RecordBatch.from_arrays(
@@ -96,6 +99,10 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
     return queries.mapInArrow(score, T.StructType(kept + new))
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(axis=1))
+
+
 def best_match(topk: DataFrame, ids: list[str], cat_id: str, threshold: float) -> DataFrame:
     """T5: per query the best entry when its score reaches ``threshold``."""
     return (topk.where((F.col("rank") == 1) & (F.col("score") >= threshold))

@@ -22,15 +22,23 @@ from tremolo.functions.levels import LEVELS, bands
 from tremolo.functions.text import join_sorted
 from tremolo.operators import catalogue as cat
 from tremolo.operators import sequence as seq
+from tremolo.plans.intents import entries
 from tremolo.session import ensure_checkpoint_dir
 from tremolo.sources.static import STATIC_ANSWERS
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join on equal columns, NULL being equal to NULL: a NULL machine is a machine like any other."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def daily_table(readings: DataFrame) -> DataFrame:
     """(machine_id, date) -> min, max, mean value and dominant level."""
     s = cat.day_summary(readings)
     m = cat.day_mode_level(readings).select("machine_id", "date", "mode_level")
-    return s.join(m, ["machine_id", "date"], "left")
+    return _joined(s, m, ["machine_id", "date"])
 
 
 def answer_day_questions(questions: DataFrame, readings: DataFrame,
@@ -38,7 +46,7 @@ def answer_day_questions(questions: DataFrame, readings: DataFrame,
     """Questions with (machine_id, date) get that day's statistics (NULL when the
     machine has no reading that day)."""
     daily = daily_table(readings).withColumnRenamed("date", date_col)
-    return questions.join(daily, ["machine_id", date_col], "left")
+    return _joined(questions, daily, ["machine_id", date_col])
 
 
 #: level of a look-back that asks for any reading
@@ -61,7 +69,7 @@ def lookback_days(readings) -> DataFrame:
 
     apart = month_index("_mx") - month_index("last_ts")
     enters = apart + (F.col("last_ts") < F.col("_mx") - cat.lookback_interval(apart)).cast("int")
-    seen = roll.join(last, "machine_id").withColumn("months", enters)
+    seen = _joined(roll, last, ["machine_id"], "inner").withColumn("months", enters)
     by_level = seen.where("level IS NOT NULL").select("machine_id", "level", "months")
     at_all = seen.groupBy("machine_id", "period").agg(F.min("months").alias("months")).select(
         "machine_id", F.lit(ANY_LEVEL).alias("level"), "months")
@@ -72,7 +80,7 @@ def lookback_days(readings) -> DataFrame:
         *[F.lit(x) for x in (*LEVELS, ANY_LEVEL)])).alias("level")).withColumn(
         "months", F.explode(F.sequence(F.lit(0), F.col("span"))))
     w = Window.partitionBy("machine_id", "level").orderBy("months")  # one row per month of data
-    return grid.join(counted, ["machine_id", "level", "months"], "left").select(
+    return _joined(grid, counted, ["machine_id", "level", "months"]).select(
         "machine_id", "level", "months", "span",
         F.sum(F.coalesce("_n", F.lit(0))).over(w).alias("days"))
 
@@ -87,10 +95,11 @@ def lookback_answers(params: DataFrame, readings) -> DataFrame:
     spans = table.groupBy("machine_id").agg(F.max("span").alias("span"))
     days = table.select("machine_id", F.col("level").alias("_level"),
                         F.col("months").alias("_months"), "days")
-    return params.select("machine_id", "months", "level").join(spans, "machine_id").withColumns({
+    asked = _joined(params.select("machine_id", "months", "level"), spans, ["machine_id"], "inner").withColumns({
         "_level": F.coalesce("level", F.lit(ANY_LEVEL)),
         "_months": F.least("months", "span"),
-    }).join(days, ["machine_id", "_level", "_months"], "left").select(
+    })
+    return _joined(asked, days, ["machine_id", "_level", "_months"]).select(
         "machine_id", "months", "level", F.coalesce("days", F.lit(0)).alias("days"))
 
 
@@ -213,7 +222,7 @@ def _month_answers(src) -> DataFrame:
                  _fmt2(F.sum("total") / F.sum("n"))).alias("t"))
     of_years = years.groupBy("machine_id").agg(F.array_join(F.transform(F.array_sort(
         F.collect_list(F.struct("y", "t"))), lambda x: x["t"]), ", ").alias("e26"))
-    return of_months.join(of_years, "machine_id", "left")
+    return _joined(of_months, of_years, ["machine_id"])
 
 
 def _change_answers(changes: DataFrame) -> DataFrame:
@@ -235,7 +244,7 @@ def catalogue_answers(readings, year: int | None = None, gap_seconds: float = 60
     Values only (dates, numbers, levels) joined as text; numbers with two places. ``year`` is
     the calendar year of the entries that name one; by default the last year with readings.
     Computed once per readings snapshot: the rollup-based entries take three aggregations of
-    the stored daily rollup, and the readings are read for the rollup and for one sorted
+    the stored daily rollup (a NULL machine has its own), and the readings are read for the rollup and for one sorted
     pass that gives the level changes and the red runs. Every (machine, entry) has an answer; an empty list is
     an empty text. The result has machines x 30 rows."""
     src = readings if isinstance(readings, cat.Prepared) else cat.prepare(readings)
@@ -247,7 +256,11 @@ def catalogue_answers(readings, year: int | None = None, gap_seconds: float = 60
         F.date_format("end_ts", "yyyy-MM-dd HH:mm")).alias("e0"))
     wide = _rollup_answers(src, year, recent_days, recent_levels_days)
     for part in (_day_answers(src), _month_answers(src), _change_answers(seq.days_of(ordered)), runs):
-        wide = wide.join(part, "machine_id", "left")
+        wide = _joined(wide, part, ["machine_id"])
+    for e in entries():
+        if e.fn is not None and not e.params:  # registered; of several answers of a machine the least
+            part = e.fn(src.readings).groupBy("machine_id").agg(F.min("answer").alias(f"e{e.intent_id}"))
+            wide = _joined(wide, part, ["machine_id"])
     band_text = "; ".join(f"{lv}: {'' if lo is None else lo}-{'' if up is None else up}"
                           for lv, lo, up in bands())
     red_from = [lo for lv, lo, _ in bands() if lv == "RED"][0]
@@ -275,29 +288,37 @@ def month_answers(readings) -> DataFrame:
     machines = roll.select("machine_id").distinct()
     found = roll.where(level.isNotNull()).groupBy("machine_id", "level").agg(
         F.collect_set(label).alias("m"))
-    by_level = machines.select("machine_id", grid.alias("level")).join(
-        found, ["machine_id", "level"], "left").withColumn("m", F.coalesce("m", F.array()))
+    by_level = _joined(machines.select("machine_id", grid.alias("level")), found, [
+        "machine_id", "level"]).withColumn("m", F.coalesce("m", F.array()))
     counts = by_level.select("machine_id", _key("months_count", level).alias("key"),
                              F.size("m").cast("string").alias("answer"))
     lists = by_level.select("machine_id", _key("months_list", level).alias("key"),
                             F.array_join(F.sort_array("m"), ", ").alias("answer"))
     red = roll.where(level == "RED").groupBy("machine_id", F.month("period").alias("month_no")).agg(
         join_sorted(F.col("period")).alias("dates"))
-    faults = machines.withColumn("month_no", F.explode(F.sequence(F.lit(1), F.lit(12)))).join(
-        red, ["machine_id", "month_no"], "left").select(
+    faults = _joined(machines.withColumn("month_no", F.explode(F.sequence(F.lit(1), F.lit(12)))), red, [
+        "machine_id", "month_no"]).select(
         "machine_id", _key("month_fault", F.col("month_no")).alias("key"),
         F.coalesce("dates", F.lit(NO)).alias("answer"))
     return counts.unionByName(lists).unionByName(faults)
 
 
 def day_answers(readings) -> DataFrame:
-    """J4 as (machine_id, key, answer): the three dated entries for every day with readings."""
+    """J4 as (machine_id, key, answer): the three dated entries for every day with readings, and the
+    registered ones for the dates that they give."""
     low, high = _fmt2(F.col("min_value")), _fmt2(F.col("max_value"))
     texts = {7: F.concat_ws(" - ", low, high), 8: F.coalesce("mode_level", F.lit("")),
              9: F.concat_ws(" / ", low, high, _fmt2(F.col("mean_value")))}
-    return daily_table(readings).select("machine_id", F.explode(F.array(*[
+    out = daily_table(readings).select("machine_id", F.explode(F.array(*[
         F.struct(_key("entry", F.lit(i), F.col("date")).alias("key"), t.alias("answer"))
         for i, t in texts.items()])).alias("_a")).select("machine_id", "_a.*")
+    for e in entries():
+        if e.fn is not None and e.params:
+            rows = readings.readings if isinstance(readings, cat.Prepared) else readings
+            out = out.unionByName(e.fn(rows).groupBy(
+                "machine_id", _key("entry", F.lit(e.intent_id), F.col("date")).alias("key")).agg(
+                F.min("answer").alias("answer")))
+    return out
 
 
 def answer_questions(routed: DataFrame, readings, answers: DataFrame | None = None,
@@ -334,8 +355,8 @@ def answer_questions(routed: DataFrame, readings, answers: DataFrame | None = No
                  F.col("days").cast("string").alias("answer"))))
     spread = _key("-", F.pmod(F.xxhash64(*[c for c in routed.columns if c != "suggestions"]),
                               F.lit(4096)))
-    met = routed.withColumn("_asked", key).withColumn("key", F.coalesce("_asked", spread)).join(
-        known.withColumnRenamed("answer", "_answer"), ["machine_id", "key"], "left")
+    met = _joined(routed.withColumn("_asked", key).withColumn("key", F.coalesce("_asked", spread)),
+                  known.withColumnRenamed("answer", "_answer"), ["machine_id", "key"])
     error = F.when(F.col("_asked").isNotNull() & F.col("_answer").isNull(), F.when(
         dated, F.lit("no reading on that date")).otherwise(F.lit("no readings of that machine")))
     return met.select(*routed.columns, F.col("_answer").alias("answer"), error.alias("error"))

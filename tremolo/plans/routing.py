@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.functions.text import add_question_fields, fold, in_domain, normalize_terms
-from tremolo.operators.vectors import context_text, prompt_text
-from tremolo.plans.intents import CATALOGUE_QUESTIONS, NEEDS_DATE, catalogue_df
+from tremolo.operators.vectors import catalogue_topk, context_text, prompt_text
+from tremolo.plans.intents import catalogue_df, dated, entries
 
 NGRAM = 3
 
@@ -113,33 +113,49 @@ def with_shared_context(routed: DataFrame, questions: DataFrame, id_col: str, te
 
 def _question_text_of(intent: Column) -> Column:
     flat = []
-    for i, q in enumerate(CATALOGUE_QUESTIONS):
-        flat += [F.lit(i), F.lit(q)]
+    for e in entries():
+        flat += [F.lit(e.intent_id), F.lit(e.question)]
     return F.element_at(F.create_map(*flat), intent)
 
 
 def route_questions(questions: DataFrame, id_cols: list[str], text: str,
                     threshold: float = 0.65, suggest_at: float = 0.40, k: int = 3,
                     gate: bool = False, date_col: str | None = None,
-                    compat_dayfirst: bool = False) -> DataFrame:
+                    compat_dayfirst: bool = False, vector: str | None = None,
+                    catalogue_vectors: DataFrame | None = None) -> DataFrame:
     """One routing row per question.
 
     Output: ids..., kind, level, months, month_no (pattern intents), intent_id, score
     (best catalogue entry), needs_date, date, status, suggestions (array of catalogue
     texts, rank order). With ``gate`` the reference's second entry point is followed:
     off-topic questions stop, the others are matched after term rewriting. The gate reads the
-    question as asked: the bare word passes, its inflected form alone does not."""
-    q = questions.select(*id_cols, F.col(text).alias("_text"),
+    question as asked: the bare word passes, its inflected form alone does not.
+
+    With ``vector`` (a column of ``questions``) the questions are matched by the cosine of their vectors
+    with ``catalogue_vectors`` (intent_id, vector) instead of by trigrams; a question without a vector, or
+    with a zero one, matches nothing. ``plans.embedder`` makes both columns from texts."""
+    q = questions.select(*id_cols, F.col(text).alias("_text"), *(
+        [F.col(vector).alias("_vector")] if vector else []),
                          *( [F.col(date_col).alias("_given_date")] if date_col else []))
     match_text = normalize_terms(F.col("_text")) if gate else F.col("_text")
     # Scoring and parsing depend on the text only, so they run once per distinct text
     # (question tables repeat phrasings). A text is known by a 128-bit hash: n-gram rows,
     # rankings and the join back to the questions carry that key and never the text.
     q = q.select(*[c for c in q.columns if c != "_text"], match_text.alias("_match"),
-                 (in_domain(F.col("_text")) if gate else F.lit(True)).alias("_on_topic")
-                 ).withColumn("_key", F.md5(F.encode("_match", "UTF-8")))
-    texts = q.select("_key", "_match").groupBy("_key").agg(F.first("_match").alias("_match"))
-    top = top_intents(texts, ["_key"], "_match", k)
+                 (in_domain(F.col("_text")) if gate else F.lit(True)).alias("_on_topic"))
+    known = F.md5(F.encode("_match", "UTF-8"))
+    if vector:  # a text may have several vectors
+        known = F.concat(known, F.coalesce(F.hex(F.xxhash64("_vector")), F.lit("-")))
+    q = q.withColumn("_key", known)
+    texts = q.groupBy("_key").agg(F.first("_match").alias("_match"), *(
+        [F.first("_vector").alias("_vector")] if vector else []))
+    if vector:
+        q = q.drop("_vector")
+        top = catalogue_topk(texts.select("_key", "_vector"), catalogue_vectors, k, qvec="_vector",
+                             cat_id="intent_id", cat_vec="vector", cosine=True).drop("_vector")
+        texts = texts.drop("_vector")
+    else:
+        top = top_intents(texts, ["_key"], "_match", k)
     summary = top.groupBy("_key").agg(
         F.min(F.struct("rank", "intent_id", "score")).alias("_best"),
         F.array_sort(F.collect_list(F.struct("rank", "intent_id", "score"))).alias("_top"))
@@ -150,7 +166,7 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
     date = F.coalesce(F.col("_given_date"), found_date) if date_col else found_date
     best_score = F.col("_best.score")
     best_intent = F.col("_best.intent_id")
-    needs = best_intent.isin(list(NEEDS_DATE))
+    needs = best_intent.isin(dated())
     sugg = F.transform(F.filter(F.coalesce(F.col("_top"), F.array()),
                                 lambda s: s["score"] >= F.lit(suggest_at)),
                        lambda s: _question_text_of(s["intent_id"]))

@@ -86,8 +86,12 @@ def catalogue_values() -> str:
 
 
 def route_sql(source: str, ids: list[str], threshold: float = 0.65, suggest_at: float = 0.4,
-              k: int = 3, gate: bool = False) -> str:
-    """``source`` is a SELECT giving ``ids`` and ``_text``; ``gate``: the gated entry point."""
+              k: int = 3, gate: bool = False, dims: int | None = None) -> str:
+    """``source`` is a SELECT giving ``ids`` and ``_text``; ``gate``: the gated entry point; ``dims``: vectors
+    of hashed trigram counts (``embedder.hashed_trigrams``) instead of trigrams."""
+    gram = "substring(f, i, 3)"
+    if dims:
+        gram = f"CAST('0x' || substr(md5({gram}), 1, 6) AS INTEGER) % {dims}"
     idl = ", ".join(ids)
     using = ", ".join(ids)
     it = intents_sql("f")
@@ -96,10 +100,10 @@ def route_sql(source: str, ids: list[str], threshold: float = 0.65, suggest_at:
         rewrite_sql('_text') if gate else '_text')} AS f FROM ({source})),
 cat AS (SELECT CAST(intent_id AS INTEGER) AS intent_id, question FROM {catalogue_values()}),
 catf AS (SELECT intent_id, {fold_sql('question')} AS f FROM cat),
-qg AS (SELECT {idl}, substring(f, i, 3) AS gram, count(*) AS cnt
+qg AS (SELECT {idl}, {gram} AS gram, count(*) AS cnt
        FROM (SELECT {idl}, f, unnest(range(1, length(f) - 1)) AS i FROM q WHERE length(f) >= 3)
        GROUP BY ALL),
-cg AS (SELECT intent_id, substring(f, i, 3) AS gram, count(*) AS cnt
+cg AS (SELECT intent_id, {gram} AS gram, count(*) AS cnt
        FROM (SELECT intent_id, f, unnest(range(1, length(f) - 1)) AS i FROM catf
              WHERE length(f) >= 3) GROUP BY ALL),
 qn AS (SELECT {idl}, sqrt(sum(cnt * cnt)) AS qnorm FROM qg GROUP BY ALL),

@@ -57,7 +57,7 @@ SELECT machine_id, date, n FROM (
   SELECT machine_id, date, count(*) AS n, max(count(*)) OVER (PARTITION BY machine_id) AS mx
   FROM r WHERE level = 'RED' GROUP BY 1, 2) WHERE n = mx""")
 def q_peak_days_red(spark, d):
-    return cat.peak_days(events_readings(spark, d), "RED")
+    return cat.peak_days(events_readings(spark, d, "RED"), "RED")
 
 
 @register("peak_days_yellow", f"""WITH {EV}
@@ -65,7 +65,7 @@ SELECT machine_id, date, n FROM (
   SELECT machine_id, date, count(*) AS n, max(count(*)) OVER (PARTITION BY machine_id) AS mx
   FROM r WHERE level = 'YELLOW' GROUP BY 1, 2) WHERE n = mx""")
 def q_peak_days_yellow(spark, d):
-    return cat.peak_days(events_readings(spark, d), "YELLOW")
+    return cat.peak_days(events_readings(spark, d, "YELLOW"), "YELLOW")
 
 
 @register("value_range", f"""WITH {EV}
@@ -287,7 +287,7 @@ runs AS (SELECT machine_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS
 
 @register("red_runs", _RUNS_SQL + "\nSELECT * FROM runs")
 def q_red_runs(spark, d):
-    return seq.level_runs(events_readings(spark, d), "RED", gap_seconds=600)
+    return seq.level_runs(events_readings(spark, d, "RED"), "RED", gap_seconds=600)
 
 
 @register("longest_red_run", _RUNS_SQL + """
@@ -295,7 +295,7 @@ SELECT machine_id, start_ts, end_ts, n, duration_s FROM (
   SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY duration_s DESC, start_ts) AS rk
   FROM runs) WHERE rk = 1""")
 def q_longest_red_run(spark, d):
-    return seq.longest_run(events_readings(spark, d), "RED", gap_seconds=600)
+    return seq.longest_run(events_readings(spark, d, "RED"), "RED", gap_seconds=600)
 
 
 _PREV_SQL = f"""WITH {EV},
@@ -625,6 +625,7 @@ def q_daily_incidents(spark, d):
 
 # ------------------------------------------------------------------ routing
 
+from tremolo.plans import embedder  # noqa: E402
 from tremolo.plans import routing as rt  # noqa: E402
 from tremolo.plans.routing_sql import route_sql  # noqa: E402
 
@@ -668,6 +669,18 @@ def q_route_order_questions_gated(spark, d):
                                             threshold=0.40, gate=True))
 
 
+_EMBEDDER = (embedder.hashed_trigrams(256), "hashed-trigrams-256")
+
+
+@register("route_orders_by_vector", route_sql(_ORDER_TEXTS, ["o_orderkey"], dims=256))
+def q_route_orders_by_vector(spark, d):
+    """B3 with vectors from an embedder (here the deterministic one) as router input."""
+    asked = embedder.embed_questions(_order_questions(spark, d), "question", *_EMBEDDER)
+    return _routed_shown(rt.route_questions(
+        asked, ["o_orderkey"], "question", vector="vector",
+        catalogue_vectors=embedder.catalogue_vectors(spark, *_EMBEDDER)))
+
+
 @register("order_question_terms", f"""SELECT o_orderkey, {rewrite_sql('question')} AS text,
   {gate_sql('question')} AS in_domain FROM ({order_questions_sql()})""")
 def q_order_question_terms(spark, d):
@@ -811,6 +824,7 @@ def q_answer_questions(spark, d):
 
 from tremolo.functions import vectors as fv  # noqa: E402
 from tremolo.operators import vector_cells  # noqa: E402
+from tremolo.operators.ordered import ranks  # noqa: E402
 from tremolo.operators import vectors as vec  # noqa: E402
 
 
@@ -914,39 +928,6 @@ def q_retrieval_context(spark, d):
     return vec.context_text(h, texts)
 
 
-_CONTEXT_TEXTS = "SELECT o_orderkey, question AS _text FROM (" + order_questions_sql() + ") " \
-    "WHERE o_orderkey IN (SELECT label FROM embeddings)"
-
-
-@register("route_with_context", f"""WITH {EV}, {_CENTROIDS_SQL},
-q AS ({route_sql(_CONTEXT_TEXTS, ["o_orderkey"])}),
-s AS (SELECT c.label AS o_orderkey, e.vec_id, row_number() OVER (PARTITION BY c.label
-        ORDER BY list_inner_product(c.centroid, e.v) DESC, e.vec_id) AS rank FROM c, e),
-t AS (SELECT o_orderkey, string_agg('Tarih: ' || CAST(date AS VARCHAR) || ', Durum: ' || level ||
-        ', Değer: ' || printf('%.2f', value), chr(10) ORDER BY rank) AS context
-      FROM s JOIN r ON r.reading_id = s.vec_id WHERE rank <= 5 GROUP BY 1)
-SELECT o_orderkey, status, context, '{vec.PROMPT_HEADER}' || chr(10) || context || chr(10) ||
-       chr(10) || 'Soru: ' || {rewrite_sql('question')} || chr(10) || '{vec.PROMPT_FOOTER}' AS prompt
-FROM (SELECT q.o_orderkey, status, CASE WHEN status IN ('needs_date', 'suggest', 'not_found')
-             THEN context END AS context, question
-      FROM q JOIN ({order_questions_sql()}) USING (o_orderkey) LEFT JOIN t USING (o_orderkey))""")
-def q_route_with_context(spark, d):
-    """Open questions get their five nearest reading texts and a prompt. The
-    vector of a question is the centroid of the label with its order's key, that of a reading
-    the embedding with its id."""
-    e = _emb(spark, d)
-    labels = vec.centroids(e).select(F.col("label").cast("long").alias("vec_id"),
-                                     F.col("centroid").alias("embedding"))
-    q = _order_questions(spark, d).join(labels.select(F.col("vec_id").alias("o_orderkey")),
-                                        "o_orderkey", "left_semi")
-    r = events_readings(spark, d)
-    texts = r.select("reading_id", tx.row_text(F.col("date"), F.col("level_raw"),
-                                               F.col("value")).alias("text"))
-    routed = rt.route_questions(q, ["o_orderkey"], "question")
-    return rt.with_context(routed, q, "o_orderkey", "question", vec.knn(labels, e, 5), texts).select(
-        "o_orderkey", "status", "context", "prompt")
-
-
 @register("route_orders_with_context", f"""WITH {EV}, {_CENTROIDS_SQL},
 q AS ({route_sql(_ORDER_TEXTS, ["o_orderkey"])}),
 o AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place, count(*) OVER () AS n_labels FROM c
@@ -967,13 +948,10 @@ def q_route_orders_with_context(spark, d):
     place o_orderkey mod the number of labels, in label order."""
     e = _emb(spark, d)
     c = vec.centroids(e.where("label IS NOT NULL"))
-    labels = sorted(r[0] for r in c.select("label").limit(vec.MAX_CATALOGUE_ROWS + 1).collect())
-    if len(labels) > vec.MAX_CATALOGUE_ROWS:
-        raise ValueError(f"more than {vec.MAX_CATALOGUE_ROWS} labels")
-    place = F.array_position(F.array(*map(F.lit, labels)).cast("array<long>"),
-                             F.col("label").cast("long")) - 1
-    centroids = c.select(place.alias("vec_id"), F.col("centroid").alias("embedding"))
-    q = _order_questions(spark, d).withColumn("vector", F.col("o_orderkey") % max(1, len(labels)))
+    placed = ranks(c.withColumn("_all", F.lit(0)), "_all", ("label",), "vec_id")
+    centroids = placed.select("vec_id", F.col("centroid").alias("embedding"))
+    n = F.broadcast(placed.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n")))  # one row
+    q = _order_questions(spark, d).crossJoin(n).withColumn("vector", F.col("o_orderkey") % F.col("_n"))
     texts = events_readings(spark, d).select("reading_id", tx.row_text(
         F.col("date"), F.col("level_raw"), F.col("value")).alias("text"))
     routed = rt.route_questions(q, ["o_orderkey"], "question")
@@ -1043,6 +1021,24 @@ def q_anomaly_daily(spark, d):
     return an.anomaly_daily(an.anomaly_points(events_readings(spark, d)))
 
 
+@register("anomaly_invariants", f"""WITH {EV}
+SELECT machine_id, count(*) AS n, count(DISTINCT value) AS n_values, count(DISTINCT value) AS n_value_scores,
+       count(*) AS n_labelled, true AS scores_in_range, true AS at_most_one_percent
+FROM r WHERE value IS NOT NULL GROUP BY 1""")
+def q_anomaly_invariants(spark, d):
+    """AN1 / AN2 / J8: what holds for any forest: every reading is kept and coloured by its label, a value has
+    one score, and at most one in a hundred of all readings is flagged."""
+    p = an.anomaly_points(events_readings(spark, d))
+    agreeing = F.when(F.col("anomaly") == -1, "red").otherwise("blue") == F.col("color")
+    by_machine = p.groupBy("machine_id").agg(
+        F.count("*").alias("n"), F.countDistinct("value").alias("n_values"),
+        F.countDistinct("value", "score").alias("n_value_scores"), F.count_if(agreeing).alias("n_labelled"),
+        F.bool_and((F.col("score") > 0) & (F.col("score") <= 1)).alias("scores_in_range"),
+        F.count_if(F.col("anomaly") == -1).alias("_flagged"))
+    over = by_machine.agg((100 * F.sum("_flagged") <= F.sum("n")).alias("at_most_one_percent"))
+    return by_machine.drop("_flagged").crossJoin(F.broadcast(over))  # one row
+
+
 # ------------------------------------------------------------------ loading and row level (SRC1-3, PF1, PF2, PF11)
 
 from tremolo.functions.levels import band_level  # noqa: E402
@@ -1074,8 +1070,8 @@ def q_band_levels(spark, d):
 @register("filter_level", f"""WITH {EV}
 SELECT reading_id, machine_id, ts, value FROM r WHERE level = 'RED'""")
 def q_filter_level(spark, d):
-    return (events_readings(spark, d).where(F.col("level") == "RED")
-            .select("reading_id", "machine_id", "ts", "value"))
+    """PF2: the level is asked for as its value range, which reaches the scan."""
+    return events_readings(spark, d, only_level="RED").select("reading_id", "machine_id", "ts", "value")
 
 
 @register("row_texts", f"""WITH {EV}

@@ -24,6 +24,15 @@ D = dt.date
     ("February 2023", D(2023, 2, 1), False),
     ("15 February 2023", D(2023, 2, 15), False),
     ("geçen hafta", None, False),
+    ("2023/02.15", D(2023, 2, 15), False),          # separators may differ
+    ("sıra 120-02-2023", D(2023, 2, 20), False),    # two digits before the month count
+    ("5-2-2023", None, False),                      # one digit is no numeric day
+    ("5  Mart\t2023", D(2023, 3, 5), False),
+    ("115 Mart 2023", D(2023, 3, 15), False),
+    ("15 Mart23", None, False),
+    ("march 7,2023", D(2023, 3, 7), False),
+    ("7 march 9, 2023", D(2023, 3, 7), False),      # the day in front wins
+    ("marchy 2023", None, False),
     ("31/02/2023 ve 15 Şubat 2023", None, False),   # the first kind that matches decides
 ])
 def test_extract_date(spark, q, expected, compat):
@@ -40,6 +49,13 @@ def test_intents_and_lookback(spark):
         ("Geçen yıl hangi aylarda makine kırmızı alarm verdi?", "months_list", "RED", None, None),
         ("Mart ayında arıza oldu mu?", "month_fault", "RED", None, 3),
         ("Makinenin performansını ne etkileyebilir?", None, None, None, None),
+        ("son 12 aylık", "recent_months", None, 12, None),
+        ("son onbir ay", None, None, None, None),
+        ("kaç ay boyunca yeşilimsi", None, None, None, None),     # a whole colour word is asked for
+        ("hangi  aylarda sarı", None, None, None, None),           # one space between these two
+        ("KASIM  AYINDA hiç ARIZA", "month_fault", "RED", None, 11),
+        ("arıza mart ayında", None, None, None, None),             # the order counts
+        ("son 99999999999 ay", None, None, None, None),            # too large a number
     ]
     df = spark.createDataFrame([(r[0],) for r in rows], "q string")
     got = [tuple(x.p) for x in df.select(T.parse_intents("q").alias("p")).collect()]

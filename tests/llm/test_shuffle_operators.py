@@ -223,6 +223,9 @@ def test_chat_with_repeated_turn_numbers_is_spread(spark):
     got = chatformat.format_chats(df).collect()
     assert {r.conv_id for r in got} == {None, 1}
     assert next(r for r in got if r.conv_id == 1).n_turns == 3000
+    # blocks go by rank: none holds more than BLOCK turns
+    assert sorted((r.block, r.text.count("<|end|>")) for r in got if r.conv_id is None) == [
+        (0, 1024), (1, 1024), (2, 952)]
 
 
 def test_clashing_columns(make_docs, spark):

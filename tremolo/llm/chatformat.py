@@ -11,9 +11,8 @@ Scale: turns are ranked and hashed in chunks, ranges of the rows sorted by conve
 turn, so a conversation of any length is spread, also one whose turn numbers repeat; ranks and
 hashes of the chunks before are added from (conversation, chunk) totals. Prefix hashes are
 reduced to distinct ones before the anti-join, so a first turn shared by a third of all
-conversations is one row. The rendering is one row per (conversation, block of ``BLOCK`` turn
-numbers), as the oracle SQL has it: where turn numbers repeat or are null, such a row has all
-turns of the block's numbers and is not bounded.
+conversations is one row. The rendering is one row per (conversation, block of ``BLOCK`` turns by
+rank), so no row holds more turns than that, whatever their numbers are.
 
 Cases: turns sort by (turn, role, text), nulls first; repeated rows are turns of their own;
 a null role renders as ``unknown``, a null text as empty text, and null and empty differ in
@@ -41,7 +40,7 @@ def _same(*keys: str) -> F.Column:
 
 
 def ranked(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, chunk, n, role, text: every turn with its rank in the conversation.
+    """conv_id, block (of ranks), chunk, n, role, text: every turn with its rank (from 1) in the conversation.
 
     Rows are dealt to chunks by ranges of (conv_id, turn, role, text, place); equal rows differ
     by place, so a chunk is bounded whatever the ids, turn numbers and texts are."""
@@ -54,10 +53,10 @@ def ranked(conversations: DataFrame) -> DataFrame:
     inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text", "place")
     counts = chunks.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).withColumn(
         "base", F.coalesce(F.sum("n").over(_before("conv_id")), F.lit(0))).drop("n")
+    n = F.col("a.k") + F.col("b.base")
     return chunks.withColumn("k", F.row_number().over(inside)).alias("a").join(
         counts.alias("b"), _same("conv_id", "chunk")).select(
-        "a.conv_id", F.coalesce(F.floor(F.col("a.turn") / BLOCK), F.lit(-1)).alias("block"),
-        "a.chunk", (F.col("a.k") + F.col("b.base")).alias("n"), "a.role", "a.text")
+        "a.conv_id", F.floor((n - 1) / BLOCK).alias("block"), "a.chunk", n.alias("n"), "a.role", "a.text")
 
 
 def prefix_hashes(conversations: DataFrame) -> DataFrame:

@@ -77,8 +77,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 CHATS = f"""
 WITH turns AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / {chatformat.BLOCK}.0), -1) AS BIGINT) AS block,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
                             text NULLS FIRST) AS n,
          count(*) OVER (PARTITION BY conv_id) AS n_turns, role, text
   FROM conversations),
@@ -88,10 +87,10 @@ prefixes AS (
 kept AS (
   SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM prefixes
   WHERE n = n_turns AND upto NOT IN (SELECT upto FROM prefixes WHERE n < n_turns) GROUP BY upto)
-SELECT conv_id, block, n_turns, n_copies, string_agg(
+SELECT conv_id, (n - 1) // {chatformat.BLOCK} AS block, n_turns, n_copies, string_agg(
   '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10)
   || '<|end|>' || chr(10), '' ORDER BY n) AS text
-FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, block, n_turns, n_copies
+FROM turns JOIN kept USING (conv_id) GROUP BY ALL
 """
 
 MIX = f"""

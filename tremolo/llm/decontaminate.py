@@ -7,10 +7,12 @@ tables hold, per block of two words, how far the search may move on (block shift
 and, for blocks that end a pattern, the patterns to try (suffix-hash bucket, told apart by
 a hash of their first block); a try compares the words' bytes directly.
 
-Scale: one pass over the documents without any shuffle. Items are searched in blocks of
-about ``BLOCK_BYTES`` of item text (``n = ceil(item bytes / BLOCK_BYTES)``, dealt by a hash
-of the item), so what a task holds is bounded however large the benchmark is; each
-further block is one more map step over the same rows.
+Scale: one pass over the documents without any shuffle, as long as the items fit in one block
+of ``BLOCK_BYTES`` of item text. A larger benchmark is dealt into ``ceil(item bytes / BLOCK_BYTES)`` blocks
+by a hash of the (distinct) item, and its blocks are searched one after the other: each pass carries one block's
+tables, which no later pass keeps, and writes the hits of the texts that have some to the shared folder; the hits
+meet the documents in one join by the text's hash. So neither a task, the driver nor the plan grows
+with the benchmark, only the number of passes.
 
 Cases: null or empty texts have no words and are clean; an item without words is never
 found; a null ``item_id`` still marks hits but cannot be listed; items sharing an id count
@@ -20,16 +22,18 @@ everything clean. Columns of the input other than those named are kept as they a
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.tokens import ALNUM_WORD, Slice, covered, slices
+from tremolo.llm.common import add_columns
+from tremolo.llm.tokens import ALNUM_WORD, Slice, covered
+from tremolo.session import checkpoint_path
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -96,30 +100,16 @@ class WuManber:
             at += 1
 
 
-def _search_block(items: list[tuple[str | None, str | None]], schema: T.StructType,
-                  window: int):
-    names = schema.fieldNames()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [WuManber(n, p) for n, p in sorted(item_patterns(items, window).items())]
-        for batch in batches:
-            for s in slices(batch["text"]):
-                part = batch.slice(s.first, s.rows)
-                n_words, starts, ends, ids = _search_slice(s, tables)
-                old = part["hit_starts"].to_pylist(), part["hit_ends"].to_pylist(), \
-                    part["hit_items"].to_pylist()
-                new = {
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "hit_starts": pa.array([a + b for a, b in zip(old[0], starts, strict=True)],
-                                           pa.list_(pa.int64())),
-                    "hit_ends": pa.array([a + b for a, b in zip(old[1], ends, strict=True)],
-                                         pa.list_(pa.int64())),
-                    "hit_items": pa.array([sorted({*a, *b}) for a, b in
-                                           zip(old[2], ids, strict=True)], pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays(
-                    [new.get(c, part[c]) for c in part.schema.names], names=names)
-    return run
+def _search_block(items: list[tuple[str | None, str | None]], window: int):
+    """For ``add_columns``: n_words, hit_starts, hit_ends and hit_items of every text."""
+    def setup() -> list[WuManber]:
+        return [WuManber(n, p) for n, p in sorted(item_patterns(items, window).items())]
+
+    def search(s: Slice, tables: list[WuManber]) -> dict[str, list]:
+        n_words, starts, ends, ids = _search_slice(s, tables)
+        return {"n_words": n_words, "hit_starts": starts, "hit_ends": ends,
+                "hit_items": [sorted(x) for x in ids]}
+    return search, setup
 
 
 def _search_slice(s: Slice, tables: list[WuManber]):
@@ -154,25 +144,48 @@ def _search_slice(s: Slice, tables: list[WuManber]):
     return words.counts(), starts, ends, ids
 
 
+_NUMBERS, _NAMES = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_starts", _NUMBERS),
+           T.StructField("hit_ends", _NUMBERS), T.StructField("hit_items", _NAMES)]
+
+
 def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, hit_starts / hit_ends (word spans holding benchmark windows;
     spans of several item blocks may overlap) and hit_items (ids, as strings)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    clash = ["n_words", "hit_starts", "hit_ends", "hit_items"]
-    out = docs.drop(*clash).select(
-        "*", F.lit(0).cast("long").alias("n_words"),
-        *[F.array().cast("array<bigint>").alias(c) for c in clash[1:3]],
-        F.array().cast("array<string>").alias("hit_items"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    for b in range(blocks):
+
+    def block(b: int) -> list[tuple[str | None, str | None]]:
         mine = items if blocks == 1 else items.where(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [(r.item_id, r.text) for r in mine.collect()]  # at most about block_bytes
-        out = out.mapInArrow(_search_block(rows, schema, window), schema)
-    return out
+        return [(r.item_id, r.text) for r in mine.collect()]  # at most about block_bytes
+
+    if blocks == 1:
+        search, setup = _search_block(block(0), window)
+        return add_columns(docs, search, _FIELDS, setup=setup)
+    spark = docs.sparkSession
+    path = checkpoint_path(spark, f"hits-{uuid.uuid4().hex}")
+    key = [F.xxhash64("text").alias("_h"), F.hash("text").alias("_g"), F.octet_length("text").alias("_l")]
+    texts = docs.where("text IS NOT NULL").select("text", *key)
+    for b in range(blocks):
+        search, setup = _search_block(block(b), window)
+        add_columns(texts, search, _FIELDS, keep_text=False, setup=setup).where(
+            F.size("hit_starts") > 0).drop("n_words").write.mode("append").parquet(path)
+    # texts that occur in several rows were searched in each: their hits are the same
+    spans = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))))
+    found = spark.read.parquet(path).groupBy("_h", "_g", "_l").agg(
+        spans.alias("_s"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("hit_items")))).alias("hit_items"))
+    found = found.select("_h", "_g", "_l", F.col("_s.hit_starts").alias("hit_starts"),
+                         F.col("_s.hit_ends").alias("hit_ends"), "hit_items")
+    counted = add_columns(docs.drop("hit_starts", "hit_ends", "hit_items"), lambda s, _: {
+        "n_words": s.words(ALNUM_WORD, lower=True).counts()}, _FIELDS[:1])
+    own = [c for c in counted.columns if c not in ("_h", "_g", "_l")]
+    met = counted.select(*own, *key).join(found, ["_h", "_g", "_l"], "left")
+    none = F.array().cast("array<bigint>")
+    return met.select(*own, *[F.coalesce(c, none).alias(c) for c in ("hit_starts", "hit_ends")],
+                      F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
 
 
 def n_hit() -> F.Column:

@@ -76,6 +76,8 @@ def test_expressions_end_at_the_next_tag():
         took.append(time.monotonic() - began)
         assert got["expressions"][0] == ["x"] * n
     assert took[1] < 30 * max(took[0], 0.02)
+    s = next(licenses_slices("the spdx list, without a tag"))
+    assert licenses._scan(s, licenses._automata())["expressions"] == [[]]
 
 
 def licenses_slices(text):

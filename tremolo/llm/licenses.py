@@ -154,8 +154,8 @@ def _scan(s: Slice, state) -> dict[str, list]:
         if b"spdx" in raw:
             text = raw.decode()
             ends = [end + 1 for end, _ in tags.iter(text)]
-            stops = [end - len(TAG) for end in ends[1:]] + [len(text)]  # an expression ends at the next tag
-            for end, behind in zip(ends, stops, strict=True):
+            for k, end in enumerate(ends):  # an expression ends at the next tag
+                behind = ends[k + 1] - len(TAG) if k + 1 < len(ends) else len(text)
                 stop = text.find("\n", end, behind)
                 postfix = parse_expression(text, end, behind if stop < 0 else stop)
                 if postfix is None:

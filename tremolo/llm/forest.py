@@ -1,22 +1,28 @@
-"""N-gram Jaccard join by MinHash banding (operator 8).
+"""N-gram Jaccard join by a MinHash LSH forest (operator 8).
 
 Documents are sets of five-word shingles; two different texts are linked when the Jaccard
 similarity of their sets is ``THRESHOLD`` or more. Result: one row per document with the
 id of its class (connected texts and all copies of them) and the number of links.
 
-Banding, in place of the LSH forest: the depth of the matched prefix is set by formula before
-any data is read, the longest up to ``DEPTH`` for which the expected recall at the threshold,
-``1 - (1 - s ** depth) ** TREES``, reaches ``RECALL``. Every text has ``TREES`` keys, each of that
-many min-hashes, and texts that share a key are candidates. No tries are built or shortened.
+Forest: each text has a label of ``DEPTH`` min-hashes in each of ``TREES`` trees. Labels sorted by prefix are a
+trie: a node holds the texts that share a prefix, its children those that share one more min-hash. The
+matched prefix is shortened level by level, from the full label on. At a level only nodes with several
+children are looked at (texts of one child met a level deeper), and of these only nodes whose
+texts are not connected yet by what deeper levels found. Shortening stops at the depth whose expected recall at
+the threshold, ``1 - (1 - s ** depth) ** TREES``, reaches ``RECALL``.
 
-Verification is exact and no pair is ever written out: texts connected by candidates (each
-bucket is a star around its smallest member) form a cluster, a cluster is cut into blocks
+Candidates: texts that meet in a node are compared by ``SKETCH`` of their min-hashes, one byte each, and connected
+only if ``LEAST_ALIKE`` of them agree: a pair at the threshold fails that by chance once in some 300 000 times, and
+texts that merely share a template do not pass. What is connected forms clusters.
+
+Verification is exact and no pair is ever written out: a cluster is cut into blocks
 of about ``BLOCK`` texts, and a task gets two blocks and counts, for all their pairs,
 the common shingles by products of incidence matrices. It returns a row per text: its links in
 those blocks and one neighbour to connect it by.
 
 Scale: copies are one text from the start (a hash of the text), so a group of exact copies
-is one row. Buckets are reduced to their smallest member with partial aggregation. Connected
+is one row. Nodes are counted with partial aggregation; a node of more than ``NODE_BLOCK`` texts is cut
+into pairs of blocks. Connected
 components alternate large-star and small-star steps, checkpointed round by round.
 Shingle sets are made for texts in clusters only. A cluster of m texts costs m * m / BLOCK
 rows of shuffle, the price of counting every link; its memory per task is bounded.
@@ -55,6 +61,10 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.995
+MINHASH_BYTES = 4
+SKETCH = 96  # bytes: the lowest one of as many min-hashes
+LEAST_ALIKE = 0.615
+NODE_BLOCK = 4096  # texts of a node that are compared in one task, at most about twice as many
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 8192  # shingles multiplied at a time
@@ -83,7 +93,8 @@ def shingles(s: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _labels(trees: int, depth: int, size: int):
-    """Batches of (unit, keys): for every row with words, its prefix key in every tree."""
+    """Batches of (unit, label, sketch): for every row with words its min-hashes, tree by tree, and
+    the lowest byte of ``SKETCH`` of them."""
     rng = np.random.default_rng(20240817)
     factors = rng.integers(1, 1 << 63, size=(trees, depth), dtype=np.uint64) * 2 + 1
     shifts = rng.integers(0, 1 << 63, size=(trees, depth), dtype=np.uint64)
@@ -95,21 +106,20 @@ def _labels(trees: int, depth: int, size: int):
                 if not len(rows):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-                keys = np.zeros((len(first), trees), np.uint64)
+                least = np.zeros((len(first), trees * depth), np.uint32)
                 with np.errstate(over="ignore"):
                     for t in range(trees):
-                        key = np.full(len(first), t + 1, np.uint64)
                         for k in range(depth):
-                            least = np.minimum.reduceat(values * factors[t, k] + shifts[t, k],
-                                                        first)
-                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
-                        keys[:, t] = key
+                            hashed = np.minimum.reduceat(values * factors[t, k] + shifts[t, k], first)
+                            least[:, t * depth + k] = mix64(hashed).astype(np.uint32)
                 part = batch.slice(s.first, s.rows).take(pa.array(rows[first]))
-                flat = pa.array(keys.astype(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(first) + 1, dtype=np.int32) * trees), flat)
+                width = trees * depth * MINHASH_BYTES
+                sketch = np.ascontiguousarray(least[:, :SKETCH]).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["unit"], lists], names=["doc_id", "unit", "keys"])
+                    [part["doc_id"], part["unit"],
+                     binary_array(least.view(np.uint8).ravel(), np.full(len(first), width)),
+                     binary_array(sketch.ravel(), np.full(len(first), sketch.shape[1]))],
+                    names=["doc_id", "unit", "label", "sketch"])
     return run
 
 
@@ -209,15 +219,96 @@ def _linked(threshold: float):
     return run
 
 
+def _alike(sketch: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """(rows x others) whether enough bytes of the sketches agree."""
+    need = int(np.ceil(LEAST_ALIKE * sketch.shape[1]))
+    return (sketch[rows][:, None, :] == sketch[others][None, :, :]).sum(axis=2, dtype=np.uint8) >= need
+
+
+def connect(sketch: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A component number for every text of a node; ``known``: equal numbers are connected already.
+
+    Texts are gathered around leaders first. Then every text outside the largest component is compared with
+    all those that are not connected to it, so no two alike texts stay apart."""
+    comp = np.unique(known, return_inverse=True)[1]
+
+    def merge(numbers: np.ndarray) -> None:
+        if len(numbers) > 1:
+            comp[np.isin(comp, numbers)] = numbers.min()
+
+    first = np.unique(comp, return_index=True)[1]
+    todo = first
+    while len(todo) > 1:
+        near = np.concatenate([_alike(sketch, todo[:1], part)[0] for part in np.array_split(
+            todo, max(1, len(todo) // 4096))])
+        near[0] = True
+        merge(np.unique(comp[todo[near]]))
+        todo = todo[~near]
+    sizes = np.bincount(comp)
+    small = np.flatnonzero(comp != sizes.argmax())
+    small = small[np.argsort(sizes[comp[small]], kind="stable")]
+    for lo in range(0, len(small), 32):
+        rows = small[lo:lo + 32]
+        for part in np.array_split(np.arange(len(comp)), max(1, len(comp) // 4096)):
+            near = _alike(sketch, rows, part) & (comp[rows][:, None] != comp[part][None, :])
+            for r in np.flatnonzero(near.any(axis=1)):
+                merge(np.unique(np.append(comp[part[near[r]]], comp[rows[r]])))
+    return comp
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """unit, hub: texts of a node (or two blocks of one) that are alike, with the least of them."""
+    unit, known = table["unit"].to_numpy(), table["hub"].to_numpy()
+    raw, _ = binary_bytes(table["sketch"].combine_chunks())
+    comp = connect(raw.reshape(len(unit), -1), known)
+    order = np.lexsort((unit, comp))
+    first = np.concatenate(([True], comp[order][1:] != comp[order][:-1]))
+    hub = np.empty(len(unit), np.int64)
+    hub[order] = unit[order][np.maximum.accumulate(np.where(first, np.arange(len(unit)), 0))]
+    new = (hub != unit) & (hub != known)
+    return pa.table({"unit": unit[new], "hub": hub[new]})
+
+
+def candidates(units: DataFrame, trees: int = TREES, depth: int = DEPTH, least_depth: int | None = None,
+               node_block: int = NODE_BLOCK) -> DataFrame:
+    """u, v: edges that connect alike texts of a node, over all levels; ``units``: unit, label,
+    sketch."""
+    if least_depth is None:
+        least_depth = matched_depth(trees=trees, depth=depth)
+    size = depth * MINHASH_BYTES
+    edges = hubs = None
+    for level in range(depth, least_depth - 1, -1):
+        # the whole label has no children: there, every text is one
+        node, child = (F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(label, t * {size} + 1, "
+                              f"{n * MINHASH_BYTES})))") for n in (level, level + 1))
+        labels = units.select("unit", "label")
+        prefixes = labels.join(hubs, "unit") if edges is not None else labels.withColumn("hub", F.col("unit"))
+        zipped = F.arrays_zip(node.alias("node"), (child if level < depth else node).alias("child"))
+        rows = prefixes.select("unit", "hub", F.explode(zipped).alias("x")).select(
+            "unit", "hub", "x.node", (F.col("x.child") if level < depth else F.col("unit")).alias("child"))
+        nodes = rows.groupBy("node").agg(
+            F.count("*").alias("n"), (F.min("child") != F.max("child")).alias("several"),
+            (F.min("hub") != F.max("hub")).alias("apart")).where("several AND apart").select(
+            "node", F.ceil(F.col("n") / node_block).cast("int").alias("parts"))
+        members = rows.join(nodes, "node").select(
+            "node", "unit", "hub", "parts", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int").alias("block"))
+        pairs = members.join(units.select("unit", "sketch"), "unit").withColumn("other", F.explode(F.sequence(
+            F.lit(0), F.col("parts") - 1))).select(
+            "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+            "unit", "hub", "sketch")
+        found = cut(pairs.groupBy("node", "one", "two").applyInArrow(_met, "unit long, hub long").distinct())
+        edges = found if edges is None else edges.unionByName(found)
+        least = edges.groupBy("unit").agg(F.min("hub").alias("h"))
+        hubs = units.select("unit").join(least, "unit", "left").select(
+            "unit", F.coalesce("h", "unit").alias("hub"))
+    return edges.select(F.col("unit").alias("u"), F.col("hub").alias("v"))
+
+
 def similar_texts(units: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
-                  size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """unit, links, root of every text that has a link; ``units``: unit, doc_id, keys."""
-    rows = units.select("unit", F.posexplode("keys").alias("tree", "prefix")).select(
-        "unit", F.xxhash64("tree", "prefix").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("unit").alias("hub"), F.count("*").alias("n")).where(
-        "n > 1").drop("n")
-    clusters = cut(components(rows.join(hubs, "bucket").select(
-        F.col("unit").alias("u"), F.col("hub").alias("v"))))
+                  size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+                  block: int = BLOCK) -> DataFrame:
+    """unit, links, root of every text that has a link; ``units``: unit, doc_id, label, sketch."""
+    clusters = cut(components(candidates(units, trees, depth, matched_depth(threshold, trees, depth, recall))))
     wanted = clusters.join(units.select(F.col("unit").alias("node"), "doc_id"), "node")
     texts = docs.alias("a").join(wanted.alias("b"), F.expr(
         "a.doc_id <=> b.doc_id AND a.unit = b.node")).select("a.text", "a.unit", "b.root")
@@ -260,12 +351,11 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     for texts without words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                         F.xxhash64("text").alias("unit"))
-    k = matched_depth(threshold, trees, depth, recall)
     signed = texts.where("text IS NOT NULL").mapInArrow(
-        _labels(trees, k, size), "doc_id long, unit long, keys array<long>")
+        _labels(trees, depth, size), "doc_id long, unit long, label binary, sketch binary")
     units = cut(signed.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias(
-        "copies"), F.first("keys").alias("keys")))
-    linked = cut(similar_texts(units, texts, threshold, size, block))
+        "copies"), F.first("label").alias("label"), F.first("sketch").alias("sketch")))
+    linked = cut(similar_texts(units, texts, threshold, size, trees, depth, recall, block))
     of = units.select("unit", "doc_id", "copies").join(linked, "unit", "left").withColumn(
         "root", F.coalesce("root", "unit"))
     classes = of.groupBy("root").agg(F.min(F.struct(

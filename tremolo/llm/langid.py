@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremolo.llm.common import add_columns
-from tremolo.llm.tokens import Slice, mix64, slices
+from tremolo.llm.tokens import Slice, mix64, pieces, slices
 
 PROFILE = 300
 LENGTHS = (1, 2, 3)
@@ -52,8 +52,22 @@ def folding() -> np.ndarray:
     return table
 
 
+#: ASCII bytes that are no letters: no n-gram reaches across one
+_BETWEEN = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
+
+
 def grams(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, n-gram and count of every distinct (row, n-gram) of a slice, sorted by row."""
+    """row, n-gram and count of every distinct (row, n-gram) of a slice, sorted by row. A long
+    text is counted in pieces between words."""
+    parts = [_grams(part) for part, _ in pieces(s, SLICE, 0, _BETWEEN)]
+    if len(parts) == 1:
+        return parts[0]
+    gram, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    count = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(gram)).astype(np.int64)
+    return np.zeros(len(gram), np.int64), gram, count
+
+
+def _grams(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lead = (s.data & 0xC0) != 0x80
     points = np.frombuffer(s.data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     first = np.concatenate(([0], np.cumsum(lead)))[s.offsets]  # code point of each row's start

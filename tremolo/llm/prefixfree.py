@@ -47,6 +47,7 @@ from tremolo.llm.tokens import (
     minima,
     mix64,
     packed,
+    pieces,
     runs,
     slices,
     span_hashes,
@@ -72,7 +73,9 @@ def _phrases(width: int, gram: int):
         for batch in batches:
             docs = batch["doc"].to_numpy(zero_copy_only=False)
             checks = batch["check"].to_numpy(zero_copy_only=False)
-            for s in slices(batch["text"], SLICE):
+            # a long text is cut into pieces that share no string but miss none
+            for s, base in (p for whole in slices(batch["text"], SLICE)
+                            for p in pieces(whole, SLICE, width - 1)):
                 n = len(s.data) - width + 1
                 if n <= 0:
                     continue
@@ -95,7 +98,7 @@ def _phrases(width: int, gram: int):
                                      _PHRASE_BASE).astype(np.int64)
                 doc = docs[s.first:s.first + s.rows][row[first]]
                 place = (checks[s.first:s.first + s.rows][row[first]] << 40) | (
-                    first - s.offsets[row[first]])
+                    base + first - s.offsets[row[first]])
                 # copies within the slice: all are repeats, one of them goes on
                 order = np.lexsort((phrase, bucket))
                 new = np.ones(len(order), bool)

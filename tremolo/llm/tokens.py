@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+PIECE_BYTES = 4 << 20  # a longer text is worked on in pieces where a step allows it
 
 #: separators of space-split words: [^\x20\x09-\x0D]+
 SPACE_WORD = np.ones(256, dtype=bool)
@@ -123,7 +124,18 @@ class Words:
         self.rows = s.rows
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+        """64-bit hash of every word, made from about ``PIECE_BYTES`` of text at a time."""
+        if len(self.data) <= 2 * PIECE_BYTES:
+            return span_hashes(self.data, self.starts, self.ends)
+        out = np.zeros(len(self.starts), _U)
+        lo = 0
+        while lo < len(out):
+            begin = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.starts, begin + PIECE_BYTES)))
+            out[lo:hi] = span_hashes(self.data[begin:self.ends[hi - 1]], self.starts[lo:hi] - begin,
+                                     self.ends[lo:hi] - begin)
+            lo = hi
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -154,6 +166,27 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         lo = hi
 
 
+def pieces(s: Slice, limit: int, overlap: int = 0, breaks: np.ndarray | None = None
+           ) -> Iterator[tuple[Slice, int]]:
+    """A slice as it is or, if it is one text of more than twice ``limit`` bytes, consecutive parts of it
+    with the place where each begins. Parts share ``overlap`` bytes; with ``breaks`` (by byte value) they end
+    behind such a byte, so that what lies between two of them stays whole."""
+    n = len(s.data)
+    if s.rows != 1 or n <= 2 * limit:
+        yield s, 0
+        return
+    lo = 0
+    while lo < n:
+        hi = min(n, lo + limit + overlap)
+        while breaks is not None and hi < n and not breaks[s.data[hi - 1]]:
+            found = np.flatnonzero(breaks[s.data[hi:hi + limit]])
+            hi = hi + int(found[0]) + 1 if len(found) else min(n, hi + limit)
+        yield Slice(s.data[lo:hi], np.array([0, hi - lo], dtype=np.int64), s.first), lo
+        if hi == n:
+            return
+        lo = hi - overlap
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """True at each of ``n`` places inside any ``[start, end)``."""
     step = np.zeros(n + 1, dtype=np.int64)

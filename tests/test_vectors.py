@@ -138,3 +138,16 @@ def test_cells_of_any_vectors_equal_brute_force(spark):
             want.update({(i, r + 1): (j, x[j] @ v) for r, j in enumerate(order)})
         got = cells.knn_cells(qs, xs, k, cells=n, block_rows=50).collect()
         assert {(r.query_id, r.rank): (r.corpus_id, r.score) for r in got} == want
+
+
+def test_a_catalogue_of_any_size(spark):
+    """Above the bound the entries are searched in cells: ties, text ids, clashes and cosine as below it."""
+    g = np.random.default_rng(5)
+    cat = spark.createDataFrame([(f"c{i:03}", v.astype(float).tolist()) for i, v in enumerate(
+        g.integers(-3, 4, (200, 3)))] + [("c999", None)], "label string, centroid array<double>")
+    q = spark.createDataFrame([(i, v.astype(float).tolist(), "own") for i, v in enumerate(
+        g.integers(-3, 4, (50, 3)))] + [(77, None, "own")], "vec_id long, embedding array<double>, score string")
+    for cosine in (False, True):
+        found = [{(x.vec_id, x.rank): (None if cosine else x.label, round(x.score, 9)) for x in vec.catalogue_topk(
+            q, cat, 4, max_rows=most, cosine=cosine).collect()} for most in (10_000, 20)]
+        assert found[0] == found[1] and len(found[0]) >= 190

@@ -52,11 +52,14 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
     is not as long as most are never found; queries with such a vector get no rows. With ``cosine`` scores are
     divided by the lengths of both vectors, and zero vectors count as unusable.
 
-    The catalogue is read once and its size checked; it is broadcast as a matrix, and a task
-    scores its queries in chunks of ``SCORE_CELLS`` scores."""
-    rows = catalogue.select(cat_id, cat_vec).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"the catalogue has more than {max_rows} rows; use knn() for a corpus")
+    The catalogue is read once and its size checked; up to ``max_rows`` entries and ``MAX_BROADCAST_BYTES``
+    are broadcast as a matrix, and a task scores its queries in chunks of ``SCORE_CELLS`` scores. A larger
+    one is searched by ``vector_cells.knn_cells``, with the same result."""
+    dims = max(1, vector_length(catalogue, cat_vec))
+    most = min(max_rows, MAX_BROADCAST_BYTES // (8 * dims))
+    rows = catalogue.select(cat_id, cat_vec).limit(most + 1).collect()
+    if len(rows) > most:
+        return _searched(queries, catalogue, k, qvec, cat_id, cat_vec, cosine)
     vectors = [np.array([np.nan if x is None else x for x in r[1] or []], float) for r in rows]
     lengths = [len(v) for v in vectors if len(v)]
     dims = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
@@ -99,6 +102,30 @@ def catalogue_topk(queries: DataFrame, catalogue: DataFrame, k: int = 3, *,
     return queries.mapInArrow(score, T.StructType(kept + new))
 
 
+def _searched(queries: DataFrame, catalogue: DataFrame, k: int, qvec: str, cat_id: str, cat_vec: str,
+              cosine: bool) -> DataFrame:
+    """``catalogue_topk`` for a catalogue of any size: entries are numbered in the order of their ids."""
+    from tremolo.operators.ordered import ranks, stored
+    from tremolo.operators.vector_cells import knn_cells
+
+    def shaped(vec: str) -> Column:
+        v = F.col(vec).cast("array<double>")
+        if not cosine:
+            return v
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.when(size > 0, F.transform(v, lambda x: x / size))
+
+    entries = ranks(catalogue.select(F.lit(0).alias("_all"), F.col(cat_id).alias("_cat"), shaped(cat_vec).alias("_v")),
+                    "_all", ("_cat",), "_n")
+    new = ("rank", cat_id, "score")
+    asked = stored(queries.drop(*new).withColumn("_q", F.monotonically_increasing_id()))
+    hits = knn_cells(asked.select("_q", shaped(qvec).alias("_v")), entries, k, q_id="_q", q_vec="_v", c_id="_n",
+                     c_vec="_v")
+    named = hits.join(entries.select(F.col("_n").alias("corpus_id"), F.col("_cat").alias(cat_id)), "corpus_id")
+    return asked.join(named, F.col("_q") == F.col("query_id")).select(
+        *[c for c in asked.columns if c != "_q"], F.col("rank").cast("int").alias("rank"), cat_id, "score")
+
+
 def _lengths(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(axis=1))
 

@@ -5,8 +5,8 @@ adds the tokens that look random: two first-order Markov models over the token a
 one of random strings and one of ordinary identifiers, are compared by their
 log-likelihood ratio per transition.
 
-Training samples are labelled: the ordinary ones are the tokens of ``TRAIN_DOCS`` documents (about; chosen
-by a hash of their id) outside any base match; the random ones are digests of
+Training samples are labelled: the ordinary ones are the tokens of ``TRAIN_DOCS`` texts (about; chosen
+by a hash of id and text, a repeated text once) outside any base match; the random ones are digests of
 those documents in hex, base64 and upper-case spelling, and the keys and hex runs found in
 them. The model is a table of ``CLASSES`` squared ratios whatever the corpus.
 
@@ -15,8 +15,7 @@ higher-order functions, no shuffle and no Python. Positions are running sums of
 taken in chunks of ``CHUNK`` matches so that a text with very many matches stays linear.
 
 Cases: a null or empty text has no span; with no token to learn from every ratio is 0 and
-nothing is added; repeated rows are scanned alike and weigh in the sample as often as they
-occur; input columns that clash with the new ones are replaced; empty tables give empty
+nothing is added; repeated rows are scanned alike and weigh in the sample once; input columns that clash with the new ones are replaced; empty tables give empty
 results. Positions count code points, ends are exclusive.
 """
 
@@ -25,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolo.llm.common import cut
+
 ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
           r"([A-Za-z0-9+/_.=-]+)")
 #: as greedy runs, the patterns with a least length find exactly the runs long enough
@@ -150,11 +151,12 @@ def log_ratios(samples: DataFrame) -> list[float]:
 
 
 def training_samples(docs: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """token, is_random: labelled samples from about ``limit`` documents chosen by hash."""
+    """token, is_random: labelled samples from about ``limit`` texts chosen by a hash of id and text;
+    rows that repeat one are one, so rows without an id or with the same one are sampled like any others."""
     total = docs.count()
     share = max(1, -(-total // limit))
-    mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(
-        F.coalesce("text", F.lit("")).alias("text"))
+    mine = cut(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(
+        F.coalesce("text", F.lit("")).alias("text")).distinct())
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     ordinary = mine.select(F.explode(F.regexp_extract_all(
         plain, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token"))

@@ -5,6 +5,10 @@ Each stage works on all rows its predecessor kept and returns the columns of
 ``documents``, but for the last one, which returns the mix. ``run`` writes each stage as
 Parquet under the shared folder of ``spark.checkpoint.dir`` and reads it again, so that a
 stage never recomputes the ones before it and survives lost executors.
+
+Cases: null, empty and wordless texts fail the quality rules and go in the first stage; of near copies one row
+stays, also where ids are null or repeat; a null source is mixed as a source of its own; columns other than those of
+``documents`` are left out before the first stage; where nothing is left, an empty table included, the mix is empty.
 """
 
 from __future__ import annotations

@@ -19,6 +19,9 @@ CONTRACTS = {
     "op8_jaccard": ["doc_id", "class_id", "n_links"],
     "op9_suffixes": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10_language": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_periodic": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+                      "collapsed_sha256"],
+    "op12_linedups": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
 }
 
 
@@ -52,3 +55,27 @@ def test_stages(spark, tmp_path):
         if k < 4:
             assert set(docs.columns) == set(corpus_pipeline.COLUMNS)
     assert ids(corpus_pipeline.run(spark, SF001)) == ids(docs)
+
+
+def test_edges_of_the_pipeline(spark, make_docs, tmp_path):
+    """Empty tables, tables without a good text, null and repeated ids, null sources and further columns."""
+    good = [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    cases = {
+        "empty": [],
+        "wordless": [(1, None), (None, None), (2, ""), (3, " \n")],
+        "null_ids": [(None, t, None, None) for t in good[:5] * 3] + [(7, t) for t in good[5:9] * 2],
+    }
+    for name, rows in cases.items():
+        folder = tmp_path / name
+        docs = make_docs([]) if not rows else make_docs([r for r in rows if len(r) == 2]).unionByName(
+            spark.createDataFrame([(*r, None) for r in rows if len(r) == 4], make_docs([]).schema))
+        docs.selectExpr("*", "'x' AS kept", "1 AS size", "'y' AS _unit").write.parquet(str(folder / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF001}/{other}.parquet").write.parquet(str(folder / f"{other}.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        if name != "null_ids":
+            assert got == []
+        else:
+            kept = quality.judge_quality(docs, spark.read.parquet(f"{SF001}/labels.parquet")).where("kept")
+            assert 0 < len(got) <= kept.select("text").distinct().count()
+            assert all(x.taken <= 3 * x.size for x in got)

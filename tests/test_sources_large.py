@@ -161,3 +161,17 @@ def test_sequences_keep_the_null_machine(spark):
     r = r.withColumn("machine_id", F.when(F.col("machine_id") != r.first().machine_id, F.col("machine_id")))
     machines = {x.machine_id for x in cat.value_summary(r).collect()}
     assert None in machines and {x.machine_id for x in seq.transition_count(r).collect()} == machines
+
+
+def test_long_sessions_are_nested_in_pieces(spark):
+    turns = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(2500)] + [(None, k % 2, "user", f"n{k}")
+                                  for k in range(30)] + [(2, None, "assistant", "x")], TURNS)
+    got = {(x.conv_id, x.piece): x for x in ch.nest_sessions(turns, "text", 1000).collect()}
+    assert {k: len(x.messages) for k, x in got.items()} == {(1, 0): 1000, (1, 1): 1000, (1, 2): 500, (None, 0): 30,
+                                                            (2, 0): 1}
+    assert [m.content for m in got[1, 1].messages] == [f"t{k}" for k in range(1000, 2000)]
+    back = ch.flatten_sessions(spark.createDataFrame([x.asDict() for x in got.values()],
+                                                     "conv_id long, piece long, json string"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(
+        ((None if c is None else str(c), 0 if t is None else t, r, x) for c, t, r, x in map(tuple, turns.collect())),
+        key=str)

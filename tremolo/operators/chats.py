@@ -17,6 +17,7 @@ from tremolo.sources.records import json_objects
 USER_ICON, ASSISTANT_ICON = "🧑", "🤖"
 
 CHAT_JSON_SCHEMA = "map<string, array<struct<role: string, content: string, turn: bigint>>>"
+NEST_TURNS = 1024
 #: outside messages a chat file has names, brackets, braces and separators only
 _STRING = r'"(?:[^"\\]++|\\[\s\S])*+"'
 _SESSION_NAME = r'"((?:[^"\\]++|\\[\s\S])*+)"\s*:\s*\['
@@ -88,13 +89,15 @@ def _as_json(messages: F.Column) -> F.Column:
     return F.to_json(F.create_map(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), messages))
 
 
-def nest_sessions(turns: DataFrame, content: str = "content") -> DataFrame:
-    """SNK2, the reference's shape: a session per row as ``{"<id>": [{role, content, turn},
-    ...]}`` in turn order (conv_id, messages, json). A row holds a whole session; use
-    :func:`write_chat_json` where sessions may be longer than a task can hold."""
-    msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.col(content).alias("content"))))
-    nested = turns.groupBy("conv_id").agg(msgs.alias("_m")).select(
-        "conv_id", F.transform("_m", lambda x: F.struct(
+def nest_sessions(turns: DataFrame, content: str = "content", block: int = NEST_TURNS) -> DataFrame:
+    """SNK2, the reference's shape: ``{"<id>": [{role, content, turn}, ...]}`` in turn order (conv_id,
+    piece, messages, json). A session of more than ``block`` turns is several pieces, by the rank of its turns
+    (of turns with one number in order of role and content), so no row grows with a session."""
+    rows = turns.select("conv_id", "turn", "role", F.col(content).alias("content"))
+    ranked = ranks(rows, "conv_id", ("turn", "role", "content"), "_k")
+    msgs = F.array_sort(F.collect_list(F.struct("_k", "turn", "role", "content")))
+    nested = ranked.groupBy("conv_id", F.floor(F.col("_k") / block).alias("piece")).agg(msgs.alias("_m")).select(
+        "conv_id", "piece", F.transform("_m", lambda x: F.struct(
             x["role"].alias("role"), x["content"].alias("content"),
             x["turn"].alias("turn"))).alias("messages"))
     return nested.withColumn("json", _as_json(F.col("messages")))

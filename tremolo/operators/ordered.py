@@ -61,9 +61,9 @@ def ranks(df: DataFrame, key: str, order: tuple, name: str, partitions: int | No
     earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     edges = d.groupBy(key, "_pid").agg(F.count("*").alias("_n")).select(
         key, "_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    local = d.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_pid").orderBy(*order)))
+    local = d.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_pid").orderBy(*order)))
     return _joined(local, edges, key).withColumn(
-        name, (F.col("_base") + F.col("_k") - 1).cast("long")).drop("_base", "_k", "_pid")
+        name, (F.col("_base") + F.col("_place") - 1).cast("long")).drop("_base", "_place", "_pid")
 
 
 def running_sum(df: DataFrame, key: str, order: tuple, value: str, name: str,

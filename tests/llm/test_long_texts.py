@@ -50,7 +50,7 @@ def test_byte_windows_in_pieces(make_docs, monkeypatch, piece):
     batch = pa.RecordBatch.from_arrays([pa.array([text, "ab" * 300]), pa.array([5, 6]), pa.array([0, 0])],
                                        names=["text", "doc", "check"])
     seen = {5: set(), 6: set()}
-    for got in prefixfree._phrases(400, 48)(iter([batch])):
+    for got in prefixfree._phrases(400, 48, np.zeros(0, np.uint64))(iter([batch])):
         for doc, place, n in zip(got["doc"].to_pylist(), got["place"].to_pylist(), got["n"].to_pylist(), strict=True):
             mine = set(range(place, place + n))
             assert not mine & seen[doc]
@@ -70,7 +70,7 @@ batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1]), pa.array([0
 del vocab
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 if {what!r} == "phrases":
-    n = sum(b.num_rows for b in prefixfree._phrases(400, 48)(iter([batch])))
+    n = sum(b.num_rows for b in prefixfree._phrases(400, 48, np.zeros(0, np.uint64))(iter([batch])))
 elif {what!r} == "grams":
     n = len(langid.grams(next(tokens.slices(batch["text"])))[0])
 else:

@@ -137,3 +137,40 @@ def test_chat_clashes(spark):
     plain = chatformat.format_chats(turns).collect()
     clash = turns.select("*", *[F.lit("old").alias(c) for c in ("n", "block", "upto", "n_turns", "chunk", "hash")])
     assert sorted(map(str, chatformat.format_chats(clash).collect())) == sorted(map(str, plain))
+
+
+def _removed_bytes(texts, width=400):
+    """Bytes of each text inside a string that starts anywhere else too."""
+    starts = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - width + 1):
+            starts[t[i:i + width]] = starts.get(t[i:i + width], 0) + 1
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        last = -1
+        for i in range(len(t) - width + 1):
+            if starts[t[i:i + width]] > 1:
+                for j in range(max(i, last), i + width):
+                    gone[j] = True
+                last = i + width
+        out.append(sum(gone))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20, 1 << 17])
+def test_hot_triggers_are_split(make_docs, monkeypatch, hot):
+    """Boilerplate in 300 different contexts, of which some share more than 400 bytes, and whole copies."""
+    import random
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    boiler, passage = noise(230), noise(470)
+    texts = [noise(r.randrange(300, 500)) + (passage if k % 7 == 0 else boiler) + noise(r.randrange(300, 500))
+             for k in range(300)]
+    texts += [texts[3], texts[4][100:], "x" + texts[5], boiler + noise(500), boiler]
+    monkeypatch.setattr(prefixfree, "HOT_PHRASES", hot)
+    docs = make_docs(list(enumerate(texts))).coalesce(2)
+    found = prefixfree.hot_triggers(docs)
+    assert (len(found) > 0) == (hot == 20)
+    got = {x.doc_id: x.n_removed for x in prefixfree.remove_repeated_bytes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == _removed_bytes(texts)

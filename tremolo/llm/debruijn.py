@@ -51,6 +51,7 @@ from tremolo.llm.tokens import (
     packed,
     runs,
     slices,
+    summed,
     unpacked,
     window_hashes,
 )
@@ -121,14 +122,6 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
                 yield got
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sum of their counts."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
-
 def _gram_counts(window: int, gram: int):
     """Windows by gram (of a task, ``LOCAL_EDGES`` or more) and, without a gram, all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +132,10 @@ def _gram_counts(window: int, gram: int):
             often = n > 1  # a gram of one window in a slice is not a frequent one there
             keys, counts = np.concatenate((keys, mine[often])), np.concatenate((counts, n[often]))
             if len(keys) > full:
-                keys, counts = _summed(keys, counts)
+                keys, counts = summed(keys, counts)
                 full = max(full, 2 * len(keys))
         if total:
-            keys, counts = _summed(keys, counts) if len(keys) else (keys, counts)
+            keys, counts = summed(keys, counts) if len(keys) else (keys, counts)
             often = counts >= LOCAL_EDGES
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*keys[often].astype(np.int64).tolist(), None], pa.int64()),

@@ -20,8 +20,12 @@ Scale: a row per phrase (about ``(WIDTH - GRAM) / 2`` bytes) is shuffled, not a
 byte. Phrases repeated within a slice of text are decided there and sent on once, so a
 passage with a million copies is no hot key. Step 2 reads dictionary phrases only, from their
 documents' text (one shuffle of the texts that have some); a trigger with more than
-``GROUP`` phrases is cut into shards by the hash of the suffixes. Coordinates
-of repeats are joined to the texts at the end.
+``GROUP`` phrases is cut into shards by the hash of the suffixes. A trigger with very many phrases (boilerplate around
+which everything else varies) is no hot bucket: a first pass counts the phrases of each trigger, and those of more
+than ``HOT_SHARE`` of all phrases (hence at most ``1 / HOT_SHARE`` triggers, and no fewer than ``HOT_PHRASES`` phrases
+each) are cut into their single strings, spread over ``SPLIT`` buckets by the string, where equal strings meet and one of a
+slice is sent. So no bucket, and no string in however many contexts, grows with the corpus beyond that share.
+Coordinates of repeats are joined to the texts at the end.
 
 Cases: null and empty texts have no bytes; a null id is a document like any other, and ids may be of any type;
 repeated rows are documents of their own (each makes the other a repeat), and rows that share an id but not the text
@@ -51,6 +55,7 @@ from tremolo.llm.tokens import (
     runs,
     slices,
     span_hashes,
+    summed,
     unpacked,
     window_hashes,
 )
@@ -58,47 +63,118 @@ from tremolo.llm.tokens import (
 WIDTH = 400
 GRAM = 48
 GROUP = 2048
+HOT_SHARE = 1 / (1 << 20)
+HOT_PHRASES = 1 << 17
+LOCAL_PHRASES = 16  # a task reports the triggers of as many phrases
+SPLIT = 1 << 12
 SLICE = 2 << 20
 PLACE = (1 << 40) - 1
 _PHRASE_BASE = 0xC2B2AE3D27D4EB4F
 
-_PHRASES = "bucket long, phrase long, doc long, place long, n int, copies int"
+_PHRASES = "bucket long, phrase long, doc long, place long, n int, copies int, split boolean"
 _SUFFIXES = "bucket long, shard int, doc long, place long, n int, repeated boolean, " \
     "text binary, offsets binary, hashes binary"
 _SPANS = "doc long, place long, n int"
 
 
-def _phrases(width: int, gram: int):
+class _Phrases:
+    """The phrases of a piece of text: rows, places of the first string and number of strings, triggers."""
+
+    def __init__(self, s, width: int, gram: int):
+        n = len(s.data) - width + 1
+        self.any = n > 0
+        if not self.any:
+            return
+        grams = window_hashes(s.data, gram)
+        # the low bits hold the place, so that a minimum is the leftmost one
+        bits = np.uint64(max(1, int(len(grams)).bit_length()))
+        least = minima((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
+        at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        row = np.repeat(np.arange(s.rows, dtype=np.int32), np.diff(s.offsets))
+        valid = row[:n] == row[width - 1:]
+        row = row[:n]
+        cuts = np.ones(n, bool)
+        cuts[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+        self.first, self.count = runs(valid, cuts)
+        self.any = len(self.first) > 0
+        self.row, self.bucket = row[self.first], grams[at[self.first]]
+
+
+def _text_pieces(batch: pa.RecordBatch, width: int):
+    """Slices of a batch, a long text in pieces that share no string but miss none."""
+    for whole in slices(batch["text"], SLICE):
+        yield from pieces(whole, SLICE, width - 1)
+
+
+def _trigger_counts(width: int, gram: int):
+    """Phrases by trigger (of a task, ``LOCAL_PHRASES`` or more) and, without a trigger, all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total, full = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 1 << 20
+        for batch in batches:
+            for s, _ in _text_pieces(batch, width):
+                p = _Phrases(s, width, gram)
+                if not p.any:
+                    continue
+                mine, n = np.unique(p.bucket, return_counts=True)
+                total += int(n.sum())
+                keys = np.concatenate((keys, mine[n > 1]))
+                counts = np.concatenate((counts, n[n > 1]))
+                if len(keys) > full:
+                    keys, counts = summed(keys, counts)
+                    full = max(full, 2 * len(keys))
+        if total:
+            keys, counts = summed(keys, counts) if len(keys) else (keys, counts)
+            often = counts >= LOCAL_PHRASES
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*keys[often].astype(np.int64).tolist(), None], pa.int64()),
+                 pa.array([*counts[often].tolist(), total], pa.int64())], names=["bucket", "n"])
+    return run
+
+
+def hot_triggers(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Sorted triggers with too many phrases for one bucket; at most ``1 / HOT_SHARE`` numbers."""
+    counted = cut(docs.select("text").mapInArrow(_trigger_counts(width, gram), "bucket long, n long").groupBy(
+        "bucket").agg(F.sum("n").alias("n")).where(f"bucket IS NULL OR n >= {HOT_PHRASES}"))
+    total = counted.where("bucket IS NULL").first()
+    limit = max(HOT_PHRASES, (total["n"] if total else 0) * HOT_SHARE)
+    rows = counted.where("bucket IS NOT NULL").where(F.col("n") >= limit).select("bucket").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).astype(np.uint64))
+
+
+def _split(s, p: _Phrases, many: np.ndarray, width: int):
+    """The strings of hot triggers as phrases of their own: index of the phrase, place, bucket, hash."""
+    of = np.repeat(np.flatnonzero(many), p.count[many])
+    begin = np.cumsum(p.count[many]) - p.count[many]
+    place = p.first[of] + np.arange(len(of)) - np.repeat(begin, p.count[many])
+    string = window_hashes(s.data, width)[place]
+    part = mix64(string) % np.uint64(SPLIT)
+    return of, place, mix64(p.bucket[of] ^ mix64(part + np.uint64(1))), string
+
+
+def _phrases(width: int, gram: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch["doc"].to_numpy(zero_copy_only=False)
             checks = batch["check"].to_numpy(zero_copy_only=False)
-            # a long text is cut into pieces that share no string but miss none
-            for s, base in (p for whole in slices(batch["text"], SLICE)
-                            for p in pieces(whole, SLICE, width - 1)):
-                n = len(s.data) - width + 1
-                if n <= 0:
-                    continue
-                grams = window_hashes(s.data, gram)
-                # the low bits hold the place, so that a minimum is the leftmost one
-                bits = np.uint64(max(1, int(len(grams)).bit_length()))
-                least = minima((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64),
-                               width - gram + 1)
-                at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                row = np.repeat(np.arange(s.rows, dtype=np.int32), np.diff(s.offsets))
-                valid = row[:n] == row[width - 1:]
-                row = row[:n]
-                cuts = np.ones(n, bool)
-                cuts[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
-                first, count = runs(valid, cuts)
-                if not len(first):
+            for s, base in _text_pieces(batch, width):
+                p = _Phrases(s, width, gram)
+                if not p.any:
                     continue
-                bucket = grams[at[first]].astype(np.int64)
-                phrase = span_hashes(s.data, first, first + count + width - 1,
-                                     _PHRASE_BASE).astype(np.int64)
-                doc = docs[s.first:s.first + s.rows][row[first]]
-                place = (checks[s.first:s.first + s.rows][row[first]] << 40) | (
-                    base + first - s.offsets[row[first]])
+                bucket, first, count, row = p.bucket, p.first, p.count, p.row
+                phrase = span_hashes(s.data, first, first + count + width - 1, _PHRASE_BASE)
+                split = np.zeros(len(first), bool)
+                many = np.isin(bucket, hot) if len(hot) else split
+                if many.any():
+                    of, place, part, string = _split(s, p, many, width)
+                    bucket = np.concatenate((bucket[~many], part))
+                    phrase = np.concatenate((phrase[~many], string))
+                    row = np.concatenate((row[~many], row[of]))
+                    first = np.concatenate((first[~many], place))
+                    count = np.concatenate((count[~many], np.ones(len(of), np.int64)))
+                    split = np.arange(len(first)) >= int((~many).sum())
+                bucket, phrase = bucket.astype(np.int64), phrase.astype(np.int64)
+                doc = docs[s.first:s.first + s.rows][row]
+                place = (checks[s.first:s.first + s.rows][row] << 40) | (base + first - s.offsets[row])
                 # copies within the slice: all are repeats, one of them goes on
                 order = np.lexsort((phrase, bucket))
                 new = np.ones(len(order), bool)
@@ -112,8 +188,8 @@ def _phrases(width: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.where(sent, bucket, spread)), pa.array(phrase), pa.array(doc),
                      pa.array(place), pa.array(count.astype(np.int32)),
-                     pa.array(np.minimum(copies, 2).astype(np.int32))],
-                    names=["bucket", "phrase", "doc", "place", "n", "copies"])
+                     pa.array(np.minimum(copies, 2).astype(np.int32)), pa.array(split)],
+                    names=["bucket", "phrase", "doc", "place", "n", "copies", "split"])
     return run
 
 
@@ -123,7 +199,8 @@ def parse(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     ``repeated``: another copy of the phrase exists. ``listed``: this row stands for its
     phrase in the dictionary of a trigger that has several (``phrases``).
     """
-    rows = docs.mapInArrow(_phrases(width, gram), _PHRASES)
+    hot = hot_triggers(docs, width, gram)
+    rows = docs.mapInArrow(_phrases(width, gram, hot), _PHRASES)
     by = Window.partitionBy("bucket")
     order = by.orderBy("phrase", "doc", "place")
     sent = F.col("copies") > 0
@@ -136,7 +213,7 @@ def parse(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             | F.coalesce(F.col("after") == F.col("phrase"), F.lit(False)))
     return marked.select(
         "bucket", "doc", "place", "n", ((F.col("copies") != 1) | same).alias("repeated"),
-        (sent & F.col("last") & (F.col("after").isNotNull()
+        (sent & F.col("last") & ~F.col("split") & (F.col("after").isNotNull()
                                  | (F.col("lowest") != F.col("phrase")))).alias("listed"),
         "phrases").where("repeated OR listed")
 

@@ -187,6 +187,14 @@ def pieces(s: Slice, limit: int, overlap: int = 0, breaks: np.ndarray | None = N
         lo = hi - overlap
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """True at each of ``n`` places inside any ``[start, end)``."""
     step = np.zeros(n + 1, dtype=np.int64)

@@ -16,7 +16,7 @@ number of terms. Each joint table is priced where it was made, and the blocks' s
 
 Exactness: prices are integers (decimal ``div``), sums are integers of 64 bits.
 
-Scale: slices of text pre-aggregate the counts; counts and kept terms meet by (language, term), so neither a hot
+Scale: tasks pre-aggregate the counts (``HELD_COUNTS`` at a time); counts and kept terms meet by (language, term), so neither a hot
 source nor a hot language is one task. A tile task holds the counts of ``BLOCK`` terms in
 ``2 * TILE`` sources. Rows for a block travel once for each tile pair of their source.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo.llm.common import cut
-from tremolo.llm.tokens import Words, mix64, slices
+from tremolo.llm.tokens import Words, mix64, slices, span_hashes
 
 LEAST_DOCS = 30
 SCALE = 1_000_000_000
@@ -46,6 +46,8 @@ TOP_TERMS = 50
 BLOCK = 1024  # terms of a matrix, on average
 TILE = 32  # sources of a tile, on average
 PANEL = 2048  # columns multiplied at once
+SLICE = 2 << 20  # bytes of text counted at a time
+HELD_COUNTS = 1 << 20  # counts that a task puts together
 
 #: [^\x00-\x40\x5B-\x60\x7B-\x7F]+ after A-Z are lower-cased
 TERM = np.ones(256, dtype=bool)
@@ -55,19 +57,56 @@ TERM[0x7B:0x80] = False
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
+class _Counted:
+    """Counts of (group, term) of a task's slices, put together before they are sent."""
+
+    def __init__(self):
+        self.rows, self.keys, self.n = [], [], 0
+
+    def add(self, key: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.keys.append(key)
+        self.rows.append(rows)
+        self.n += len(key)
+        if self.n > HELD_COUNTS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        key = np.concatenate(self.keys)
+        rows = pa.Table.from_batches(self.rows)
+        self.__init__()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        sums = {c: np.add.reduceat(rows[c].to_numpy()[order], first) for c in ("n", "docs")}
+        some = rows.select(["lang", "source", "term"]).take(pa.array(order[first]))
+        done = some.append_column("n", pa.array(sums["n"])).append_column("docs", pa.array(sums["docs"]))
+        yield from done.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
+def _text_key(column: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    s = next(slices(column, 1 << 62), None)
+    return span_hashes(s.data, s.offsets[:-1], s.offsets[1:]) if s else np.zeros(0, np.uint64)
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = _Counted()
     for batch in batches:
         langs = batch["lang"].dictionary_encode()
         sources = batch["source"].dictionary_encode()
         width = max(1, len(sources.dictionary))
         group = (langs.indices.to_numpy().astype(np.int64) * width
                  + sources.indices.to_numpy())
-        for s in slices(batch["text"]):
+        # a group's number in this batch, and a hash of its names that holds in all batches
+        name = mix64(_text_key(langs.dictionary))[:, None] + _text_key(sources.dictionary)[None, :]
+        name = mix64(name.ravel())
+        for s in slices(batch["text"], SLICE):
             words: Words = s.words(TERM, lower=True)
             if not len(words.starts):
                 continue
             of = group[s.first:s.first + s.rows][words.row]
-            key = mix64(words.hashes() + mix64(of.astype(np.uint64)))
+            key = mix64(words.hashes() + name[of])
             order = np.argsort(key, kind="stable")  # rows ascend within a key
             key, row = key[order], words.row[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -77,13 +116,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms = [data[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(),
                                                strict=True)]
             mine = of[at]
-            yield pa.RecordBatch.from_arrays(
+            yield from held.add(key[first], pa.RecordBatch.from_arrays(
                 [langs.dictionary.take(pa.array(mine // width)),
                  sources.dictionary.take(pa.array(mine % width)),
                  pa.array(terms, pa.binary()).cast(pa.string()),
                  pa.array(np.diff(np.concatenate((first, [len(key)])))),
                  pa.array(np.add.reduceat(fresh.astype(np.int64), first))],
-                names=["lang", "source", "term", "n", "docs"])
+                names=["lang", "source", "term", "n", "docs"]))
+    yield from held.flush()
 
 
 def price(count, total, kept) -> F.Column:

@@ -53,6 +53,10 @@ def test_router_takes_vectors(spark):
     assert got[1].status == "matched" and got[1].intent_id == 32 and abs(got[1].score - 1) < 1e-9
     assert got[3].intent_id == 11
     assert got[4].status == got[5].status == "not_found" and got[4].score is None
+    # the same, each distinct text embedded once by the router
+    again = rt.route_questions(q, ["i"], "q", vector=lambda t, text, out: embedder.embed_questions(
+        t, text, LOAD, NAME, out), catalogue_vectors=embedder.catalogue_vectors(spark, LOAD, NAME))
+    assert {x.i: x for x in again.collect()} == got
     # any vectors will do: here the questions' own are swapped
     swapped = asked.withColumn("vector", F.when(F.col("i") != 1, F.col("vector")))
     assert {x.i: x.status for x in rt.route_questions(swapped, ["i"], "q", vector="vector", catalogue_vectors=(

@@ -20,6 +20,8 @@ so no step grows with the product of two large tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +123,7 @@ def _question_text_of(intent: Column) -> Column:
 def route_questions(questions: DataFrame, id_cols: list[str], text: str,
                     threshold: float = 0.65, suggest_at: float = 0.40, k: int = 3,
                     gate: bool = False, date_col: str | None = None,
-                    compat_dayfirst: bool = False, vector: str | None = None,
+                    compat_dayfirst: bool = False, vector: str | Callable | None = None,
                     catalogue_vectors: DataFrame | None = None) -> DataFrame:
     """One routing row per question.
 
@@ -133,7 +135,9 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
 
     With ``vector`` (a column of ``questions``) the questions are matched by the cosine of their vectors
     with ``catalogue_vectors`` (intent_id, vector) instead of by trigrams; a question without a vector, or
-    with a zero one, matches nothing. ``plans.embedder`` makes both columns from texts."""
+    with a zero one, matches nothing. ``plans.embedder`` makes both columns from texts. ``vector`` may also be
+    a function (texts, text column, new column) -> texts with vectors: each distinct text is embedded once."""
+    embed, vector = (vector, None) if callable(vector) else (None, vector)
     q = questions.select(*id_cols, F.col(text).alias("_text"), *(
         [F.col(vector).alias("_vector")] if vector else []),
                          *( [F.col(date_col).alias("_given_date")] if date_col else []))
@@ -149,7 +153,12 @@ def route_questions(questions: DataFrame, id_cols: list[str], text: str,
     q = q.withColumn("_key", known)
     texts = q.groupBy("_key").agg(F.first("_match").alias("_match"), *(
         [F.first("_vector").alias("_vector")] if vector else []))
-    if vector:
+    if embed:
+        # embedding costs time, not bytes: one part per core, which AQE would join by their size
+        spread = texts.repartition(questions.sparkSession.sparkContext.defaultParallelism, "_key")
+        top = catalogue_topk(embed(spread, "_match", "_vector").select("_key", "_vector"), catalogue_vectors, k,
+                             qvec="_vector", cat_id="intent_id", cat_vec="vector", cosine=True).drop("_vector")
+    elif vector:
         q = q.drop("_vector")
         top = catalogue_topk(texts.select("_key", "_vector"), catalogue_vectors, k, qvec="_vector",
                              cat_id="intent_id", cat_vec="vector", cosine=True).drop("_vector")

@@ -677,9 +677,9 @@ _EMBEDDER = (embedder.hashed_trigrams(256), "hashed-trigrams-256")
 @register("route_orders_by_vector", route_sql(_ORDER_TEXTS, ["o_orderkey"], dims=256))
 def q_route_orders_by_vector(spark, d):
     """B3 with vectors from an embedder (here the deterministic one) as router input."""
-    asked = embedder.embed_questions(_order_questions(spark, d), "question", *_EMBEDDER)
     return _routed_shown(rt.route_questions(
-        asked, ["o_orderkey"], "question", vector="vector",
+        _order_questions(spark, d), ["o_orderkey"], "question",
+        vector=lambda texts, text, out: embedder.embed_questions(texts, text, *_EMBEDDER, out),
         catalogue_vectors=embedder.catalogue_vectors(spark, *_EMBEDDER)))
 
 

@@ -175,3 +175,21 @@ def test_long_sessions_are_nested_in_pieces(spark):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(
         ((None if c is None else str(c), 0 if t is None else t, r, x) for c, t, r, x in map(tuple, turns.collect())),
         key=str)
+
+
+def test_long_sessions_are_nested_whole(spark):
+    """A session of any number of turns is one row, in order; ids and turns may be missing or come twice."""
+    rows = [(1, k, "user", f"t{k}") for k in range(2500)] + [(None, k % 2, "user", f"n{k:02}") for k in range(30)] + [
+        (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
+    got = {x.conv_id: x for x in ch.nest_sessions(spark.createDataFrame(rows, TURNS), "text").collect()}
+    assert {k: [(m.turn, m.content) for m in x.messages] for k, x in got.items()} == {
+        c: sorted((t, x) for i, t, _, x in rows if i == c) for c in (1, None, 2)}
+    assert got[1].json.count('"role"') == 2500 and "piece" not in got[1]
+
+
+def test_chat_nest_gives_a_row_per_session(spark, tmp_path):
+    from tremolo.registry import QUERIES
+    spark.createDataFrame([(7, k, "user", f"t{k}") for k in range(1500)] + [(8, 0, "assistant", "y")], TURNS).write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    got = {x.conv_id: (x.n_messages, x.messages) for x in QUERIES["chat_nest"](spark, str(tmp_path)).collect()}
+    assert got == {"7": (1500, "\n".join(f"user: t{k}" for k in range(1500))), "8": (1, "assistant: y")}

@@ -89,17 +89,23 @@ def _as_json(messages: F.Column) -> F.Column:
     return F.to_json(F.create_map(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), messages))
 
 
-def nest_sessions(turns: DataFrame, content: str = "content", block: int = NEST_TURNS) -> DataFrame:
-    """SNK2, the reference's shape: ``{"<id>": [{role, content, turn}, ...]}`` in turn order (conv_id,
-    piece, messages, json). A session of more than ``block`` turns is several pieces, by the rank of its turns
-    (of turns with one number in order of role and content), so no row grows with a session."""
+def nest_sessions(turns: DataFrame, content: str = "content", block: int | None = None) -> DataFrame:
+    """SNK2, the reference's shape: a session per row as ``{"<id>": [{role, content, turn}, ...]}`` in turn
+    order, turns with one number in order of role and content (conv_id, messages, json). A row holds a whole
+    session; it is put together from pieces of ``NEST_TURNS`` turns that were ranked and sorted apart, so a
+    session with a third of all turns is not sorted in one task. With a ``block`` the pieces of so many turns
+    stay rows of their own (conv_id, piece, messages, json), and no row grows with a session."""
     rows = turns.select("conv_id", "turn", "role", F.col(content).alias("content"))
     ranked = ranks(rows, "conv_id", ("turn", "role", "content"), "_k")
     msgs = F.array_sort(F.collect_list(F.struct("_k", "turn", "role", "content")))
-    nested = ranked.groupBy("conv_id", F.floor(F.col("_k") / block).alias("piece")).agg(msgs.alias("_m")).select(
-        "conv_id", "piece", F.transform("_m", lambda x: F.struct(
+    nested = ranked.groupBy("conv_id", F.floor(F.col("_k") / (block or NEST_TURNS)).alias("piece")).agg(
+        msgs.alias("_m")).select("conv_id", "piece", F.transform("_m", lambda x: F.struct(
             x["role"].alias("role"), x["content"].alias("content"),
             x["turn"].alias("turn"))).alias("messages"))
+    if not block:
+        pieces = F.array_sort(F.collect_list(F.struct("piece", "messages")))
+        nested = nested.groupBy("conv_id").agg(F.flatten(F.transform(
+            pieces, lambda x: x["messages"])).alias("messages"))
     return nested.withColumn("json", _as_json(F.col("messages")))
 
 

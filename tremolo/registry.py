@@ -485,14 +485,12 @@ def q_chat_new(spark, d):
     return ch.new_session_id(ch.sessions_of(_turns(spark, d)))
 
 
-@register("chat_nest", f"""SELECT CAST(conv_id AS VARCHAR) AS conv_id, k // {ch.NEST_TURNS} AS piece,
-  count(*) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY k) AS messages
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations)
-GROUP BY ALL""")
+@register("chat_nest", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, count(*) AS n_messages,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY 1""")
 def q_chat_nest(spark, d):
-    """SNK2: sessions in the nested shape, in pieces of bounded length, shown as texts."""
+    """SNK2: a whole session per row in the nested shape, shown as one text."""
     n = ch.nest_sessions(_turns(spark, d), "text")
-    return n.select(F.col("conv_id").cast("string").alias("conv_id"), "piece",
+    return n.select(F.col("conv_id").cast("string").alias("conv_id"),
                     F.size("messages").cast("long").alias("n_messages"),
                     F.array_join(F.transform("messages", lambda m: F.concat(
                         m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))

@@ -151,3 +151,46 @@ def test_a_catalogue_of_any_size(spark):
         found = [{(x.vec_id, x.rank): (None if cosine else x.label, round(x.score, 9)) for x in vec.catalogue_topk(
             q, cat, 4, max_rows=most, cosine=cosine).collect()} for most in (10_000, 20)]
         assert found[0] == found[1] and len(found[0]) >= 190
+
+
+def test_a_query_is_sent_once_to_a_block(spark, monkeypatch):
+    """Where no cell can be skipped a query goes to each block of cells, not to each cell."""
+    g = np.random.default_rng(11)
+    x = g.normal(size=(900, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = []
+    deal = cells._deal
+    monkeypatch.setattr(cells, "_deal", lambda q, *rest: (sent.append(q.count()), deal(q, *rest))[1])
+    report = {}
+    got = cells.knn_cells(df, df, 3, exclude_self=True, cells=30, block_rows=300, report=report).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :3]
+    assert {(r.query_id, r.rank): r.corpus_id for r in got} == {
+        (i, n + 1): want[i, n] for i in range(900) for n in range(3)}
+    assert report["scored"] > 0.5 * report["pairs"]  # hardly a cell is skipped
+    assert len(sent) == 2 and max(sent) <= 5 * 900  # blocks, not 30 cells
+
+
+def test_best_of_chunks_of_any_scale():
+    """Lengths far apart, equal vectors, repeated ids, a floor: as scored one by one."""
+    g = np.random.default_rng(13)
+    c = np.round(g.normal(size=(5000, 6)), 1) * 10.0 ** g.integers(-12, 13, 5000)[:, None]
+    c[4000:4500] = c[:500]
+    q = np.round(g.normal(size=(300, 6)), 1) * 10.0 ** g.integers(-12, 13, 300)[:, None]
+    q[7] = 0
+    c_ids, q_ids = g.permutation(5000) // 2, np.arange(300) // 2
+    exact = np.einsum("ij,kj->ik", q, c)
+    floor = np.where(np.arange(300) % 3 == 0, np.quantile(exact, 0.999, axis=1), -np.inf)
+    best = vec.Best(q_ids, q, 4, True, floor.copy())
+    for lo in range(0, 5000, 1700):
+        best.see(c_ids[lo:lo + 1700], c[lo:lo + 1700])
+    rows = np.concatenate([h[0] for h in best.held])
+    _, ids, scores = best.found()
+    for i in range(300):
+        one = np.array([np.einsum("ij,ij->i", q[i:i + 1], c[j:j + 1])[0] for j in range(5000)]) if i < 12 else exact[i]
+        fit = np.flatnonzero((c_ids != q_ids[i]) & (one >= floor[i]))
+        order = fit[np.lexsort((c_ids[fit], -one[fit]))][:4]
+        assert np.allclose(scores[rows == i], one[order], rtol=1e-9)
+        if i < 12:
+            assert ids[rows == i].tolist() == c_ids[order].tolist()

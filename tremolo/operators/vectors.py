@@ -5,16 +5,15 @@ Two shapes:
     centroids). The catalogue's size is checked, then it is broadcast as a matrix and
     scored per Arrow batch: no join and no shuffle, linear in the queries.
   * ``knn``: queries against a corpus of any size. Scoring runs in Arrow batches with
-    numpy matrix products; each task keeps a running top-k per query, so a task emits
+    numpy matrix products (``Best``); each task keeps a running top-k per query, so a task emits
     at most (queries x k) rows and never all pairs. The query side is broadcast when
-    its size is under a bound; otherwise both sides are dealt into cells
+    its size is under a bound; otherwise both sides are dealt into blocks
     (``operators.vector_cells``). A final ``row_number() <= k`` per query merges the partial lists.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +25,10 @@ from tremolo.functions.vectors import l2_normalize
 
 MAX_CATALOGUE_ROWS = 10_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+KNN_BROADCAST_BYTES = 8 * 1024 * 1024  # queries; above it the corpus and they are dealt in blocks
 SCORE_CELLS = 1 << 22  # scores held at a time by a task (with their order: 64 MB)
+CHUNK_ROWS, CHUNK_WIDTH = 256, 2048  # queries and corpus rows of a product: its scores stay in the cache
+GATHERED = 1 << 19  # numbers of either side of the pairs scored at a time
 # The lines around the retrieved rows in the prompt.
 PROMPT_HEADER = "Aşağıda RTF makinesi titreşim verileri var:"
 PROMPT_FOOTER = "Bu verilere dayanarak cevap verin:"
@@ -156,47 +158,125 @@ def vector_length(df: DataFrame, vec: str = "embedding") -> int:
 
 
 def usable(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
-    """id, v: the vectors of ``dims`` finite numbers."""
-    v = F.col(vec).cast("array<double>")
+    """id, v: the vectors of ``dims`` finite numbers (floats stay floats, half as long in a shuffle)."""
+    single = df.select(vec).schema[0].dataType == T.ArrayType(T.FloatType())
+    v = F.col(vec) if single else F.col(vec).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & (F.size("v") == dims) & finite)
 
 
+def matrix(column, dims: int) -> np.ndarray:
+    """A list column as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
+
+
+def _scaled(m: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``m / size`` in single precision, and the lengths of its rows."""
+    m = m / size
+    return m.astype(np.float32), np.sqrt((m * m).sum(axis=1))
+
+
+def _true(marks: np.ndarray) -> np.ndarray:
+    """Places of the few true values, looked for eight at a time."""
+    flat = marks.ravel()
+    whole = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate((at[flat[at]], whole + np.flatnonzero(flat[whole:])))
+
+
+class Best:
+    """The k best corpus rows of each query among those that it was shown, exact.
+
+    Products in single precision leave out the pairs that stay below a query's k-th best score by more than
+    rounding can take; the others are scored in double precision, each pair by itself, so that equal
+    vectors have equal scores. ``floor``: scores (or -inf) below which no row is wanted. At most ``CHUNK_ROWS``
+    x ``CHUNK_WIDTH`` scores are held at a time, besides the k best."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool,
+                 floor: np.ndarray | None = None):
+        self.ids, self.vectors, self.k, self.exclude_self = ids, vectors, k, exclude_self
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.astype(np.float64)
+        top = np.abs(vectors).max(axis=1, initial=0)
+        self.size = np.where(top > 0, top, 1.0)
+        self.small, self.length = _scaled(vectors, self.size[:, None])
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                     for _ in range(0, len(ids), CHUNK_ROWS)]
+
+    def see(self, c_ids: np.ndarray, vectors: np.ndarray, shown=None) -> None:
+        """Show corpus rows: all of them to every query, or what ``shown`` gives for a chunk of queries (first, end):
+        (queries of the chunk, as places in it or None for all; first and end of the corpus rows)."""
+        if not len(c_ids) or self.k < 1:
+            return
+        size = np.abs(vectors).max(initial=0) or 1.0
+        small, length = _scaled(vectors, size)
+        for n, first in enumerate(range(0, len(self.ids), CHUNK_ROWS)):
+            end = min(first + CHUNK_ROWS, len(self.ids))
+            waiting: list[tuple] = []
+            for rows, lo, hi in [(None, 0, len(c_ids))] if shown is None else shown(first, end):
+                rows = np.arange(first, end) if rows is None else first + rows
+                for a in range(lo, hi, CHUNK_WIDTH):
+                    b = min(a + CHUNK_WIDTH, hi)
+                    fresh = np.isneginf(self.floor[rows]).any()
+                    waiting += self._reaching(rows, c_ids[a:b], vectors[a:b], small[a:b], length[a:b], size)
+                    if fresh or sum(len(w[0]) for w in waiting) > 2 * self.k * CHUNK_ROWS:
+                        self._keep(n, waiting)
+                        waiting = []
+            self._keep(n, waiting)
+
+    def _reaching(self, rows, c_ids, vectors, small, length, size):
+        """(query, corpus id, score) of the pairs that reach the floor of their query."""
+        floor, k = self.floor[rows], self.k
+        scores = self.small[rows] @ small.T
+        rounding = (vectors.shape[1] + 8) * 2.0 ** -24 * self.length[rows] * length.max() + 1e-35
+        with np.errstate(over="ignore"):
+            limit = floor / self.size[rows] / size - rounding
+        new = np.flatnonzero(np.isneginf(floor))
+        if len(new) and len(c_ids) > k:  # the k-th best of these is a floor
+            part = scores[new]
+            if self.exclude_self:
+                part[self.ids[rows[new]][:, None] == c_ids[None, :]] = -np.inf
+            limit[new] = np.partition(part, -k, axis=1)[:, -k] - 2 * rounding[new]
+        with np.errstate(over="ignore"):
+            limit = np.nextafter(limit.astype(np.float32), np.float32(-np.inf))
+        at = _true(scores >= limit[:, None])
+        found = []
+        step = max(1, GATHERED // vectors.shape[1])
+        for i in range(0, len(at), step):
+            row, col = np.divmod(at[i:i + step], len(c_ids))
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = np.einsum("ij,ij->i", self.vectors[rows[row]], vectors[col])
+            keep = np.isfinite(exact) & (exact >= floor[row])
+            if self.exclude_self:
+                keep &= self.ids[rows[row]] != c_ids[col]
+            found.append((rows[row[keep]], c_ids[col[keep]], exact[keep]))
+        return found
+
+    def _keep(self, chunk: int, waiting: list[tuple]) -> None:
+        for part in waiting:
+            if len(part[0]):
+                row, _, score = self.held[chunk] = _merge(self.held[chunk], part, self.k)
+                last = np.flatnonzero(row[self.k - 1:] == row[:len(row) - self.k + 1]) if len(row) >= self.k else []
+                self.floor[row[last]] = np.maximum(self.floor[row[last]], score[self.k - 1:][last])
+
+    def found(self) -> tuple:
+        """Query ids, corpus ids, scores."""
+        rows, ids, scores = (np.concatenate([h[n] for h in self.held]) if self.held else np.empty(0, t)
+                             for n, t in enumerate((np.int64, np.int64, np.float64)))
+        return self.ids[rows], ids, scores
+
+
 def _topk_rows(q_ids, q_mat, c_ids, c_mat, k, exclude_self):
-    """The k best of a corpus block for every query, ``SCORE_CELLS`` scores at a time: queries in
-    chunks, and corpus rows in chunks whose results are merged."""
-    width = max(1, min(len(c_ids), SCORE_CELLS // 256))
-    height = max(1, SCORE_CELLS // width)
-    parts = []
-    for i in range(0, len(q_ids), height):
-        acc = None
-        for j in range(0, max(1, len(c_ids)), width):
-            acc = _merge(acc, _topk_chunk(q_ids[i:i + height], q_mat[i:i + height],
-                                          c_ids[j:j + width], c_mat[j:j + width], k,
-                                          exclude_self), k)
-        parts.append(acc)
-    return tuple(np.concatenate([p[n] for p in parts]) for n in range(3))
-
-
-def _topk_chunk(q_ids, q_mat, c_ids, c_mat, k, exclude_self):
-    scores = q_mat @ c_mat.T                       # (nq, nc) for one block only
-    if exclude_self:
-        scores = np.where(q_ids[:, None] == c_ids[None, :], -np.inf, scores)
-    kk = min(k, scores.shape[1])
-    if kk == 0:
-        return np.empty((0,), np.int64), np.empty((0,), np.int64), np.empty((0,))
-    # order by (score desc, corpus id asc): sort on both keys, keep the first kk
-    order = np.lexsort((np.broadcast_to(c_ids, scores.shape), -scores), axis=1)[:, :kk]
-    s = np.take_along_axis(scores, order, axis=1)
-    keep = np.isfinite(s)
-    qi = np.repeat(q_ids, kk).reshape(-1, kk)[keep]
-    return qi, c_ids[order][keep], s[keep]
+    """The k best of a corpus block for every query."""
+    best = Best(q_ids, q_mat, k, exclude_self)
+    best.see(c_ids, c_mat)
+    return best.found()
 
 
 def _merge(acc, part, k):
-    if acc is None:
-        return part
+    """The k best of each query, of two lists of which one is not empty."""
     q = np.concatenate([acc[0], part[0]])
     c = np.concatenate([acc[1], part[1]])
     s = np.concatenate([acc[2], part[2]])
@@ -213,8 +293,8 @@ KNN_SCHEMA = "query_id long, corpus_id long, score double"
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: str = "vec_id",
         q_vec: str = "embedding", c_id: str = "vec_id", c_vec: str = "embedding",
-        exclude_self: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-        block_rows: int = 20_000) -> DataFrame:
+        exclude_self: bool = False, max_broadcast_bytes: int = KNN_BROADCAST_BYTES,
+        block_rows: int | None = None) -> DataFrame:
     """(query_id, rank, corpus_id, score) for the k highest inner products per
     query; ties go to the smaller corpus id. Vectors that are NULL, hold a NULL, NaN or infinity,
     or are not as long as most corpus vectors are neither queries nor found.
@@ -236,24 +316,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: str = "vec_i
 
 def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     spark = q.sparkSession
-    rows = q.collect()  # bounded: the caller checked the query side's size
-    q_ids = np.array([r.qid for r in rows], dtype=np.int64)
-    q_mat = np.array([r.qv for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    bq = spark.sparkContext.broadcast((q_ids, q_mat))
+    rows = q.toArrow()  # bounded: the caller checked the query side's size
+    dims = len(rows["qv"][0]) if rows.num_rows else 0
+    bq = spark.sparkContext.broadcast((rows["qid"].to_numpy(), matrix(rows["qv"], dims)))
 
     def score(batches):
-        qi, qm = bq.value
-        acc = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cm = np.vstack(pdf["cv"].to_numpy()).astype(np.float64)
-            part = _topk_rows(qi, qm, pdf["cid"].to_numpy(np.int64), cm, k, exclude_self)
-            acc = _merge(acc, part, k)
-        if acc is not None:
-            yield pd.DataFrame({"query_id": acc[0], "corpus_id": acc[1], "score": acc[2]})
-
-    return c.mapInPandas(score, KNN_SCHEMA)
+        ids, vectors = bq.value
+        best = Best(ids, vectors, k, exclude_self)
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                best.see(batch["cid"].to_numpy(), matrix(batch["cv"], vectors.shape[1]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(best.found(), (pa.int64(), pa.int64(), pa.float64()), strict=True)],
+            names=["query_id", "corpus_id", "score"])
+
+    return c.mapInArrow(score, KNN_SCHEMA)
 
 
 def context_text(hits: DataFrame, texts: DataFrame, question: DataFrame | None = None, *,
